@@ -192,3 +192,117 @@ def simhash_components(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col:
     labels = materialize(classes.join(named, "fp", "left").select(F.col("fp").alias("class"), F.coalesce("cid", "least").alias("component_id")), "fp-labels")
     out = own.join(labels, own["fp"] == labels["class"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near copies by similarity: a longer fingerprint, the same keys, and the shingles themselves to verify
+
+WORDS = 8
+#: Tables: the word whose first bits must be equal, and the word that is decoded.
+TABLES = tuple((i, (i + step) % WORDS) for step in (1, 2, 3) for i in range(WORDS))
+EXACT = 16
+
+
+def sketch(text: str) -> np.ndarray:
+    """Eight 23-bit words of a SimHash over the distinct words of a text."""
+    words = set(text.encode().lower().split())
+    raw = b"".join(xxhash.xxh3_128_digest(w) + xxhash.xxh64_digest(w, SEED) for w in words)
+    if not words:
+        return np.zeros(WORDS, dtype=np.uint32)
+    bits = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 24)
+    ones = np.zeros(192, dtype=np.int64)
+    for at in range(0, len(bits), 1 << 14):
+        ones += np.unpackbits(bits[at : at + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
+    return ((2 * ones > len(bits))[: 23 * WORDS].reshape(WORDS, 23) @ (1 << np.arange(23))).astype(np.uint32)
+
+
+def _sketch_keys(classes: DataFrame) -> DataFrame:
+    schema = pa.schema([("key", pa.int64()), ("th", pa.int64())])
+    ball = np.concatenate([[0], 1 << np.arange(23)]).astype(np.uint32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                th = part.column(0).to_numpy(zero_copy_only=False)
+                words = np.array([sketch(t) for t in part.column(1).to_pylist()], dtype=np.uint32).reshape(-1, WORDS)
+                index = np.sort(golay_index(words[:, :, None] ^ ball), axis=2)
+                new = np.ones(index.shape, dtype=bool)
+                new[:, :, 1:] = index[:, :, 1:] != index[:, :, :-1]
+                keys, ids = [], []
+                for n, (i, j) in enumerate(TABLES):
+                    r, c = np.nonzero(new[:, j])
+                    keys.append(np.int64(n) << 40 | (words[r, i].astype(np.int64) & ((1 << EXACT) - 1)) << 12 | index[r, j, c].astype(np.int64))
+                    ids.append(th[r])
+                yield batch(schema, [np.concatenate(keys), np.concatenate(ids)])
+
+    return classes.select("th", "text").mapInArrow(run, "key long, th long")
+
+
+def _stars(keys: DataFrame, width: int) -> DataFrame:
+    """Candidates from rows in the order of keys: each against the first and the one before it under the same key, however many there are."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first, last = None, 0, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, th = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            new = np.concatenate([[key[0] != now], key[1:] != key[:-1]])
+            start = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            lead = np.where(start >= 0, th[np.maximum(start, 0)], first)
+            before = np.concatenate([[last], th[:-1]])
+            old = ~new
+            a, c = np.concatenate([lead[old], before[old]]), np.concatenate([th[old], th[old]])
+            pairs = np.unique(np.stack([np.minimum(a, c), np.maximum(a, c)], axis=1)[a != c], axis=0) if old.any() else np.empty((0, 2), dtype=np.int64)
+            yield batch(schema, [pairs[:, 0], pairs[:, 1]])
+            now, first, last = key[-1], lead[-1], th[-1]
+
+    return keys.repartition(width, "key").sortWithinPartitions("key", "th").mapInArrow(run, "a long, b long").distinct()
+
+
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    schema = pa.schema([("th", pa.int64()), ("grams", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for b in batches:
+            out: list[list] = [[], []]
+            for th, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                w = text.encode().lower().split()
+                hashes = {digest(b" ".join(w[i : i + shingle]), SEED) for i in range(max(1, len(w) - shingle + 1))}
+                out[0].append(th)
+                out[1].append(np.fromiter(hashes, dtype=np.uint64, count=len(hashes)).view(np.int64).tolist())
+                if len(out[0]) == 256:
+                    yield batch(schema, out)
+                    out = [[], []]
+            yield batch(schema, out)
+
+    return texts.select("th", "text").mapInArrow(run, "th long, grams array<long>")
+
+
+def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(th, root)``: the class of each distinct text that is like another, ``th`` being the XXH64 of the text by Spark.
+
+    Texts are like if the sets of their word shingles (A-Z in lower case) have a Jaccard similarity of ``similarity`` or more;
+    the candidates for that come from Golay keys of a 184-bit SimHash over words, and are verified exactly. Equal texts are one
+    row from the start. Null and wordless texts are like nothing else. Other columns are not read. Without like texts the result is empty.
+    """
+    from .common import shuffle_width
+
+    width = shuffle_width(docs.sparkSession)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    keys = materialize(_sketch_keys(own).distinct(), "sketch-keys")
+    pairs = materialize(_stars(keys, width), "sketch-pairs")
+    asked = materialize(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct(), "sketch-asked")
+    texts = own.join(asked, own["th"] == asked["t"], "left_semi")
+    sets = materialize(_shingle_sets(texts, shingle).dropDuplicates(["th"]), "sketch-sets")
+    left = sets.select(F.col("th").alias("ta"), F.col("grams").alias("ga"))
+    half = materialize(pairs.join(left, pairs["a"] == left["ta"]).select("a", "b", "ga"), "sketch-half")
+    right = sets.select(F.col("th").alias("tb"), F.col("grams").alias("gb"))
+    met = half.join(right, half["b"] == right["tb"])
+    both = F.size(F.array_intersect("ga", "gb"))
+    alike = met.where(both >= F.lit(similarity) * (F.size("ga") + F.size("gb") - both)).select("a", "b")
+    member = connected_components(materialize(alike, "sketch-links"), "a", "b")
+    return member.select(F.col("node").alias("th"), "root")
