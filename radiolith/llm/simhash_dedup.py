@@ -200,6 +200,8 @@ WORDS = 8
 #: Tables: the word whose first bits must be equal, and the word that is decoded.
 TABLES = tuple((i, (i + step) % WORDS) for step in (1, 2, 3) for i in range(WORDS))
 EXACT = 16
+#: Most differing bits of the 184 with which a candidate is looked at; texts without more in common than a language differ in about 64.
+FAR = 52
 
 
 def sketch(text: str) -> np.ndarray:
@@ -215,7 +217,18 @@ def sketch(text: str) -> np.ndarray:
     return ((2 * ones > len(bits))[: 23 * WORDS].reshape(WORDS, 23) @ (1 << np.arange(23))).astype(np.uint32)
 
 
-def _sketch_keys(classes: DataFrame) -> DataFrame:
+def _sketches(texts: DataFrame) -> DataFrame:
+    schema = pa.schema([("th", pa.int64()), ("words", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [sketch(t).astype(np.int32) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, type=pa.list_(pa.int32()))], schema=schema)
+
+    return texts.select("th", "text").mapInArrow(run, "th long, words array<int>")
+
+
+def _sketch_keys(sketches: DataFrame) -> DataFrame:
     schema = pa.schema([("key", pa.int64()), ("th", pa.int64())])
     ball = np.concatenate([[0], 1 << np.arange(23)]).astype(np.uint32)
 
@@ -224,7 +237,7 @@ def _sketch_keys(classes: DataFrame) -> DataFrame:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 th = part.column(0).to_numpy(zero_copy_only=False)
-                words = np.array([sketch(t) for t in part.column(1).to_pylist()], dtype=np.uint32).reshape(-1, WORDS)
+                words = np.array(part.column(1).to_pylist(), dtype=np.uint32).reshape(-1, WORDS)
                 index = np.sort(golay_index(words[:, :, None] ^ ball), axis=2)
                 new = np.ones(index.shape, dtype=bool)
                 new[:, :, 1:] = index[:, :, 1:] != index[:, :, :-1]
@@ -235,7 +248,7 @@ def _sketch_keys(classes: DataFrame) -> DataFrame:
                     ids.append(th[r])
                 yield batch(schema, [np.concatenate(keys), np.concatenate(ids)])
 
-    return classes.select("th", "text").mapInArrow(run, "key long, th long")
+    return sketches.mapInArrow(run, "key long, th long")
 
 
 def _stars(keys: DataFrame, width: int) -> DataFrame:
@@ -293,8 +306,13 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     width = shuffle_width(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    keys = materialize(_sketch_keys(own).distinct(), "sketch-keys")
-    pairs = materialize(_stars(keys, width), "sketch-pairs")
+    sketches = materialize(_sketches(own).dropDuplicates(["th"]), "sketches")
+    pairs = materialize(_stars(_sketch_keys(sketches), width), "sketch-stars")
+    for side in ("a", "b"):  # far pairs go before any text is looked at
+        words = sketches.select(F.col("th").alias("t"), F.col("words").alias("w" + side))
+        pairs = materialize(pairs.join(words, pairs[side] == words["t"]).drop("t"), "sketch-pairs")
+    differ = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    pairs = materialize(pairs.where(differ <= FAR).select("a", "b"), "sketch-near")
     asked = materialize(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct(), "sketch-asked")
     texts = own.join(asked, own["th"] == asked["t"], "left_semi")
     sets = materialize(_shingle_sets(texts, shingle).dropDuplicates(["th"]), "sketch-sets")
