@@ -29,7 +29,7 @@ from .common import batch, filesystem, materialize, scratch, shuffle_width
 
 HEADER = "<q?BQ"
 FILE_BYTES = 64 << 20
-CACHE = 300_000
+CACHE = 500_000
 
 _MASK = 0xA282EAD8
 
@@ -69,11 +69,22 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        new = {}
+        """Ids of each piece. Pieces of letters alone are encoded as one text, and told apart by the tokens that end a word."""
+        new, words = {}, [p for p in pieces if p.isalpha()]
+        if words and self.ends.any():
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) == len(words) and stops[-1] == len(ids):
+                raw, size = ids.tobytes(), self.kind.itemsize
+                new = {p: raw[a * size : b * size] for p, a, b in zip(words, [0, *stops], stops, strict=False)}
+        pieces = [p for p in pieces if p not in new]
         for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
             new[p] = np.array(e.ids, dtype=self.kind).tobytes()
         return new
@@ -93,11 +104,10 @@ class Encoder:
         known, older = self.known, self.older
         missing: dict[str, tuple[str, str]] = {}
         learn: dict[str, None] = {}
-        for p in {p for pieces in split if pieces for p in pieces}:
-            if p not in known:
-                if p in older:
-                    known[p] = older[p]
-                    continue
+        for p in set().union(*filter(None, split)).difference(known):
+            if p in older:
+                known[p] = older[p]
+            else:
                 marked = p[-1:] in (",", ".", ";", ":", "!", "?") and p[:-1].isalpha()  # letters and one mark are always apart
                 missing[p] = (p[:-1], p[-1]) if marked else (p, "")
         for x in (x for pair in missing.values() for x in pair):
