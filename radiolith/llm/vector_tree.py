@@ -2,12 +2,11 @@
 
 The tree is fitted on a bounded sample; every vector is then assigned to a leaf. A query goes down the tree by a
 priority queue of nodes, nearest centre first, and collects leaves in the order it reaches them. How many it visits
-is calibrated: visits are doubled until sample queries, against brute force over the sample, find ``recall`` of
-their neighbours. With all rows in the leaves neighbours are nearer than in the sample, so the rows
-themselves are found at least as well.
+is calibrated: visits are doubled until rows of the sample that the tree was not fitted on find ``recall`` of
+their neighbours, against brute force over the sample.
 
-Equal vectors are one class with its smallest ids, which is all that a ranking with ties by id can use. A
-leaf's classes are dealt to blocks of bounded size by its count, and queries meet them block by block.
+Equal vectors are one class with its smallest ids, which is all that a ranking with ties by id can use.
+Leaves are packed into blocks of bounded size, a large leaf into several, and queries meet whole blocks.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ SAMPLE = 16_384
 BRANCH = 16
 LEAF = 48
 BLOCK = 4096
-QUERIES = 1024
+QUERIES = 256
 
 
 class Tree:
@@ -112,20 +111,19 @@ def fit(x: np.ndarray, branch: int = BRANCH, leaf: int = LEAF, seed: int = 0) ->
     return Tree(np.array(centres), np.array(first), np.array(count), np.array(leaves))
 
 
-def calibrate(tree: Tree, x: np.ndarray, k: int, recall: float, probes: int = 256, seed: int = 1) -> int:
-    """Least power of two of leaf visits with which sample queries reach ``recall`` against brute force over the sample."""
-    if len(x) < 2:
-        return 1
-    rng = np.random.default_rng(seed)
-    asked = rng.choice(len(x), min(probes, len(x)), replace=False)
+def calibrate(tree: Tree, x: np.ndarray, held: int, k: int, recall: float, probes: int = 256) -> int:
+    """Least power of two of leaf visits with which the last ``held`` rows, that the tree was not fitted on, reach ``recall`` against brute force over the sample."""
+    asked = np.arange(len(x) - min(held, probes), len(x))
+    if len(x) < 2 or not len(asked):
+        return tree.leaves
     d = _squares(x[asked], x)
     d[np.arange(len(asked)), asked] = np.inf
     true = np.argsort(d, axis=1)[:, : min(k, len(x) - 1)]
     leaf = tree.assign(x)
-    orders = [tree.visits(x[i], tree.leaves) for i in asked]
     place = np.empty((len(asked), tree.leaves), dtype=np.int64)
-    for r, o in enumerate(orders):
-        place[r, o] = np.arange(len(o))
+    for r, i in enumerate(asked):
+        order = tree.visits(x[i], tree.leaves)
+        place[r, order] = np.arange(len(order))
     needed = place[np.arange(len(asked))[:, None], leaf[true]]
     n = 1
     while n < tree.leaves and (needed < n).mean() < recall:
@@ -133,6 +131,21 @@ def calibrate(tree: Tree, x: np.ndarray, k: int, recall: float, probes: int = 25
     return min(n, tree.leaves)
 
 
+def pack(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(first block, number of blocks)`` of each leaf: neighbouring small leaves share a block, a large one is dealt to several."""
+    first, number, at, held = np.zeros(len(sizes), dtype=np.int64), np.ones(len(sizes), dtype=np.int64), 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if n > block:
+            at += held > 0
+            first[i], number[i] = at, -(-n // block)
+            at, held = at + int(number[i]), 0
+            continue
+        if held + n > block:
+            at, held = at + 1, 0
+        first[i], held = at, held + n
+    return first, number
+
+
 def _classes(vectors: DataFrame, dim: int, keep: int) -> DataFrame:
     """``(cid, vec, ids)``: distinct vectors, the smallest id of each, and its ``keep`` smallest ids."""
     key = F.xxhash64("vec")
@@ -165,20 +178,25 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, recall: float = 0.9
     classes = materialize(_classes(rows, dim, k + 1), "ann-classes")
     drawn = classes.orderBy(F.xxhash64("cid"), "cid").select("vec").limit(sample).collect()
     x = np.array([r["vec"] for r in drawn], dtype=np.float64).reshape(len(drawn), dim)
-    tree = fit(x)
-    visits = calibrate(tree, x, k, recall)
-    held = spark.sparkContext.broadcast((tree.centres, tree.first, tree.count, tree.leaf, visits))
+    own_rows = max(1, len(x) - len(x) // 4)
+    tree = fit(x[:own_rows])
+    visits = calibrate(tree, x, len(x) - own_rows, k, recall)
+    held = spark.sparkContext.broadcast((tree.centres, tree.first, tree.count, tree.leaf))
 
     def to_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Tree(*held.value[:4])
+        own = Tree(*held.value)
         for b in batches:
             v = np.array(b.column(1).to_pylist(), dtype=np.float64).reshape(b.num_rows, dim)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.assign(v).astype(np.int32)), b.column(1), b.column(2)], names=["cid", "leaf", "vec", "ids"])
 
     placed = materialize(classes.select("cid", "vec", "ids").mapInArrow(to_leaf, "cid long, leaf int, vec array<double>, ids array<long>"), "ann-leaves")
-    counts = F.broadcast(placed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))  # a row a leaf of the tree, so at most as many as the sample has rows
-    part = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block")
-    blocks = placed.join(counts, "leaf").select("leaf", part, "cid", "vec", "ids")
+    sizes = np.zeros(tree.leaves, dtype=np.int64)
+    for r in placed.groupBy("leaf").count().collect():  # a row a leaf, at most as many as the sample has rows
+        sizes[r["leaf"]] = r["count"]
+    first, number = pack(sizes, BLOCK)
+    plan = spark.sparkContext.broadcast((first, number, visits))
+    dealt = F.broadcast(spark.createDataFrame([(i, int(f), int(n)) for i, (f, n) in enumerate(zip(first, number, strict=True))], "leaf int, first long, number long"))
+    blocks = placed.join(dealt, "leaf").select((F.col("first") + F.pmod(F.xxhash64("cid"), F.col("number"))).alias("block"), "cid", "vec", "ids")
     # queries are asked once for each distinct vector
     own = rows.where(F.col("vec_id") % every == 0).withColumn("key", F.xxhash64("vec"))
     named = materialize(classes.select("cid", "vec", F.xxhash64("vec").alias("k")), "ann-named")
@@ -186,22 +204,21 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, recall: float = 0.9
     asked = materialize(own.join(named, (own["key"] == named["k"]) & (own["vec"] == named["vec"])).select("vec_id", "cid", own["vec"]), "ann-asked")
 
     def to_visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, most = Tree(*held.value[:4]), held.value[4]
-        schema = pa.schema([("leaf", pa.int32()), ("cid", pa.int64()), ("vec", pa.list_(pa.float64()))])
+        tree, (first, number, most) = Tree(*held.value), plan.value
+        schema = pa.schema([("block", pa.int64()), ("cid", pa.int64()), ("vec", pa.list_(pa.float64()))])
         for b in batches:
             out: list[list] = [[], [], []]
             for cid, vec in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for leaf in tree.visits(np.array(vec), most):
-                    for col, v in zip(out, (leaf, cid, vec), strict=True):
+                for block in sorted({int(first[x]) + i for x in tree.visits(np.array(vec), most) for i in range(int(number[x]))}):
+                    for col, v in zip(out, (block, cid, vec), strict=True):
                         col.append(v)
             yield batch(schema, out)
 
-    probes = asked.groupBy("cid", "vec").agg(F.count("*").alias("n")).select("cid", "vec").mapInArrow(to_visits, "leaf int, cid long, vec array<double>")
-    probes = probes.join(counts, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cid", "vec")
+    probes = asked.groupBy("cid", "vec").agg(F.count("*").alias("n")).select("cid", "vec").mapInArrow(to_visits, "block long, cid long, vec array<double>")
     schema = pa.schema([("asked", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by leaf and block, its classes first, then its queries."""
+        """Rows come by block, its classes first, then its queries; a query meets all of a block of which it visits a leaf."""
         now, ids, vecs, matrix, waiting = None, [], [], None, []
 
         def answer() -> pa.RecordBatch:
@@ -223,11 +240,11 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, recall: float = 0.9
             return batch(schema, out)
 
         for b in batches:
-            for leaf, block, asks, cid, vec, own_ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (leaf, block) != now:
+            for block, asks, cid, vec, own_ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if block != now:
                     if waiting:
                         yield answer()
-                    now, matrix = (leaf, block), None
+                    now, matrix = block, None
                     ids.clear()
                     vecs.clear()
                 if asks:
@@ -240,8 +257,8 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, recall: float = 0.9
         if waiting:
             yield answer()
 
-    both = blocks.select("leaf", "block", F.lit(False).alias("asks"), "cid", "vec", "ids").union(probes.select("leaf", "block", F.lit(True).alias("asks"), "cid", "vec", F.lit(None).cast("array<long>").alias("ids")))
-    met = both.repartition(shuffle_width(spark), "leaf", "block").sortWithinPartitions("leaf", "block", "asks").mapInArrow(meet, "asked long, ids array<long>, score double")
+    both = blocks.select("block", F.lit(False).alias("asks"), "cid", "vec", "ids").union(probes.select("block", F.lit(True).alias("asks"), "cid", "vec", F.lit(None).cast("array<long>").alias("ids")))
+    met = both.repartition(shuffle_width(spark), "block").sortWithinPartitions("block", "asks").mapInArrow(meet, "asked long, ids array<long>, score double")
     best = Window.partitionBy("asked").orderBy("score", F.element_at("ids", 1))
     met = materialize(met.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k + 1).groupBy("asked").agg(F.collect_list(F.struct("score", "ids")).alias("found")), "ann-found")
     answers = asked.select("vec_id", "cid").join(met, F.col("cid") == F.col("asked"))
