@@ -15,6 +15,7 @@ words mean a distance of 2 or less, and at most 65 distinct fingerprints can mee
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -194,101 +195,139 @@ def simhash_components(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies by similarity: a longer fingerprint, the same keys, and the shingles themselves to verify
+# Near copies by similarity: prefixes of shingle sets, complete, and the sets themselves to verify
 
-WORDS = 8
-#: Tables: the word whose first bits must be equal, and the word that is decoded.
-TABLES = tuple((i, (i + step) % WORDS) for step in (1, 2, 3) for i in range(WORDS))
-EXACT = 16
-#: Most differing bits of the 184 with which a candidate is looked at; texts without more in common than a language differ in about 64.
-FAR = 52
+#: Shingles met in so many texts of the sample come last in the order of shingles; at most ``HOT_MOST`` of them are told apart.
+HOT = 8
+HOT_MOST = 1 << 16
+#: Texts up to which all are the sample; of more, one in ``SAMPLE_STEP``.
+SAMPLE = 1 << 14
+SAMPLE_STEP = 8
+ROUNDING = 1e-9
 
 
-def sketch(text: str) -> np.ndarray:
-    """Eight 23-bit words of a SimHash over the distinct words of a text."""
-    words = set(text.encode().lower().split())
-    raw = b"".join(xxhash.xxh3_128_digest(w) + xxhash.xxh64_digest(w, SEED) for w in words)
-    if not words:
-        return np.zeros(WORDS, dtype=np.uint32)
-    bits = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 24)
-    ones = np.zeros(192, dtype=np.int64)
-    for at in range(0, len(bits), 1 << 14):
-        ones += np.unpackbits(bits[at : at + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
-    return ((2 * ones > len(bits))[: 23 * WORDS].reshape(WORDS, 23) @ (1 << np.arange(23))).astype(np.uint32)
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """Hashes of the distinct word shingles of a text, in order; a text of fewer words is one shingle."""
+    words = text.encode().lower().split()
+    hashes = {xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))}
+    return np.sort(np.fromiter(hashes, dtype=np.uint64, count=len(hashes)).view(np.int64))
+
+
+def _once(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``(th, shingle set)`` of each text of a task; equal texts once."""
+    seen: set[int] = set()
+    for b in batches:
+        for th, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if th not in seen:
+                seen.add(th)
+                yield th, shingle_set(text.as_py(), shingle)
 
 
-def _sketches(texts: DataFrame) -> DataFrame:
-    schema = pa.schema([("th", pa.int64()), ("words", pa.list_(pa.int32()))])
+def _hot_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles in order and how often each was met in a sample. They set an order only: any of them may be missing."""
+    schema = pa.schema([("gram", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = [sketch(t).astype(np.int32) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, type=pa.list_(pa.int32()))], schema=schema)
+        for _, grams in _once(batches, shingle):
+            yield batch(schema, [grams])
 
-    return texts.select("th", "text").mapInArrow(run, "th long, words array<int>")
+    if texts.count() > SAMPLE:
+        texts = texts.where(F.pmod("th", F.lit(SAMPLE_STEP)) == 0)
+    met = texts.select("th", "text").mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where(f"n >= {HOT}")
+    rows = sorted((r["gram"], r["n"]) for r in met.orderBy(F.desc("n"), "gram").limit(HOT_MOST).collect())
+    return np.array([g for g, _ in rows], dtype=np.int64), np.array([n for _, n in rows], dtype=np.int64)
 
 
-def _sketch_keys(sketches: DataFrame) -> DataFrame:
-    schema = pa.schema([("key", pa.int64()), ("th", pa.int64())])
-    ball = np.concatenate([[0], 1 << np.arange(23)]).astype(np.uint32)
+def _prefixes(texts: DataFrame, shingle: int, similarity: float, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``(key, th, n, at)``: the first shingles of each text in one order of all shingles, as many as two like texts cannot both have without one in common.
+
+    A text of ``n`` shingles shares ``similarity * n`` or more with a like one, so all but that many and one more are its prefix.
+    Uncommon shingles come first, by hash, then the common ones by frequency.
+    """
+    schema = pa.schema([("key", pa.int64()), ("th", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
+    common, times = hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                th = part.column(0).to_numpy(zero_copy_only=False)
-                words = np.array(part.column(1).to_pylist(), dtype=np.uint32).reshape(-1, WORDS)
-                index = np.sort(golay_index(words[:, :, None] ^ ball), axis=2)
-                new = np.ones(index.shape, dtype=bool)
-                new[:, :, 1:] = index[:, :, 1:] != index[:, :, :-1]
-                keys, ids = [], []
-                for n, (i, j) in enumerate(TABLES):
-                    r, c = np.nonzero(new[:, j])
-                    keys.append(np.int64(n) << 40 | (words[r, i].astype(np.int64) & ((1 << EXACT) - 1)) << 12 | index[r, j, c].astype(np.int64))
-                    ids.append(th[r])
-                yield batch(schema, [np.concatenate(keys), np.concatenate(ids)])
-
-    return sketches.mapInArrow(run, "key long, th long")
-
-
-def _stars(keys: DataFrame, width: int) -> DataFrame:
-    """Candidates from rows in the order of keys: each against the first and the one before it under the same key, however many there are."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        out, size = [], 0
+        for th, grams in _once(batches, shingle):
+            n = len(grams)
+            if len(common):
+                place = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+                grams = grams[np.lexsort((grams, np.where(common[place] == grams, times[place], 0)))]
+            most = n - max(1, math.ceil(similarity * n - ROUNDING)) + 1
+            out.append((grams[:most], np.full(most, th, dtype=np.int64), np.full(most, n, dtype=np.int32), np.arange(most, dtype=np.int32)))
+            size += most
+            if size >= 1 << 16:
+                yield batch(schema, [np.concatenate(c) for c in zip(*out, strict=True)])
+                out, size = [], 0
+        if out:
+            yield batch(schema, [np.concatenate(c) for c in zip(*out, strict=True)])
+
+    return texts.select("th", "text").mapInArrow(run, "key long, th long, n int, at int")
+
+
+def _shared(keys: DataFrame, width: int) -> DataFrame:
+    """The rows whose key another text has too, each text once a key, with the first and the previous text of the key."""
+    names = ["key", "th", "n", "at", "first", "first_n", "first_at", "before", "before_n", "before_at"]
+    schema = pa.schema([(c, pa.int64() if c in ("key", "th", "first", "before") else pa.int32()) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, first, last = None, 0, 0
+        lead = last = held = None  # the first row of the key, the row before, a first row that nothing has followed yet
         for b in batches:
-            if not b.num_rows:
-                continue
-            key, th = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            new = np.concatenate([[key[0] != now], key[1:] != key[:-1]])
-            start = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            lead = np.where(start >= 0, th[np.maximum(start, 0)], first)
-            before = np.concatenate([[last], th[:-1]])
-            old = ~new
-            a, c = np.concatenate([lead[old], before[old]]), np.concatenate([th[old], th[old]])
-            pairs = np.unique(np.stack([np.minimum(a, c), np.maximum(a, c)], axis=1)[a != c], axis=0) if old.any() else np.empty((0, 2), dtype=np.int64)
-            yield batch(schema, [pairs[:, 0], pairs[:, 1]])
-            now, first, last = key[-1], lead[-1], th[-1]
-
-    return keys.repartition(width, "key").sortWithinPartitions("key", "th").mapInArrow(run, "a long, b long").distinct()
+            if b.num_rows > 2:  # keys held once within the batch go at once
+                key = b.column(0).to_numpy(zero_copy_only=False)
+                same = key[1:] == key[:-1]
+                keep = np.concatenate([[True], same]) | np.concatenate([same, [True]])
+                b = b.filter(pa.array(keep))
+            rows = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if lead is None or row[0] != lead[0]:
+                    lead = last = held = row
+                elif row[1] != last[1]:
+                    if held:
+                        rows.append(held + held[1:] + held[1:])
+                        held = None
+                    rows.append(row + lead[1:] + last[1:])
+                    last = row
+            if rows:
+                yield batch(schema, list(zip(*rows, strict=True)))
+
+    text = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'int'}" for f in schema)
+    return keys.repartition(width, "key").sortWithinPartitions("key", "n", "th").mapInArrow(run, text)
+
+
+def _can_be_like(x: tuple[str, str], y: tuple[str, str], similarity: float):
+    """Whether sizes and places ``(n, at)`` of a first common shingle leave room for ``similarity``: later shingles are all that can be common."""
+    (n, at), (m, to) = [tuple(map(F.col, side)) for side in (x, y)]
+    return F.least(n - at, m - to) >= F.lit(similarity / (1 + similarity)) * (n + m) - ROUNDING * 1000
+
+
+def _alike(pairs: DataFrame, own: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose shingle sets are alike."""
+    pairs = materialize(pairs.distinct(), "near-pairs")
+    asked = materialize(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct(), "near-asked")
+    texts = own.join(asked, own["th"] == asked["t"], "left_semi")
+    sets = materialize(_shingle_sets(texts, shingle).dropDuplicates(["th"]), "near-sets")
+    left = sets.select(F.col("th").alias("ta"), F.col("grams").alias("ga"))
+    half = materialize(pairs.join(left, pairs["a"] == left["ta"]).select("a", "b", "ga"), "near-half")
+    right = sets.select(F.col("th").alias("tb"), F.col("grams").alias("gb"))
+    met = half.join(right, half["b"] == right["tb"])
+    both = F.size(F.array_intersect("ga", "gb"))
+    return materialize(met.where(both >= F.lit(similarity) * (F.size("ga") + F.size("gb") - both)).select("a", "b"), "near-links")
 
 
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     schema = pa.schema([("th", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
-        for b in batches:
-            out: list[list] = [[], []]
-            for th, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                w = text.encode().lower().split()
-                hashes = {digest(b" ".join(w[i : i + shingle]), SEED) for i in range(max(1, len(w) - shingle + 1))}
-                out[0].append(th)
-                out[1].append(np.fromiter(hashes, dtype=np.uint64, count=len(hashes)).view(np.int64).tolist())
-                if len(out[0]) == 256:
-                    yield batch(schema, out)
-                    out = [[], []]
+        out: list[list] = [[], []]
+        for th, grams in _once(batches, shingle):
+            out[0].append(th)
+            out[1].append(grams)
+            if len(out[0]) == 256:
+                yield batch(schema, out)
+                out = [[], []]
+        if out[0]:
             yield batch(schema, out)
 
     return texts.select("th", "text").mapInArrow(run, "th long, grams array<long>")
@@ -297,8 +336,10 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
 def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(th, root)``: the class of each distinct text that is like another, ``th`` being the XXH64 of the text by Spark.
 
-    Texts are like if the sets of their word shingles (A-Z in lower case) have a Jaccard similarity of ``similarity`` or more;
-    the candidates for that come from Golay keys of a 184-bit SimHash over words, and are verified exactly. Equal texts are one
+    Texts are like if the sets of their word shingles (A-Z in lower case) have a Jaccard similarity of ``similarity`` or more.
+    Any two like texts have a shingle of their prefixes in common. Under each such shingle every text meets the first and the
+    one before it; what is verified is linked, and then every text meets all those under its shingles that are not
+    linked to it yet. So the classes are those of all pairs, and a large group of copies needs few of them. Equal texts are one
     row from the start. Null and wordless texts are like nothing else. Other columns are not read. Without like texts the result is empty.
     """
     from .common import shuffle_width
@@ -306,21 +347,20 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     width = shuffle_width(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    sketches = materialize(_sketches(own).dropDuplicates(["th"]), "sketches")
-    pairs = materialize(_stars(_sketch_keys(sketches), width), "sketch-stars")
-    for side in ("a", "b"):  # far pairs go before any text is looked at
-        words = sketches.select(F.col("th").alias("t"), F.col("words").alias("w" + side))
-        pairs = materialize(pairs.join(words, pairs[side] == words["t"]).drop("t"), "sketch-pairs")
-    differ = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    pairs = materialize(pairs.where(differ <= FAR).select("a", "b"), "sketch-near")
-    asked = materialize(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct(), "sketch-asked")
-    texts = own.join(asked, own["th"] == asked["t"], "left_semi")
-    sets = materialize(_shingle_sets(texts, shingle).dropDuplicates(["th"]), "sketch-sets")
-    left = sets.select(F.col("th").alias("ta"), F.col("grams").alias("ga"))
-    half = materialize(pairs.join(left, pairs["a"] == left["ta"]).select("a", "b", "ga"), "sketch-half")
-    right = sets.select(F.col("th").alias("tb"), F.col("grams").alias("gb"))
-    met = half.join(right, half["b"] == right["tb"])
-    both = F.size(F.array_intersect("ga", "gb"))
-    alike = met.where(both >= F.lit(similarity) * (F.size("ga") + F.size("gb") - both)).select("a", "b")
-    member = connected_components(materialize(alike, "sketch-links"), "a", "b")
+    shared = materialize(_shared(_prefixes(own, shingle, similarity, _hot_shingles(own, shingle)), width), "near-shared")
+    pairs = None
+    for to in ("first", "before"):
+        some = shared.where(F.col("th") != F.col(to)).where(_can_be_like(("n", "at"), (to + "_n", to + "_at"), similarity))
+        some = some.select(F.least("th", to).alias("a"), F.greatest("th", to).alias("b"))
+        pairs = some if pairs is None else pairs.union(some)
+    links = _alike(pairs, own, shingle, similarity)
+    member = materialize(connected_components(links, "a", "b"), "near-members")
+    rows = shared.select("key", "th", "n", "at").join(member, shared["th"] == member["node"], "left")
+    rows = materialize(rows.select("key", "th", "n", "at", F.coalesce("root", "th").alias("root")), "near-rooted")
+    open_ = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
+    rows = materialize(rows.join(materialize(open_, "near-open"), F.col("key") == F.col("k"), "left_semi"), "near-rest")
+    one, two = (rows.select(*[F.col(c).alias(f"{c}_{side}") for c in rows.columns]) for side in "xy")
+    met = one.join(two, (F.col("key_x") == F.col("key_y")) & (F.col("th_x") < F.col("th_y")) & (F.col("root_x") != F.col("root_y")) & _can_be_like(("n_x", "at_x"), ("n_y", "at_y"), similarity))
+    more = _alike(met.select(F.col("th_x").alias("a"), F.col("th_y").alias("b")), own, shingle, similarity)
+    member = connected_components(materialize(links.union(more), "near-all-links"), "a", "b")
     return member.select(F.col("node").alias("th"), "root")

@@ -459,6 +459,34 @@ def test_near_copies_with_odd_rows(spark, docs, nothing):
     assert P.drop_near_copies(spark, nothing.select(*P.COLUMNS), DATA).count() == 0
 
 
+def classes(texts, found):
+    hashes = {r.th: r.text for r in texts.select("text", F.xxhash64("text").alias("th")).collect()}
+    out = {}
+    for r in found.collect():
+        out.setdefault(r.root, set()).add(hashes[r.th])
+    return sorted(map(sorted, out.values()))
+
+
+def test_near_copies_that_share_all_words(spark):
+    rnd, groups = random.Random(5), []
+    for _ in range(8):  # the same words in other orders: every bit of a SimHash over words is the same
+        words = [f"w{i}" for i in range(80)]
+        rnd.shuffle(words)
+        groups.append(sorted(" ".join(words + words[:k]) for k in range(0, 12, 2)))
+    texts = spark.createDataFrame([(t,) for g in groups for t in g], "text string")
+    assert classes(texts, simhash_dedup.similar_components(texts)) == sorted(groups)
+
+
+def test_near_copies_just_alike_enough(spark):
+    rnd, groups = random.Random(6), []
+    for _ in range(60):
+        words = [f"v{rnd.randrange(5000)}" for _ in range(248)]
+        groups.append(sorted([" ".join(words[:200]), " ".join(words)]))  # 196 of 244 shingles
+    far = [f"v{rnd.randrange(5000)}" for _ in range(250)]
+    texts = spark.createDataFrame([(t,) for g in groups for t in g] + [(" ".join(far),), (" ".join(far[:200]),)], "text string")
+    assert classes(texts, simhash_dedup.similar_components(texts)) == sorted(groups)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
