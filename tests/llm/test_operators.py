@@ -487,6 +487,21 @@ def test_near_copies_just_alike_enough(spark):
     assert classes(texts, simhash_dedup.similar_components(texts)) == sorted(groups)
 
 
+def test_benchmark_and_mix_with_null_and_repeated_ids(spark):
+    import corpus_pipeline as P
+
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").where("text is not null").first().text
+    bad = prose(70, 20) + " " + item + " " + prose(71, 20)
+    rows = [(None, bad, "a"), (1, bad, "a"), (1, prose(72, 90), "a"), (None, prose(73, 50), "a"), (None, prose(74, 60), None), (2, prose(75, 70), "a"), (2, prose(76, 40), "a"), (3, prose(77, 30), "b"), (3, prose(77, 30), "b")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    clean = P.drop_benchmark(spark, docs, DATA)
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter((i, t) for i, t, _ in rows if t != bad)
+    pieces = mixing.mix(clean).where("length is not null").groupBy("uid", "doc_id", "source", "pass_no").agg(F.sum("length").alias("n")).collect()
+    mixed = P.mix_sources(spark, clean, DATA).collect()
+    assert Counter((r.doc_id, r.source, len(r.text.split())) for r in mixed) == Counter((p.doc_id, p.source, p.n) for p in pieces)
+    assert all(any(t.split()[: len(r.text.split())] == r.text.split() for i, t, s in rows if (i, s) == (r.doc_id, r.source)) for r in mixed)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
