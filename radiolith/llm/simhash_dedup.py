@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, materialize
@@ -203,6 +203,8 @@ HOT_MOST = 1 << 16
 #: Texts up to which all are the sample; of more, one in ``SAMPLE_STEP``.
 SAMPLE = 1 << 14
 SAMPLE_STEP = 8
+#: Two like texts of ``n`` shingles or more have one and one for each ``SPARE`` of these in common in their prefixes.
+SPARE = 16
 ROUNDING = 1e-9
 
 
@@ -239,9 +241,10 @@ def _hot_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _prefixes(texts: DataFrame, shingle: int, similarity: float, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``(key, th, n, at)``: the first shingles of each text in one order of all shingles, as many as two like texts cannot both have without one in common.
+    """``(key, th, n, at)``: the first shingles of each text in one order of all shingles.
 
-    A text of ``n`` shingles shares ``similarity * n`` or more with a like one, so all but that many and one more are its prefix.
+    A text of ``n`` shingles shares ``similarity * n`` or more with a like one. So all but that many and ``k`` more, its prefix,
+    hold the first ``k`` shingles in common, for ``k`` of 1 and one for each ``SPARE`` shingles (or all in common, if fewer).
     Uncommon shingles come first, by hash, then the common ones by frequency.
     """
     schema = pa.schema([("key", pa.int64()), ("th", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
@@ -254,7 +257,7 @@ def _prefixes(texts: DataFrame, shingle: int, similarity: float, hot: tuple[np.n
             if len(common):
                 place = np.minimum(np.searchsorted(common, grams), len(common) - 1)
                 grams = grams[np.lexsort((grams, np.where(common[place] == grams, times[place], 0)))]
-            most = n - max(1, math.ceil(similarity * n - ROUNDING)) + 1
+            most = min(n, n - max(1, math.ceil(similarity * n - ROUNDING)) + 1 + n // SPARE)
             out.append((grams[:most], np.full(most, th, dtype=np.int64), np.full(most, n, dtype=np.int32), np.arange(most, dtype=np.int32)))
             size += most
             if size >= 1 << 16:
@@ -268,8 +271,7 @@ def _prefixes(texts: DataFrame, shingle: int, similarity: float, hot: tuple[np.n
 
 def _shared(keys: DataFrame, width: int) -> DataFrame:
     """The rows whose key another text has too, each text once a key, with the first and the previous text of the key."""
-    names = ["key", "th", "n", "at", "first", "first_n", "first_at", "before", "before_n", "before_at"]
-    schema = pa.schema([(c, pa.int64() if c in ("key", "th", "first", "before") else pa.int32()) for c in names])
+    schema = pa.schema([(c, pa.int32() if c in ("n", "at") else pa.int64()) for c in ("key", "th", "n", "at", "first", "before")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = last = held = None  # the first row of the key, the row before, a first row that nothing has followed yet
@@ -285,9 +287,9 @@ def _shared(keys: DataFrame, width: int) -> DataFrame:
                     lead = last = held = row
                 elif row[1] != last[1]:
                     if held:
-                        rows.append(held + held[1:] + held[1:])
+                        rows.append(held + (held[1], held[1]))
                         held = None
-                    rows.append(row + lead[1:] + last[1:])
+                    rows.append(row + (lead[1], last[1]))
                     last = row
             if rows:
                 yield batch(schema, list(zip(*rows, strict=True)))
@@ -296,15 +298,27 @@ def _shared(keys: DataFrame, width: int) -> DataFrame:
     return keys.repartition(width, "key").sortWithinPartitions("key", "n", "th").mapInArrow(run, text)
 
 
-def _can_be_like(x: tuple[str, str], y: tuple[str, str], similarity: float):
-    """Whether sizes and places ``(n, at)`` of a first common shingle leave room for ``similarity``: later shingles are all that can be common."""
-    (n, at), (m, to) = [tuple(map(F.col, side)) for side in (x, y)]
-    return F.least(n - at, m - to) >= F.lit(similarity / (1 + similarity)) * (n + m) - ROUNDING * 1000
+def _spare(n: Column) -> Column:
+    return F.floor(n / SPARE)
+
+
+def _meet(one: DataFrame, two: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` of different roots that have as many shingles in common in their prefixes as like texts do.
+
+    Of the shingles in common the first ones count, after which enough are left for ``similarity``.
+    """
+    (n, at), (m, to) = [(F.col(f"n_{side}"), F.col(f"at_{side}")) for side in "xy"]
+    spare = _spare(F.least(n, m))
+    room = F.least(n - at, m - to) + spare >= F.lit(similarity / (1 + similarity)) * (n + m) - 1e-6
+    met = one.join(two, (F.col("key_x") == F.col("key_y")) & (F.col("th_x") < F.col("th_y")) & (F.col("root_x") != F.col("root_y")) & room)
+    most = F.greatest(F.ceil(F.lit(similarity) * F.greatest(n, m) - ROUNDING), F.lit(1))
+    need = F.least(1 + spare, most)
+    return met.groupBy(F.col("th_x").alias("a"), F.col("th_y").alias("b")).agg(F.count("*").alias("met"), F.max(need).alias("need")).where("met >= need").select("a", "b")
 
 
 def _alike(pairs: DataFrame, own: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs ``(a, b)`` whose shingle sets are alike."""
-    pairs = materialize(pairs.distinct(), "near-pairs")
+    pairs = materialize(pairs, "near-pairs")
     asked = materialize(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct(), "near-asked")
     texts = own.join(asked, own["th"] == asked["t"], "left_semi")
     sets = materialize(_shingle_sets(texts, shingle).dropDuplicates(["th"]), "near-sets")
@@ -337,8 +351,8 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     """``(th, root)``: the class of each distinct text that is like another, ``th`` being the XXH64 of the text by Spark.
 
     Texts are like if the sets of their word shingles (A-Z in lower case) have a Jaccard similarity of ``similarity`` or more.
-    Any two like texts have a shingle of their prefixes in common. Under each such shingle every text meets the first and the
-    one before it; what is verified is linked, and then every text meets all those under its shingles that are not
+    Any two like texts have shingles of their prefixes in common. Under each such shingle every text meets the first and the
+    one before it; pairs that meet often enough are verified. What is alike is linked, and then every text meets all those under its shingles that are not
     linked to it yet. So the classes are those of all pairs, and a large group of copies needs few of them. Equal texts are one
     row from the start. Null and wordless texts are like nothing else. Other columns are not read. Without like texts the result is empty.
     """
@@ -348,11 +362,9 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     shared = materialize(_shared(_prefixes(own, shingle, similarity, _hot_shingles(own, shingle)), width), "near-shared")
-    pairs = None
-    for to in ("first", "before"):
-        some = shared.where(F.col("th") != F.col(to)).where(_can_be_like(("n", "at"), (to + "_n", to + "_at"), similarity))
-        some = some.select(F.least("th", to).alias("a"), F.greatest("th", to).alias("b"))
-        pairs = some if pairs is None else pairs.union(some)
+    stars = shared.select("th", "n", F.explode(F.array_distinct(F.array("first", "before"))).alias("to")).where("th <> to")
+    stars = stars.groupBy(F.least("th", "to").alias("a"), F.greatest("th", "to").alias("b")).agg(F.count("*").alias("met"), F.max("n").alias("n"))
+    pairs = stars.where(F.col("met") >= 1 + _spare(F.col("n") / 2)).select("a", "b")
     links = _alike(pairs, own, shingle, similarity)
     member = materialize(connected_components(links, "a", "b"), "near-members")
     rows = shared.select("key", "th", "n", "at").join(member, shared["th"] == member["node"], "left")
@@ -360,7 +372,6 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     open_ = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
     rows = materialize(rows.join(materialize(open_, "near-open"), F.col("key") == F.col("k"), "left_semi"), "near-rest")
     one, two = (rows.select(*[F.col(c).alias(f"{c}_{side}") for c in rows.columns]) for side in "xy")
-    met = one.join(two, (F.col("key_x") == F.col("key_y")) & (F.col("th_x") < F.col("th_y")) & (F.col("root_x") != F.col("root_y")) & _can_be_like(("n_x", "at_x"), ("n_y", "at_y"), similarity))
-    more = _alike(met.select(F.col("th_x").alias("a"), F.col("th_y").alias("b")), own, shingle, similarity)
+    more = _alike(_meet(one, two, similarity), own, shingle, similarity)
     member = connected_components(materialize(links.union(more), "near-all-links"), "a", "b")
     return member.select(F.col("node").alias("th"), "root")
