@@ -10,7 +10,6 @@ longer one is scanned in overlapping pieces of that size while it unfolds.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import re
@@ -35,6 +34,11 @@ _URL = re.compile(r"[A-Za-z0-9_.~+/=:\"'%-]+")  # a maximal run: one pass, howev
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_LINES = re.compile(r"[A-Za-z0-9+/_-]+(?:(?:\r?\n[ \t]*|\\r\\n|\\n)[A-Za-z0-9+/_-]+)+={0,2}")  # a run over line breaks, or escapes for these
+_PART = re.compile(r"(?<![A-Za-z0-9+/_\\-])[A-Za-z0-9+/_-]+|(?<=\\n)[A-Za-z0-9+/_-]+")
+_STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")
+_PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd")
+WRAP = 48
 _HINT = re.compile(r"pass|secret|token|api", re.IGNORECASE)
 
 
@@ -118,11 +122,22 @@ def _joined(layer: Layer, start: int, pieces: list[tuple[int, int, str, bool]])
     for a, b, s, same in pieces:
         if not s:
             continue
+        if same:  # as fine as the layer itself
+            for i in range(bisect_right(layer.at, a) - 1, bisect_right(layer.at, b - 1)):
+                u, v = max(a, layer.at[i]), min(b, layer.at[i + 1]) if i + 1 < len(layer.at) else b
+                x, y = layer.span(u, v)
+                at.append(size + u - a)
+                lo.append(x)
+                hi.append(y)
+                plain.append(layer.plain[i])
+            texts.append(s)
+            size += len(s)
+            continue
         x, y = layer.span(a, b)
         at.append(size)
         lo.append(x)
         hi.append(y)
-        plain.append(same and y - x == len(s))
+        plain.append(False)
         texts.append(s)
         size += len(s)
     return Layer("".join(texts), at, lo, hi, plain)
@@ -189,26 +204,60 @@ def _escapes(layer: Layer) -> Iterator[Layer]:
         at = to + 1
 
 
+def _decoded(layer: Layer, at: list[int] | range, end: int) -> tuple[bool, list[tuple[int, Layer]]]:
+    """What the base64 digits at the places ``at`` of a layer decode to, each with its first place; whether it is all of them.
+
+    If they are not one text or one compressed stream from the first digit, all four alignments are tried: stretches of
+    text, and compressed data from wherever it can begin; other bytes before or after do not matter.
+    """
+    s = layer.text
+    body = (s[at[0] : at[-1] + 1] if isinstance(at, range) else "".join([s[i] for i in at])).replace("-", "+").replace("_", "/")
+
+    def text_at(text: str, skip: int, first: int) -> tuple[int, Layer]:  # character i comes from two of the digits
+        ends = []
+        for i in range(first, first + len(text)):
+            lo, hi = skip + i * 4 // 3, skip + -(-(i + 1) * 4 // 3) - 1
+            ends.append(layer.span(at[lo], at[hi] + 1))
+        return at[skip + first * 4 // 3], Layer(text, list(range(len(text))), [x for x, _ in ends], [y for _, y in ends], [False] * len(text))
+
+    out: list[tuple[int, Layer]] = []
+    for skip in range(4):
+        own = body[skip:]
+        own = own[: len(own) - (len(own) % 4 == 1)]
+        if not own:
+            break
+        raw = binascii.a2b_base64(own + "=" * (-len(own) % 4))
+        if not skip and len(own) == len(body):
+            if (text := _readable(raw)) is not None:
+                return True, [text_at(text, 0, 0) if text.isascii() else (at[0], _whole(layer, at[0], end, text))]
+            if pieces := [(at[0], _whole(layer, at[0], end, p.decode(errors="replace"))) for p in _unfold(raw)]:
+                return True, pieces
+        out += [text_at(m.group().decode(), skip, m.start()) for m in _STRETCH.finditer(raw)]
+        for m in _PACKED.finditer(raw):
+            first = at[skip + m.start() * 4 // 3]
+            out += [(first, _whole(layer, first, end, p.decode(errors="replace"))) for p in _unfold(raw[m.start() :])]
+    return False, out
+
+
 def _base64(layer: Layer) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        run = m.group()
-        body = run.rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except binascii.Error:
+    s, done = layer.text, []
+    for m in _LINES.finditer(s):
+        parts = [x.span() for x in _PART.finditer(s, m.start(), m.end())]
+        at = [i for a, b in parts for i in range(a, b)]
+        if len(at) < 16 or len(parts) < 2:
             continue
-        if (text := _readable(raw)) is not None:
-            if text.isascii():  # character i comes from two of the run's characters
-                lo, _ = layer.span(m.start(), m.start() + 1)
-                ends = [layer.span(m.start() + i * 4 // 3, m.start() + -(-(i + 1) * 4 // 3)) for i in range(len(text))]
-                yield Layer(text, list(range(len(text))), [x for x, _ in ends], [y for _, y in ends], [False] * len(text))
-            else:
-                yield _whole(layer, m.start(), m.end(), text)
+        _, found = _decoded(layer, at, m.end())
+        yield from (x for _, x in found)
+        sizes = [b - a for a, b in parts]
+        if found and sizes[-2] >= WRAP and len(set(sizes[1:-1])) <= 1 and sizes[-1] <= sizes[-2]:  # lines of one value, not a value a line
+            done.append((min(i for i, _ in found), m.end()))
+    i = 0
+    for m in _BASE64.finditer(s):
+        while i < len(done) and done[i][1] < m.end():
+            i += 1
+        if i < len(done) and done[i][0] <= m.start():
             continue
-        for piece in _unfold(raw):
-            yield _whole(layer, m.start(), m.end(), piece.decode(errors="replace"))
+        yield from (x for _, x in _decoded(layer, range(m.start(), m.start() + len(m.group().rstrip("="))), m.end())[1])
 
 
 def _inner_runs(layer: Layer) -> Iterator[Layer]:

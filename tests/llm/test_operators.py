@@ -343,6 +343,33 @@ def test_secrets(docs, nothing, spark):
 # 9
 
 
+SECRET = "password=Zx81kQmPq77wLtRr9"
+
+
+def finds_of(text):
+    return {(k, a, b) for a, k, b in secret_scan.scan(text)[1]} - {(k, a, b) for a, k, b in secret_scan.scan(text)[0]}
+
+
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress])
+def test_secrets_in_wrapped_base64(width, pack):
+    value = base64.b64encode(pack((prose(90, 60) + " " + SECRET + " " + prose(91, 60)).encode())).decode()
+    lines = "\n".join(value[i : i + width] for i in range(0, len(value), width))
+    text = "see this\n" + lines + "\nthe end"
+    assert any(k == 0 for k, _, _ in finds_of(text))
+    assert any(k == 0 for k, _, _ in finds_of("it is: " + lines))
+    one = base64.b64encode((prose(90, 7) + " " + SECRET).encode()).decode()
+    assert {k for k, _, _ in finds_of("\n".join(one[i : i + 64] for i in range(0, len(one), 64)))} == {0}
+
+
+@pytest.mark.parametrize("before", ["https://x/cb/", "blob_", "a-", "ab-", "x", ""])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress])
+def test_secrets_in_base64_within_longer_runs(before, pack):
+    value = base64.urlsafe_b64encode(pack((SECRET + " and so on").encode())).decode().rstrip("=")
+    for after in ("", "/x", "Q"):
+        assert any(k == 0 for k, _, _ in finds_of(f"at {before}{value}{after} end")), (before, after)
+
+
 def repeats_by_hand(texts, w):
     raws = [(t or "").encode() for t in texts]
     seen = Counter(r[i : i + w] for r in raws for i in range(len(r) - w + 1))
