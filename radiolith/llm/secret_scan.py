@@ -175,33 +175,20 @@ def _url(layer: Layer) -> Iterator[Layer]:
 
 
 def _escapes(layer: Layer) -> Iterator[Layer]:
+    """The whole layer without its escapes: what they are part of may begin and end far from them."""
     s = layer.text
     if "\\" not in s and "&#" not in s:
         return
-    found = list(_ESCAPE.finditer(s))
-    at = 0
-    while at < len(found):  # escapes within 64 characters of each other, with what surrounds them, are one layer
-        to = at
-        while to + 1 < len(found) and found[to + 1].start() - found[to].end() <= 64:
-            to += 1
-        lo, hi = max(0, found[at].start() - 64), min(len(s), found[to].end() + 64)
-        if at:
-            lo = max(lo, found[at - 1].end())
-        if to + 1 < len(found):
-            hi = min(hi, found[to + 1].start())
-        pieces, i = [], lo
-        for m in found[at : to + 1]:
-            pieces.append((i, m.start(), s[i : m.start()], True))
-            digits = m.group().strip("\\&#;{}uUxX").strip("{}")
-            code = int(digits, 10 if m.group().startswith("&#") and m.group()[2] not in "xX" else 16)
-            same = code > 0x10FFFF or 0xD800 <= code < 0xE000
-            pieces.append((m.start(), m.end(), m.group() if same else chr(code), same))
-            i = m.end()
-        pieces.append((i, hi, s[i:hi], True))
-        new = _joined(layer, lo, pieces)
-        if new.text != s[lo:hi]:
-            yield new
-        at = to + 1
+    pieces, i = [], 0
+    for m in _ESCAPE.finditer(s):
+        digits = m.group().strip("\\&#;{}uUxX").strip("{}")
+        code = int(digits, 10 if m.group().startswith("&#") and m.group()[2] not in "xX" else 16)
+        if code > 0x10FFFF or 0xD800 <= code < 0xE000:
+            continue
+        pieces += [(i, m.start(), s[i : m.start()], True), (m.start(), m.end(), chr(code), False)]
+        i = m.end()
+    if pieces:
+        yield _joined(layer, 0, [*pieces, (i, len(s), s[i:], True)])
 
 
 def _decoded(layer: Layer, at: list[int] | range, end: int) -> tuple[bool, list[tuple[int, Layer]]]:

@@ -370,6 +370,16 @@ def test_secrets_in_base64_within_longer_runs(before, pack):
         assert any(k == 0 for k, _, _ in finds_of(f"at {before}{value}{after} end")), (before, after)
 
 
+def test_secrets_behind_far_escapes():
+    value = base64.b64encode(gzip.compress((prose(92, 80) + SECRET).encode())).decode() + base64.b64encode(bytes(range(200, 256)) * 9).decode()
+    value = value.replace("+", "\\u002B", 1)
+    cut = value.index("\\u002B") if "\\u002B" in value else 0
+    text = 'x \\u0041 {"v": "' + value + '"}'
+    assert cut and any(k == 0 for k, _, _ in finds_of(text))
+    far = "token=" + "aB3" * 40 + "\\u002B" + "cD4" * 40 + "\\u002B" + "z9"
+    assert (0, 0, len(far)) in finds_of(far)
+
+
 def repeats_by_hand(texts, w):
     raws = [(t or "").encode() for t in texts]
     seen = Counter(r[i : i + w] for r in raws for i in range(len(r) - w + 1))
