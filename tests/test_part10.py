@@ -195,3 +195,20 @@ def test_stream(spark, tmp_path):
     q = stream_elements(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("streamed").trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert spark.sql("select tag from streamed").first()["tag"] == "00100010"
+
+
+def test_deidentify_by_the_whole_table(spark):
+    from radiolith.operators import deident, dictionary
+
+    tags = {"00321032": "PN", "00400006": "PN", "00380500": "LO", "00400241": "AE", "00180015": "CS"}
+    rows = [("o", t, i, t, vr, b"PRIVATE1", None) for i, (t, vr) in enumerate(tags.items())]
+    e = spark.createDataFrame(rows, "object_id string, path string, ord int, tag string, vr string, raw binary, item_count int")
+    out, audit = deident.deidentify(e)
+    assert {r.tag for r in out.collect() if r.raw and r.ord < len(tags)} - {"00120062", "00120063"} == {"00180015"}
+    assert {r.tag for r in audit.collect()} == set(tags) - {"00180015"}
+    content = spark.createDataFrame([("o", "0040A730", 0, "0040A730", "SQ", None, 1)], e.schema)
+    counts = lambda out: {r.item_count for r in out.where("tag = '0040A730'").collect()}
+    assert counts(deident.deidentify(content)[0]) == {1}
+    assert counts(deident.deidentify(content, actions=dictionary.actions(spark, content=True))[0]) == {0}
+    assert len(dictionary.action_rows()) == len({t for t, _, _ in dictionary.action_rows()}) == 652
+    assert dictionary.uids(spark).count() == dictionary.uids(spark).select("uid").distinct().count() == 494
