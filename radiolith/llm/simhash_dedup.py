@@ -206,6 +206,8 @@ SAMPLE_STEP = 8
 #: Two like texts of ``n`` shingles or more have one and one for each ``SPARE`` of these in common in their prefixes.
 SPARE = 16
 ROUNDING = 1e-9
+#: Most ids of texts to verify that are sent to every executor.
+SENT = 1 << 21
 
 
 def shingle_set(text: str, shingle: int) -> np.ndarray:
@@ -320,6 +322,8 @@ def _alike(pairs: DataFrame, own: DataFrame, shingle: int, similarity: float) ->
     """The pairs ``(a, b)`` whose shingle sets are alike."""
     pairs = materialize(pairs, "near-pairs")
     asked = materialize(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct(), "near-asked")
+    if asked.count() <= SENT:  # or all texts are shuffled for a list of ids
+        asked = F.broadcast(asked)
     texts = own.join(asked, own["th"] == asked["t"], "left_semi")
     sets = materialize(_shingle_sets(texts, shingle).dropDuplicates(["th"]), "near-sets")
     left = sets.select(F.col("th").alias("ta"), F.col("grams").alias("ga"))
