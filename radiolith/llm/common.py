@@ -7,8 +7,11 @@ can be lost after they are written without anything being computed again.
 from __future__ import annotations
 
 import posixpath
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +20,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one where the session names none and runs in one process, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="radiolith-")
@@ -38,7 +43,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again."""
+    for table in tables:
+        jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def small_range_samples(spark: SparkSession, rows: int = 10) -> Iterator[None]:
+    """Within it a range exchange sends the driver about ``3 * rows`` keys a partition, for keys as long as texts."""
+    name = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def shuffle_width(spark: SparkSession) -> int:

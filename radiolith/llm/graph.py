@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,7 +33,9 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-large")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = materialize(large.distinct(), "cc-up")
+        discard(cur, both, least)
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-small")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         cur = materialize(small.where("u <> v").distinct(), "cc-edges")
+        discard(large, least)
     return cur.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
