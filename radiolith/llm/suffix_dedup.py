@@ -7,18 +7,23 @@ A byte goes if a string of ``window`` bytes that covers it starts anywhere else
    windows with the same smallest string form a block: its hash, a digest of its bytes and its place.
 2. *Copies.* Blocks with the same hash and bytes are one content. Windows of a content that occurs twice are
    repeated; hashes with one content of one occurrence hold no repeated window and are done.
-3. *Shards.* The distinct contents of the other hashes are cut from their texts and dealt to shards by hash,
-   so that no window can match outside its shard. Each shard sorts its suffixes by Larsson-Sadakane refinement and
-   takes common prefixes by Kasai's rule, in lock step over its blocks.
-4. *Frequent hashes.* A hash with more than ``CONTENTS`` contents (a passage frequent in different
-   surroundings) spreads over many shards instead. What merges them is the 128-bit digest of a window,
-   after digests of what ``STRIDE`` windows have in common have ruled out windows that cannot repeat.
+3. *Shards.* The distinct contents of the other hashes are cut from their texts and ranged by hash and by their bytes
+   from the smallest string on. A task cuts its range into shards of bounded size, sorts the suffixes of each by
+   Larsson-Sadakane refinement and takes common prefixes by Kasai's rule, in lock step over its contents.
+4. *Merging.* A hash that goes on beyond a shard can have a window in another one only where a content shares
+   the window's part from the smallest string on with the content at the shard's border, as everything between the two
+   does. Binary search for the border's prefixes tells which contents those are. They are ranged and sharded once more,
+   by their bytes before the smallest string, backwards. A window at the borders of shards in both orders is fixed by
+   these borders; one of each shard is told by its digest, and a digest of two shards is repeated.
 5. The repeated windows of contents go back to all texts that hold them, and the bytes are removed.
+
+No step depends on how many contents a hash has: shards are cut by size alone, also within a hash.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, shuffle_width
+from .common import batch, discard, materialize, shuffle_width, small_range_samples
 
 GRAM = 32
-CONTENTS = 2048
-STRIDE = 24
 SHARD_BYTES = 1 << 20
 CHUNK = 1 << 19
 SEPARATOR = 0xFF  # not a byte of UTF-8
@@ -121,8 +124,8 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sa, packed
 
 
-def repeated_starts(parts: list[bytes], window: int) -> list[np.ndarray]:
-    """For each part, which of its windows' starts have the same ``window`` bytes start elsewhere in the parts."""
+def repeated_starts(parts: list[bytes], window: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each part, which of its windows' starts have the same ``window`` bytes start elsewhere in the parts, and which are the first such suffixes in order."""
     lengths = np.array([len(p) + 1 for p in parts], dtype=np.int64)
     text = np.frombuffer(b"".join(p + bytes([SEPARATOR]) for p in parts), dtype=np.uint8)
     begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -131,7 +134,7 @@ def repeated_starts(parts: list[bytes], window: int) -> list[np.ndarray]:
     packed = np.concatenate([packed, np.zeros(window + 8, dtype=np.uint64)])
     before = np.full(len(text), -1, dtype=np.int64)
     before[sa[1:]] = sa[:-1]
-    again = np.zeros(len(text), dtype=bool)
+    again, lead = np.zeros(len(text), dtype=bool), np.ones(len(text), dtype=bool)
     have = np.zeros(len(parts), dtype=np.int64)
     for t in range(int(count.max(initial=0))):  # Kasai: one step further in every part at once
         live = np.nonzero(count > t)[0]
@@ -149,7 +152,8 @@ def repeated_starts(parts: list[bytes], window: int) -> list[np.ndarray]:
         hit = got >= window
         again[p[hit]] = True
         again[q[hit]] = True
-    return [again[b : b + c] for b, c in zip(begin.tolist(), np.maximum(count, 0).tolist(), strict=True)]
+        lead[p[hit]] = False
+    return [(again[b : b + c], lead[b : b + c]) for b, c in zip(begin.tolist(), np.maximum(count, 0).tolist(), strict=True)]
 
 
 def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
@@ -185,8 +189,8 @@ def _block_rows(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _cut(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame:
-    """The bytes of each wanted content: ``(h, c, n, off, hot, raw)``."""
-    schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("off", pa.int32()), ("hot", pa.bool_()), ("raw", pa.binary())])
+    """The bytes of each wanted content before and from its smallest string on: ``(h, c, n, before, onward)``; repeated rows give repeated contents."""
+    schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("before", pa.binary()), ("onward", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,92 +198,122 @@ def _cut(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame:
             for text, cuts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = text.encode()
                 for x in cuts:
-                    for col, v in zip(out, (x["h"], x["c"], x["n"], x["off"], x["hot"], raw[x["first"] : x["first"] + x["n"] + window - 1]), strict=True):
+                    at = x["first"] + x["off"]
+                    for col, v in zip(out, (x["h"], x["c"], x["n"], raw[x["first"] : at], raw[at : x["first"] + x["n"] + window - 1]), strict=True):
                         col.append(v)
             yield batch(schema, out)
 
-    by_text = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "c", "n", "off", "hot", "first")).alias("cuts"))
+    by_text = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "c", "n", "off", "first")).alias("cuts"))
     by_text = by_text.withColumnsRenamed({"doc_id": "doc", "th": "hash"})
     met = docs.join(by_text, docs["doc_id"].eqNullSafe(by_text["doc"]) & (docs["th"] == by_text["hash"]))
-    return met.select("text", "cuts").mapInArrow(run, "h long, c long, n int, off int, hot boolean, raw binary").dropDuplicates(["h", "c"])
-
+    return met.select("text", "cuts").mapInArrow(run, "h long, c long, n int, before binary, onward binary")
 
-_FOUND = "h long, c long, lo int, hi int"
 
+def border_prefixes(strings: list[bytes], at_end: bool, least: int, most: int) -> np.ndarray:
+    """Length of the prefix of each of the sorted ``strings`` that it shares with the last (``at_end``) or the first one, by binary search.
 
-def _shards(contents: DataFrame, window: int, width: int) -> DataFrame:
-    """Repeated windows, first and last of each run, of the contents of each hash, by suffix arrays."""
-    schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
-
-    def solve(held: list[tuple]) -> pa.RecordBatch:
-        out: list[list] = [[], [], [], []]
-        for (h, c, _), again in zip(held, repeated_starts([r for *_, r in held], window), strict=True):
-            for lo, hi in zip(*_runs(again), strict=True):
-                for col, v in zip(out, (h, c, lo, hi), strict=True):
-                    col.append(v)
-        return batch(schema, out)
+    Lengths over ``most`` count as ``most``, those below ``least`` as ``least - 1``.
+    """
+    edge = strings[-1 if at_end else 0]
+    lengths = range(least, min(most, len(edge)) + 1)
+    if at_end:  # those from the prefix's place on have it
+        reach = np.array([bisect_left(strings, edge[:k]) for k in lengths], dtype=np.int64)
+        return least - 1 + np.searchsorted(reach, np.arange(len(strings)), side="right")
+    reach = np.array([bisect_left(strings, edge[:k] + bytes([SEPARATOR])) for k in lengths], dtype=np.int64)
+    return least - 1 + np.searchsorted(-reach, -np.arange(len(strings)), side="left")
+
+
+def _cut_shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[tuple[list[tuple], bool, bool]]:
+    """Shards of rows ``(h, c, ...)`` in order, repeated contents once; whether the first and the last hash may go on in the shard before and after."""
+    held, size, below = [], 0, True
+    for b in batches:
+        for row in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            if held and row[:2] == held[-1][:2]:
+                continue
+            same = bool(held) and row[0] == held[-1][0]
+            if size >= (2 if same else 1) * shard_bytes:
+                yield held, below, same
+                held, size, below = [], 0, same
+            held.append(row)
+            size += len(row[3]) + len(row[4])
+    if held:
+        yield held, below, True
+
+
+def _at_borders(held: list[tuple], column: int, below: bool, above: bool, least: int, window: int) -> dict[int, int]:
+    """For the rows of a shard that share ``least`` or more bytes of ``column`` with its first or last row of the same hash, if that goes on: how many."""
+    found: dict[int, int] = {}
+    for end, goes_on in ((False, below), (True, above)):
+        if not goes_on:
+            continue
+        h = held[-1 if end else 0][0]
+        rows = [i for i, x in enumerate(held) if x[0] == h]
+        for i, k in zip(rows, border_prefixes([held[i][column] for i in rows], end, least, window).tolist(), strict=True):
+            if k >= least:
+                found[i] = max(found.get(i, 0), k)
+    return found
+
+
+_FOUND = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+
+
+def _repeats(held: list[tuple], flags: list[tuple[np.ndarray, np.ndarray]]) -> list[list]:
+    out: list[list] = [[], [], [], []]
+    for (h, c, *_), (again, _) in zip(held, flags, strict=True):
+        for lo, hi in zip(*_runs(again), strict=True):
+            for col, v in zip(out, (h, c, lo, hi), strict=True):
+                col.append(v)
+    return out
+
+
+def _onward_shards(contents: DataFrame, window: int, width: int, shard_bytes: int) -> DataFrame:
+    """Repeated windows of the shards, first and last of each run, and the contents whose windows other shards may hold.
+
+    The latter have a null ``lo``, their bytes, and ``least``, the bytes before the smallest string of the first such window.
+    """
+    schema = pa.schema([*_FOUND, ("n", pa.int32()), ("least", pa.int32()), ("backward", pa.binary()), ("onward", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
-        for b in batches:
-            for h, c, raw in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if h != last and size >= SHARD_BYTES:
-                    yield solve(held)
-                    held, size = [], 0
-                held.append((h, c, raw))
-                size, last = size + len(raw), h
-        if held:
-            yield solve(held)
+        for held, below, above in _cut_shards(batches, shard_bytes):
+            out = _repeats(held, repeated_starts([x[3] + x[4] for x in held], window))
+            out += [[None] * len(out[0]) for _ in range(4)]
+            for i, k in _at_borders(held, 4, below, above, GRAM, window).items():
+                h, c, n, before, onward = held[i]
+                least = max(window - k, len(before) - n + 1)
+                if least <= len(before):
+                    for col, v in zip(out, (h, c, None, None, n, least, before[::-1], onward), strict=True):
+                        col.append(v)
+            yield batch(schema, out)
 
-    return contents.select("h", "c", "raw").repartition(width, "h").sortWithinPartitions("h", "c").mapInArrow(run, _FOUND)
+    rows = contents.repartitionByRange(width, "h", "onward", "c").sortWithinPartitions("h", "onward", "c").select("h", "c", "n", "before", "onward")
+    return rows.mapInArrow(run, "h long, c long, lo int, hi int, n int, least int, backward binary, onward binary")
 
 
-def _digests(contents: DataFrame, window: int, stride: int) -> DataFrame:
-    """``(h, c, s, d1, d2)``: digest of what the windows have in common that start ``s * stride`` to
-    ``(s + 1) * stride - 1`` bytes before the smallest string; with a column ``s``, of that one's windows
-    one by one, ``s`` being the bytes before it."""
-    schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("s", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
-    single = "s" in contents.columns
+def _backward_shards(contents: DataFrame, window: int, width: int, shard_bytes: int) -> DataFrame:
+    """As :func:`_onward_shards`, of contents ranged by the bytes before their smallest strings; rows with ``d1, d2``, a window's digest,
+    stand for the windows at borders in both orders: the first of its kind in the shard."""
+    schema = pa.schema([*_FOUND, ("d1", pa.int64()), ("d2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[] for _ in schema]
-            for x in b.to_pylist():
-                off, low = x["off"], x["off"] - x["n"] + 1
-                if single:
-                    spans = [(o, off - o, off - o + window) for o in range(max(low, x["s"] * stride), min(off, x["s"] * stride + stride - 1) + 1)]
-                else:
-                    spans = [(s, off - s * stride, off - (s + 1) * stride + 1 + window) for s in range(low // stride, off // stride + 1)]
-                for s, lo, hi in spans:
-                    d = hashlib.blake2b(x["raw"][lo:hi], digest_size=16).digest()
-                    for col, v in zip(out, (x["h"], x["c"], s, *np.frombuffer(d, dtype=np.int64).tolist()), strict=True):
+        for held, below, above in _cut_shards(batches, shard_bytes):
+            raws = [x[3][::-1] + x[4] for x in held]
+            flags = repeated_starts(raws, window)
+            out = _repeats(held, flags)
+            out += [[None] * len(out[0]) for _ in range(2)]
+            for i, k in _at_borders(held, 3, below, above, 0, window).items():
+                h, c, n, back, _, least = held[i]
+                first = len(back) - min(k, len(back))  # windows from here on have no more than k bytes before
+                for lo in (first + np.flatnonzero(flags[i][1][first : min(n, len(back) - least + 1)])).tolist():
+                    d = hashlib.blake2b(raws[i][lo : lo + window], digest_size=16).digest()
+                    for col, v in zip(out, (h, c, lo, lo, *np.frombuffer(d, dtype=np.int64).tolist()), strict=True):
                         col.append(v)
-                if len(out[0]) > 100_000:
-                    yield batch(schema, out)
-                    out = [[] for _ in schema]
             yield batch(schema, out)
 
-    return contents.mapInArrow(run, "h long, c long, s int, d1 long, d2 long")
-
-
-def _frequent(contents: DataFrame, window: int) -> DataFrame:
-    """As :func:`_shards`, for hashes of any number of contents: digests merge what many tasks hold."""
-    some = materialize(_digests(contents.select("h", "c", "n", "off", "raw"), window, STRIDE), "sa-common")
-    twice = materialize(some.groupBy("s", "d1", "d2").count().where("count > 1").select("s", "d1", "d2"), "sa-common-twice")
-    left = some.join(twice, ["s", "d1", "d2"]).select("h", "c", "s")
-    left = materialize(left, "sa-left")
-    own = contents.select(F.col("h").alias("ch"), F.col("c").alias("cc"), "n", "off", "raw")
-    met = left.join(own, (left["h"] == own["ch"]) & (left["c"] == own["cc"])).select("h", "c", "n", "off", "s", "raw")
-    each = materialize(_digests(met, window, STRIDE), "sa-windows")
-    twice = materialize(each.groupBy("s", "d1", "d2").count().where("count > 1").select("s", "d1", "d2"), "sa-windows-twice")
-    hits = each.join(twice, ["s", "d1", "d2"]).select("h", "c", "s")
-    off = contents.select(F.col("h").alias("ch"), F.col("c").alias("cc"), "off")
-    hits = hits.join(off, (hits["h"] == off["ch"]) & (hits["c"] == off["cc"]))
-    start = F.col("off") - F.col("s")
-    return hits.select("h", "c", start.cast("int").alias("lo"), start.cast("int").alias("hi"))
+    rows = contents.repartitionByRange(width, "h", "backward", "c").sortWithinPartitions("h", "backward", "c").select("h", "c", "n", "backward", "onward", "least")
+    return rows.mapInArrow(run, "h long, c long, lo int, hi int, d1 long, d2 long")
 
 
-def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``(doc_id, th, spans)``: the repeated bytes of each text that has some, as runs ``lo, hi`` (end exclusive) that may overlap."""
     width = shuffle_width(docs.sparkSession)
     rows = materialize(_block_rows(docs, window), "sa-blocks")
@@ -287,34 +321,45 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     contents = materialize(rows.groupBy("h", "c").agg(F.count("*").alias("times"), place).select("h", "c", "times", "at.*"), "sa-contents")
     per_hash = contents.groupBy("h").agg(F.count("*").alias("contents")).where("contents > 1")
     per_hash = materialize(per_hash, "sa-hashes")
-    wanted = contents.join(per_hash, "h").withColumn("hot", F.col("contents") > CONTENTS)
-    cut = materialize(_cut(wanted, docs, window), "sa-bytes")
+    cut = materialize(_cut(contents.join(per_hash, "h"), docs, window), "sa-bytes")
+    with small_range_samples(docs.sparkSession):
+        onward = materialize(_onward_shards(cut, window, width, shard_bytes), "sa-onward")
+    discard(cut)
+    edge = materialize(onward.where("lo is null").select("h", "c", "n", "least", "backward", "onward"), "sa-edge")
+    with small_range_samples(docs.sparkSession):
+        backward = materialize(_backward_shards(edge, window, width, shard_bytes), "sa-backward")
+    told = backward.where("d1 is not null")
+    twice = materialize(told.groupBy("d1", "d2").count().where("count > 1").select(F.col("d1").alias("x1"), F.col("d2").alias("x2")), "sa-twice")
+    met = told.join(twice, (F.col("d1") == F.col("x1")) & (F.col("d2") == F.col("x2")))
+    runs = ("h", "c", "lo", "hi")
     copies = contents.where("times > 1").select("h", "c", F.lit(0).alias("lo"), F.expr("n - 1").alias("hi"))
-    found = copies.union(_shards(cut.where("not hot"), window, width))
-    if not cut.where("hot").isEmpty():
-        found = found.union(_frequent(cut.where("hot"), window))
+    found = copies.union(onward.where("lo is not null").select(*runs)).union(backward.where("d1 is null").select(*runs)).union(met.select(*runs))
     found = found.groupBy("h", "c").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     found = materialize(found, "sa-found")
+    discard(contents, per_hash, onward, edge, backward, twice)
     own = rows.select(F.col("h").alias("bh"), F.col("c").alias("bc"), "doc_id", "th", "first")
     met = own.join(found, (own["bh"] == found["h"]) & (own["bc"] == found["c"]))
     spans = met.select("doc_id", "th", F.explode("runs").alias("run"), "first")
     spans = spans.select("doc_id", "th", F.struct((F.col("first") + F.col("run.lo")).alias("lo"), (F.col("first") + F.col("run.hi") + window).alias("hi")).alias("span")).distinct()
-    return spans.groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans"))
+    spans = materialize(spans.groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans")), "sa-spans")
+    discard(rows, found)
+    return spans
 
 
-def remove_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` of each row, with ``kept`` (binary) if ``with_text``.
 
     ``n_spans`` counts the maximal removed runs; ``kept_sha256`` is of the bytes that stay, in order. A null
     text counts as empty, a text shorter than ``window`` bytes stays whole, equal rows of ``window`` bytes or
     more remove each other wholly, a string that overlaps its own second occurrence counts, null ids are kept.
-    Texts may have any length. Other columns are not read. An empty table gives no rows.
+    Texts may have any length. Other columns are not read. An empty table gives no rows. ``shard_bytes`` sets the size of
+    a shard (twice that within one hash), not the result.
     """
     if window < 2 * GRAM:
         raise ValueError(f"window must be at least {2 * GRAM} bytes")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    spans = materialize(repeated_spans(docs, window), "sa-spans").withColumnsRenamed({"doc_id": "doc", "th": "hash"})
+    spans = repeated_spans(docs, window, shard_bytes).withColumnsRenamed({"doc_id": "doc", "th": "hash"})
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     schema = pa.schema(fields + [("kept", pa.binary())] * with_text)
 
