@@ -1,16 +1,17 @@
 """Secrets in whole texts and in what is encoded within them.
 
 A worklist holds layers: the text itself first. Each layer is scanned, then unwrapped: runs of URL escapes,
-of Unicode, hexadecimal and HTML number escapes, base64 runs, and gzip, zlib or Zstandard data inside
-base64 give new layers, until no layer is new. A digest of each layer's content ends cycles. A layer knows
+of Unicode, hexadecimal and HTML number escapes, base64 runs, and gzip (all members), zlib or Zstandard data under
+base64 or escapes give new layers, until no layer is new. A digest of each layer's content ends cycles. A layer knows
 for each of its characters the code points of the text that it comes from, so that every find is reported
-as a span of the text. ``LAYER`` characters bound one decompressed layer (a guard against bombs); a
-longer one is scanned in overlapping pieces of that size while it unfolds.
+as a span of the text. Decompressed text is scanned while it unfolds, in pieces of ``LAYER`` characters or
+more that end between two words where no find and no encoded run can cross; without such a place a piece goes on.
 """
 
 from __future__ import annotations
 
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
@@ -28,16 +29,22 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # maximal runs: the same as shorter ones dropped later
 HEX = re.compile(r"[0-9a-f]{16,}")
-LAYER = 1 << 22
+LAYER = 1 << 20
+LOOK_BACK = 1 << 16
 
 _URL = re.compile(r"[A-Za-z0-9_.~+/=:\"'%-]+")  # a maximal run: one pass, however long it is
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
+_PERCENT_BYTES = re.compile(rb"%[0-9A-Fa-f]{2}")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_LINES = re.compile(r"[A-Za-z0-9+/_-]+(?:(?:\r?\n[ \t]*|\\r\\n|\\n)[A-Za-z0-9+/_-]+)+={0,2}")  # a run over line breaks, or escapes for these
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:(?:\r?\n[ \t]*|\\r\\n|\\n)[A-Za-z0-9+/_-]++)+={0,2}")  # a run over line breaks, or escapes for these
 _PART = re.compile(r"(?<![A-Za-z0-9+/_\\-])[A-Za-z0-9+/_-]+|(?<=\\n)[A-Za-z0-9+/_-]+")
 _STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")
 _PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd")
+_PACKED_TEXT = re.compile(r"\x1f\x8b\x08|\x78[\x01\x9c\xda]|\x28\xb5\x2f\xfd")
+_BYTES = re.compile(r"[\x00-\xff]+")
+_BETWEEN = re.compile(r"(?<=[A-Za-z0-9,.!?]) (?=[A-Za-z])")
+_NOT_BEFORE = re.compile(r"[\\&%]|(?:password|passwd|secret|token|api_?key)$", re.IGNORECASE)
 WRAP = 48
 _HINT = re.compile(r"pass|secret|token|api", re.IGNORECASE)
 
@@ -80,20 +87,28 @@ def _readable(raw: bytes) -> str | None:
     return text if text and odd * 20 <= len(raw) else None
 
 
-def _unfold(raw: bytes) -> Iterator[bytes]:
-    """Pieces of at most ``LAYER`` bytes of compressed data, each with the last 4096 bytes of the one before."""
+def _wide(raw: bytes) -> str | None:
+    """The text of 16-bit characters of which most are below 256."""
+    for first, kind in ((1, "utf-16-le"), (0, "utf-16-be")):
+        if len(raw) >= 24 and raw[first::2].count(0) * 4 > len(raw):
+            return raw[: len(raw) // 2 * 2].decode(kind, errors="replace")
+    return None
+
+
+def _inflated(raw: bytes) -> Iterator[bytes]:
+    """What gzip, zlib or Zstandard data hold, all members of it, up to where they break off."""
     if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        engine = zlib.decompressobj(47)
-        source = raw
-        tail = b""
         try:
-            while source and not engine.eof:
-                piece = engine.decompress(source, LAYER)
-                source = engine.unconsumed_tail
-                if not piece:
-                    break
-                yield tail + piece
-                tail = piece[-4096:]
+            while raw:
+                engine, source = zlib.decompressobj(47), raw
+                while not engine.eof:
+                    piece = engine.decompress(source, LAYER)
+                    source = engine.unconsumed_tail
+                    if piece:
+                        yield piece
+                    elif not source:
+                        return
+                raw = engine.unused_data if engine.unused_data[:2] == b"\x1f\x8b" else b""
         except zlib.error:
             return
     elif raw[:4] == b"\x28\xb5\x2f\xfd":
@@ -101,16 +116,39 @@ def _unfold(raw: bytes) -> Iterator[bytes]:
 
         import zstandard
 
-        tail = b""
         try:
-            with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(io.BytesIO(raw)) as f:
+            with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(io.BytesIO(raw), read_across_frames=True) as f:
                 while piece := f.read(LAYER):
-                    yield tail + piece
-                    tail = piece[-4096:]
+                    yield piece
         except zstandard.ZstdError:
             return
 
 
+def _end_of_piece(text: str) -> int:
+    """The last place near the end that neither a find nor an encoded run can cross, whatever follows; 0 without one."""
+    for m in reversed(list(_BETWEEN.finditer(text, max(1, len(text) - LOOK_BACK)))):
+        word = text[max(text.rfind(c, 0, m.start()) for c in " \t\r\n") + 1 : m.start()]
+        if not _NOT_BEFORE.search(word):
+            return m.start()
+    return 0
+
+
+def _unfold(raw: bytes) -> Iterator[str]:
+    """The text of compressed data in pieces."""
+    read, held, least = codecs.getincrementaldecoder("utf-8")("replace"), "", LAYER
+    for piece in _inflated(raw):
+        held += read.decode(piece)
+        if len(held) >= least:
+            at = _end_of_piece(held)
+            if at:
+                yield held[:at]
+                held = held[at:]
+            least = max(LAYER, 2 * len(held))
+    held += read.decode(b"", True)
+    if held:
+        yield held
+
+
 def _whole(layer: Layer, start: int, end: int, text: str) -> Layer:
     lo, hi = layer.span(start, end)
     return Layer(text, [0], [lo], [hi], [False])
@@ -172,6 +210,10 @@ def _url(layer: Layer) -> Iterator[Layer]:
         new = _joined(layer, m.start(), pieces)
         if new.text and new.text != m.group():
             yield new
+        for run in {m.group(), m.group().replace("+", " ")}:
+            raw = _PERCENT_BYTES.sub(lambda x: bytes([int(x.group()[1:], 16)]), run.encode())
+            for packed in _PACKED.finditer(raw):
+                yield from (_whole(layer, m.start(), m.end(), t) for t in _unfold(raw[packed.start() :]))
 
 
 def _escapes(layer: Layer) -> Iterator[Layer]:
@@ -191,6 +233,13 @@ def _escapes(layer: Layer) -> Iterator[Layer]:
         yield _joined(layer, 0, [*pieces, (i, len(s), s[i:], True)])
 
 
+def _packed_text(layer: Layer) -> Iterator[Layer]:
+    """Compressed data whose bytes escapes have given as characters."""
+    for m in _PACKED_TEXT.finditer(layer.text):
+        run = _BYTES.match(layer.text, m.start())
+        yield from (_whole(layer, m.start(), run.end(), t) for t in _unfold(run.group().encode("latin-1")))
+
+
 def _decoded(layer: Layer, at: list[int] | range, end: int) -> tuple[bool, list[tuple[int, Layer]]]:
     """What the base64 digits at the places ``at`` of a layer decode to, each with its first place; whether it is all of them.
 
@@ -217,12 +266,14 @@ def _decoded(layer: Layer, at: list[int] | range, end: int) -> tuple[bool, list[
         if not skip and len(own) == len(body):
             if (text := _readable(raw)) is not None:
                 return True, [text_at(text, 0, 0) if text.isascii() else (at[0], _whole(layer, at[0], end, text))]
-            if pieces := [(at[0], _whole(layer, at[0], end, p.decode(errors="replace"))) for p in _unfold(raw)]:
+            if pieces := [(at[0], _whole(layer, at[0], end, p)) for p in _unfold(raw)]:
                 return True, pieces
+            if (text := _wide(raw)) is not None:
+                return True, [(at[0], _whole(layer, at[0], end, text))]
         out += [text_at(m.group().decode(), skip, m.start()) for m in _STRETCH.finditer(raw)]
         for m in _PACKED.finditer(raw):
             first = at[skip + m.start() * 4 // 3]
-            out += [(first, _whole(layer, first, end, p.decode(errors="replace"))) for p in _unfold(raw[m.start() :])]
+            out += [(first, _whole(layer, first, end, p)) for p in _unfold(raw[m.start() :])]
     return False, out
 
 
@@ -250,6 +301,7 @@ def _base64(layer: Layer) -> Iterator[Layer]:
 def _inner_runs(layer: Layer) -> Iterator[Layer]:
     yield from _url(layer)
     yield from _escapes(layer)
+    yield from _packed_text(layer)
     yield from _base64(layer)
 
 
