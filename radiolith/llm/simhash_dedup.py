@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, materialize
+from .common import batch, discard, materialize, shuffle_width
 from .graph import connected_components
 
 #: Generator polynomial of the [23, 12] Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -321,7 +321,7 @@ def _meet(one: DataFrame, two: DataFrame, similarity: float) -> DataFrame:
 def _alike(pairs: DataFrame, own: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs ``(a, b)`` whose shingle sets are alike."""
     pairs = materialize(pairs, "near-pairs")
-    asked = materialize(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct(), "near-asked")
+    asked = asked_of = materialize(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct(), "near-asked")
     if asked.count() <= SENT:  # or all texts are shuffled for a list of ids
         asked = F.broadcast(asked)
     texts = own.join(asked, own["th"] == asked["t"], "left_semi")
@@ -331,7 +331,9 @@ def _alike(pairs: DataFrame, own: DataFrame, shingle: int, similarity: float) ->
     right = sets.select(F.col("th").alias("tb"), F.col("grams").alias("gb"))
     met = half.join(right, half["b"] == right["tb"])
     both = F.size(F.array_intersect("ga", "gb"))
-    return materialize(met.where(both >= F.lit(similarity) * (F.size("ga") + F.size("gb") - both)).select("a", "b"), "near-links")
+    links = materialize(met.where(both >= F.lit(similarity) * (F.size("ga") + F.size("gb") - both)).select("a", "b"), "near-links")
+    discard(pairs, asked_of, sets, half)
+    return links
 
 
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -360,8 +362,6 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     linked to it yet. So the classes are those of all pairs, and a large group of copies needs few of them. Equal texts are one
     row from the start. Null and wordless texts are like nothing else. Other columns are not read. Without like texts the result is empty.
     """
-    from .common import shuffle_width
-
     width = shuffle_width(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
@@ -372,10 +372,14 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     links = _alike(pairs, own, shingle, similarity)
     member = materialize(connected_components(links, "a", "b"), "near-members")
     rows = shared.select("key", "th", "n", "at").join(member, shared["th"] == member["node"], "left")
-    rows = materialize(rows.select("key", "th", "n", "at", F.coalesce("root", "th").alias("root")), "near-rooted")
-    open_ = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
-    rows = materialize(rows.join(materialize(open_, "near-open"), F.col("key") == F.col("k"), "left_semi"), "near-rest")
-    one, two = (rows.select(*[F.col(c).alias(f"{c}_{side}") for c in rows.columns]) for side in "xy")
+    rooted = materialize(rows.select("key", "th", "n", "at", F.coalesce("root", "th").alias("root")), "near-rooted")
+    discard(shared, member)
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
+    open_ = materialize(open_, "near-open")
+    rest = materialize(rooted.join(open_, F.col("key") == F.col("k"), "left_semi"), "near-rest")
+    discard(rooted, open_)
+    one, two = (rest.select(*[F.col(c).alias(f"{c}_{side}") for c in rest.columns]) for side in "xy")
     more = _alike(_meet(one, two, similarity), own, shingle, similarity)
+    discard(rest)
     member = connected_components(materialize(links.union(more), "near-all-links"), "a", "b")
     return member.select(F.col("node").alias("th"), "root")
