@@ -6,12 +6,14 @@ is calibrated: visits are doubled until rows of the sample that the tree was not
 their neighbours, against brute force over the sample.
 
 Equal vectors are one class with its smallest ids, which is all that a ranking with ties by id can use.
-Leaves are packed into blocks of bounded size, a large leaf into several, and queries meet whole blocks.
+Leaves are packed into blocks of bounded size, a large leaf into several, so that a query is sent once to a block; there
+it meets the vectors of the leaves that it visits, and no others.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,6 +72,19 @@ def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * x).sum(axis=1)[:, None] - 2 * (x @ y.T) + (y * y).sum(axis=1)
 
 
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of ``x`` to the rows of ``y``, also where squares leave the range of doubles."""
+    away = y - x
+    with np.errstate(over="ignore", under="ignore"):
+        d = np.sqrt((away * away).sum(axis=1))
+    odd = np.flatnonzero(~np.isfinite(d) | (d < 1e-140))
+    if len(odd):
+        most = np.abs(away[odd]).max(axis=1, initial=0)
+        odd, most = odd[np.isfinite(most) & (most > 0)], most[np.isfinite(most) & (most > 0)]
+        d[odd] = most * np.sqrt(((away[odd] / most[:, None]) ** 2).sum(axis=1))
+    return d
+
+
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
@@ -176,8 +191,10 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, recall: float = 0.9
     dim = lengths[0]["n"] if lengths else 0
     rows = rows.where(F.size("vec") == dim)
     classes = materialize(_classes(rows, dim, k + 1), "ann-classes")
+    top = rows.agg(F.max(F.array_max(F.transform("vec", F.abs))).alias("m")).first()["m"] or 1.0
+    unit = 1.0 if 1e-60 < top < 1e60 else 2.0 ** math.frexp(top)[1] if top < 1e300 else top  # squares of vectors by this unit are doubles
     drawn = classes.orderBy(F.xxhash64("cid"), "cid").select("vec").limit(sample).collect()
-    x = np.array([r["vec"] for r in drawn], dtype=np.float64).reshape(len(drawn), dim)
+    x = np.array([r["vec"] for r in drawn], dtype=np.float64).reshape(len(drawn), dim) / unit
     own_rows = max(1, len(x) - len(x) // 4)
     tree = fit(x[:own_rows])
     visits = calibrate(tree, x, len(x) - own_rows, k, recall)
@@ -187,7 +204,7 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, recall: float = 0.9
         own = Tree(*held.value)
         for b in batches:
             v = np.array(b.column(1).to_pylist(), dtype=np.float64).reshape(b.num_rows, dim)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.assign(v).astype(np.int32)), b.column(1), b.column(2)], names=["cid", "leaf", "vec", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.assign(v / unit).astype(np.int32)), b.column(1), b.column(2)], names=["cid", "leaf", "vec", "ids"])
 
     placed = materialize(classes.select("cid", "vec", "ids").mapInArrow(to_leaf, "cid long, leaf int, vec array<double>, ids array<long>"), "ann-leaves")
     sizes = np.zeros(tree.leaves, dtype=np.int64)
@@ -196,7 +213,7 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, recall: float = 0.9
     first, number = pack(sizes, BLOCK)
     plan = spark.sparkContext.broadcast((first, number, visits))
     dealt = F.broadcast(spark.createDataFrame([(i, int(f), int(n)) for i, (f, n) in enumerate(zip(first, number, strict=True))], "leaf int, first long, number long"))
-    blocks = placed.join(dealt, "leaf").select((F.col("first") + F.pmod(F.xxhash64("cid"), F.col("number"))).alias("block"), "cid", "vec", "ids")
+    blocks = placed.join(dealt, "leaf").select((F.col("first") + F.pmod(F.xxhash64("cid"), F.col("number"))).alias("block"), "leaf", "cid", "vec", "ids")
     # queries are asked once for each distinct vector
     own = rows.where(F.col("vec_id") % every == 0).withColumn("key", F.xxhash64("vec"))
     named = materialize(classes.select("cid", "vec", F.xxhash64("vec").alias("k")), "ann-named")
@@ -205,21 +222,25 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, recall: float = 0.9
 
     def to_visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, (first, number, most) = Tree(*held.value), plan.value
-        schema = pa.schema([("block", pa.int64()), ("cid", pa.int64()), ("vec", pa.list_(pa.float64()))])
+        schema = pa.schema([("block", pa.int64()), ("cid", pa.int64()), ("vec", pa.list_(pa.float64())), ("leaves", pa.list_(pa.int64()))])
         for b in batches:
-            out: list[list] = [[], [], []]
+            out: list[list] = [[] for _ in schema]
             for cid, vec in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for block in sorted({int(first[x]) + i for x in tree.visits(np.array(vec), most) for i in range(int(number[x]))}):
-                    for col, v in zip(out, (block, cid, vec), strict=True):
+                asked: dict[int, list[int]] = {}
+                for x in tree.visits(np.array(vec) / unit, most):
+                    for i in range(int(number[x])):
+                        asked.setdefault(int(first[x]) + i, []).append(x)
+                for block, leaves in sorted(asked.items()):
+                    for col, v in zip(out, (block, cid, vec, leaves), strict=True):
                         col.append(v)
             yield batch(schema, out)
 
-    probes = asked.groupBy("cid", "vec").agg(F.count("*").alias("n")).select("cid", "vec").mapInArrow(to_visits, "block long, cid long, vec array<double>")
+    probes = asked.groupBy("cid", "vec").agg(F.count("*").alias("n")).select("cid", "vec").mapInArrow(to_visits, "block long, cid long, vec array<double>, leaves array<long>")
     schema = pa.schema([("asked", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by block, its classes first, then its queries; a query meets all of a block of which it visits a leaf."""
-        now, ids, vecs, matrix, waiting = None, [], [], None, []
+        """Rows come by block, its classes first, by leaf, then its queries with the leaves that they visit."""
+        now, ids, vecs, place, matrix, waiting = None, [], [], {}, None, []
 
         def answer() -> pa.RecordBatch:
             nonlocal matrix
@@ -227,38 +248,50 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, recall: float = 0.9
             if ids and waiting:
                 if matrix is None:
                     matrix = np.array(vecs, dtype=np.float64)
-                q = np.array([v for _, v in waiting], dtype=np.float64)
-                rough = _squares(q, matrix)
-                scale = 1e-9 * (1 + (matrix * matrix).sum(axis=1).max() + (q * q).sum(axis=1).max())
+                q = np.array([v for _, v, _ in waiting], dtype=np.float64)
+                small, asks = matrix / unit, q / unit
+                rough = np.full((len(q), len(ids)), np.inf)
+                visitors: dict[int, list[int]] = {}
+                for i, (_, _, leaves) in enumerate(waiting):
+                    for leaf in leaves:
+                        visitors.setdefault(leaf, []).append(i)
+                for leaf, who in visitors.items():
+                    lo, hi = place.get(leaf, (0, 0))
+                    rough[who, lo:hi] = _squares(asks[who], small[lo:hi])
+                scale = 1e-9 * ((small * small).sum(axis=1).max() + (asks * asks).sum(axis=1).max())
                 top = min(k + 1, len(ids))
                 limit = np.partition(rough, top - 1, axis=1)[:, top - 1] + scale
-                for i, (cid, _) in enumerate(waiting):
-                    for j in np.flatnonzero(rough[i] <= limit[i]).tolist():
-                        for col, v in zip(out, (cid, ids[j], float(np.sqrt(((q[i] - matrix[j]) ** 2).sum()))), strict=True):
+                for i, (cid, _, _) in enumerate(waiting):
+                    near = np.flatnonzero((rough[i] <= limit[i]) & (rough[i] < np.inf))
+                    for j, d in zip(near.tolist(), distances(q[i], matrix[near]).tolist(), strict=True):
+                        for col, v in zip(out, (cid, ids[j], d), strict=True):
                             col.append(v)
             waiting.clear()
             return batch(schema, out)
 
         for b in batches:
-            for block, asks, cid, vec, own_ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for block, asks, leaf, cid, vec, own_ids, leaves in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if block != now:
                     if waiting:
                         yield answer()
                     now, matrix = block, None
-                    ids.clear()
-                    vecs.clear()
+                    for held_ in (ids, vecs, place):
+                        held_.clear()
                 if asks:
-                    waiting.append((cid, vec))
+                    waiting.append((cid, vec, leaves))
                     if len(waiting) == QUERIES:
                         yield answer()
                 else:
+                    place[leaf] = (place.get(leaf, (len(ids),))[0], len(ids) + 1)
                     ids.append(own_ids)
                     vecs.append(vec)
         if waiting:
             yield answer()
 
-    both = blocks.select("block", F.lit(False).alias("asks"), "cid", "vec", "ids").union(probes.select("block", F.lit(True).alias("asks"), "cid", "vec", F.lit(None).cast("array<long>").alias("ids")))
-    met = both.repartition(shuffle_width(spark), "block").sortWithinPartitions("block", "asks").mapInArrow(meet, "asked long, ids array<long>, score double")
+    none = lambda kind: F.lit(None).cast(kind)
+    both = blocks.select("block", F.lit(False).alias("asks"), "leaf", "cid", "vec", "ids", none("array<long>").alias("leaves"))
+    both = both.union(probes.select("block", F.lit(True), none("int"), "cid", "vec", none("array<long>"), "leaves"))
+    met = both.repartition(shuffle_width(spark), "block").sortWithinPartitions("block", "asks", "leaf").mapInArrow(meet, "asked long, ids array<long>, score double")
     best = Window.partitionBy("asked").orderBy("score", F.element_at("ids", 1))
     met = materialize(met.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k + 1).groupBy("asked").agg(F.collect_list(F.struct("score", "ids")).alias("found")), "ann-found")
     answers = asked.select("vec_id", "cid").join(met, F.col("cid") == F.col("asked"))
