@@ -13,17 +13,19 @@ then over the groups' totals, so that no source has to pass through one task.
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2
 GROUP = 4096
-GOLDEN = (math.sqrt(5) - 1) / 2
+#: The golden ratio's fraction to 18 places: decimal products keep the point of a slot exact far beyond a double's 53 bits.
+GOLDEN = Decimal("0.618033988749894848")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -42,7 +44,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     per = materialize(sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), "mix-sources")
     rank = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    per = materialize(per.withColumn("rank", rank).withColumn("weight", weight), "mix-ranked")
+    sizes_of, per = per, materialize(per.withColumn("rank", rank).withColumn("weight", weight), "mix-ranked")
+    discard(sizes_of)
     # with all ratios of limit to weight in order, the sources up to some place are held to their limits
     line = Window.orderBy("ratio", "rank")
     up_to = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -85,8 +88,8 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     cells = 4096
     grid = edge.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells).cast("int"), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1)).cast("int"))))
     grid = materialize(grid.select("rank", "lo", "hi", "cell"), "mix-grid")
-    x = (F.col("id") + 1) * F.lit(GOLDEN)
-    slots = spark.range(total).withColumn("u", x - F.floor(x)).withColumn("cell", F.floor(F.col("u") * cells).cast("int"))
+    x = (F.col("id") + 1).cast("decimal(19,0)") * F.lit(GOLDEN)
+    slots = spark.range(total).withColumn("u", (x - F.floor(x)).cast("double")).withColumn("cell", F.floor(F.col("u") * cells).cast("int"))
     slots = slots.join(grid, "cell").where("u >= lo and u < hi").select("rank", F.col("id").alias("slot"), F.floor(F.col("id") / GROUP).alias("grp"))
     slots = materialize(slots, "mix-slots")
     counts = materialize(slots.groupBy("rank", "grp").agg(F.count("*").alias("n")), "mix-counts")
@@ -101,7 +104,9 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     more = more.select(F.col("r").alias("rank"), F.explode(F.sequence(F.coalesce("n", F.lit(0)), F.col("need") - 1)).alias("slot_no"), F.lit(None).cast("long").alias("slot"))
     every = ranked.union(more).join(goals, F.col("rank") == F.col("r"))
     size = F.least(F.lit(block), F.col("goal") - F.col("slot_no") * block)
-    return every.select("rank", "slot_no", "slot", size.cast("long").alias("size")).where("size > 0")
+    every = materialize(every.select("rank", "slot_no", "slot", size.cast("long").alias("size")).where("size > 0"), "mix-schedule")
+    discard(grid, slots, counts, base, have)
+    return every
 
 
 def mix(docs: DataFrame, block: int = 256, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -114,14 +119,16 @@ def mix(docs: DataFrame, block: int = 256, weights: tuple[float, ...] = WEIGHTS,
     if most < 1 or block < 1:
         raise ValueError("block and most must be 1 or more")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("th"))
-    own = materialize(own, "mix-sizes")
+    sizes = own = materialize(own, "mix-sizes")
     same = Window.partitionBy("doc_id", "source", "th").orderBy("size")
     own = own.withColumn("uid", F.concat_ws(":", F.hex("th"), F.row_number().over(same).cast("string")))
     own = materialize(own.withColumn("digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.hex("th")))), "mix-docs")
+    discard(sizes)
     targets = materialize(source_targets(own.select("source", "size"), weights, share, most), "mix-targets")
     n = own.count()
     placed = _running(own, "source", "digest", "size", -(-n // GROUP), "mix-running")
     placed = materialize(placed, "mix-placed")
+    discard(own)
     t = targets.withColumnRenamed("source", "src")
     placed = placed.join(t, placed["source"].eqNullSafe(t["src"])).drop("src")
     goal = F.round("target").cast("long")
@@ -130,11 +137,13 @@ def mix(docs: DataFrame, block: int = 256, weights: tuple[float, ...] = WEIGHTS,
     passes = passes.withColumn("lo", F.col("before") + F.col("pass_no") * F.col("source_size")).withColumn("hi", F.least(F.col("lo") + F.col("size"), goal)).where("hi > lo")
     cut = passes.withColumn("slot_no", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
     cut = cut.withColumn("a", F.greatest(F.col("lo"), F.col("slot_no") * block)).withColumn("b", F.least(F.col("hi"), (F.col("slot_no") + 1) * block))
-    slots = materialize(schedule(targets, block), "mix-schedule").select(F.col("rank").alias("r"), F.col("slot_no").alias("s"), "slot")
+    plan = schedule(targets, block)
+    slots = plan.select(F.col("rank").alias("r"), F.col("slot_no").alias("s"), "slot")
     cut = materialize(cut, "mix-cut")
     met = cut.join(slots, (cut["rank"] == slots["r"]) & (cut["slot_no"] == slots["s"]))
     pieces = met.select("uid", "doc_id", "source", "size", "source_size", "target", "slot", "slot_no", "pass_no", (F.col("a") - F.col("lo")).alias("start"), (F.col("b") - F.col("a")).alias("length"))
     pieces = materialize(pieces, "mix-pieces")
+    discard(cut, plan)
     taken = pieces.select(F.col("uid").alias("u"), F.col("doc_id").alias("d"), F.col("source").alias("s")).distinct()
     rest = placed.join(taken, (placed["uid"] == taken["u"]) & placed["doc_id"].eqNullSafe(taken["d"]) & placed["source"].eqNullSafe(taken["s"]), "left_anti")
     null = F.lit(None)
