@@ -14,6 +14,7 @@ Spark's commit protocol, count. A lost executor or a second attempt leaves at mo
 
 from __future__ import annotations
 
+import json
 import struct
 import unicodedata
 import uuid
@@ -57,11 +58,30 @@ def records(read: Callable[[int], bytes]) -> Iterator[bytes]:
         yield body[:size]
 
 
+#: The steps before the model of a vocabulary that can be used word by word.
+NORMALIZERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"})
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+WORD_END = "</w>"
+
+
+def takes_words(config: dict) -> bool:
+    """Whether a tokenizer normalizes and splits as stated above, ends words by ``WORD_END`` and has marked added tokens only."""
+    normal, split, model = config.get("normalizer") or {}, config.get("pre_tokenizer") or {}, config["model"]
+    steps = split.get("pretokenizers") or [{}]
+    return (
+        normal.get("type") == "Sequence" and tuple(normal["normalizers"]) == NORMALIZERS
+        and split.get("type") == "Sequence" and steps[0] == SPLIT and [x["type"] for x in steps[1:]] == ["ByteLevel"]
+        and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+        and model["type"] == "BPE" and model["end_of_word_suffix"] == WORD_END and not model["dropout"]
+        and all(x["content"].startswith("<|") for x in config["added_tokens"])
+    )
+
+
 class Encoder:
-    """Ids of whole texts, by a vocabulary file of the ``tokenizers`` library that drops white space.
+    """Ids of whole texts, by a vocabulary file of the ``tokenizers`` library.
 
-    Such a tokenizer takes no account of what lies beyond white space, so a text is split at spaces and line
-    feeds, and the ids of frequent pieces are kept: two generations of ``CACHE`` pieces at most.
+    A tokenizer that :func:`takes_words` takes no account of what lies beyond white space. So a text is split at spaces and line
+    feeds, and the ids of frequent pieces are kept: two generations of ``CACHE`` pieces at most. Others get whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -69,9 +89,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.by_words = takes_words(json.loads(self.tokenizer.to_str()))
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
+            self.ends[i] = token.endswith(WORD_END)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -91,6 +112,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian bytes."""
+        if not self.by_words:
+            return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         split = []
         for t in texts:
             if "<|" in t:  # a special token may hold white space or stand against a word
@@ -167,7 +190,7 @@ class _File:
 def write_records(docs: DataFrame, vocabulary: str, end_id: int, out: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write token-id records of ``docs`` below the folder ``out`` and return the manifest, one row a file in order.
 
-    Order is by id, nulls first, then by text, so that equal ids have a defined order too.
+    Order is by id, nulls first, then by XXH64 of the text and by text, so that equal ids have a defined order too.
     """
     spark = docs.sparkSession
     out = out or scratch(spark, "records")
@@ -201,7 +224,7 @@ def write_records(docs: DataFrame, vocabulary: str, end_id: int, out: str | None
             done.append(file.close())
         yield batch(_MANIFEST, [[pid] * len(done), list(range(len(done))), *([x[i] for x in done] for i in range(5))])
 
-    rows = docs.repartitionByRange(shuffle_width(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    rows = docs.repartitionByRange(shuffle_width(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"), "text")
     return materialize(rows.mapInArrow(run, "pid int, seq long, path string, index string, bytes long, records long, tokens long"), "records-manifest")
 
 
@@ -238,7 +261,7 @@ def token_records(docs: DataFrame, vocabulary: str, end_id: int = 1, id_col: str
     """Write the records of ``docs`` and return, from the files, ``(doc_id, start, n_tokens, ids_crc32)`` of each.
 
     A null or empty text is one record of the end id alone. Null ids come first; rows with equal ids are ordered by
-    text, and equal rows give equal rows but for ``start``. Texts are encoded whole. Other columns are not read. An empty table gives no rows.
+    a hash of the text, and equal rows give equal rows but for ``start``. Texts are encoded whole. Other columns are not read. An empty table gives no rows.
     """
     out = scratch(docs.sparkSession, "records")
     return read_records(docs.sparkSession, write_records(docs, vocabulary, end_id, out, id_col, text_col), out)
