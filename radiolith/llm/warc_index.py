@@ -3,8 +3,9 @@
 Archives hold one gzip member a record; a record whose payload stands elsewhere already is a revisit, and
 carries headers alone. The index has two levels: captures sorted by key (the URL with its host reversed) are
 packed into compressed blocks of ``BLOCK`` lines, and a sparse directory keeps the first key of each block
-with the block's place. A lookup finds the block by binary search in the directory, reads its range,
-finds the capture by binary search in the block, and reads the record's range.
+with the block's place. The directory is as many sorted files as tasks wrote index files; a short list names each with
+its first key. A lookup finds file and block by binary search, reads the block's range, finds the capture by binary
+search in the block, and reads the record's range. No one holds the whole directory.
 
 Files get names of their own from each task; only those that a written manifest names count, so lost
 executors and second attempts do no harm.
@@ -148,67 +149,64 @@ def write_archives(pages: DataFrame, out: str, least: int = 0) -> DataFrame:
     return materialize(met.mapInArrow(run, "key string, page_id long, path string, offset long, length long"), "warc-captures")
 
 
-_DIRECTORY = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("lines", pa.int32())])
+_DIRECTORY = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())])
+_PARTS = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("directory", pa.string()), ("path", pa.string())])
 
 
 def build_index(captures: DataFrame, out: str) -> DataFrame:
-    """Write the index blocks below ``out``; returns the directory, one row a block of ``BLOCK`` captures."""
+    """Write index blocks of ``BLOCK`` captures and their directories below ``out``; returns ``(key, page_id, directory, path)``, one row a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(out)
         fs.create_dir(root, recursive=True)
         path, sink, at = f"{root}/{uuid.uuid4().hex}.cdx.gz", None, 0
         held: list[tuple] = []
+        rows: list[list] = [[] for _ in _DIRECTORY]
 
-        def close() -> tuple:
+        def close() -> None:
             nonlocal sink, at
             if sink is None:
                 sink = fs.open_output_stream(path, compression=None)
             raw = zlib.compress("\n".join(json.dumps(x) for x in held).encode(), 6)
             sink.write(raw)
-            row = (held[0][0], held[0][1], path, at, len(raw), len(held))
+            for col, v in zip(rows, (held[0][0], held[0][1], at, len(raw)), strict=True):
+                col.append(v)
             at += len(raw)
             held.clear()
-            return row
 
         for b in batches:
-            done = []
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 held.append(row)
                 if len(held) == BLOCK:
-                    done.append(close())
-            yield batch(_DIRECTORY, [list(x) for x in zip(*done, strict=True)] or [[] for _ in _DIRECTORY])
+                    close()
         if held:
-            yield batch(_DIRECTORY, [[x] for x in close()])
+            close()
         if sink is not None:
             sink.close()
+            with pa.ipc.new_file(fs.open_output_stream(f"{path}.directory"), _DIRECTORY) as directory:
+                directory.write_batch(batch(_DIRECTORY, rows))
+            yield batch(_PARTS, [[rows[0][0]], [rows[1][0]], [f"{path}.directory"], [path]])
 
     rows = captures.select("key", "page_id", "path", "offset", "length").where("page_id is not null").repartitionByRange(shuffle_width(captures.sparkSession), "key", "page_id").sortWithinPartitions("key", "page_id")
-    return materialize(rows.mapInArrow(run, "key string, page_id long, path string, offset long, length long, lines int"), "warc-directory")
+    return materialize(rows.mapInArrow(run, "key string, page_id long, directory string, path string"), "warc-directory")
 
 
-def save_directory(directory: DataFrame, out: str) -> str:
-    """Write the directory as one sorted file. It has a row for each ``BLOCK`` captures; readers keep it open and search it."""
+def save_directory(parts: DataFrame, out: str) -> str:
+    """Write the list of the directory's files, a row a task of :func:`build_index`, in order."""
     fs, root = filesystem(out)
     fs.create_dir(root, recursive=True)
-    path = f"{root}/{uuid.uuid4().hex}.directory"
-    with pa.ipc.new_file(fs.open_output_stream(path), _DIRECTORY) as sink:
-        rows = []
-        for r in directory.orderBy("key", "page_id").toLocalIterator(prefetchPartitions=False):
-            rows.append(tuple(r))
-            if len(rows) == 4096:
-                sink.write_batch(batch(_DIRECTORY, [list(x) for x in zip(*rows, strict=True)]))
-                rows = []
-        sink.write_batch(batch(_DIRECTORY, [list(x) for x in zip(*rows, strict=True)] if rows else [[] for _ in _DIRECTORY]))
+    path = f"{root}/{uuid.uuid4().hex}.directories"
+    rows = [tuple(r) for r in parts.orderBy("key", "page_id").collect()]
+    with pa.ipc.new_file(fs.open_output_stream(path), _PARTS) as sink:
+        sink.write_batch(batch(_PARTS, [list(x) for x in zip(*rows, strict=True)] if rows else [[] for _ in _PARTS]))
     return path
 
 
 class _Entries:
-    """The directory file as a sequence of ``(key, page_id)``."""
+    """A sorted file of keys and ids as a sequence of ``(key, page_id)``, with what stands beside them."""
 
     def __init__(self, fs, path: str) -> None:
-        self.file = pa.ipc.open_file(fs.open_input_file(path))
-        self.table = self.file.read_all().combine_chunks()
+        self.table = pa.ipc.open_file(fs.open_input_file(path)).read_all().combine_chunks()
         self.keys, self.ids = self.table.column(0), self.table.column(1)
 
     def __len__(self) -> int:
@@ -217,8 +215,8 @@ class _Entries:
     def __getitem__(self, i: int) -> tuple[str, int]:
         return self.keys[i].as_py(), self.ids[i].as_py()
 
-    def place(self, i: int) -> tuple[str, int, int]:
-        return tuple(self.table.column(k)[i].as_py() for k in (2, 3, 4))
+    def place(self, i: int) -> tuple:
+        return tuple(self.table.column(k)[i].as_py() for k in (2, 3))
 
 
 class _Kept(OrderedDict):
@@ -234,29 +232,36 @@ class IndexReader:
 
     def __init__(self, directory: str, root: str) -> None:
         self.fs, _ = filesystem(root)
-        self.entries, self.blocks, self.records, self.open = _Entries(self.fs, directory), _Kept(), _Kept(), _Kept()
+        self.parts, self.entries, self.blocks, self.records, self.open = _Entries(self.fs, directory), _Kept(), _Kept(), _Kept(), _Kept()
 
     def _file(self, path: str):
         return self.open[path] if path in self.open else self.open.remember(path, self.fs.open_input_file(path))
 
-    def _block(self, i: int) -> list:
-        if i not in self.blocks:
-            path, offset, length = self.entries.place(i)
+    def _block(self, path: str, offset: int, length: int) -> list:
+        if (path, offset) not in self.blocks:
             lines = zlib.decompress(self._file(path).read_at(length, offset)).decode().split("\n")
-            self.blocks.remember(i, [json.loads(x) for x in lines])
-        return self.blocks[i]
+            self.blocks.remember((path, offset), [json.loads(x) for x in lines])
+        return self.blocks[path, offset]
+
+    def _blocks(self, low: tuple[str, int]) -> Iterator[tuple[str, tuple[str, int, int]]]:
+        """First key and place of each block from the one that can hold ``low`` on."""
+        for f in range(max(0, bisect.bisect_right(self.parts, low) - 1), len(self.parts)):
+            directory, path = self.parts.place(f)
+            own = self.entries[directory] if directory in self.entries else self.entries.remember(directory, _Entries(self.fs, directory))
+            for i in range(max(0, bisect.bisect_right(own, low) - 1), len(own)):
+                yield own[i][0], (path, *own.place(i))
 
     def captures(self, key: str, page_id: int | None = None) -> Iterator[tuple[int, str, int, int]]:
         """``(page_id, path, offset, length)`` of the captures with a key, all or that of one page."""
         low = (key, -(1 << 63) if page_id is None else page_id)
-        i = max(0, bisect.bisect_right(self.entries, low) - 1)
-        while i < len(self.entries) and self.entries[i][0] <= key:
-            lines = self._block(i)
+        for first, place in self._blocks(low):
+            if first > key:
+                return
+            lines = self._block(*place)
             for k, p, path, offset, length in lines[bisect.bisect_left(lines, list(low), key=lambda x: x[:2]) :]:
                 if k != key or (page_id is not None and p != page_id):
                     return
                 yield p, path, offset, length
-            i += 1
 
     def read(self, path: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:
         """The record at a place, by one range read."""
@@ -317,8 +322,8 @@ def lookup(spark: SparkSession, urls: DataFrame, directory: str, root: str, url_
         index = IndexReader(directory, root)
         for b in batches:
             rows: list[list] = [[] for _ in schema]
-            for url in sorted(b.column(0).to_pylist(), key=lambda u: capture_key(u)):
-                for found in index.captures(capture_key(url)):
+            for url in sorted(b.column(0).to_pylist(), key=lambda u: capture_key(_line(u))):
+                for found in index.captures(capture_key(_line(url))):
                     for col, v in zip(rows, (url, *found), strict=True):
                         col.append(v)
             yield batch(schema, rows)
