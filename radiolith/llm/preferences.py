@@ -50,21 +50,22 @@ def conversations(turns: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id").agg(ordered.alias("turns"))
 
 
-def swapped_replies(turns: DataFrame) -> DataFrame:
-    """Pairs ``(conv_id, chosen, rejected)``: each conversation up to its last assistant turn, and the same with
-    that turn's text replaced by the last assistant's text of its neighbour, the conversation whose id differs in the last bit.
+def exchanged_replies(turns: DataFrame) -> DataFrame:
+    """Pairs ``(conv_id, chosen, rejected)`` of neighbours, conversations whose ids differ in the last bit.
 
-    Without such a neighbour, or reply there, ``rejected`` ends before the turn. Conversations without an assistant turn make no pair.
+    ``chosen`` is a conversation up to its last assistant turn. ``rejected`` is the same up to one of its assistant turns, which
+    one goes by the id (half of it modulo their number), and there takes the neighbour's last assistant text and ends.
+    Conversations without an assistant turn, or whose neighbour is not there or has none, make no pair.
     """
     conv = conversations(turns)
-    last = F.size("turns") - F.array_position(F.transform(F.reverse("turns"), lambda t: F.coalesce(t["role"], F.lit("")) == "assistant"), True)
-    conv = conv.where(F.exists("turns", lambda t: t["role"] == "assistant")).withColumn("n", last.cast("int"))
-    conv = materialize(conv.select("conv_id", "n", F.slice("turns", 1, F.col("n") + 1).alias("chosen")), "pref-conversations")
-    reply = conv.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("to"), F.element_at("chosen", -1)["text"].alias("reply"), F.lit(True).alias("has"))
-    met = conv.join(reply, conv["conv_id"] == reply["to"], "left")
+    at = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["role"] == "assistant")
+    conv = conv.withColumn("at", at).where("size(at) > 0").withColumn("chosen", F.slice("turns", 1, F.element_at("at", -1)))
+    which = F.pmod(F.floor(F.col("conv_id") / 2), F.size("at")).cast("int") + 1
+    conv = materialize(conv.select("conv_id", "chosen", F.element_at("at", which).alias("n")), "pref-conversations")
+    reply = conv.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("to"), F.element_at("chosen", -1)["text"].alias("reply"))
+    met = conv.join(reply, conv["conv_id"] == reply["to"])
     other = F.struct(F.lit("assistant").alias("role"), F.col("reply").alias("text"))
-    before = F.slice("chosen", 1, F.col("n"))
-    return met.select("conv_id", "chosen", F.when(F.col("has"), F.array_append(before, other)).otherwise(before).alias("rejected"))
+    return met.select("conv_id", "chosen", F.array_append(F.slice("chosen", 1, F.col("n") - 1), other).alias("rejected"))
 
 
 def format_pairs(pairs: DataFrame, learn: str = "assistant", id_col: str = "conv_id") -> DataFrame:
@@ -89,11 +90,11 @@ ORACLE_SQL = """
 with c as (
   select conv_id, list(struct_pack(role := role, text := text) order by turn nulls first, role nulls first, text nulls first) as turns
   from conversations where conv_id is not null group by conv_id),
-l as (select conv_id, turns, list_max([i for i in range(1, len(turns) + 1) if turns[i].role = 'assistant']) as n from c),
-k as (select conv_id, n, turns[1:n] as a, turns[n].text as reply from l where n is not null),
+l as (select conv_id, turns, [i for i in range(1, len(turns) + 1) if turns[i].role = 'assistant'] as pos from c),
+k as (select conv_id, turns[1:pos[len(pos)]] as a, pos[conv_id // 2 % len(pos) + 1] as n, turns[pos[len(pos)]].text as reply from l where len(pos) > 0),
 p as (
-  select k.conv_id, k.a, case when o.conv_id is null then k.a[1:k.n - 1] else list_append(k.a[1:k.n - 1], struct_pack(role := 'assistant', text := o.reply)) end as b
-  from k left join k o on o.conv_id = xor(k.conv_id, 1)),
+  select k.conv_id, k.a, list_append(k.a[1:k.n - 1], struct_pack(role := 'assistant', text := o.reply)) as b
+  from k join k o on o.conv_id = xor(k.conv_id, 1)),
 d as (select *, list_min([i for i in range(1, len(a) + 1) if i > len(b) or a[i].role is distinct from b[i].role or a[i].text is distinct from b[i].text]) as first_off from p),
 m as (select conv_id, a, b, cast(case when first_off is null then len(a) else first_off - 1 end as integer) as n_common from d),
 r as (

@@ -38,7 +38,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preferences.format_pairs(preferences.swapped_replies(_table(spark, sf_dir, "conversations")))
+    return preferences.format_pairs(preferences.exchanged_replies(_table(spark, sf_dir, "conversations")))
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
