@@ -12,6 +12,7 @@ pass over the documents for each block.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -149,6 +150,17 @@ class Searcher:
         return out
 
 
+_SEARCHERS: dict[str, Searcher] = {}
+
+
+def searcher_of(name: str, held) -> Searcher:
+    """The worker's searcher of a broadcast block of the benchmark; a worker keeps the last one for its next task."""
+    if name not in _SEARCHERS:
+        _SEARCHERS.clear()
+        _SEARCHERS[name] = Searcher(*held.value)
+    return _SEARCHERS[name]
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_col: str = "text") -> DataFrame:
     """``(doc_id, item_id, distance, start, end)`` of each find, ``start`` and ``end`` being code points of the document.
 
@@ -160,10 +172,10 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, id_
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
 
     def passes(block: list[tuple[int, str]]) -> DataFrame:
-        held = spark.sparkContext.broadcast((block, rate))
+        held, name = spark.sparkContext.broadcast((block, rate)), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(*held.value)
+            searcher = searcher_of(name, held)
             for b in batches:
                 out: list[list] = [[] for _ in schema]
                 for doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
