@@ -10,42 +10,42 @@ from radiolith.functions.charset import WITHHELD
 
 # Warning codes and what each says here.
 MESSAGES = {
-    "DICOM_BOM_IN_TEXT_VR": "a byte order mark begins a text value",
-    "DICOM_BURNED_IN_ANNOTATION_NOT_REMOVED": "pixel data may show identity; pixels are not changed",
-    "DICOM_CHARSET_AMBIGUOUS_SEPARATOR": "a separator byte may be part of a character",
-    "DICOM_DA_LEGACY_FORMAT": "a date is in the dotted form or no date",
-    "DICOM_DEIDENT_EMBEDDED_ATTRIBUTE_REMOVED": "the value of {tag} held encoded attributes and was emptied",
-    "DICOM_DEIDENT_METHOD_NOT_ADDED": "the de-identification method could not be added",
-    "DICOM_DEIDENT_METHOD_NOT_LO": "the prior de-identification method was not LO",
-    "DICOM_DEIDENT_METHOD_PRIOR_RETAINED": "a prior de-identification method was kept",
-    "DICOM_DEIDENT_METHOD_VALUE_OVER_LENGTH": "a de-identification method value exceeds 64 bytes",
-    "DICOM_DEIDENT_PRIVATE_CARRIER_NOT_AUDITABLE": "a private element's content cannot be audited",
-    "DICOM_DEIDENT_SEQUENCE_NOT_AUDITABLE": "the items of {tag} cannot be audited; it was emptied",
-    "DICOM_DEIDENT_UNDEFINED_VR_NOT_AUDITABLE": "{tag} has no defined representation; it was emptied",
-    "DICOM_DT_NONSTANDARD_OFFSET": "a date-time offset is out of form or range",
-    "DICOM_DUPLICATE_FILE_META_ELEMENT": "a file meta element occurs again; the first counts",
-    "DICOM_DUPLICATE_TAG_IN_DATA_SET": "{tag} occurs again; the last counts",
-    "DICOM_EMPTY_ITEM_IN_SEQUENCE": "an item is empty",
-    "DICOM_FILE_META_GROUP_LENGTH_MISMATCH": "the file meta group length differs from its extent",
-    "DICOM_FILE_META_GROUP_LENGTH_MISSING": "the file meta group has no length",
-    "DICOM_GROUP_LENGTH_IN_DATASET": "{tag} is a group length in the data set",
-    "DICOM_IMPLICIT_VR_FOR_PRIVATE_TAG_WITHOUT_VR": "a private element has no known representation",
-    "DICOM_IS_NONINTEGER_VALUE": "an integer string is no integer",
-    "DICOM_ITEM_CROSSES_SEQUENCE_END": "an item ends after its sequence",
-    "DICOM_MISSING_PREAMBLE": "the file has no preamble",
-    "DICOM_NONZERO_RESERVED_BYTES": "reserved bytes of {tag} are not zero",
-    "DICOM_NON_ASCII_IN_ASCII_VR": "a value that must be ASCII is not",
-    "DICOM_ODD_LENGTH_VALUE_PADDED": "{tag} has an odd length",
-    "DICOM_PIXEL_DATA_LENGTH_MISMATCH": "pixel data has another length than the image needs",
-    "DICOM_PRIVATE_CREATOR_UNKNOWN": "no profile knows a private creator",
-    "DICOM_PRIVATE_TAG_NO_CREATOR": "a private element's block is not reserved",
-    "DICOM_SQ_NOT_DESCENDED": "the items of {tag} could not be read",
-    "DICOM_TRAILING_NULL_IN_TEXT_VR": "a text value is padded with NUL",
-    "DICOM_UI_TRAILING_SPACE": "a UID is padded with a space",
-    "DICOM_UNDEFINED_LENGTH_IN_EXPLICIT_VR": "{tag} has an undefined length",
-    "DICOM_UNSUPPORTED_CHARSET": "a character set is not known",
-    "DICOM_UN_PARSED_AS_SQ": "{tag} of unknown representation was read as a sequence",
-    "DICOM_VR_MISMATCH": "{tag} is of {vr}, not of the registered representation",
+    "BOM_IN_TEXT_VR": "a byte order mark begins a text value",
+    "BURNED_IN_ANNOTATION_NOT_REMOVED": "pixel data may show identity; pixels are not changed",
+    "CHARSET_AMBIGUOUS_SEPARATOR": "a separator byte may be part of a character",
+    "DA_LEGACY_FORMAT": "a date is in the dotted form or no date",
+    "DEIDENT_EMBEDDED_ATTRIBUTE_REMOVED": "the value of {tag} held encoded attributes and was emptied",
+    "DEIDENT_METHOD_NOT_ADDED": "the de-identification method could not be added",
+    "DEIDENT_METHOD_NOT_LO": "the prior de-identification method was not LO",
+    "DEIDENT_METHOD_PRIOR_RETAINED": "a prior de-identification method was kept",
+    "DEIDENT_METHOD_VALUE_OVER_LENGTH": "a de-identification method value exceeds 64 bytes",
+    "DEIDENT_PRIVATE_CARRIER_NOT_AUDITABLE": "a private element's content cannot be audited",
+    "DEIDENT_SEQUENCE_NOT_AUDITABLE": "the items of {tag} cannot be audited; it was emptied",
+    "DEIDENT_UNDEFINED_VR_NOT_AUDITABLE": "{tag} has no defined representation; it was emptied",
+    "DT_NONSTANDARD_OFFSET": "a date-time offset is out of form or range",
+    "DUPLICATE_FILE_META_ELEMENT": "a file meta element occurs again; the first counts",
+    "DUPLICATE_TAG_IN_DATA_SET": "{tag} occurs again; the last counts",
+    "EMPTY_ITEM_IN_SEQUENCE": "an item is empty",
+    "FILE_META_GROUP_LENGTH_MISMATCH": "the file meta group length differs from its extent",
+    "FILE_META_GROUP_LENGTH_MISSING": "the file meta group has no length",
+    "GROUP_LENGTH_IN_DATASET": "{tag} is a group length in the data set",
+    "IMPLICIT_VR_FOR_PRIVATE_TAG_WITHOUT_VR": "a private element has no known representation",
+    "IS_NONINTEGER_VALUE": "an integer string is no integer",
+    "ITEM_CROSSES_SEQUENCE_END": "an item ends after its sequence",
+    "MISSING_PREAMBLE": "the file has no preamble",
+    "NONZERO_RESERVED_BYTES": "reserved bytes of {tag} are not zero",
+    "NON_ASCII_IN_ASCII_VR": "a value that must be ASCII is not",
+    "ODD_LENGTH_VALUE_PADDED": "{tag} has an odd length",
+    "PIXEL_DATA_LENGTH_MISMATCH": "pixel data has another length than the image needs",
+    "PRIVATE_CREATOR_UNKNOWN": "no profile knows a private creator",
+    "PRIVATE_TAG_NO_CREATOR": "a private element's block is not reserved",
+    "SQ_NOT_DESCENDED": "the items of {tag} could not be read",
+    "TRAILING_NULL_IN_TEXT_VR": "a text value is padded with NUL",
+    "UI_TRAILING_SPACE": "a UID is padded with a space",
+    "UNDEFINED_LENGTH_IN_EXPLICIT_VR": "{tag} has an undefined length",
+    "UNSUPPORTED_CHARSET": "a character set is not known",
+    "UN_PARSED_AS_SQ": "{tag} of unknown representation was read as a sequence",
+    "VR_MISMATCH": "{tag} is of {vr}, not of the registered representation",
 }
 CODES = frozenset(MESSAGES)
 
@@ -74,7 +74,7 @@ def apply_profile(warnings: DataFrame, escalate: frozenset[str] = frozenset(), s
 
 def structural_warnings(elements: DataFrame) -> DataFrame:
     """Odd lengths and group lengths within a data set, from the element table."""
-    code = F.array_compact(F.array(F.when(F.col("length") % 2 == 1, "DICOM_ODD_LENGTH_VALUE_PADDED"), F.when((F.substring("tag", 5, 4) == "0000") & (F.substring("tag", 1, 4) != "0002"), "DICOM_GROUP_LENGTH_IN_DATASET")))
+    code = F.array_compact(F.array(F.when(F.col("length") % 2 == 1, "ODD_LENGTH_VALUE_PADDED"), F.when((F.substring("tag", 5, 4) == "0000") & (F.substring("tag", 1, 4) != "0002"), "GROUP_LENGTH_IN_DATASET")))
     return elements.select("object_id", "ord", "tag", "vr", F.explode(code).alias("code"))
 
 
@@ -88,13 +88,13 @@ def value_warnings(vr: Column, value: Column) -> Column:
     """Codes that the decoding of one value gives, in order of code."""
     text = vr.isin(*V.TEXTS, *V.CHARSET_LISTS, "PN")
     found = [
-        (text & value.startswith("﻿"), "DICOM_BOM_IN_TEXT_VR"),
-        ((vr == "DA") & F.exists(V.tokens(value), lambda t: V.parse_date(t)["legacy"]), "DICOM_DA_LEGACY_FORMAT"),
-        ((vr == "DT") & F.exists(V.tokens(value), lambda t: V.parse_date_time(t)["odd_offset"]), "DICOM_DT_NONSTANDARD_OFFSET"),
-        ((vr == "IS") & F.exists(V.tokens(value), lambda t: (t != "") & V.integer_string(t).isNull()), "DICOM_IS_NONINTEGER_VALUE"),
-        (vr.isin(*V.ASCII_LISTS, "UR", "DA", "TM", "DT", "DS", "IS") & V.non_ascii(value), "DICOM_NON_ASCII_IN_ASCII_VR"),
-        ((vr != "UI") & ~vr.isin(*V.BINARY) & V.trailing_null(value), "DICOM_TRAILING_NULL_IN_TEXT_VR"),
-        ((vr == "UI") & V.ui_trailing_space(value), "DICOM_UI_TRAILING_SPACE"),
+        (text & value.startswith("﻿"), "BOM_IN_TEXT_VR"),
+        ((vr == "DA") & F.exists(V.tokens(value), lambda t: V.parse_date(t)["legacy"]), "DA_LEGACY_FORMAT"),
+        ((vr == "DT") & F.exists(V.tokens(value), lambda t: V.parse_date_time(t)["odd_offset"]), "DT_NONSTANDARD_OFFSET"),
+        ((vr == "IS") & F.exists(V.tokens(value), lambda t: (t != "") & V.integer_string(t).isNull()), "IS_NONINTEGER_VALUE"),
+        (vr.isin(*V.ASCII_LISTS, "UR", "DA", "TM", "DT", "DS", "IS") & V.non_ascii(value), "NON_ASCII_IN_ASCII_VR"),
+        ((vr != "UI") & ~vr.isin(*V.BINARY) & V.trailing_null(value), "TRAILING_NULL_IN_TEXT_VR"),
+        ((vr == "UI") & V.ui_trailing_space(value), "UI_TRAILING_SPACE"),
     ]
     return F.array_compact(F.array(*[F.when(c, F.lit(code)) for c, code in found]))
 

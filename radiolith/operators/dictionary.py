@@ -1,606 +1,24 @@
 """Registries as small dimension tables, and lookups as left joins against them.
 
-The actions and UIDs are the whole published tables: 652 tags and 3 masks, 494 UIDs. The built-in attributes are those that
-the views, the de-identification of patient, study and series and the profiles need. The published registry of these is
-larger: give it as a table to the same functions (``attributes``, as ``uids`` and ``actions``) and every lookup uses that instead.
+They are plain text files, one row a line, in ``radiolith/data``; every function takes the path of another. The actions and UIDs
+are the whole published tables: 652 tags and 3 masks, 494 UIDs. The built-in attributes are those that the views, the
+de-identification and the profiles need; the published registry is larger and can be given in the same form.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radiolith.functions import tags as T
 
-# Fixed values from the public attribute registry: tag, representation, keyword.
-ATTRIBUTES = """
-00020000 UL FileMetaInformationGroupLength|00020001 OB FileMetaInformationVersion|00020002 UI MediaStorageSOPClassUID|00020003 UI MediaStorageSOPInstanceUID|00020010 UI TransferSyntaxUID|00020012 UI ImplementationClassUID
-00020013 SH ImplementationVersionName|00020016 AE SourceApplicationEntityTitle|00080005 CS SpecificCharacterSet|00080008 CS ImageType|00080012 DA InstanceCreationDate|00080013 TM InstanceCreationTime|00080016 UI SOPClassUID
-00080018 UI SOPInstanceUID|00080020 DA StudyDate|00080021 DA SeriesDate|00080022 DA AcquisitionDate|00080023 DA ContentDate|0008002A DT AcquisitionDateTime|00080030 TM StudyTime|00080031 TM SeriesTime|00080032 TM AcquisitionTime
-00080033 TM ContentTime|00080050 SH AccessionNumber|00080060 CS Modality|00080070 LO Manufacturer|00080080 LO InstitutionName|00080081 ST InstitutionAddress|00080090 PN ReferringPhysicianName|00080100 SH CodeValue
-00080102 SH CodingSchemeDesignator|00080104 LO CodeMeaning|00081010 SH StationName|00081030 LO StudyDescription|0008103E LO SeriesDescription|00081040 LO InstitutionalDepartmentName|00081048 PN PhysiciansOfRecord
-00081050 PN PerformingPhysicianName|00081070 PN OperatorsName|00081090 LO ManufacturerModelName|00081110 SQ ReferencedStudySequence|00081111 SQ ReferencedPerformedProcedureStepSequence|00081115 SQ ReferencedSeriesSequence
-00081140 SQ ReferencedImageSequence|00081150 UI ReferencedSOPClassUID|00081155 UI ReferencedSOPInstanceUID|00082112 SQ SourceImageSequence|00100010 PN PatientName|00100020 LO PatientID|00100021 LO IssuerOfPatientID
-00100022 CS TypeOfPatientID|00100024 SQ IssuerOfPatientIDQualifiersSequence|00100030 DA PatientBirthDate|00100032 TM PatientBirthTime|00100040 CS PatientSex|00101000 LO OtherPatientIDs|00101001 PN OtherPatientNames
-00101002 SQ OtherPatientIDsSequence|00101010 AS PatientAge|00101020 DS PatientSize|00101030 DS PatientWeight|00101040 LO PatientAddress|00102154 SH PatientTelephoneNumbers|00102160 SH EthnicGroup|001021B0 LT AdditionalPatientHistory
-00104000 LT PatientComments|00120062 CS PatientIdentityRemoved|00120063 LO DeidentificationMethod|00180015 CS BodyPartExamined|00180050 DS SliceThickness|00180088 DS SpacingBetweenSlices|00181000 LO DeviceSerialNumber
-00181030 LO ProtocolName|00181164 DS ImagerPixelSpacing|00182010 DS NominalScannedPixelSpacing|0020000D UI StudyInstanceUID|0020000E UI SeriesInstanceUID|00200010 SH StudyID|00200011 IS SeriesNumber|00200013 IS InstanceNumber
-00200032 DS ImagePositionPatient|00200037 DS ImageOrientationPatient|00200052 UI FrameOfReferenceUID|00204000 LT ImageComments|00209113 SQ PlanePositionSequence|00209116 SQ PlaneOrientationSequence|00280002 US SamplesPerPixel
-00280004 CS PhotometricInterpretation|00280006 US PlanarConfiguration|00280008 IS NumberOfFrames|00280010 US Rows|00280011 US Columns|00280030 DS PixelSpacing|00280100 US BitsAllocated|00280101 US BitsStored|00280102 US HighBit
-00280103 US PixelRepresentation|00280301 CS BurnedInAnnotation|00281050 DS WindowCenter|00281051 DS WindowWidth|00281052 DS RescaleIntercept|00281053 DS RescaleSlope|00281054 LO RescaleType|00283000 SQ ModalityLUTSequence
-00283010 SQ VOILUTSequence|00289110 SQ PixelMeasuresSequence|00289132 SQ FrameVOILUTSequence|00289145 SQ PixelValueTransformationSequence|004008EA SQ MeasurementUnitsCodeSequence|00409096 SQ RealWorldValueMappingSequence
-00409224 FD RealWorldValueIntercept|00409225 FD RealWorldValueSlope|0040A043 SQ ConceptNameCodeSequence|0040A160 UT TextValue|0040A730 SQ ContentSequence|00541001 CS Units|40004000 LT TextComments
-52009229 SQ SharedFunctionalGroupsSequence|52009230 SQ PerFrameFunctionalGroupsSequence|7FE00010 OW PixelData
-"""
 #: Families of repeating groups: ``x`` stands for any hexadecimal digit.
 FAMILIES = "50xx0005 US CurveDimensions|50xx3000 OW CurveData|60xx0010 US OverlayRows|60xx0011 US OverlayColumns|60xx0040 CS OverlayType|60xx0050 SS OverlayOrigin|60xx0100 US OverlayBitsAllocated|60xx3000 OW OverlayData|60xx4000 LT OverlayComments"
 
-# Fixed values from the public UID registry: uid, type, name.
-UIDS = """
-1.2.840.10008.1.1|SOPClass|Verification SOP Class
-1.2.840.10008.1.2|TransferSyntax|Implicit VR Little Endian: Default Transfer Syntax for DICOM
-1.2.840.10008.1.2.1|TransferSyntax|Explicit VR Little Endian
-1.2.840.10008.1.2.1.98|TransferSyntax|Encapsulated Uncompressed Explicit VR Little Endian
-1.2.840.10008.1.2.1.99|TransferSyntax|Deflated Explicit VR Little Endian
-1.2.840.10008.1.2.2|TransferSyntax|Explicit VR Big Endian (Retired)
-1.2.840.10008.1.2.4.50|TransferSyntax|JPEG Baseline (Process 1)
-1.2.840.10008.1.2.4.51|TransferSyntax|JPEG Extended (Process 2 & 4)
-1.2.840.10008.1.2.4.52|TransferSyntax|JPEG Extended (Process 3 & 5)
-1.2.840.10008.1.2.4.53|TransferSyntax|JPEG Spectral Selection, Non-Hierarchical (Process 6 & 8)
-1.2.840.10008.1.2.4.54|TransferSyntax|JPEG Spectral Selection, Non-Hierarchical (Process 7 & 9)
-1.2.840.10008.1.2.4.55|TransferSyntax|JPEG Full Progression, Non-Hierarchical (Process 10 & 12)
-1.2.840.10008.1.2.4.56|TransferSyntax|JPEG Full Progression, Non-Hierarchical (Process 11 & 13)
-1.2.840.10008.1.2.4.57|TransferSyntax|JPEG Lossless, Non-Hierarchical (Process 14)
-1.2.840.10008.1.2.4.58|TransferSyntax|JPEG Lossless, Non-Hierarchical (Process 15)
-1.2.840.10008.1.2.4.59|TransferSyntax|JPEG Extended, Hierarchical (Process 16 & 18)
-1.2.840.10008.1.2.4.60|TransferSyntax|JPEG Extended, Hierarchical (Process 17 & 19)
-1.2.840.10008.1.2.4.61|TransferSyntax|JPEG Spectral Selection, Hierarchical (Process 20 & 22)
-1.2.840.10008.1.2.4.62|TransferSyntax|JPEG Spectral Selection, Hierarchical (Process 21 & 23)
-1.2.840.10008.1.2.4.63|TransferSyntax|JPEG Full Progression, Hierarchical (Process 24 & 26)
-1.2.840.10008.1.2.4.64|TransferSyntax|JPEG Full Progression, Hierarchical (Process 25 & 27)
-1.2.840.10008.1.2.4.65|TransferSyntax|JPEG Lossless, Hierarchical (Process 28)
-1.2.840.10008.1.2.4.66|TransferSyntax|JPEG Lossless, Hierarchical (Process 29)
-1.2.840.10008.1.2.4.70|TransferSyntax|JPEG Lossless, Non-Hierarchical, First-Order Prediction (Process 14 [Selection Value 1])
-1.2.840.10008.1.2.4.80|TransferSyntax|JPEG-LS Lossless Image Compression
-1.2.840.10008.1.2.4.81|TransferSyntax|JPEG-LS Lossy (Near-Lossless) Image Compression
-1.2.840.10008.1.2.4.90|TransferSyntax|JPEG 2000 Image Compression (Lossless Only)
-1.2.840.10008.1.2.4.91|TransferSyntax|JPEG 2000 Image Compression
-1.2.840.10008.1.2.4.92|TransferSyntax|JPEG 2000 Part 2 Multi-component Image Compression (Lossless Only)
-1.2.840.10008.1.2.4.93|TransferSyntax|JPEG 2000 Part 2 Multi-component Image Compression
-1.2.840.10008.1.2.4.94|TransferSyntax|JPIP Referenced
-1.2.840.10008.1.2.4.95|TransferSyntax|JPIP Referenced Deflate
-1.2.840.10008.1.2.4.100|TransferSyntax|MPEG2 Main Profile / Main Level
-1.2.840.10008.1.2.4.100.1|TransferSyntax|Fragmentable MPEG2 Main Profile / Main Level
-1.2.840.10008.1.2.4.101|TransferSyntax|MPEG2 Main Profile / High Level
-1.2.840.10008.1.2.4.101.1|TransferSyntax|Fragmentable MPEG2 Main Profile / High Level
-1.2.840.10008.1.2.4.102|TransferSyntax|MPEG-4 AVC/H.264 High Profile / Level 4.1
-1.2.840.10008.1.2.4.102.1|TransferSyntax|Fragmentable MPEG-4 AVC/H.264 High Profile / Level 4.1
-1.2.840.10008.1.2.4.103|TransferSyntax|MPEG-4 AVC/H.264 BD-compatible High Profile / Level 4.1
-1.2.840.10008.1.2.4.103.1|TransferSyntax|Fragmentable MPEG-4 AVC/H.264 BD-compatible High Profile / Level 4.1
-1.2.840.10008.1.2.4.104|TransferSyntax|MPEG-4 AVC/H.264 High Profile / Level 4.2 For 2D Video
-1.2.840.10008.1.2.4.104.1|TransferSyntax|Fragmentable MPEG-4 AVC/H.264 High Profile / Level 4.2 For 2D Video
-1.2.840.10008.1.2.4.105|TransferSyntax|MPEG-4 AVC/H.264 High Profile / Level 4.2 For 3D Video
-1.2.840.10008.1.2.4.105.1|TransferSyntax|Fragmentable MPEG-4 AVC/H.264 High Profile / Level 4.2 For 3D Video
-1.2.840.10008.1.2.4.106|TransferSyntax|MPEG-4 AVC/H.264 Stereo High Profile / Level 4.2
-1.2.840.10008.1.2.4.106.1|TransferSyntax|Fragmentable MPEG-4 AVC/H.264 Stereo High Profile / Level 4.2
-1.2.840.10008.1.2.4.107|TransferSyntax|HEVC/H.265 Main Profile / Level 5.1
-1.2.840.10008.1.2.4.108|TransferSyntax|HEVC/H.265 Main 10 Profile / Level 5.1
-1.2.840.10008.1.2.4.110|TransferSyntax|JPEG XL Lossless
-1.2.840.10008.1.2.4.111|TransferSyntax|JPEG XL JPEG Recompression
-1.2.840.10008.1.2.4.112|TransferSyntax|JPEG XL
-1.2.840.10008.1.2.4.201|TransferSyntax|High-Throughput JPEG 2000 Image Compression (Lossless Only)
-1.2.840.10008.1.2.4.202|TransferSyntax|High-Throughput JPEG 2000 with RPCL Options Image Compression (Lossless Only)
-1.2.840.10008.1.2.4.203|TransferSyntax|High-Throughput JPEG 2000 Image Compression
-1.2.840.10008.1.2.4.204|TransferSyntax|JPIP HTJ2K Referenced
-1.2.840.10008.1.2.4.205|TransferSyntax|JPIP HTJ2K Referenced Deflate
-1.2.840.10008.1.2.5|TransferSyntax|RLE Lossless
-1.2.840.10008.1.2.6.1|TransferSyntax|RFC 2557 MIME encapsulation
-1.2.840.10008.1.2.6.2|TransferSyntax|XML Encoding
-1.2.840.10008.1.2.7.1|TransferSyntax|SMPTE ST 2110-20 Uncompressed Progressive Active Video
-1.2.840.10008.1.2.7.2|TransferSyntax|SMPTE ST 2110-20 Uncompressed Interlaced Active Video
-1.2.840.10008.1.2.7.3|TransferSyntax|SMPTE ST 2110-30 PCM Digital Audio
-1.2.840.10008.1.2.8.1|TransferSyntax|Deflated Image Frame Compression
-1.2.840.10008.1.3.10|SOPClass|Media Storage Directory Storage
-1.2.840.10008.1.4.1.1|WellKnownFrameOfReference|Talairach Brain Atlas Frame of Reference
-1.2.840.10008.1.4.1.2|WellKnownFrameOfReference|SPM2 T1 Frame of Reference
-1.2.840.10008.1.4.1.3|WellKnownFrameOfReference|SPM2 T2 Frame of Reference
-1.2.840.10008.1.4.1.4|WellKnownFrameOfReference|SPM2 PD Frame of Reference
-1.2.840.10008.1.4.1.5|WellKnownFrameOfReference|SPM2 EPI Frame of Reference
-1.2.840.10008.1.4.1.6|WellKnownFrameOfReference|SPM2 FIL T1 Frame of Reference
-1.2.840.10008.1.4.1.7|WellKnownFrameOfReference|SPM2 PET Frame of Reference
-1.2.840.10008.1.4.1.8|WellKnownFrameOfReference|SPM2 TRANSM Frame of Reference
-1.2.840.10008.1.4.1.9|WellKnownFrameOfReference|SPM2 SPECT Frame of Reference
-1.2.840.10008.1.4.1.10|WellKnownFrameOfReference|SPM2 GRAY Frame of Reference
-1.2.840.10008.1.4.1.11|WellKnownFrameOfReference|SPM2 WHITE Frame of Reference
-1.2.840.10008.1.4.1.12|WellKnownFrameOfReference|SPM2 CSF Frame of Reference
-1.2.840.10008.1.4.1.13|WellKnownFrameOfReference|SPM2 BRAINMASK Frame of Reference
-1.2.840.10008.1.4.1.14|WellKnownFrameOfReference|SPM2 AVG305T1 Frame of Reference
-1.2.840.10008.1.4.1.15|WellKnownFrameOfReference|SPM2 AVG152T1 Frame of Reference
-1.2.840.10008.1.4.1.16|WellKnownFrameOfReference|SPM2 AVG152T2 Frame of Reference
-1.2.840.10008.1.4.1.17|WellKnownFrameOfReference|SPM2 AVG152PD Frame of Reference
-1.2.840.10008.1.4.1.18|WellKnownFrameOfReference|SPM2 SINGLESUBJT1 Frame of Reference
-1.2.840.10008.1.4.2.1|WellKnownFrameOfReference|ICBM 452 T1 Frame of Reference
-1.2.840.10008.1.4.2.2|WellKnownFrameOfReference|ICBM Single Subject MRI Frame of Reference
-1.2.840.10008.1.4.3.1|WellKnownFrameOfReference|IEC 61217 Fixed Coordinate System Frame of Reference
-1.2.840.10008.1.4.3.2|WellKnownFrameOfReference|Standard Robotic-Arm Coordinate System Frame of Reference
-1.2.840.10008.1.4.3.3|WellKnownFrameOfReference|IEC 61217 Table Top Coordinate System Frame of Reference
-1.2.840.10008.1.4.4.1|WellKnownFrameOfReference|SRI24 Frame of Reference
-1.2.840.10008.1.4.5.1|WellKnownFrameOfReference|Colin27 Frame of Reference
-1.2.840.10008.1.4.6.1|WellKnownFrameOfReference|LPBA40/AIR Frame of Reference
-1.2.840.10008.1.4.6.2|WellKnownFrameOfReference|LPBA40/FLIRT Frame of Reference
-1.2.840.10008.1.4.6.3|WellKnownFrameOfReference|LPBA40/SPM5 Frame of Reference
-1.2.840.10008.1.5.1|WellKnownSOPInstance|Hot Iron Color Palette SOP Instance
-1.2.840.10008.1.5.2|WellKnownSOPInstance|PET Color Palette SOP Instance
-1.2.840.10008.1.5.3|WellKnownSOPInstance|Hot Metal Blue Color Palette SOP Instance
-1.2.840.10008.1.5.4|WellKnownSOPInstance|PET 20 Step Color Palette SOP Instance
-1.2.840.10008.1.5.5|WellKnownSOPInstance|Spring Color Palette SOP Instance
-1.2.840.10008.1.5.6|WellKnownSOPInstance|Summer Color Palette SOP Instance
-1.2.840.10008.1.5.7|WellKnownSOPInstance|Fall Color Palette SOP Instance
-1.2.840.10008.1.5.8|WellKnownSOPInstance|Winter Color Palette SOP Instance
-1.2.840.10008.1.9|SOPClass|Basic Study Content Notification SOP Class
-1.2.840.10008.1.20|TransferSyntax|Papyrus 3 Implicit VR Little Endian
-1.2.840.10008.1.20.1|SOPClass|Storage Commitment Push Model SOP Class
-1.2.840.10008.1.20.1.1|WellKnownSOPInstance|Storage Commitment Push Model SOP Instance
-1.2.840.10008.1.20.2|SOPClass|Storage Commitment Pull Model SOP Class
-1.2.840.10008.1.20.2.1|WellKnownSOPInstance|Storage Commitment Pull Model SOP Instance
-1.2.840.10008.1.40|SOPClass|Procedural Event Logging SOP Class
-1.2.840.10008.1.40.1|WellKnownSOPInstance|Procedural Event Logging SOP Instance
-1.2.840.10008.1.42|SOPClass|Substance Administration Logging SOP Class
-1.2.840.10008.1.42.1|WellKnownSOPInstance|Substance Administration Logging SOP Instance
-1.2.840.10008.2.6.1|CodingScheme|DICOM UID Registry
-1.2.840.10008.2.16.4|CodingScheme|DICOM Controlled Terminology
-1.2.840.10008.2.16.5|CodingScheme|Adult Mouse Anatomy Ontology
-1.2.840.10008.2.16.6|CodingScheme|Uberon Ontology
-1.2.840.10008.2.16.7|CodingScheme|Integrated Taxonomic Information System (ITIS) Taxonomic Serial Number (TSN)
-1.2.840.10008.2.16.8|CodingScheme|Mouse Genome Initiative (MGI)
-1.2.840.10008.2.16.9|CodingScheme|PubChem Compound CID
-1.2.840.10008.2.16.10|CodingScheme|Dublin Core
-1.2.840.10008.2.16.11|CodingScheme|New York University Melanoma Clinical Cooperative Group
-1.2.840.10008.2.16.12|CodingScheme|Mayo Clinic Non-radiological Images Specific Body Structure Anatomical Surface Region Guide
-1.2.840.10008.2.16.13|CodingScheme|Image Biomarker Standardisation Initiative
-1.2.840.10008.2.16.14|CodingScheme|Radiomics Ontology
-1.2.840.10008.2.16.15|CodingScheme|RadElement
-1.2.840.10008.2.16.16|CodingScheme|ICD-11
-1.2.840.10008.2.16.17|CodingScheme|Unified numbering system (UNS) for metals and alloys
-1.2.840.10008.2.16.18|CodingScheme|Research Resource Identification
-1.2.840.10008.3.1.1.1|ApplicationContext|DICOM Application Context Name
-1.2.840.10008.3.1.2.1.1|SOPClass|Detached Patient Management SOP Class
-1.2.840.10008.3.1.2.1.4|MetaSOPClass|Detached Patient Management Meta SOP Class
-1.2.840.10008.3.1.2.2.1|SOPClass|Detached Visit Management SOP Class
-1.2.840.10008.3.1.2.3.1|SOPClass|Detached Study Management SOP Class
-1.2.840.10008.3.1.2.3.2|SOPClass|Study Component Management SOP Class
-1.2.840.10008.3.1.2.3.3|SOPClass|Modality Performed Procedure Step SOP Class
-1.2.840.10008.3.1.2.3.4|SOPClass|Modality Performed Procedure Step Retrieve SOP Class
-1.2.840.10008.3.1.2.3.5|SOPClass|Modality Performed Procedure Step Notification SOP Class
-1.2.840.10008.3.1.2.5.1|SOPClass|Detached Results Management SOP Class
-1.2.840.10008.3.1.2.5.4|MetaSOPClass|Detached Results Management Meta SOP Class
-1.2.840.10008.3.1.2.5.5|MetaSOPClass|Detached Study Management Meta SOP Class
-1.2.840.10008.3.1.2.6.1|SOPClass|Detached Interpretation Management SOP Class
-1.2.840.10008.4.2|ServiceClass|Storage Service Class
-1.2.840.10008.5.1.1.1|SOPClass|Basic Film Session SOP Class
-1.2.840.10008.5.1.1.2|SOPClass|Basic Film Box SOP Class
-1.2.840.10008.5.1.1.4|SOPClass|Basic Grayscale Image Box SOP Class
-1.2.840.10008.5.1.1.4.1|SOPClass|Basic Color Image Box SOP Class
-1.2.840.10008.5.1.1.4.2|SOPClass|Referenced Image Box SOP Class
-1.2.840.10008.5.1.1.9|MetaSOPClass|Basic Grayscale Print Management Meta SOP Class
-1.2.840.10008.5.1.1.9.1|MetaSOPClass|Referenced Grayscale Print Management Meta SOP Class
-1.2.840.10008.5.1.1.14|SOPClass|Print Job SOP Class
-1.2.840.10008.5.1.1.15|SOPClass|Basic Annotation Box SOP Class
-1.2.840.10008.5.1.1.16|SOPClass|Printer SOP Class
-1.2.840.10008.5.1.1.16.376|SOPClass|Printer Configuration Retrieval SOP Class
-1.2.840.10008.5.1.1.17|WellKnownSOPInstance|Printer SOP Instance
-1.2.840.10008.5.1.1.17.376|WellKnownSOPInstance|Printer Configuration Retrieval SOP Instance
-1.2.840.10008.5.1.1.18|MetaSOPClass|Basic Color Print Management Meta SOP Class
-1.2.840.10008.5.1.1.18.1|MetaSOPClass|Referenced Color Print Management Meta SOP Class
-1.2.840.10008.5.1.1.22|SOPClass|VOI LUT Box SOP Class
-1.2.840.10008.5.1.1.23|SOPClass|Presentation LUT SOP Class
-1.2.840.10008.5.1.1.24|SOPClass|Image Overlay Box SOP Class
-1.2.840.10008.5.1.1.24.1|SOPClass|Basic Print Image Overlay Box SOP Class
-1.2.840.10008.5.1.1.25|WellKnownSOPInstance|Print Queue SOP Instance
-1.2.840.10008.5.1.1.26|SOPClass|Print Queue Management SOP Class
-1.2.840.10008.5.1.1.27|SOPClass|Stored Print Storage SOP Class
-1.2.840.10008.5.1.1.29|SOPClass|Hardcopy Grayscale Image Storage SOP Class
-1.2.840.10008.5.1.1.30|SOPClass|Hardcopy Color Image Storage SOP Class
-1.2.840.10008.5.1.1.31|SOPClass|Pull Print Request SOP Class
-1.2.840.10008.5.1.1.32|MetaSOPClass|Pull Stored Print Management Meta SOP Class
-1.2.840.10008.5.1.1.33|SOPClass|Media Creation Management SOP Class UID
-1.2.840.10008.5.1.1.40|SOPClass|Display System SOP Class
-1.2.840.10008.5.1.1.40.1|WellKnownSOPInstance|Display System SOP Instance
-1.2.840.10008.5.1.4.1.1.1|SOPClass|Computed Radiography Image Storage
-1.2.840.10008.5.1.4.1.1.1.1|SOPClass|Digital X-Ray Image Storage - For Presentation
-1.2.840.10008.5.1.4.1.1.1.1.1|SOPClass|Digital X-Ray Image Storage - For Processing
-1.2.840.10008.5.1.4.1.1.1.2|SOPClass|Digital Mammography X-Ray Image Storage - For Presentation
-1.2.840.10008.5.1.4.1.1.1.2.1|SOPClass|Digital Mammography X-Ray Image Storage - For Processing
-1.2.840.10008.5.1.4.1.1.1.3|SOPClass|Digital Intra-Oral X-Ray Image Storage - For Presentation
-1.2.840.10008.5.1.4.1.1.1.3.1|SOPClass|Digital Intra-Oral X-Ray Image Storage - For Processing
-1.2.840.10008.5.1.4.1.1.2|SOPClass|CT Image Storage
-1.2.840.10008.5.1.4.1.1.2.1|SOPClass|Enhanced CT Image Storage
-1.2.840.10008.5.1.4.1.1.2.2|SOPClass|Legacy Converted Enhanced CT Image Storage
-1.2.840.10008.5.1.4.1.1.2.3|SOPClass|CT Image Storage - For Processing
-1.2.840.10008.5.1.4.1.1.2.4|SOPClass|Enhanced CT Image Storage - For Processing
-1.2.840.10008.5.1.4.1.1.2.5|SOPClass|Legacy Converted Enhanced CT Image Storage - For Processing
-1.2.840.10008.5.1.4.1.1.3|SOPClass|Ultrasound Multi-frame Image Storage
-1.2.840.10008.5.1.4.1.1.3.1|SOPClass|Ultrasound Multi-frame Image Storage
-1.2.840.10008.5.1.4.1.1.4|SOPClass|MR Image Storage
-1.2.840.10008.5.1.4.1.1.4.1|SOPClass|Enhanced MR Image Storage
-1.2.840.10008.5.1.4.1.1.4.2|SOPClass|MR Spectroscopy Storage
-1.2.840.10008.5.1.4.1.1.4.3|SOPClass|Enhanced MR Color Image Storage
-1.2.840.10008.5.1.4.1.1.4.4|SOPClass|Legacy Converted Enhanced MR Image Storage
-1.2.840.10008.5.1.4.1.1.5|SOPClass|Nuclear Medicine Image Storage
-1.2.840.10008.5.1.4.1.1.6|SOPClass|Ultrasound Image Storage
-1.2.840.10008.5.1.4.1.1.6.1|SOPClass|Ultrasound Image Storage
-1.2.840.10008.5.1.4.1.1.6.2|SOPClass|Enhanced US Volume Storage
-1.2.840.10008.5.1.4.1.1.6.3|SOPClass|Photoacoustic Image Storage
-1.2.840.10008.5.1.4.1.1.7|SOPClass|Secondary Capture Image Storage
-1.2.840.10008.5.1.4.1.1.7.1|SOPClass|Multi-frame Single Bit Secondary Capture Image Storage
-1.2.840.10008.5.1.4.1.1.7.2|SOPClass|Multi-frame Grayscale Byte Secondary Capture Image Storage
-1.2.840.10008.5.1.4.1.1.7.3|SOPClass|Multi-frame Grayscale Word Secondary Capture Image Storage
-1.2.840.10008.5.1.4.1.1.7.4|SOPClass|Multi-frame True Color Secondary Capture Image Storage
-1.2.840.10008.5.1.4.1.1.8|SOPClass|Standalone Overlay Storage
-1.2.840.10008.5.1.4.1.1.9|SOPClass|Standalone Curve Storage
-1.2.840.10008.5.1.4.1.1.9.1|SOPClass|Waveform Storage - Trial
-1.2.840.10008.5.1.4.1.1.9.1.1|SOPClass|12-lead ECG Waveform Storage
-1.2.840.10008.5.1.4.1.1.9.1.2|SOPClass|General ECG Waveform Storage
-1.2.840.10008.5.1.4.1.1.9.1.3|SOPClass|Ambulatory ECG Waveform Storage
-1.2.840.10008.5.1.4.1.1.9.1.4|SOPClass|General 32-bit ECG Waveform Storage
-1.2.840.10008.5.1.4.1.1.9.2.1|SOPClass|Hemodynamic Waveform Storage
-1.2.840.10008.5.1.4.1.1.9.3.1|SOPClass|Cardiac Electrophysiology Waveform Storage
-1.2.840.10008.5.1.4.1.1.9.4.1|SOPClass|Basic Voice Audio Waveform Storage
-1.2.840.10008.5.1.4.1.1.9.4.2|SOPClass|General Audio Waveform Storage
-1.2.840.10008.5.1.4.1.1.9.5.1|SOPClass|Arterial Pulse Waveform Storage
-1.2.840.10008.5.1.4.1.1.9.6.1|SOPClass|Respiratory Waveform Storage
-1.2.840.10008.5.1.4.1.1.9.6.2|SOPClass|Multi-channel Respiratory Waveform Storage
-1.2.840.10008.5.1.4.1.1.9.7.1|SOPClass|Routine Scalp Electroencephalogram Waveform Storage
-1.2.840.10008.5.1.4.1.1.9.7.2|SOPClass|Electromyogram Waveform Storage
-1.2.840.10008.5.1.4.1.1.9.7.3|SOPClass|Electrooculogram Waveform Storage
-1.2.840.10008.5.1.4.1.1.9.7.4|SOPClass|Sleep Electroencephalogram Waveform Storage
-1.2.840.10008.5.1.4.1.1.9.8.1|SOPClass|Body Position Waveform Storage
-1.2.840.10008.5.1.4.1.1.9.100.1|SOPClass|Waveform Presentation State Storage
-1.2.840.10008.5.1.4.1.1.9.100.2|SOPClass|Waveform Acquisition Presentation State Storage
-1.2.840.10008.5.1.4.1.1.10|SOPClass|Standalone Modality LUT Storage
-1.2.840.10008.5.1.4.1.1.11|SOPClass|Standalone VOI LUT Storage
-1.2.840.10008.5.1.4.1.1.11.1|SOPClass|Grayscale Softcopy Presentation State Storage
-1.2.840.10008.5.1.4.1.1.11.2|SOPClass|Color Softcopy Presentation State Storage
-1.2.840.10008.5.1.4.1.1.11.3|SOPClass|Pseudo-Color Softcopy Presentation State Storage
-1.2.840.10008.5.1.4.1.1.11.4|SOPClass|Blending Softcopy Presentation State Storage
-1.2.840.10008.5.1.4.1.1.11.5|SOPClass|XA/XRF Grayscale Softcopy Presentation State Storage
-1.2.840.10008.5.1.4.1.1.11.6|SOPClass|Grayscale Planar MPR Volumetric Presentation State Storage
-1.2.840.10008.5.1.4.1.1.11.7|SOPClass|Compositing Planar MPR Volumetric Presentation State Storage
-1.2.840.10008.5.1.4.1.1.11.8|SOPClass|Advanced Blending Presentation State Storage
-1.2.840.10008.5.1.4.1.1.11.9|SOPClass|Volume Rendering Volumetric Presentation State Storage
-1.2.840.10008.5.1.4.1.1.11.10|SOPClass|Segmented Volume Rendering Volumetric Presentation State Storage
-1.2.840.10008.5.1.4.1.1.11.11|SOPClass|Multiple Volume Rendering Volumetric Presentation State Storage
-1.2.840.10008.5.1.4.1.1.11.12|SOPClass|Variable Modality LUT Softcopy Presentation State Storage
-1.2.840.10008.5.1.4.1.1.12.1|SOPClass|X-Ray Angiographic Image Storage
-1.2.840.10008.5.1.4.1.1.12.1.1|SOPClass|Enhanced XA Image Storage
-1.2.840.10008.5.1.4.1.1.12.2|SOPClass|X-Ray Radiofluoroscopic Image Storage
-1.2.840.10008.5.1.4.1.1.12.2.1|SOPClass|Enhanced XRF Image Storage
-1.2.840.10008.5.1.4.1.1.12.3|SOPClass|X-Ray Angiographic Bi-Plane Image Storage
-1.2.840.10008.5.1.4.1.1.13.1.1|SOPClass|X-Ray 3D Angiographic Image Storage
-1.2.840.10008.5.1.4.1.1.13.1.2|SOPClass|X-Ray 3D Craniofacial Image Storage
-1.2.840.10008.5.1.4.1.1.13.1.3|SOPClass|Breast Tomosynthesis Image Storage
-1.2.840.10008.5.1.4.1.1.13.1.4|SOPClass|Breast Projection X-Ray Image Storage - For Presentation
-1.2.840.10008.5.1.4.1.1.13.1.5|SOPClass|Breast Projection X-Ray Image Storage - For Processing
-1.2.840.10008.5.1.4.1.1.14.1|SOPClass|Intravascular Optical Coherence Tomography Image Storage - For Presentation
-1.2.840.10008.5.1.4.1.1.14.2|SOPClass|Intravascular Optical Coherence Tomography Image Storage - For Processing
-1.2.840.10008.5.1.4.1.1.20|SOPClass|Nuclear Medicine Image Storage
-1.2.840.10008.5.1.4.1.1.30|SOPClass|Parametric Map Storage
-1.2.840.10008.5.1.4.1.1.66|SOPClass|Raw Data Storage
-1.2.840.10008.5.1.4.1.1.66.1|SOPClass|Spatial Registration Storage
-1.2.840.10008.5.1.4.1.1.66.2|SOPClass|Spatial Fiducials Storage
-1.2.840.10008.5.1.4.1.1.66.3|SOPClass|Deformable Spatial Registration Storage
-1.2.840.10008.5.1.4.1.1.66.4|SOPClass|Segmentation Storage
-1.2.840.10008.5.1.4.1.1.66.5|SOPClass|Surface Segmentation Storage
-1.2.840.10008.5.1.4.1.1.66.6|SOPClass|Tractography Results Storage
-1.2.840.10008.5.1.4.1.1.66.7|SOPClass|Label Map Segmentation Storage
-1.2.840.10008.5.1.4.1.1.66.8|SOPClass|Height Map Segmentation Storage
-1.2.840.10008.5.1.4.1.1.67|SOPClass|Real World Value Mapping Storage
-1.2.840.10008.5.1.4.1.1.68.1|SOPClass|Surface Scan Mesh Storage
-1.2.840.10008.5.1.4.1.1.68.2|SOPClass|Surface Scan Point Cloud Storage
-1.2.840.10008.5.1.4.1.1.77.1|SOPClass|VL Image Storage - Trial
-1.2.840.10008.5.1.4.1.1.77.1.1|SOPClass|VL Endoscopic Image Storage
-1.2.840.10008.5.1.4.1.1.77.1.1.1|SOPClass|Video Endoscopic Image Storage
-1.2.840.10008.5.1.4.1.1.77.1.2|SOPClass|VL Microscopic Image Storage
-1.2.840.10008.5.1.4.1.1.77.1.2.1|SOPClass|Video Microscopic Image Storage
-1.2.840.10008.5.1.4.1.1.77.1.3|SOPClass|VL Slide-Coordinates Microscopic Image Storage
-1.2.840.10008.5.1.4.1.1.77.1.4|SOPClass|VL Photographic Image Storage
-1.2.840.10008.5.1.4.1.1.77.1.4.1|SOPClass|Video Photographic Image Storage
-1.2.840.10008.5.1.4.1.1.77.1.5.1|SOPClass|Ophthalmic Photography 8 Bit Image Storage
-1.2.840.10008.5.1.4.1.1.77.1.5.2|SOPClass|Ophthalmic Photography 16 Bit Image Storage
-1.2.840.10008.5.1.4.1.1.77.1.5.3|SOPClass|Stereometric Relationship Storage
-1.2.840.10008.5.1.4.1.1.77.1.5.4|SOPClass|Ophthalmic Tomography Image Storage
-1.2.840.10008.5.1.4.1.1.77.1.5.5|SOPClass|Wide Field Ophthalmic Photography Stereographic Projection Image Storage
-1.2.840.10008.5.1.4.1.1.77.1.5.6|SOPClass|Wide Field Ophthalmic Photography 3D Coordinates Image Storage
-1.2.840.10008.5.1.4.1.1.77.1.5.7|SOPClass|Ophthalmic Optical Coherence Tomography En Face Image Storage
-1.2.840.10008.5.1.4.1.1.77.1.5.8|SOPClass|Ophthalmic Optical Coherence Tomography B-scan Volume Analysis Storage
-1.2.840.10008.5.1.4.1.1.77.1.6|SOPClass|VL Whole Slide Microscopy Image Storage
-1.2.840.10008.5.1.4.1.1.77.1.7|SOPClass|Dermoscopic Photography Image Storage
-1.2.840.10008.5.1.4.1.1.77.1.8|SOPClass|Confocal Microscopy Image Storage
-1.2.840.10008.5.1.4.1.1.77.1.9|SOPClass|Confocal Microscopy Tiled Pyramidal Image Storage
-1.2.840.10008.5.1.4.1.1.77.2|SOPClass|VL Multi-frame Image Storage - Trial
-1.2.840.10008.5.1.4.1.1.78.1|SOPClass|Lensometry Measurements Storage
-1.2.840.10008.5.1.4.1.1.78.2|SOPClass|Autorefraction Measurements Storage
-1.2.840.10008.5.1.4.1.1.78.3|SOPClass|Keratometry Measurements Storage
-1.2.840.10008.5.1.4.1.1.78.4|SOPClass|Subjective Refraction Measurements Storage
-1.2.840.10008.5.1.4.1.1.78.5|SOPClass|Visual Acuity Measurements Storage
-1.2.840.10008.5.1.4.1.1.78.6|SOPClass|Spectacle Prescription Report Storage
-1.2.840.10008.5.1.4.1.1.78.7|SOPClass|Ophthalmic Axial Measurements Storage
-1.2.840.10008.5.1.4.1.1.78.8|SOPClass|Intraocular Lens Calculations Storage
-1.2.840.10008.5.1.4.1.1.79.1|SOPClass|Macular Grid Thickness and Volume Report Storage
-1.2.840.10008.5.1.4.1.1.80.1|SOPClass|Ophthalmic Visual Field Static Perimetry Measurements Storage
-1.2.840.10008.5.1.4.1.1.81.1|SOPClass|Ophthalmic Thickness Map Storage
-1.2.840.10008.5.1.4.1.1.82.1|SOPClass|Corneal Topography Map Storage
-1.2.840.10008.5.1.4.1.1.88.1|SOPClass|Text SR Storage - Trial
-1.2.840.10008.5.1.4.1.1.88.2|SOPClass|Audio SR Storage - Trial
-1.2.840.10008.5.1.4.1.1.88.3|SOPClass|Detail SR Storage - Trial
-1.2.840.10008.5.1.4.1.1.88.4|SOPClass|Comprehensive SR Storage - Trial
-1.2.840.10008.5.1.4.1.1.88.11|SOPClass|Basic Text SR Storage
-1.2.840.10008.5.1.4.1.1.88.22|SOPClass|Enhanced SR Storage
-1.2.840.10008.5.1.4.1.1.88.33|SOPClass|Comprehensive SR Storage
-1.2.840.10008.5.1.4.1.1.88.34|SOPClass|Comprehensive 3D SR Storage
-1.2.840.10008.5.1.4.1.1.88.35|SOPClass|Extensible SR Storage
-1.2.840.10008.5.1.4.1.1.88.40|SOPClass|Procedure Log Storage
-1.2.840.10008.5.1.4.1.1.88.50|SOPClass|Mammography CAD SR Storage
-1.2.840.10008.5.1.4.1.1.88.59|SOPClass|Key Object Selection Document Storage
-1.2.840.10008.5.1.4.1.1.88.65|SOPClass|Chest CAD SR Storage
-1.2.840.10008.5.1.4.1.1.88.67|SOPClass|X-Ray Radiation Dose SR Storage
-1.2.840.10008.5.1.4.1.1.88.68|SOPClass|Radiopharmaceutical Radiation Dose SR Storage
-1.2.840.10008.5.1.4.1.1.88.69|SOPClass|Colon CAD SR Storage
-1.2.840.10008.5.1.4.1.1.88.70|SOPClass|Implantation Plan SR Storage
-1.2.840.10008.5.1.4.1.1.88.71|SOPClass|Acquisition Context SR Storage
-1.2.840.10008.5.1.4.1.1.88.72|SOPClass|Simplified Adult Echo SR Storage
-1.2.840.10008.5.1.4.1.1.88.73|SOPClass|Patient Radiation Dose SR Storage
-1.2.840.10008.5.1.4.1.1.88.74|SOPClass|Planned Imaging Agent Administration SR Storage
-1.2.840.10008.5.1.4.1.1.88.75|SOPClass|Performed Imaging Agent Administration SR Storage
-1.2.840.10008.5.1.4.1.1.88.76|SOPClass|Enhanced X-Ray Radiation Dose SR Storage
-1.2.840.10008.5.1.4.1.1.88.77|SOPClass|Waveform Annotation SR Storage
-1.2.840.10008.5.1.4.1.1.90.1|SOPClass|Content Assessment Results Storage
-1.2.840.10008.5.1.4.1.1.91.1|SOPClass|Microscopy Bulk Simple Annotations Storage
-1.2.840.10008.5.1.4.1.1.104.1|SOPClass|Encapsulated PDF Storage
-1.2.840.10008.5.1.4.1.1.104.2|SOPClass|Encapsulated CDA Storage
-1.2.840.10008.5.1.4.1.1.104.3|SOPClass|Encapsulated STL Storage
-1.2.840.10008.5.1.4.1.1.104.4|SOPClass|Encapsulated OBJ Storage
-1.2.840.10008.5.1.4.1.1.104.5|SOPClass|Encapsulated MTL Storage
-1.2.840.10008.5.1.4.1.1.128|SOPClass|Positron Emission Tomography Image Storage
-1.2.840.10008.5.1.4.1.1.128.1|SOPClass|Legacy Converted Enhanced PET Image Storage
-1.2.840.10008.5.1.4.1.1.129|SOPClass|Standalone PET Curve Storage
-1.2.840.10008.5.1.4.1.1.130|SOPClass|Enhanced PET Image Storage
-1.2.840.10008.5.1.4.1.1.131|SOPClass|Basic Structured Display Storage
-1.2.840.10008.5.1.4.1.1.200.1|SOPClass|CT Defined Procedure Protocol Storage
-1.2.840.10008.5.1.4.1.1.200.2|SOPClass|CT Performed Procedure Protocol Storage
-1.2.840.10008.5.1.4.1.1.200.3|SOPClass|Protocol Approval Storage
-1.2.840.10008.5.1.4.1.1.200.4|SOPClass|Protocol Approval Information Model - FIND
-1.2.840.10008.5.1.4.1.1.200.5|SOPClass|Protocol Approval Information Model - MOVE
-1.2.840.10008.5.1.4.1.1.200.6|SOPClass|Protocol Approval Information Model - GET
-1.2.840.10008.5.1.4.1.1.200.7|SOPClass|XA Defined Procedure Protocol Storage
-1.2.840.10008.5.1.4.1.1.200.8|SOPClass|XA Performed Procedure Protocol Storage
-1.2.840.10008.5.1.4.1.1.201.1|SOPClass|Inventory Storage
-1.2.840.10008.5.1.4.1.1.201.1.1|WellKnownSOPInstance|Storage Management SOP Instance
-1.2.840.10008.5.1.4.1.1.201.2|SOPClass|Inventory - FIND
-1.2.840.10008.5.1.4.1.1.201.3|SOPClass|Inventory - MOVE
-1.2.840.10008.5.1.4.1.1.201.4|SOPClass|Inventory - GET
-1.2.840.10008.5.1.4.1.1.201.5|SOPClass|Inventory Creation
-1.2.840.10008.5.1.4.1.1.201.6|SOPClass|Repository Query
-1.2.840.10008.5.1.4.1.1.481.1|SOPClass|RT Image Storage
-1.2.840.10008.5.1.4.1.1.481.2|SOPClass|RT Dose Storage
-1.2.840.10008.5.1.4.1.1.481.3|SOPClass|RT Structure Set Storage
-1.2.840.10008.5.1.4.1.1.481.4|SOPClass|RT Beams Treatment Record Storage
-1.2.840.10008.5.1.4.1.1.481.5|SOPClass|RT Plan Storage
-1.2.840.10008.5.1.4.1.1.481.6|SOPClass|RT Brachy Treatment Record Storage
-1.2.840.10008.5.1.4.1.1.481.7|SOPClass|RT Treatment Summary Record Storage
-1.2.840.10008.5.1.4.1.1.481.8|SOPClass|RT Ion Plan Storage
-1.2.840.10008.5.1.4.1.1.481.9|SOPClass|RT Ion Beams Treatment Record Storage
-1.2.840.10008.5.1.4.1.1.481.10|SOPClass|RT Physician Intent Storage
-1.2.840.10008.5.1.4.1.1.481.11|SOPClass|RT Segment Annotation Storage
-1.2.840.10008.5.1.4.1.1.481.12|SOPClass|RT Radiation Set Storage
-1.2.840.10008.5.1.4.1.1.481.13|SOPClass|C-Arm Photon-Electron Radiation Storage
-1.2.840.10008.5.1.4.1.1.481.14|SOPClass|Tomotherapeutic Radiation Storage
-1.2.840.10008.5.1.4.1.1.481.15|SOPClass|Robotic-Arm Radiation Storage
-1.2.840.10008.5.1.4.1.1.481.16|SOPClass|RT Radiation Record Set Storage
-1.2.840.10008.5.1.4.1.1.481.17|SOPClass|RT Radiation Salvage Record Storage
-1.2.840.10008.5.1.4.1.1.481.18|SOPClass|Tomotherapeutic Radiation Record Storage
-1.2.840.10008.5.1.4.1.1.481.19|SOPClass|C-Arm Photon-Electron Radiation Record Storage
-1.2.840.10008.5.1.4.1.1.481.20|SOPClass|Robotic Radiation Record Storage
-1.2.840.10008.5.1.4.1.1.481.21|SOPClass|RT Radiation Set Delivery Instruction Storage
-1.2.840.10008.5.1.4.1.1.481.22|SOPClass|RT Treatment Preparation Storage
-1.2.840.10008.5.1.4.1.1.481.23|SOPClass|Enhanced RT Image Storage
-1.2.840.10008.5.1.4.1.1.481.24|SOPClass|Enhanced Continuous RT Image Storage
-1.2.840.10008.5.1.4.1.1.481.25|SOPClass|RT Patient Position Acquisition Instruction Storage
-1.2.840.10008.5.1.4.1.1.501.1|SOPClass|DICOS CT Image Storage
-1.2.840.10008.5.1.4.1.1.501.2.1|SOPClass|DICOS Digital X-Ray Image Storage - For Presentation
-1.2.840.10008.5.1.4.1.1.501.2.2|SOPClass|DICOS Digital X-Ray Image Storage - For Processing
-1.2.840.10008.5.1.4.1.1.501.3|SOPClass|DICOS Threat Detection Report Storage
-1.2.840.10008.5.1.4.1.1.501.4|SOPClass|DICOS 2D AIT Storage
-1.2.840.10008.5.1.4.1.1.501.5|SOPClass|DICOS 3D AIT Storage
-1.2.840.10008.5.1.4.1.1.501.6|SOPClass|DICOS Quadrupole Resonance (QR) Storage
-1.2.840.10008.5.1.4.1.1.601.1|SOPClass|Eddy Current Image Storage
-1.2.840.10008.5.1.4.1.1.601.2|SOPClass|Eddy Current Multi-frame Image Storage
-1.2.840.10008.5.1.4.1.1.601.3|SOPClass|Thermography Image Storage
-1.2.840.10008.5.1.4.1.1.601.4|SOPClass|Thermography Multi-frame Image Storage
-1.2.840.10008.5.1.4.1.1.601.5|SOPClass|Ultrasound Waveform Storage
-1.2.840.10008.5.1.4.1.2.1.1|SOPClass|Patient Root Query/Retrieve Information Model - FIND
-1.2.840.10008.5.1.4.1.2.1.2|SOPClass|Patient Root Query/Retrieve Information Model - MOVE
-1.2.840.10008.5.1.4.1.2.1.3|SOPClass|Patient Root Query/Retrieve Information Model - GET
-1.2.840.10008.5.1.4.1.2.2.1|SOPClass|Study Root Query/Retrieve Information Model - FIND
-1.2.840.10008.5.1.4.1.2.2.2|SOPClass|Study Root Query/Retrieve Information Model - MOVE
-1.2.840.10008.5.1.4.1.2.2.3|SOPClass|Study Root Query/Retrieve Information Model - GET
-1.2.840.10008.5.1.4.1.2.3.1|SOPClass|Patient/Study Only Query/Retrieve Information Model - FIND
-1.2.840.10008.5.1.4.1.2.3.2|SOPClass|Patient/Study Only Query/Retrieve Information Model - MOVE
-1.2.840.10008.5.1.4.1.2.3.3|SOPClass|Patient/Study Only Query/Retrieve Information Model - GET
-1.2.840.10008.5.1.4.1.2.4.2|SOPClass|Composite Instance Root Retrieve - MOVE
-1.2.840.10008.5.1.4.1.2.4.3|SOPClass|Composite Instance Root Retrieve - GET
-1.2.840.10008.5.1.4.1.2.5.3|SOPClass|Composite Instance Retrieve Without Bulk Data - GET
-1.2.840.10008.5.1.4.20.1|SOPClass|Defined Procedure Protocol Information Model - FIND
-1.2.840.10008.5.1.4.20.2|SOPClass|Defined Procedure Protocol Information Model - MOVE
-1.2.840.10008.5.1.4.20.3|SOPClass|Defined Procedure Protocol Information Model - GET
-1.2.840.10008.5.1.4.31|SOPClass|Modality Worklist Information Model - FIND
-1.2.840.10008.5.1.4.32|MetaSOPClass|General Purpose Worklist Management Meta SOP Class
-1.2.840.10008.5.1.4.32.1|SOPClass|General Purpose Worklist Information Model - FIND
-1.2.840.10008.5.1.4.32.2|SOPClass|General Purpose Scheduled Procedure Step SOP Class
-1.2.840.10008.5.1.4.32.3|SOPClass|General Purpose Performed Procedure Step SOP Class
-1.2.840.10008.5.1.4.33|SOPClass|Instance Availability Notification SOP Class
-1.2.840.10008.5.1.4.34.1|SOPClass|RT Beams Delivery Instruction Storage - Trial
-1.2.840.10008.5.1.4.34.2|SOPClass|RT Conventional Machine Verification - Trial
-1.2.840.10008.5.1.4.34.3|SOPClass|RT Ion Machine Verification - Trial
-1.2.840.10008.5.1.4.34.4|ServiceClass|Unified Worklist and Procedure Step Service Class - Trial
-1.2.840.10008.5.1.4.34.4.1|SOPClass|Unified Procedure Step - Push SOP Class - Trial
-1.2.840.10008.5.1.4.34.4.2|SOPClass|Unified Procedure Step - Watch SOP Class - Trial
-1.2.840.10008.5.1.4.34.4.3|SOPClass|Unified Procedure Step - Pull SOP Class - Trial
-1.2.840.10008.5.1.4.34.4.4|SOPClass|Unified Procedure Step - Event SOP Class - Trial
-1.2.840.10008.5.1.4.34.5|WellKnownSOPInstance|UPS Global Subscription SOP Instance
-1.2.840.10008.5.1.4.34.5.1|WellKnownSOPInstance|UPS Filtered Global Subscription SOP Instance
-1.2.840.10008.5.1.4.34.6|ServiceClass|Unified Worklist and Procedure Step Service Class
-1.2.840.10008.5.1.4.34.6.1|SOPClass|Unified Procedure Step - Push SOP Class
-1.2.840.10008.5.1.4.34.6.2|SOPClass|Unified Procedure Step - Watch SOP Class
-1.2.840.10008.5.1.4.34.6.3|SOPClass|Unified Procedure Step - Pull SOP Class
-1.2.840.10008.5.1.4.34.6.4|SOPClass|Unified Procedure Step - Event SOP Class
-1.2.840.10008.5.1.4.34.6.5|SOPClass|Unified Procedure Step - Query SOP Class
-1.2.840.10008.5.1.4.34.7|SOPClass|RT Beams Delivery Instruction Storage
-1.2.840.10008.5.1.4.34.8|SOPClass|RT Conventional Machine Verification
-1.2.840.10008.5.1.4.34.9|SOPClass|RT Ion Machine Verification
-1.2.840.10008.5.1.4.34.10|SOPClass|RT Brachy Application Setup Delivery Instruction Storage
-1.2.840.10008.5.1.4.37.1|SOPClass|General Relevant Patient Information Query
-1.2.840.10008.5.1.4.37.2|SOPClass|Breast Imaging Relevant Patient Information Query
-1.2.840.10008.5.1.4.37.3|SOPClass|Cardiac Relevant Patient Information Query
-1.2.840.10008.5.1.4.38.1|SOPClass|Hanging Protocol Storage
-1.2.840.10008.5.1.4.38.2|SOPClass|Hanging Protocol Information Model - FIND
-1.2.840.10008.5.1.4.38.3|SOPClass|Hanging Protocol Information Model - MOVE
-1.2.840.10008.5.1.4.38.4|SOPClass|Hanging Protocol Information Model - GET
-1.2.840.10008.5.1.4.39.1|SOPClass|Color Palette Storage
-1.2.840.10008.5.1.4.39.2|SOPClass|Color Palette Query/Retrieve Information Model - FIND
-1.2.840.10008.5.1.4.39.3|SOPClass|Color Palette Query/Retrieve Information Model - MOVE
-1.2.840.10008.5.1.4.39.4|SOPClass|Color Palette Query/Retrieve Information Model - GET
-1.2.840.10008.5.1.4.41|SOPClass|Product Characteristics Query SOP Class
-1.2.840.10008.5.1.4.42|SOPClass|Substance Approval Query SOP Class
-1.2.840.10008.5.1.4.43.1|SOPClass|Generic Implant Template Storage
-1.2.840.10008.5.1.4.43.2|SOPClass|Generic Implant Template Information Model - FIND
-1.2.840.10008.5.1.4.43.3|SOPClass|Generic Implant Template Information Model - MOVE
-1.2.840.10008.5.1.4.43.4|SOPClass|Generic Implant Template Information Model - GET
-1.2.840.10008.5.1.4.44.1|SOPClass|Implant Assembly Template Storage
-1.2.840.10008.5.1.4.44.2|SOPClass|Implant Assembly Template Information Model - FIND
-1.2.840.10008.5.1.4.44.3|SOPClass|Implant Assembly Template Information Model - MOVE
-1.2.840.10008.5.1.4.44.4|SOPClass|Implant Assembly Template Information Model - GET
-1.2.840.10008.5.1.4.45.1|SOPClass|Implant Template Group Storage
-1.2.840.10008.5.1.4.45.2|SOPClass|Implant Template Group Information Model - FIND
-1.2.840.10008.5.1.4.45.3|SOPClass|Implant Template Group Information Model - MOVE
-1.2.840.10008.5.1.4.45.4|SOPClass|Implant Template Group Information Model - GET
-1.2.840.10008.7.1.1|Other|Native DICOM Model
-1.2.840.10008.7.1.2|Other|Abstract Multi-Dimensional Image Model
-1.2.840.10008.8.1.1|Other|DICOM Content Mapping Resource
-1.2.840.10008.10.1|SOPClass|Video Endoscopic Image Real-Time Communication
-1.2.840.10008.10.2|SOPClass|Video Photographic Image Real-Time Communication
-1.2.840.10008.10.3|SOPClass|Audio Waveform Real-Time Communication
-1.2.840.10008.10.4|SOPClass|Rendition Selection Document Real-Time Communication
-1.2.840.10008.15.0.3.1|Other|dicomDeviceName
-1.2.840.10008.15.0.3.2|Other|dicomDescription
-1.2.840.10008.15.0.3.3|Other|dicomManufacturer
-1.2.840.10008.15.0.3.4|Other|dicomManufacturerModelName
-1.2.840.10008.15.0.3.5|Other|dicomSoftwareVersion
-1.2.840.10008.15.0.3.6|Other|dicomVendorData
-1.2.840.10008.15.0.3.7|Other|dicomAETitle
-1.2.840.10008.15.0.3.8|Other|dicomNetworkConnectionReference
-1.2.840.10008.15.0.3.9|Other|dicomApplicationCluster
-1.2.840.10008.15.0.3.10|Other|dicomAssociationInitiator
-1.2.840.10008.15.0.3.11|Other|dicomAssociationAcceptor
-1.2.840.10008.15.0.3.12|Other|dicomHostname
-1.2.840.10008.15.0.3.13|Other|dicomPort
-1.2.840.10008.15.0.3.14|Other|dicomSOPClass
-1.2.840.10008.15.0.3.15|Other|dicomTransferRole
-1.2.840.10008.15.0.3.16|Other|dicomTransferSyntax
-1.2.840.10008.15.0.3.17|Other|dicomPrimaryDeviceType
-1.2.840.10008.15.0.3.18|Other|dicomRelatedDeviceReference
-1.2.840.10008.15.0.3.19|Other|dicomPreferredCalledAETitle
-1.2.840.10008.15.0.3.20|Other|dicomTLSCyphersuite
-1.2.840.10008.15.0.3.21|Other|dicomAuthorizedNodeCertificateReference
-1.2.840.10008.15.0.3.22|Other|dicomThisNodeCertificateReference
-1.2.840.10008.15.0.3.23|Other|dicomInstalled
-1.2.840.10008.15.0.3.24|Other|dicomStationName
-1.2.840.10008.15.0.3.25|Other|dicomDeviceSerialNumber
-1.2.840.10008.15.0.3.26|Other|dicomInstitutionName
-1.2.840.10008.15.0.3.27|Other|dicomInstitutionAddress
-1.2.840.10008.15.0.3.28|Other|dicomInstitutionDepartmentName
-1.2.840.10008.15.0.3.29|Other|dicomIssuerOfPatientID
-1.2.840.10008.15.0.3.30|Other|dicomPreferredCallingAETitle
-1.2.840.10008.15.0.3.31|Other|dicomSupportedCharacterSet
-1.2.840.10008.15.0.4.1|Other|dicomConfigurationRoot
-1.2.840.10008.15.0.4.2|Other|dicomDevicesRoot
-1.2.840.10008.15.0.4.3|Other|dicomUniqueAETitlesRegistryRoot
-1.2.840.10008.15.0.4.4|Other|dicomDevice
-1.2.840.10008.15.0.4.5|Other|dicomNetworkAE
-1.2.840.10008.15.0.4.6|Other|dicomNetworkConnection
-1.2.840.10008.15.0.4.7|Other|dicomUniqueAETitle
-1.2.840.10008.15.0.4.8|Other|dicomTransferCapability
-1.2.840.10008.15.1.1|Other|Universal Coordinated Time
-"""
 TRANSFER_SYNTAXES = {"1.2.840.10008.1.2": "implicit-le", "1.2.840.10008.1.2.1": "explicit-le", "1.2.840.10008.1.2.2": "explicit-be", "1.2.840.10008.1.2.1.99": "deflated-le"}
 
-# Fixed values from the public confidentiality profile: basic action, option and its action, tags.
-ACTIONS = """
-D||00120010 00120020 00120040 00120042 00340001 00340002 00340005 00400512 00400551 00401101 0040A027 0040A073 0040A075 0040A123 00420011 00720065 0072006A 0072006D 00720071 04000115
-D|CleanDescriptors=C|001811BB 006A0005 00700006 00720066 00720068 0072006C 0072006E 00720070 04000565 30060002 300A0002 300A0608 300A0619 300A0623 300A062A 300A067C 300A0734 300A0742 300A0783 30100033 30100034 30100035 30100038 30100054
-D|CleanGraphics=C|00700001
-D|CleanStructuredContent=C|0040A730
-D|RetainDeviceIdentity=C|0072005E 21000140
-D|RetainDeviceIdentity=K|00189367 00189371 04000563 3010002D
-D|RetainDeviceIdentity=K,RetainLongitudinalTemporal=K|300C0127
-D|RetainInstitutionIdentity=K|00120081
-D|RetainLongitudinalTemporal=K|00080106 00080107 00189074 00189151 00189369 0018936A 00189623 00189701 00189804 00340007 003A0314 0040A030 0040A120 0040A121 0040A122 0040A13A 00440104 00686226 00686270 0072000A 00720061 00720063 0072006B 04000105 04000562 30080024 30080025 30080162 30080164 30080166 30080168 300A022C 300A022E 300A0736 300A073A 300A0741 300A0760
-D|RetainPatientCharacteristics=K|0072005F
-D|RetainUIDs=K|006A0003
-U||0040A124 04000100
-U|RetainDeviceIdentity=K,RetainUIDs=K|00181002 0018100B
-U|RetainUIDs=K|00001001 00020003 00041511 00080014 00080017 00080018 00080019 00080058 00081155 00081195 00083010 00182042 0020000D 0020000E 00200052 00200200 00209161 00209164 00281199 00281214 003A0310 00400554 00404023 0040A171 0040A172 0040A402 0040DB0C 0040DB0D 00620021 00640003 0070031A 00701101 00701102 00880140 30060024 300600C2 300A0013 300A0054 300A0083 300A0609
-U|RetainUIDs=K|300A0650 300A0700 300A0785 30100006 3010000B 30100013 30100015 30100031 3010003B 3010006E 3010006F
-X/D||00081072
-X/D|CleanDescriptors=C|00181030 00181400 30100056 30100077
-X/D|CleanStructuredContent=C|0040B020
-X/D|RetainDeviceIdentity=K|0018700A
-X/D|RetainDeviceIdentity=K,RetainLongitudinalTemporal=K|0018700C 0018700E
-X/D|RetainLongitudinalTemporal=K|00080012 00080021 00080031 00189516 00189517 0040A032 30080054 30080056 30080250 30080251 300A0006 300A0007 3010004C 3010004D
-X/Z/D||00081070
-X/Z/D|RetainDeviceIdentity=K|00081010 00181000
-X/Z/D|RetainInstitutionIdentity=K|00080080 00080082
-X/Z/D|RetainLongitudinalTemporal=K|00080013 0008002A
-X/Z/D|RetainUIDs=K|00081111
-X/Z/U*|RetainUIDs=K|00081140 00082112
-X/Z||22000005 300E0008
-X/Z|CleanDescriptors=C|00321060 22000002
-X/Z|CleanStructuredContent=C|00400555
-X/Z|RetainDeviceIdentity=K|30080105 300A00B2
-X/Z|RetainLongitudinalTemporal=K|00080022 00080032
-X/Z|RetainPatientCharacteristics=K|00102203
-X/Z|RetainUIDs=K|00081110
-X||00080092 00080094 00080096 0008009D 00081048 00081049 00081050 00081052 00081060 00081062 00100011 00100012 00100013 00100014 00100015 00100021 00100032 00100041 00100044 00100050 00100101 00100102 00101000 00101001 00101002 00101005 00101040 00101050 00101060 00101080 00101081 00101090 00101100 00102150 00102152 00102154 00102155 001021F0 00102297 00102299
-X||00120022 00120023 00120032 00120041 00120043 00120055 00120071 00120073 00120082 0016004D 00160070 00160071 00160072 00160073 00160074 00160075 00160076 00160077 00160078 00160079 0016007A 0016007B 0016007C 0016007D 0016007E 0016007F 00160080 00160081 00160082 00160083 00160084 00160085 00160086 00160087 00160088 00160089 0016008A 0016008B 0016008C 0016008E
-X||00203406 00284000 00320012 00321032 00380004 00380010 00380011 00380014 0038001E 00380060 00380061 00380064 00380300 00380400 00400006 00400009 0040000B 00400243 00400253 0040050A 004006FA 00401001 00401004 00401005 00401010 00401011 00401102 00401103 00401104 00402008 00402009 00402010 00402011 00403001 00404034 00404035 00404036 00404037 0040A078 0040A07A
-X||0040A07C 0040A307 0040A352 0040A353 0040A354 0040A358 0040E012 0050001B 00700086 00880200 00880904 00880906 00880910 00880912 04000402 04000403 04000404 04000550 04000551 04000552 04000561 04000600 20300020 3006004D 3006004E 40000010 40004000 40080040 40080042 40080102 4008010A 4008010C 40080111 40080114 40080118 40080119 4008011A 40080200 40080202 FFFAFFFA
-X||FFFCFFFC
-X|CleanDescriptors=C|00081030 0008103E 00081080 00081084 00081088 00081301 00081302 00081303 00081304 00082111 00084000 00100016 00100045 00102000 00102180 001021B0 00104000 00120051 00120072 0016002B 0016004B 00184000 00189185 0018937B 0018937F 00189424 00189937 0018A003 00200027 00204000 00209158 00321030 00321033 00321066 00321067 00321070 00324000 00380040 00380062 00384000
-X|CleanDescriptors=C|003A0020 003A0203 003A020C 003A0329 003A032B 00400007 00400254 00400275 00400280 00400310 0040051A 00400556 00400600 00400602 00401002 0040100A 00401400 00402001 00402400 0040B03B 0040B03F 00500021 006A0006 30020121 30020123 30060004 30060006 30060028 30060038 30060085 30060088 300A0003 300A0004 300A000B 300A000E 300A0016 300A0072 300A00C3 300A00DD 300A0196
-X|CleanDescriptors=C|300A01A6 300A01B2 300A02EB 300A0676 300A078E 300A0792 300A0794 300A079A 300C0113 30100036 30100037 30100061 4008010B 40080115 40080300 40084000
-X|CleanDescriptors=C,RetainPatientCharacteristics=C|00100042 00102110 00380500
-X|RetainDeviceIdentity=C|00080054 00080055 00081000 00321021 00400001 00400241 00741234 00741236 21000070
-X|RetainDeviceIdentity=K|0016004E 0016004F 00160050 00160051 00181004 00181005 00181007 00181008 00181009 0018100A 00181010 00181011 00185011 00189373 00203401 00321020 00400010 00400011 00400242 00404025 00404027 00404028 00404030 00500020 300A0216
-X|RetainDeviceIdentity=K,RetainLongitudinalTemporal=K|0014407C 0014407E 00181200 00181201 00181202 00181204 00181205
-X|RetainInstitutionIdentity=K|00080081 00081040 00081041
-X|RetainLongitudinalTemporal=K|00080015 00080024 00080025 00080034 00080035 00080201 001021D0 00120086 00120087 0016008D 00180027 00180035 00181012 00181014 00181042 00181043 00181072 00181073 00181078 00181079 0018A002 00203403 00203405 00320032 00320033 00320034 00320035 00321000 00321001 00321010 00321011 00321040 00321041 00321050 00321051 0038001A 0038001B 0038001C 0038001D 00380020
-X|RetainLongitudinalTemporal=K|00380021 00380030 00380032 00400002 00400003 00400004 00400005 00400244 00400245 00400250 00400251 00402004 00402005 00404005 00404008 00404010 00404011 00404050 00404051 00404052 0040A023 0040A024 0040A033 0040A034 0040A035 0040A110 0040A112 0040A192 0040A193 0040B034 0040B036 0040DB06 0040DB07 0040E004 00440004 0044000B 00440010 00440105 00700082 00700083
-X|RetainLongitudinalTemporal=K|01000420 04000310 21000040 21000050 3006002D 3006002E 30100085 40080100 40080101 40080108 40080109 40080112 40080113
-X|RetainPatientCharacteristics=C|00380050 00400012
-X|RetainPatientCharacteristics=K|00100043 00100046 00100047 00101010 00101020 00101030 00102160 00102161 00102162 001021A0 001021C0
-X|RetainUIDs=K|00001000 00081120
-Z/D||00100020 00700084
-Z/D|CleanDescriptors=C|00180010
-Z/D|RetainLongitudinalTemporal=K|00080023 00080033 00189919
-Z||00080050 00080090 0008009C 00100010 00100030 00120021 00120050 00200010 00400513 00400562 00402016 00402017 0040A088 300600A6 300A0611 300A0615 3010001B
-Z|CleanDescriptors=C|30060026 300A067D 3010000F 30100017 3010005A 3010005C 3010007A 3010007B 3010007F 30100081
-Z|CleanStructuredContent=C|00400610
-Z|RetainDeviceIdentity=K|30100043
-Z|RetainDeviceIdentity=K,RetainLongitudinalTemporal=K|00181203
-Z|RetainInstitutionIdentity=K|00120030 00120031 00120060 04000564
-Z|RetainLongitudinalTemporal=K|00080020 00080030 0040A082 30060008 30060009 300E0004 300E0005
-Z|RetainPatientCharacteristics=K|00100040
-"""
 #: Content sequence of structured reports, see ``actions``.
 CONTENT = "0040A730"
 #: Masked rows: all of group 50xx; overlay data and comments.
@@ -610,25 +28,29 @@ REPEATING = {"50": "Curves (retired)", "60": "Overlay Planes"}
 CODING_SCHEMES = {"DCM": "1.2.840.10008.2.16.4", "SCT": "2.16.840.1.113883.6.96", "UCUM": "2.16.840.1.113883.6.8", "LN": "2.16.840.1.113883.6.1"}
 
 
+DATA = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "data")
+
+
 def _rows(text: str) -> list[list[str]]:
-    return [x.split(" ", 2) for line in text.strip().splitlines() for x in line.split("|")]
+    return [x.split(" ", 2) for x in text.split("|")]
 
 
-def attribute_rows() -> list[tuple[str, str, str]]:
-    return [tuple(r) for r in _rows(ATTRIBUTES)]
+def _lines(name: str, path: str | None = None) -> list[str]:
+    with open(path or os.path.join(DATA, f"{name}.txt"), encoding="utf-8") as f:
+        return [x for x in f.read().splitlines() if x and x[0] != "#"]
 
 
-def vr_of() -> dict[str, str]:
-    return {t: v for t, v, _ in attribute_rows()}
+def attribute_rows(path: str | None = None) -> list[tuple[str, str, str]]:
+    """``(tag, vr, keyword)`` of a registry file: of the one given, of any size, or of the built-in one."""
+    return [tuple(x.split(" ", 2)) for x in _lines("attributes", path)]
 
 
-def action_rows() -> list[tuple[str, str, dict[str, str]]]:
-    out = []
-    for line in ACTIONS.strip().splitlines():
-        basic, options, tags = line.split("|")
-        over = dict(x.split("=") for x in options.split(",") if x)
-        out += [(t, basic, over) for t in tags.split()]
-    return out
+def vr_of(path: str | None = None) -> dict[str, str]:
+    return {t: v for t, v, _ in attribute_rows(path)}
+
+
+def action_rows(path: str | None = None) -> list[tuple[str, str, dict[str, str]]]:
+    return [(tag, basic, dict(x.split("=") for x in over)) for tag, basic, *over in (x.split(" ") for x in _lines("actions", path))]
 
 
 def repeating_groups(prefix: str) -> list[str]:
@@ -642,23 +64,23 @@ def expand_mask(pattern: str) -> list[str]:
     return groups if pattern.endswith("xxxx") else [g + pattern[4:] for g in groups]
 
 
-def attributes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(attribute_rows(), "tag string, vr string, keyword string")
+def attributes(spark: SparkSession, path: str | None = None) -> DataFrame:
+    return spark.createDataFrame(attribute_rows(path), "tag string, vr string, keyword string")
 
 
 def families(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([tuple(r) for r in _rows(FAMILIES)], "pattern string, vr string, keyword string")
 
 
-def uids(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([tuple(x.split("|")) for x in UIDS.strip().splitlines()], "uid string, type string, name string")
+def uids(spark: SparkSession, path: str | None = None) -> DataFrame:
+    return spark.createDataFrame([tuple(x.split("|")) for x in _lines("uids", path)], "uid string, type string, name string")
 
 
-def actions(spark: SparkSession, content: bool = False) -> DataFrame:
+def actions(spark: SparkSession, content: bool = True) -> DataFrame:
     """``(tag, basic, options)``; the masks with a fixed element are expanded, so that they meet by equality too.
 
-    The published table empties the content sequence of all that is in it. Here it stays, and each element in it has its own
-    action, unless ``content``.
+    The published table empties the content sequence of all that is in it. Without ``content`` it stays, and each element in it
+    has its own action.
     """
     rows = [r for r in action_rows() if content or r[0] != CONTENT]
     for r in _rows(MASKED_ACTIONS):

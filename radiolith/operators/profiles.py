@@ -83,6 +83,6 @@ PHILIPS = define_profile("philips", "Philips MR private blocks", private={
     "Philips Imaging DD 001": {"2001XX03": ("FL", "DiffusionBFactor", "Diffusion B-Factor"), "2001XX04": ("CS", "DiffusionDirection", "Diffusion Direction"), "2001XX81": ("IS", "NumberOfDynamicScans", "Number Of Dynamic Scans")},
     "Philips MR Imaging DD 001": {"2005XXB0": ("FL", "DiffusionDirectionRL", "Diffusion Direction RL"), "2005XXB1": ("FL", "DiffusionDirectionAP", "Diffusion Direction AP"), "2005XXB2": ("FL", "DiffusionDirectionFH", "Diffusion Direction FH")},
 })
-STRICT = define_profile("strict", "What touches integrity is an error", escalate=("DICOM_FILE_META_GROUP_LENGTH_MISMATCH", "DICOM_PIXEL_DATA_LENGTH_MISMATCH", "DICOM_VR_MISMATCH", "DICOM_UNDEFINED_LENGTH_IN_EXPLICIT_VR", "DICOM_NONZERO_RESERVED_BYTES", "DICOM_PRIVATE_TAG_NO_CREATOR", "DICOM_UN_PARSED_AS_SQ"))
-LENIENT = define_profile("lenient", "Frequent cosmetic warnings are dropped", suppress=("DICOM_MISSING_PREAMBLE", "DICOM_ODD_LENGTH_VALUE_PADDED", "DICOM_GROUP_LENGTH_IN_DATASET", "DICOM_UI_TRAILING_SPACE", "DICOM_TRAILING_NULL_IN_TEXT_VR", "DICOM_FILE_META_GROUP_LENGTH_MISSING"))
+STRICT = define_profile("strict", "What touches integrity is an error", escalate=("FILE_META_GROUP_LENGTH_MISMATCH", "PIXEL_DATA_LENGTH_MISMATCH", "VR_MISMATCH", "UNDEFINED_LENGTH_IN_EXPLICIT_VR", "NONZERO_RESERVED_BYTES", "PRIVATE_TAG_NO_CREATOR", "UN_PARSED_AS_SQ"))
+LENIENT = define_profile("lenient", "Frequent cosmetic warnings are dropped", suppress=("MISSING_PREAMBLE", "ODD_LENGTH_VALUE_PADDED", "GROUP_LENGTH_IN_DATASET", "UI_TRAILING_SPACE", "TRAILING_NULL_IN_TEXT_VR", "FILE_META_GROUP_LENGTH_MISSING"))
 PROFILES = {p.name: p for p in (GE, SIEMENS, PHILIPS, STRICT, LENIENT)}

@@ -88,10 +88,10 @@ class Parser:
         if data[128:132] == b"DICM":
             at = 132
         elif self.preamble == "require" or not (data[:8] == b"\x02\0\0\0UL\x04\0" and len(data) >= 12):
-            raise view.fail(0, "no preamble", "NOT_DICOM")
+            raise view.fail(0, "no preamble", "NOT_PART10")
         else:
             self.out.had_preamble = False
-            self.warn(view, "DICOM_MISSING_PREAMBLE", 0)
+            self.warn(view, "MISSING_PREAMBLE", 0)
         at = self._meta(view, at)
         kind = D.TRANSFER_SYNTAXES.get(self.out.meta["transfer_syntax_uid"])
         if kind is None:
@@ -143,14 +143,14 @@ class Parser:
                     raise view.fail(begin, "the file meta length passes the end")
                 self.out.meta["group_length"] = str(declared)
         if declared is None:
-            self.warn(view, "DICOM_FILE_META_GROUP_LENGTH_MISSING", begin, meta=True)
+            self.warn(view, "FILE_META_GROUP_LENGTH_MISSING", begin, meta=True)
         first = at
         while at + 2 <= len(d) and view.h.unpack_from(d, at)[0] == 2:
             start = at
             *e, at = self._meta_element(view, at)
             found.append((*e, start))
         if declared is not None and at - first != declared:
-            self.warn(view, "DICOM_FILE_META_GROUP_LENGTH_MISMATCH", begin, meta=True)
+            self.warn(view, "FILE_META_GROUP_LENGTH_MISMATCH", begin, meta=True)
         seen = {"00020000"} if declared is not None else set()
         syntax = None
         for tag, vr, raw, start in found:
@@ -158,7 +158,7 @@ class Parser:
                 self.out.residue.append((tag, vr, raw))
                 continue
             if tag in seen:
-                self.warn(view, "DICOM_DUPLICATE_FILE_META_ELEMENT", start, tag, meta=True)
+                self.warn(view, "DUPLICATE_FILE_META_ELEMENT", start, tag, meta=True)
                 continue
             seen.add(tag)
             if tag == "00020010":
@@ -183,7 +183,7 @@ class Parser:
             if "0010" <= tag[4:] <= "00FF":
                 return "LO"
             if (vr := self._private_vr(tag, creators)) is None:
-                self.warn(view, "DICOM_IMPLICIT_VR_FOR_PRIVATE_TAG_WITHOUT_VR", at, tag)
+                self.warn(view, "IMPLICIT_VR_FOR_PRIVATE_TAG_WITHOUT_VR", at, tag)
                 return "UN"
             return vr
         if tag in self.vrs:
@@ -194,7 +194,7 @@ class Parser:
 
     def _put(self, view: _View, data: dict[str, Element], e: Element) -> None:
         if e.tag in data:
-            self.warn(view, "DICOM_DUPLICATE_TAG_IN_DATA_SET", e.offset, e.tag)
+            self.warn(view, "DUPLICATE_TAG_IN_DATA_SET", e.offset, e.tag)
         data[e.tag] = e  # a known key keeps its place
 
     def _data_set(self, view: _View, at: int, end: int, explicit: bool, charset: tuple[str, ...], in_item: bool) -> tuple[dict[str, Element], int]:
@@ -215,14 +215,14 @@ class Parser:
                     if at + 12 > end:
                         raise view.fail(start, "an element header is cut off")
                     if d[at + 6 : at + 8] != b"\0\0":
-                        self.warn(view, "DICOM_NONZERO_RESERVED_BYTES", start, tag)
+                        self.warn(view, "NONZERO_RESERVED_BYTES", start, tag)
                     length, at = view.i.unpack_from(d, at + 8)[0], at + 12
                 else:
                     length, at = view.h.unpack_from(d, at + 6)[0], at + 8
                 if not group % 2 and self.vrs.get(tag, vr) != vr:
-                    self.warn(view, "DICOM_VR_MISMATCH", start, tag, vr)
+                    self.warn(view, "VR_MISMATCH", start, tag, vr)
                 if length != UNDEFINED and length % 2:
-                    self.warn(view, "DICOM_ODD_LENGTH_VALUE_PADDED", start, tag)
+                    self.warn(view, "ODD_LENGTH_VALUE_PADDED", start, tag)
             else:
                 (length,), at = view.i.unpack_from(d, at + 4), at + 8
                 vr = self._implicit_vr(view, tag, creators, start)
@@ -230,24 +230,24 @@ class Parser:
             if group % 2 and tag[4:6] >= "10":
                 own = creators.get((tag[:4], tag[4:6]))
                 if own is None:
-                    self.warn(view, "DICOM_PRIVATE_TAG_NO_CREATOR", start, tag)
+                    self.warn(view, "PRIVATE_TAG_NO_CREATOR", start, tag)
                 else:
                     known = self.profile and own in self.profile.private
                     if self.profile and not known:
-                        self.warn(view, "DICOM_PRIVATE_CREATOR_UNKNOWN", start, tag)
+                        self.warn(view, "PRIVATE_CREATOR_UNKNOWN", start, tag)
                     e.creator = own if known else WITHHELD
             at = self._value(view, e, at, end, explicit, in_item)
             if tag == "00080005":
                 terms = [t.strip(" ") for t in e.raw.decode("latin1").rstrip(" \0").split("\\")]
                 if any(t and t not in LABELS for t in terms):
-                    self.warn(view, "DICOM_UNSUPPORTED_CHARSET", start, tag)
+                    self.warn(view, "UNSUPPORTED_CHARSET", start, tag)
                 charset = tuple(t if not t or t in LABELS else WITHHELD for t in terms)
                 e.charset = charset
             elif group % 2 and "0010" <= tag[4:] <= "00FF":
                 if text := e.raw.decode("latin1").strip(" \0"):
                     creators[tag[:4], tag[6:]] = text
             elif element == 0:
-                self.warn(view, "DICOM_GROUP_LENGTH_IN_DATASET", start, tag)
+                self.warn(view, "GROUP_LENGTH_IN_DATASET", start, tag)
             self._put(view, data, e)
         return data, at
 
@@ -258,12 +258,12 @@ class Parser:
             pixel = explicit and e.tag == "7FE00010" and e.vr == "OB"
             if e.vr == "SQ" or pixel:
                 if explicit and not pixel:
-                    self.warn(view, "DICOM_UNDEFINED_LENGTH_IN_EXPLICIT_VR", e.offset, e.tag)
+                    self.warn(view, "UNDEFINED_LENGTH_IN_EXPLICIT_VR", e.offset, e.tag)
                 e.items, to = self._items(view, at, None, end, explicit, e.charset, pixel)
             elif e.vr == "UN":
                 tried = self._try(lambda: self._items(_View(d[at:end], "value-slice", True, view.deflated), 0, None, end - at, False, e.charset, False))
                 if tried is not None:
-                    self.warn(view, "DICOM_UN_PARSED_AS_SQ", at, e.tag)
+                    self.warn(view, "UN_PARSED_AS_SQ", at, e.tag)
                     e.vr, e.promoted, e.items, to = "SQ", True, tried[0], at + tried[1]
                 elif explicit:
                     to = end
@@ -284,7 +284,7 @@ class Parser:
         if e.vr == "SQ":
             tried = self._try(lambda: self._items(_View(e.raw, "value-slice", True, view.deflated), 0, e.length, e.length, False, e.charset, False))
             if tried is None:
-                self.warn(view, "DICOM_SQ_NOT_DESCENDED", at, e.tag)
+                self.warn(view, "SQ_NOT_DESCENDED", at, e.tag)
             else:
                 e.items = tried[0]
         return to
@@ -320,7 +320,7 @@ class Parser:
                 if mark != (0xFFFE, 0xE000):
                     raise view.fail(start, "no item where one must be")
                 if size == 0:
-                    self.warn(view, "DICOM_EMPTY_ITEM_IN_SEQUENCE", start)
+                    self.warn(view, "EMPTY_ITEM_IN_SEQUENCE", start)
                     items.append({})
                 elif pixel:
                     if at + size > len(d):
@@ -332,7 +332,7 @@ class Parser:
                     items.append(data)
                 else:
                     if length is not None and end < len(d) and at + size > end:
-                        self.warn(view, "DICOM_ITEM_CROSSES_SEQUENCE_END", start)
+                        self.warn(view, "ITEM_CROSSES_SEQUENCE_END", start)
                     if at + size > len(d):
                         raise view.fail(start, "an item passes the end")
                     inner = _View(d[at : at + size], "value-slice", view.little, view.deflated)
