@@ -1,49 +1,51 @@
-"""Replacement UIDs that are derived from the original alone, so equal UIDs stay equal in every file and run."""
+"""Replacement UIDs that are derived from the original alone, so equal UIDs stay equal in every file and run.
+
+A digest's 256 bits as a decimal number have no built-in expression; they are turned in Arrow batches.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import hashlib
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 DEFAULT_ROOT = "2.25"
-_BASE = 10**13
-_PARTS = 8
-
-
-def digest_decimal(text: Column) -> Column:
-    """The SHA-256 of a string as a decimal number.
-
-    The digest's 32-bit words are folded into limbs below 10^13, so that no product leaves 64 bits.
-    """
-    h = F.sha2(text.cast("binary"), 256)
-    words = F.array(*[F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(8)])
-    zero = F.array_repeat(F.lit(0).cast("bigint"), _PARTS)
-    shape = "struct<carry:bigint,limbs:array<bigint>>"
-
-    def word(limbs: Column, w: Column) -> Column:
-        # a limb times 2^32 may reach 4.3e22: the factor is applied as two halves of 2^16
-        def half(ls: Column, part: Column) -> Column:
-            start = F.struct(part.cast("bigint").alias("carry"), F.array().cast("array<bigint>").alias("limbs")).cast(shape)
 
-            def step(acc: Column, x: Column) -> Column:
-                v = x * 65536 + acc["carry"]
-                return F.struct(F.floor(v / F.lit(_BASE).cast("decimal(20,0)")).cast("bigint").alias("carry"), F.array_append(acc["limbs"], F.pmod(v, F.lit(_BASE))).alias("limbs")).cast(shape)
 
-            return F.aggregate(ls, start, step, lambda acc: acc["limbs"])
+def _remap(value: str, root: str) -> str:
+    return f"{root}.{int.from_bytes(hashlib.sha256(value.encode()).digest())}"[:64]
 
-        return half(half(limbs, F.shiftright(w, 16)), w.bitwiseAND(F.lit(65535).cast("bigint")))
 
-    limbs = F.aggregate(words, zero, word)
-    text = F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 13, "0")), "")
-    return F.regexp_replace(text, r"^0+(?=.)", "")
+@F.pandas_udf(StringType())
+def digest_decimal(text: pd.Series) -> pd.Series:
+    """The SHA-256 of a string as a decimal number."""
+    return text.map(lambda x: None if x is None else str(int.from_bytes(hashlib.sha256(x.encode()).digest())))
 
 
 def remap_uid(uid: Column, root: str = DEFAULT_ROOT) -> Column:
     """``root``, a dot, and as many digits of the digest's number as 64 characters leave, no leading zeros."""
-    return F.concat(F.lit(root + "."), F.substring(digest_decimal(uid), 1, 64 - len(root) - 1))
+
+    @F.pandas_udf(StringType())
+    def one(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else _remap(x, root))
+
+    return one(uid)
 
 
 def remap_values(value: Column, root: str = DEFAULT_ROOT) -> Column:
     """Each value of a UI list remapped; trailing NULs and white space around a value do not count."""
-    values = F.split(F.regexp_replace(value, r"\x00+\z", ""), r"\\")
-    return F.array_join(F.transform(values, lambda x: remap_uid(F.trim(x), root)), "\\")
+
+    @F.pandas_udf(StringType())
+    def every(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else "\\".join(_remap(u.strip(" "), root) for u in x.rstrip("\0").split("\\")))
+
+    return every(value)
+
+
+def uid_map(uids: DataFrame, column: str, root: str = DEFAULT_ROOT) -> DataFrame:
+    """``(original, replacement)`` of the distinct UIDs of a column."""
+    own = uids.select(F.trim(F.regexp_replace(F.col(column), r"\x00+\z", "")).alias("original")).where("original <> ''").distinct()
+    return own.withColumn("replacement", remap_uid(F.col("original"), root))

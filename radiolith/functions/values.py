@@ -111,10 +111,10 @@ DATE = r"^([0-9]{4})(\.?)([0-9]{2})\2([0-9]{2})\z"
 
 
 def parse_date(raw: Column) -> Column:
-    """DA: ``raw, valid, legacy, year, month, day``. The day may be up to 31 in any month; dots are the legacy form."""
+    """DA: ``raw, valid, legacy, year, month, day``. The day may be up to 31 in any month; what is not eight digits is legacy."""
     year, month, day = (_part(raw, DATE, i) for i in (1, 3, 4))
     valid = F.coalesce(month.between(1, 12) & day.between(1, 31), F.lit(False))
-    legacy = (raw != "") & (~valid | raw.contains("."))
+    legacy = (raw != "") & ~raw.rlike(r"^[0-9]{8}\z")
     null = lambda c: F.when(valid, c)
     return F.struct(raw.alias("raw"), valid.alias("valid"), legacy.alias("legacy"), null(year).alias("year"), null(month).alias("month"), null(day).alias("day"))
 
@@ -133,25 +133,29 @@ def parse_time(raw: Column) -> Column:
 
 
 DATE_TIME = r"^([0-9]{4})([0-9]{2})?([0-9]{2})?([0-9]{2})?([0-9]{2})?([0-9]{2})?(\.[0-9]+)?\z"
-OFFSET = r"^(.+)([+-])([^+-]*)\z"
-OFFSET_DIGITS = r"^([0-9]{2})([0-9]{2})\z"
+OFFSET = r"^[+-]([0-9]{2})([0-9]{2})\z"
 
 
 def parse_date_time(raw: Column) -> Column:
-    """DT: date and time parts of any precision, ``offset_minutes``, and ``odd_offset`` for an offset out of form or range."""
-    has = raw.rlike(OFFSET)
-    body = F.when(has, F.regexp_extract(raw, OFFSET, 1)).otherwise(raw)
-    digits = F.regexp_extract(raw, OFFSET, 3)
-    oh, om = _part(digits, OFFSET_DIGITS, 1), _part(digits, OFFSET_DIGITS, 2)
+    """DT: date and time parts of any precision, ``offset_minutes``, and ``odd_offset`` for an offset out of form or range.
+
+    The offset begins at the first plus or the first minus after the first character, whichever is later. Before what
+    is no date and time no offset is odd.
+    """
+    sign_at = F.greatest(F.locate("+", raw, 2), F.locate("-", raw, 2))
+    has = sign_at > 1
+    body = F.when(has, F.substring(raw, F.lit(1), sign_at - 1)).otherwise(raw)
+    digits = F.when(has, F.substring(raw, sign_at, F.length(raw))).otherwise(F.lit(""))
+    oh, om = _part(digits, OFFSET, 1), _part(digits, OFFSET, 2)
     good = F.coalesce(oh.between(0, 14) & om.between(0, 59), F.lit(False))
-    sign = F.when(F.regexp_extract(raw, OFFSET, 2) == "-", -1).otherwise(1)
+    sign = F.when(digits.startswith("-"), -1).otherwise(1)
     y, mo, d, h, mi, s = (_part(body, DATE_TIME, i) for i in range(1, 7))
     fraction = F.regexp_extract(body, DATE_TIME, 7)
     fraction = F.when(fraction != "", F.concat(F.lit("0"), fraction)).try_cast("double")
     fine = lambda c, lo, hi: F.coalesce(c.between(lo, hi), F.lit(True))
     valid = F.coalesce(y.isNotNull(), F.lit(False)) & fine(mo, 1, 12) & fine(d, 1, 31) & fine(h, 0, 23) & fine(mi, 0, 59) & fine(s, 0, 60)
     parts = {"year": y, "month": mo, "day": d, "hours": h, "minutes": mi, "seconds": s, "fraction": fraction, "offset_minutes": F.when(has & good, sign * (oh * 60 + om))}
-    return F.struct(raw.alias("raw"), valid.alias("valid"), (has & ~good).alias("odd_offset"), *[F.when(valid, c).alias(n) for n, c in parts.items()])
+    return F.struct(raw.alias("raw"), valid.alias("valid"), (has & ~good & body.rlike(DATE_TIME)).alias("odd_offset"), *[F.when(valid, c).alias(n) for n, c in parts.items()])
 
 
 _NAME_PARTS = ("family", "given", "middle", "prefix", "suffix")
@@ -193,6 +197,38 @@ def binary_integers(raw: Column, size: int, signed: bool, little: Column) -> Col
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: plus(full(i)))).otherwise(F.array().cast("array<decimal(20,0)>" if size == 8 and not signed else "array<bigint>"))
 
 
+def floats(raw: Column, size: int, little: Column) -> Column:
+    """Whole IEEE 754 units of 4 or 8 bytes as doubles, put together from sign, exponent and fraction."""
+    halves = binary_integers(raw, 4, False, little)
+    power = lambda n: F.pow(F.lit(2.0), n)
+
+    def number(sign: Column, exponent: Column, fraction: Column, most: int, bits: int, bias: int) -> Column:
+        value = F.when(exponent == most, F.when(fraction == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan"))))
+        value = value.when(exponent == 0, fraction.cast("double") * power(F.lit(1 - bias - bits)))
+        return F.when(sign == 1, -1.0).otherwise(1.0) * value.otherwise((fraction + F.lit(2**bits)).cast("double") * power(exponent - F.lit(bias + bits)))
+
+    part = lambda u, shift, bits: F.shiftrightunsigned(u, shift).bitwiseAND(F.lit(2**bits - 1).cast("bigint"))
+    if size == 4:
+        return F.transform(halves, lambda u: number(part(u, 31, 1), part(u, 23, 8), part(u, 0, 23), 255, 23, 127))
+
+    def one(i: Column) -> Column:
+        a, b = F.get(halves, (2 * i).cast("int")), F.get(halves, (2 * i + 1).cast("int"))
+        high, low = F.when(little, b).otherwise(a), F.when(little, a).otherwise(b)
+        return number(part(high, 31, 1), part(high, 20, 11), part(high, 0, 20) * F.lit(2**32) + low, 2047, 52, 1023)
+
+    n = F.floor(F.length(raw) / 8).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<double>"))
+
+
+def number_text(vr: Column, raw: Column, little: Column) -> Column:
+    """The numbers of a binary numeric value as text, joined by backslashes; null for other representations."""
+    join = lambda numbers: F.array_join(F.transform(numbers, lambda x: x.cast("string")), "\\")
+    out = F.when(vr == "US", join(binary_integers(raw, 2, False, little))).when(vr == "SS", join(binary_integers(raw, 2, True, little)))
+    out = out.when(vr == "UL", join(binary_integers(raw, 4, False, little))).when(vr == "SL", join(binary_integers(raw, 4, True, little)))
+    out = out.when(vr == "UV", join(binary_integers(raw, 8, False, little))).when(vr == "SV", join(binary_integers(raw, 8, True, little)))
+    return out.when(vr == "FL", join(floats(raw, 4, little))).when(vr == "FD", join(floats(raw, 8, little))).when(vr == "AT", F.array_join(attribute_tags(raw, little), "\\"))
+
+
 def attribute_tags(raw: Column, little: Column) -> Column:
     """AT: tags of four bytes each, two 16-bit halves."""
     h = F.hex(raw)

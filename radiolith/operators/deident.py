@@ -6,10 +6,10 @@ is found from paths alone, and nothing is shuffled but the two elements that are
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -18,7 +18,7 @@ from radiolith.functions import uids as U
 from radiolith.functions import values as V
 
 from . import dictionary as D
-from .elements import resolve_creators
+from .elements import overruns, poisoned, resolve_creators, settled
 from .embedded import SCANNABLE, find_embedded
 from .profiles import Profile
 
@@ -28,6 +28,7 @@ OPTIONS = ("CleanGraphics", "CleanStructuredContent", "CleanDescriptors", "Retai
 DUMMIES = {"PN": "Anonymized", **dict.fromkeys(("LO", "SH", "LT", "ST", "UT", "UC", "AE", "CS"), "ANONYMIZED"), "UR": "anonymized", "DA": "10000101", "DT": "10000101000000", "TM": "000000", "AS": "000Y", "DS": "0", "IS": "0"}
 METHOD = "Radiolith Basic Application Level Confidentiality Profile"
 AUDIT_CAP = 64
+INSTANCE_UID = "media_storage_sop_instance_uid"
 
 
 class DeidentifyError(ValueError):
@@ -64,12 +65,11 @@ def remapped(raw: Column, root: str) -> Column:
     return V.pad_even(F.encode(U.remap_values(V.ascii_text(raw), root), "ISO-8859-1"), F.lit("UI"))
 
 
-def _embedded_udf(actionable: set[str], groups: set[str], encoding: str):
+def _embedded_udf(actionable: set[str], groups: set[str]):
     @F.pandas_udf(BooleanType())
-    def found(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def found(raw: pd.Series, vr: pd.Series, encoding: pd.Series) -> pd.Series:
         act = lambda tag: tag[3] in "13579BDF" or tag in actionable or tag[:4] in groups
-        for raw, vr in batches:
-            yield pd.Series([r is not None and find_embedded(bytes(r), v, encoding, act) is not None for r, v in zip(raw, vr, strict=True)])
+        return pd.Series([r is not None and find_embedded(bytes(r), v, e, act) is not None for r, v, e in zip(raw, vr, encoding, strict=True)])
 
     return found
 
@@ -80,6 +80,8 @@ def deidentify(elements: DataFrame, retain: Sequence[str] = (), uid_root: str =
     ``audit(object_id, path, ord, tag, vr, code, applied)`` has a row for every element with a rule and every private one;
     ``applied`` is kept, removed, emptied, cleaned, dummied, remapped, or the reason why a value that would be
     kept was emptied: undefined-vr, embedded or unauditable. Descendants of a sequence that goes are removed with it.
+    Values are scanned in the encoding that a column ``encoding`` names for each, else in the one given. Where there are columns
+    ``length`` and ``byte_offset``, private elements beyond a disputed boundary, or in items below one, are not retained.
     """
     spark, active = elements.sparkSession, check_options(retain)
     table = actions if actions is not None else D.actions(spark)
@@ -91,12 +93,20 @@ def deidentify(elements: DataFrame, retain: Sequence[str] = (), uid_root: str =
     rows = elements.withColumn("private_creator", F.lit(None).cast("string"))
     named = F.lit(False)
     if "RetainSafePrivate" in active and profile is not None:
-        rows = resolve_creators(elements.withColumn("_text", V.ascii_text(F.col("raw"))), ordered=False, value="_text").drop("_text")
+        rows, usable = elements.withColumn("_text", V.ascii_text(F.col("raw"))), F.lit(True)
+        if {"length", "byte_offset"} <= set(elements.columns):
+            rows = rows.withColumn("_encoding", F.col("encoding") if "encoding" in elements.columns else F.lit(encoding))
+            rows = rows.withColumn("overruns", overruns(rows, "_encoding"))
+            rows = settled(poisoned(rows))
+            usable = F.col("settled") & ~F.col("poisoned")
+            rows = rows.withColumn("_text", F.when(usable, F.col("_text")).otherwise(F.lit("")))  # a creator there reserves nothing
+        rows = rows.withColumn("_usable", usable)
+        rows = resolve_creators(rows, ordered=False, value="_text")
         p = F.broadcast(profile.private_table(spark).select(F.col("creator").alias("_c"), F.col("key").alias("_key"), F.col("vr").alias("declared")))
         rows = rows.join(p, (F.col("private_creator") == F.col("_c")) & (T.canonical_private_key(F.col("tag")) == F.col("_key")), "left")
         names = list(profile.private)
         slot_kept = T.is_private_creator_slot(F.col("tag")) & F.trim(V.ascii_text(F.col("raw"))).isin(*names) if names else F.lit(False)
-        named = F.col("_key").isNotNull() | slot_kept
+        named = F.col("_usable") & (F.col("_key").isNotNull() | slot_kept)
     else:
         rows = rows.withColumn("declared", F.lit(None).cast("string"))
     r = F.broadcast(resolved.select(F.col("tag").alias("_t"), F.col("code").alias("_code")))
@@ -112,9 +122,10 @@ def deidentify(elements: DataFrame, retain: Sequence[str] = (), uid_root: str =
     embedded = F.lit(False)
     if scan_embedded:
         act = {x["tag"] for x in rules if x["code"] != "K"}
-        found = _embedded_udf(act, {x["grp"] for x in masks if x["gcode"] != "K"}, encoding)
-        wanted = vr.isin(*SCANNABLE) & (F.length("raw") >= 8)  # the shortest run is one header
-        embedded = F.when(wanted, found(F.when(wanted, F.col("raw")), vr)).otherwise(F.lit(False))
+        found = _embedded_udf(act, {x["grp"] for x in masks if x["gcode"] != "K"})
+        # the shortest run is one header, and a run holds a control byte
+        wanted = vr.isin(*SCANNABLE) & (F.length("raw") >= 8) & V.ascii_text(F.col("raw")).rlike(r"[\x00-\x1F\x7F]")
+        embedded = F.when(wanted, found(F.when(wanted, F.col("raw")), vr, F.col("encoding") if "encoding" in elements.columns else F.lit(encoding))).otherwise(F.lit(False))
     rows = rows.withColumn("_embedded", F.coalesce(embedded, F.lit(False)))
     keep = F.when(undefined, "undefined-vr").when(F.col("_embedded"), "embedded").otherwise("kept")
     private = T.is_private_tag(F.col("tag"))
@@ -129,19 +140,25 @@ def deidentify(elements: DataFrame, retain: Sequence[str] = (), uid_root: str =
     )
     rows = rows.withColumn("code", code).withColumn("applied", applied).withColumn("_listed", code.isNotNull() | private)
     blank = F.unhex(F.lit(""))
-    raw = F.when(F.col("applied") == "kept", F.col("raw")).when(sq & (F.col("applied") == "cleaned"), F.col("raw")).when(F.col("applied") == "dummied", dummy(vr)).when(F.col("applied") == "remapped", remapped(F.col("raw"), uid_root)).otherwise(blank)
+    raw = F.when(F.col("applied") == "kept", F.col("raw")).when(sq & (F.col("applied") == "cleaned"), F.col("raw")).when(F.col("applied") == "dummied", dummy(vr)).when(F.col("applied") == "remapped", remapped(F.when(F.col("applied") == "remapped", F.col("raw")), uid_root)).otherwise(blank)
     count = F.when(sq & F.col("applied").isin("emptied", "unauditable"), 0).otherwise(F.col("item_count"))
     audit = rows.where(F.col("_listed") | ~F.col("applied").isin("kept", "removed")).select("object_id", "path", "ord", "tag", "vr", "code", "applied")
     out = rows.where("applied <> 'removed'").withColumn("raw", raw).withColumn("item_count", count).select(*elements.columns)
-    return _add_method(out, method or "\\".join((METHOD, *active))), audit
+    return _add_method(out, elements, method or "\\".join((METHOD, *active))), audit
 
 
-def _add_method(elements: DataFrame, method: str) -> DataFrame:
-    """Adds or replaces ``(0012,0062)`` and adds the method's values to ``(0012,0063)``; new elements come last."""
-    own = (F.col("path") == "") & F.col("tag").isin("00120062", "00120063")
-    at = elements.groupBy("object_id").agg(
-        F.max("ord").alias("last"), F.max(F.when((F.col("path") == "") & (F.col("tag") == "00120062"), F.col("ord"))).alias("o62"), F.max(F.when((F.col("path") == "") & (F.col("tag") == "00120063"), F.col("ord"))).alias("o63"),
-        F.max(F.when((F.col("path") == "") & (F.col("tag") == "00120063") & (F.col("vr") == "LO"), V.ascii_text(F.col("raw")))).alias("prior"),
+def _add_method(elements: DataFrame, before: DataFrame, method: str) -> DataFrame:
+    """Adds or replaces ``(0012,0062)`` and adds the method's values to ``(0012,0063)``; new elements come last.
+
+    Both are looked up in ``before``, the elements as they came, so that nothing is rewritten twice. A prior method with control
+    characters is not kept, as it may hide elements.
+    """
+    root = F.col("path") == ""
+    own = root & F.col("tag").isin("00120062", "00120063")
+    text = V.ascii_text(F.col("raw"))
+    at = before.groupBy("object_id").agg(
+        F.max("ord").alias("last"), F.max(F.when(root & (F.col("tag") == "00120062"), F.col("ord"))).alias("o62"), F.max(F.when(root & (F.col("tag") == "00120063"), F.col("ord"))).alias("o63"),
+        F.max(F.when(root & (F.col("tag") == "00120063") & (F.col("vr") == "LO") & ~V.strip_pad(text).rlike(r"[\x00-\x1A\x1C-\x1F\x7F]"), text)).alias("prior"),
     )
     value = added_method(F.coalesce("prior", F.lit("")), method)
     lo = V.pad_even(F.encode(value, "ISO-8859-1"), F.lit("LO"))
@@ -151,6 +168,39 @@ def _add_method(elements: DataFrame, method: str) -> DataFrame:
     return elements.where(~own).unionByName(new.select(*[fields[c].cast(types[c]).alias(c) if c in fields else F.lit(None).cast(types[c]).alias(c) for c in elements.columns]))
 
 
+def report(elements: DataFrame, audit: DataFrame, attributes: DataFrame, method: str, cap: int = AUDIT_CAP) -> dict[str, DataFrame]:
+    """The de-identification report as tables: what happened to what, by kind.
+
+    ``attributes`` has a row for each audited element with its keyword and the prefix of its repeating group; ``removed_private``,
+    ``embedded``, ``unauditable`` and ``undefined_vr`` hold those of one outcome, at most ``cap`` an object, with ``withheld``, how many
+    more there are; ``warnings`` holds the codes of what calls for a look: burned-in identity, method values too long, a prior method kept.
+    """
+    names = F.broadcast(attributes.select(F.col("tag").alias("_t"), F.col("keyword")))
+    pair = F.substring("tag", 1, 2)
+    repeating = F.when(pair.isin(*D.REPEATING) & F.substring("tag", 1, 4).isin(*[g for p in D.REPEATING for g in D.repeating_groups(p)]), pair)
+    full = audit.join(names, F.col("tag") == F.col("_t"), "left").drop("_t").withColumn("repeating_group", repeating)
+
+    def some(condition: Column) -> DataFrame:
+        whole = Window.partitionBy("object_id")
+        rows = full.where(condition).withColumn("_n", F.row_number().over(whole.orderBy("ord"))).withColumn("withheld", F.greatest(F.count("*").over(whole) - cap, F.lit(0)))
+        return rows.where(F.col("_n") <= cap).drop("_n")
+
+    root = F.col("path") == ""
+    prior = elements.where(root & (F.col("tag") == "00120063"))
+    burned = burned_in(elements.withColumn("_text", V.ascii_text(F.col("raw"))), "_text").select("object_id", F.lit("BURNED_IN_ANNOTATION_NOT_REMOVED").alias("code"))
+    text = V.ascii_text(F.col("raw"))
+    kept = prior.where((F.col("vr") == "LO") & (V.strip_pad(text) != "")).select("object_id", F.lit("DEIDENT_METHOD_PRIOR_RETAINED").alias("code"))
+    other = prior.where(F.col("vr") != "LO").select("object_id", F.lit("DEIDENT_METHOD_NOT_LO").alias("code"))
+    long = prior.where(over_length(text)).select("object_id", F.lit("DEIDENT_METHOD_VALUE_OVER_LENGTH").alias("code"))
+    if any(len(x) > 64 for x in method.split("\\")):
+        long = elements.select("object_id").distinct().select("object_id", F.lit("DEIDENT_METHOD_VALUE_OVER_LENGTH").alias("code"))
+    private = T.is_private_tag(F.col("tag"))
+    return {
+        "attributes": full, "removed_private": some(private & (F.col("applied") == "removed")), "embedded": some(F.col("applied") == "embedded"), "unauditable": some(F.col("applied") == "unauditable"),
+        "undefined_vr": some(F.col("applied") == "undefined-vr"), "warnings": burned.union(kept).union(other).union(long),
+    }
+
+
 def added_method(prior: Column, method: str) -> Column:
     """The prior values, then those of ``method`` that are not among them (padding at the end does not count); the method alone if all would not fit."""
     old = F.filter(F.split(prior, r"\\"), lambda x: V.strip_pad(x) != "")
@@ -173,5 +223,12 @@ def burned_in(elements: DataFrame, value: str = "value") -> DataFrame:
 
 
 def remap_file_meta(objects: DataFrame, column: str, retain: Sequence[str] = (), uid_root: str = U.DEFAULT_ROOT) -> DataFrame:
-    """File meta with the instance UID replaced unless UIDs are retained."""
-    return objects if "RetainUIDs" in check_options(retain) else objects.withColumn(column, F.when(F.col(column).isNotNull(), U.remap_values(F.col(column), uid_root)))
+    """File meta with the instance UID replaced unless UIDs are retained; ``column`` is a string, or the map ``meta`` of files."""
+    if "RetainUIDs" in check_options(retain):
+        return objects
+    if not dict(objects.dtypes)[column].startswith("map"):
+        return objects.withColumn(column, U.remap_values(F.col(column), uid_root))
+    new = U.remap_values(F.element_at(column, INSTANCE_UID), uid_root)
+    own = F.map_from_arrays(F.array(F.lit(INSTANCE_UID)), F.array(new))
+    rest = F.map_filter(column, lambda k, _: k != INSTANCE_UID)
+    return objects.withColumn(column, F.when(F.map_contains_key(column, INSTANCE_UID), F.map_concat(rest, own)).otherwise(F.col(column)))

@@ -9,12 +9,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from radiolith.functions import charset as C
 from radiolith.functions import tags as T
+from radiolith.functions import values as V
 from radiolith.functions.charset import WITHHELD
 
 KEY = ("object_id", "path")
 
 
+def decoded(elements: DataFrame, label: str | None = None) -> DataFrame:
+    """Adds ``value``: the text of ``raw`` by representation, byte order and character set.
+
+    Binary numbers are written out, joined by backslashes. Text that depends on a character set is decoded by the element's own
+    (``charset``, an array of terms), or by ``label`` for all: Latin-1 and UTF-8 in the JVM, others in Arrow batches, malformed bytes as
+    U+FFFD. All else is Latin-1.
+    """
+    vr, raw = F.col("vr"), F.col("raw")
+    text = vr.isin(*V.CHARSET_LISTS, *V.CHARSET_TEXTS, "PN")
+    latin, utf8 = V.ascii_text(raw), V.strip_bom(F.call_function("make_valid_utf8", raw.cast("string")))
+    if label == "utf-8":
+        value = F.when(text, utf8).otherwise(latin)
+    else:
+        own = F.lit(label) if label else C.decoder_label(F.coalesce(F.col("charset"), F.array().cast("array<string>")))
+        other = text & ~own.isin("latin1", "utf-8")
+        value = F.when(other, C.decode_text(F.when(other, raw), F.when(other, own))).when(text & (own == "utf-8"), utf8).otherwise(latin)
+    return elements.withColumn("value", F.coalesce(V.number_text(vr, raw, F.coalesce(F.col("little_endian"), F.lit(True))), value))
+
+
 def get_tag(elements: DataFrame, tag: str) -> DataFrame:
     """The element of a tag, at the root and in any case of letters."""
     return elements.where((F.col("tag") == tag.upper()) & (F.col("path") == ""))
@@ -90,6 +111,21 @@ def carried_charset(elements: DataFrame, value: str = "value") -> DataFrame:
     return out.withColumn("charset", F.coalesce("_own", F.when(F.col("path") != "", F.col("_root")))).drop("_own", "_root", "_o")
 
 
+def overruns(elements: DataFrame, encoding: str = "encoding") -> Column:
+    """Whether a sequence's items reach beyond the length that it declares; an undefined length declares none."""
+    header = F.when(F.col(encoding) == "implicit-le", 0).otherwise(12)
+    return F.coalesce((F.col("vr") == "SQ") & (F.col("length") != 0xFFFFFFFF) & (F.length("raw") - header > F.col("length")), F.lit(False))
+
+
+def poisoned(elements: DataFrame, overruns: str = "overruns") -> DataFrame:
+    """Adds ``poisoned``: whether an element lies in an item, however deep, of a sequence that its items overrun."""
+    step = F.concat(F.when(F.col("path") == "", F.lit("")).otherwise(F.concat(F.col("path"), F.lit("/"))), F.col("tag"), F.lit("["))
+    bad = elements.where(F.col(overruns)).groupBy(F.col("object_id").alias("_o")).agg(F.collect_set(step).alias("_bad"))
+    out = elements.join(bad, F.col("object_id") == F.col("_o"), "left")
+    hit = F.exists("_bad", lambda b: F.startswith(F.col("path"), b))
+    return out.withColumn("poisoned", F.coalesce(hit, F.lit(False))).drop("_o", "_bad")
+
+
 def settled(elements: DataFrame, overruns: str = "overruns") -> DataFrame:
     """Adds ``settled``: whether an element stands at or before the first sequence whose items overrun it, in order and by offset."""
     whole = Window.partitionBy(*KEY)

@@ -1,78 +1,80 @@
-"""Encoded attributes hidden at the end of string values."""
+"""Encoded attributes hidden at the end of string values.
+
+Every even place of a value is read as an element header at once, in arrays. A place points to where its element would
+end; pointers are followed by doubling, so that all runs of elements that reach the value's end are known after as many
+steps as the length has binary digits.
+"""
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Callable
 
+import numpy as np
+
 from radiolith.functions.values import KNOWN_VRS, LONG_FORM_VRS
 
 # The representations that are scanned, and bytes below 0x20 that some of them may hold.
 SCANNABLE = ("AE", "AS", "CS", "DA", "DS", "DT", "IS", "LO", "LT", "PN", "SH", "ST", "TM", "UC", "UI", "UR", "UT")
-TEXT_CONTROLS, ESCAPE = frozenset((9, 10, 12, 13, 27)), frozenset((27,))
+CONTROLS = {**dict.fromkeys(("LT", "ST", "UT"), (9, 10, 12, 13, 27)), **dict.fromkeys(("LO", "SH", "UC", "PN"), (27,))}
 WINDOW = 1 << 20
+ITEM_GROUP, UNDEFINED = 0xFFFE, 0xFFFFFFFF
 
-
-def _allowed(vr: str) -> frozenset[int]:
-    return TEXT_CONTROLS if vr in ("LT", "ST", "UT") else ESCAPE if vr in ("LO", "SH", "UC", "PN") else frozenset()
+_code = lambda vr: vr.encode()[0] << 8 | vr.encode()[1]
+_SHORT = np.array([_code(v) for v in KNOWN_VRS if v not in LONG_FORM_VRS])
+_LONG = np.array([_code(v) for v in LONG_FORM_VRS])
 
 
-def header_at(value: bytes, at: int, encoding: str) -> tuple[int, str | None] | None:
-    """``(end, tag)`` of the element that would begin at a place, tag None for item marks; None if none could."""
-    if at + 8 > len(value):
-        return None
-    order = ">" if encoding == "explicit-be" else "<"
-    group, element = struct.unpack_from(order + "HH", value, at)
-    if group == 0xFFFE:
-        return at + 8, None
-    if not group and not element:
-        return None
-    size = 8
+def headers(data: np.ndarray, encoding: str) -> tuple[np.ndarray, np.ndarray]:
+    """``(end, tag)`` of the element that would begin at each even place with 8 bytes or more left; end 0 if none could, tag -1 for item marks."""
+    n, at = len(data), np.arange(0, len(data) - 7, 2)
+    wide = np.concatenate([data, np.zeros(12, dtype=np.uint8)]).astype(np.int64)
+    weights = (8, 0) if encoding == "explicit-be" else (0, 8)
+    half = lambda skip: wide[at + skip] << weights[0] | wide[at + skip + 1] << weights[1]
+    full = lambda skip: half(skip) << 2 * weights[0] | half(skip + 2) << 2 * weights[1]
+    tag = half(0) << 16 | half(2)
     if encoding == "implicit-le":
-        (length,) = struct.unpack_from("<I", value, at + 4)
+        fine, size, length = tag != 0, 8, full(4)
     else:
-        vr = value[at + 4 : at + 6].decode("latin1")
-        if vr not in KNOWN_VRS:
-            return None
-        if vr in LONG_FORM_VRS:
-            if at + 12 > len(value) or value[at + 6 : at + 8] != b"\0\0":
-                return None
-            size, (length,) = 12, struct.unpack_from(order + "I", value, at + 8)
-        else:
-            (length,) = struct.unpack_from(order + "H", value, at + 6)
-    if length == 0xFFFFFFFF or length % 2 or at + size + length > len(value):
-        return None
-    return at + size + length, f"{group:04X}{element:04X}"
+        vr = wide[at + 4] << 8 | wide[at + 5]
+        long = np.isin(vr, _LONG)
+        fine = (tag != 0) & (np.isin(vr, _SHORT) | (long & (half(6) == 0) & (at + 12 <= n)))
+        size, length = np.where(long, 12, 8), np.where(long, full(8), half(6))
+    end = at + size + length
+    end = np.where(fine & (length != UNDEFINED) & (length % 2 == 0) & (end <= n), end, 0)
+    mark = tag >> 16 == ITEM_GROUP
+    return np.where(mark, at + 8, end), np.where(mark, -1, tag)
 
 
 def find_embedded(value: bytes, vr: str, encoding: str, acts: Callable[[str], bool]) -> tuple[list[str], int] | None:
     """``(tags that a rule acts on, number of elements)`` of a run of elements that reaches the value's end exactly.
 
     The run begins at an even offset within the last MiB, holds an element that ``acts`` names, and from its start on a
-    byte that the representation may not hold. One backward pass: each place is decoded once.
+    byte that the representation may not hold.
     """
-    if vr not in SCANNABLE or len(value) < 8:
+    data = np.frombuffer(value[-WINDOW:], dtype=np.uint8)
+    if vr not in SCANNABLE or len(data) < 8 or len(data) % 2:
         return None
-    value = value[-WINDOW:]
-    n = len(value)
-    ends: dict[int, tuple[int, str | None]] = {}
-    hits: dict[int, bool] = {}
-    for at in range((n - 8) & ~1, -1, -2):
-        found = header_at(value, at, encoding)
-        if found and (found[0] == n or found[0] in ends):
-            ends[at] = found
-            hits[at] = hits.get(found[0], False) or (found[1] is not None and acts(found[1]))
-    start = min((at for at, hit in hits.items() if hit), default=None)
-    if start is None:
+    odd = ((data < 0x20) & ~np.isin(data, CONTROLS.get(vr, ()))) | (data == 0x7F)
+    if not odd.any():
         return None
-    fine = _allowed(vr)
-    if all((b >= 0x20 and b != 0x7F) or b in fine for b in value[start:]):
+    end, tag = headers(data, encoding)
+    last, dead = len(data) // 2, len(data) // 2 + 1  # where a run is complete, and where one breaks off
+    to = np.full(dead + 1, dead)
+    to[: len(end)] = np.where(end > 0, end // 2, dead)
+    to[last] = last
+    names = {t: acts(f"{t:08X}") for t in np.unique(tag[(end > 0) & (tag >= 0)]).tolist()}
+    hit = np.zeros(dead + 1, dtype=bool)
+    hit[: len(tag)] = np.isin(tag, [t for t, acted in names.items() if acted]) & (end > 0)
+    leap, met = to, hit
+    for _ in range(last.bit_length()):
+        met, leap = met | met[leap], leap[leap]
+    starts = np.flatnonzero((leap == last) & met)
+    if not len(starts) or not odd[2 * starts[0] :].any():
         return None
-    tags, count, at = [], 0, start
-    while at < n:
-        at, tag = ends[at]
-        if tag is not None:
+    at, tags, count = int(starts[0]), [], 0
+    while at < last:
+        if tag[at] >= 0:
             count += 1
-            if acts(tag):
-                tags.append(tag)
+            tags += [f"{tag[at]:08X}"] * names[int(tag[at])]
+        at = int(to[at])
     return tags, count

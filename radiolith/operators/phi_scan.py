@@ -25,11 +25,30 @@ def scan_text(texts: DataFrame, key: str, text: str, this_year: int, allowed: Da
     return rows
 
 
-PN_TAGS = ("00080090", "00081048", "00081050", "00081052", "00081060", "00081070", "00100010", "00101001", "00101005", "00101060")
-DATE_TAGS = ("00080020", "00080021", "00080022", "00080023", "00100030", "0008002A")
+# The tags that hold names, dates and date-times of persons.
+PN_TAGS = ("00080090", "00081048", "00081050", "00081060", "00081070", "00100010", "00101001", "00101005", "00101060", "0040A123")
+DA_TAGS = ("00080020", "00080021", "00080022", "00080023", "00100030", "0040A030")
+DT_TAGS = ("0008002A", "0040A12C", "0040A13A")
 
 
 def scan_elements(elements: DataFrame) -> DataFrame:
     """``(object_id, tag, recognizer)`` of elements of identifying tags that hold something."""
-    kind = F.when(F.col("tag").isin(*PN_TAGS), "name").when(F.col("tag").isin(*DATE_TAGS), "date")
+    kind = F.when(F.col("tag").isin(*PN_TAGS), "name").when(F.col("tag").isin(*DA_TAGS, *DT_TAGS), "date")
     return elements.where(F.trim("value") != "").select("object_id", "tag", kind.alias("recognizer")).where("recognizer is not null")
+
+
+BASE64_RUN = r"([A-Za-z0-9+/]{16,})"
+
+
+def base64_objects(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``(path, content)`` of the Part 10 objects that stand in texts as base64, ready for the parser; ``path`` is the key and a number.
+
+    An object has its preamble, or begins with the file meta group. What decodes to anything else is passed over, and
+    nothing is looked for within an object.
+    """
+    runs = texts.select(F.col(key).cast("string").alias("_k"), F.posexplode(F.regexp_extract_all(text, F.lit(BASE64_RUN), 1)).alias("_n", "_run"))
+    digits = F.length("_run") - F.when(F.length("_run") % 4 == 1, 1).otherwise(0)
+    whole = F.rpad(F.substring("_run", F.lit(1), digits), F.ceil(digits / 4).cast("int") * 4, F.lit("="))
+    content = runs.select(F.concat_ws("#", "_k", "_n").alias("path"), F.unbase64(whole).alias("content"))
+    is_object = (F.hex(F.substring("content", 129, 4)) == "4449434D") | F.startswith(F.hex(F.substring("content", 1, 8)), F.lit("02000000554C0400"))
+    return content.where(is_object)

@@ -67,8 +67,31 @@ def _root(elements: DataFrame) -> DataFrame:
     return elements.where(F.col("path") == "")
 
 
+OTHER_IDS, ISSUER_QUALIFIERS = "00101002", "00100024"
+
+
 def patient_view(elements: DataFrame) -> DataFrame:
-    return view(_root(elements), PATIENT)
+    """The patient fields, ``other_ids`` and ``issuer_qualifiers``: an entry for each item of their sequences, in one pass.
+
+    An entry of ``other_ids`` has ``id, issuer, type_code``; one of ``issuer_qualifiers`` maps tags to first values.
+    """
+    root = F.col("path") == ""
+    inner = F.col("path").rlike(rf"^({OTHER_IDS}|{ISSUER_QUALIFIERS})\[[0-9]+\]\z")
+    tags = sorted({t for t, _ in PATIENT.values()})
+    rows = elements.where((root & F.col("tag").isin(*tags, OTHER_IDS, ISSUER_QUALIFIERS)) | inner)
+    cell = F.struct(F.substring("path", 1, 8).alias("of"), F.regexp_extract("path", r"\[([0-9]+)\]", 1).try_cast("int").alias("item"), F.col("tag").alias("tag"), first_string(F.col("value")).alias("value"))
+    count = lambda t: F.max(F.when(root & (F.col("tag") == t), F.col("item_count")))
+    wide = rows.groupBy("object_id").agg(*[F.max(F.when(root & (F.col("tag") == t), F.col("value"))).alias(t) for t in tags], F.collect_list(F.when(inner, cell)).alias("cells"), count(OTHER_IDS).alias("n_other"), count(ISSUER_QUALIFIERS).alias("n_issuer"))
+
+    def items(n: str, of: str, entry) -> Column:
+        own = lambda i: F.filter("cells", lambda c: (c["of"] == of) & (c["item"] == i))
+        found = F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda i: entry(own(i)))
+        return F.coalesce(F.when(F.col(n) > 0, found), F.array().cast("array<struct<id:string,issuer:string,type_code:string>>" if of == OTHER_IDS else "array<map<string,string>>"))
+
+    one = lambda cells, tag: F.get(F.filter(cells, lambda c: c["tag"] == tag), 0)["value"]
+    other = items("n_other", OTHER_IDS, lambda c: F.struct(one(c, "00100020").alias("id"), one(c, "00100021").alias("issuer"), one(c, "00100022").alias("type_code")))
+    issuer = items("n_issuer", ISSUER_QUALIFIERS, lambda c: F.map_from_entries(F.transform(c, lambda x: F.struct(x["tag"], x["value"]))))
+    return wide.select("object_id", *[READERS[r](F.col(t)).alias(n) for n, (t, r) in PATIENT.items()], other.alias("other_ids"), issuer.alias("issuer_qualifiers"))
 
 
 def study_view(elements: DataFrame) -> DataFrame:
@@ -134,6 +157,45 @@ def frame_error(index: Column, frames: Column, macros: Column) -> Column:
     return F.when((index < 0) | (index >= F.coalesce(frames, F.lit(1))), "FRAME_INDEX_OUT_OF_RANGE").when(missing, "MISSING_REQUIRED_FUNCTIONAL_GROUP")
 
 
+# Fixed values of the data model: macro, its tag, and fields as above.
+MACROS = {
+    "pixel_measures": ("00289110", {"pixel_spacing": ("00280030", "A"), "slice_thickness": ("00180050", "N"), "spacing_between_slices": ("00180088", "N")}),
+    "plane_position": ("00209113", {"image_position_patient": ("00200032", "A")}),
+    "plane_orientation": ("00209116", {"image_orientation_patient": ("00200037", "A")}),
+    "pixel_value_transformation": ("00289145", {"rescale_slope": ("00281053", "N"), "rescale_intercept": ("00281052", "N"), "rescale_type": ("00281054", "S")}),
+    "frame_voi_lut": ("00289132", {"window_center": ("00281050", "A"), "window_width": ("00281051", "A")}),
+}
+
+
+def frames(elements: DataFrame) -> DataFrame:
+    """``(object_id, frame, error, ...)``: every frame of the objects with functional groups, with a struct for each macro.
+
+    A macro is taken whole from the frame's own item, else from the shared one; ``error`` is the code of a required one that neither has.
+    """
+    scope = rf"^({PER_FRAME}|{SHARED})\[([0-9]+)\]"
+    rows = elements.where(F.col("path").rlike(scope))
+    rows = rows.withColumn("_of", F.regexp_extract("path", scope, 1)).withColumn("frame", F.regexp_extract("path", scope, 2).try_cast("int"))
+    rows = rows.withColumn("_in", F.regexp_extract("path", scope + r"/([0-9A-F]{8})\[0\]\z", 3)).withColumn("_top", F.col("path").rlike(scope + r"\z"))
+    aggregates = []
+    for name, (macro, fields) in MACROS.items():
+        aggregates.append(F.bool_or(F.col("_top") & (F.col("tag") == macro) & (F.col("item_count") > 0)).alias(f"has_{name}"))
+        aggregates += [F.max(F.when((F.col("_in") == macro) & (F.col("tag") == t), F.col("value"))).alias(f"{name}_{field}") for field, (t, _) in fields.items()]
+    wide = rows.groupBy("object_id", "_of", "frame").agg(*aggregates)
+    macros = [F.when(F.col(f"has_{name}"), F.struct(*[READERS[r](F.col(f"{name}_{field}")).alias(field) for field, (_, r) in fields.items()])).alias(name) for name, (_, fields) in MACROS.items()]
+    wide = wide.select("object_id", "_of", "frame", *macros)
+    own = wide.where(F.col("_of") == PER_FRAME).select(F.col("object_id").alias("_o"), F.col("frame").alias("_f"), *[F.col(n).alias(f"_own_{n}") for n in MACROS])
+    shared = wide.where((F.col("_of") == SHARED) & (F.col("frame") == 0)).select(F.col("object_id").alias("_so"), *[F.col(n).alias(f"_shared_{n}") for n in MACROS])
+    root = F.col("path") == ""
+    objects = elements.where(root & F.col("tag").isin(PER_FRAME, SHARED, "00280008")).groupBy("object_id").agg(
+        F.bool_or(F.col("tag").isin(PER_FRAME, SHARED)).alias("enhanced"), F.max(F.when(F.col("tag") == "00280008", F.col("value"))).alias("n"))
+    count = F.coalesce(first_number(F.col("n")).cast("int"), F.lit(1))
+    every = objects.where(F.col("enhanced") & (count > 0)).select("object_id", F.explode(F.sequence(F.lit(0), count - 1)).alias("frame"))
+    met = every.join(own, (F.col("object_id") == F.col("_o")) & (F.col("frame") == F.col("_f")), "left").join(shared, F.col("object_id") == F.col("_so"), "left")
+    met = met.select("object_id", "frame", *[F.coalesce(f"_own_{n}", f"_shared_{n}").alias(n) for n in MACROS])
+    missing = F.col("pixel_measures").isNull() | F.col("plane_position").isNull() | F.col("plane_orientation").isNull()
+    return met.select("object_id", "frame", F.when(missing, "MISSING_REQUIRED_FUNCTIONAL_GROUP").alias("error"), *MACROS)
+
+
 def index_studies(elements: DataFrame) -> DataFrame:
     """The flagship: one row an object with what a study index holds."""
     fields = {"patient_id": ("00100020", "S"), "issuer": ("00100021", "S"), "patient_name": ("00100010", "PN"), "study_uid": ("0020000D", "S"), "accession": ("00080050", "S"), "study_date": ("00080020", "DA"), "study_time": ("00080030", "TM"), "description": ("00081030", "S")}

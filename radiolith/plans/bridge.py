@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from radiolith.operators.elements import decoded
+from radiolith.sources import writer
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -13,7 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _rows(base: DataFrame, object_id, fields: list[tuple[str, str, object]]) -> DataFrame:
     parts = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(t).alias("tag"), F.lit(v).alias("vr"), c.cast("string").alias("value")) for i, (t, v, c) in enumerate(fields)])
     rows = base.select(object_id.cast("string").alias("object_id"), F.explode(parts).alias("e")).select("object_id", F.lit("").alias("path"), "e.*")
-    return rows.withColumn("raw", F.encode("value", "UTF-8")).withColumn("item_count", F.lit(None).cast("int")).withColumn("length", F.length("raw").cast("bigint")).withColumn("byte_offset", F.col("ord").cast("bigint") * 100)
+    number = F.lpad(F.hex(F.col("value").try_cast("int")), 4, "0")
+    little = F.unhex(F.concat(F.substring(number, 3, 2), F.substring(number, 1, 2)))  # US: two bytes
+    rows = rows.withColumn("raw", F.when(F.col("vr") == "US", little).otherwise(F.encode("value", "UTF-8")))
+    rows = decoded(rows.drop("value").withColumn("little_endian", F.lit(True)), "utf-8").drop("little_endian")
+    return rows.withColumn("item_count", F.lit(None).cast("int")).withColumn("length", F.length("raw").cast("bigint")).withColumn("byte_offset", F.col("ord").cast("bigint") * 100)
 
 
 def studies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,3 +67,13 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = conv.select(oid.alias("object_id"), F.explode(cells).alias("e")).select("object_id", "e.*")
     outer = conv.groupBy(oid.alias("object_id")).agg(F.count("*").cast("int").alias("item_count")).select("object_id", F.lit("").alias("path"), F.lit(0).cast("bigint").alias("ord"), F.lit("0040A730").alias("tag"), F.lit("SQ").alias("vr"), F.lit("").alias("value"), "item_count")
     return inner.withColumn("ord", F.col("ord").cast("bigint")).unionByName(outer).withColumn("raw", F.encode("value", "UTF-8"))
+
+
+def part10(rows: DataFrame, syntax) -> DataFrame:
+    """``(path, content)``: the objects of ``rows`` as Part 10 files, each in the transfer syntax that ``syntax`` gives for its id."""
+    turned = F.unhex(F.concat(F.substring(F.hex("raw"), 3, 2), F.substring(F.hex("raw"), 1, 2)))
+    big = F.element_at("meta", "transfer_syntax_uid") == "1.2.840.10008.1.2.2"
+    meta = F.create_map(F.lit("transfer_syntax_uid"), syntax)
+    files = rows.select("object_id").distinct().select("object_id", meta.alias("meta"), F.array().cast("array<struct<tag:string,vr:string,value:binary>>").alias("residue"))
+    own = rows.withColumn("meta", meta).withColumn("raw", F.when(big & (F.col("vr") == "US"), turned).otherwise(F.coalesce("raw", F.unhex(F.lit(""))))).withColumn("full_span", F.lit(False))
+    return writer.serialize(files, own, False).select(F.col("object_id").alias("path"), "content")

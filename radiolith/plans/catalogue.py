@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from radiolith.operators import diagnostics as W
 from radiolith.operators import dictionary as D
 from radiolith.operators import elements as E
 from radiolith.operators import phi_scan, profiles, views
+from radiolith.sources import reader
 
 from . import bridge as B
 
@@ -182,10 +184,72 @@ def series_view(spark, sf):
 
 @_query(_with(_I, "select object_id, sop as sop_instance_uid, cast(q as double) as rows, cast(price as double) as rescale_slope, cast(3 as integer) as n_centers, cast(null as double) as bad_center, cast(q as double) as last_center, case pr when 0 then false when 1 then true end as signed from w"))
 def image_view(spark, sf):
-    v = views.image_view(B.images(spark, sf))
+    return _image(views.image_view(B.images(spark, sf)))
+
+
+def _image(v):
     return v.select("object_id", "sop_instance_uid", "rows", "rescale_slope", F.size("window_center").alias("n_centers"), F.get("window_center", 1).alias("bad_center"), F.get("window_center", 2).alias("last_center"), "signed")
 
 
+def _syntax(uids):
+    """One of ``uids`` for each object."""
+    return F.element_at(F.array(*[F.lit(u) for u in uids]), (F.pmod(F.xxhash64("object_id"), F.lit(len(uids))) + 1).cast("int"))
+
+
+@_query(_SQL["image_view"])
+def parse_files(spark, sf):
+    content = B.part10(B.images(spark, sf), _syntax(D.TRANSFER_SYNTAXES))
+    return _image(views.image_view(reader.elements(reader.parse_content(content))))
+
+
+@_query(_with(_S, "select object_id, cast(ord as integer) as ord, tag, vr, rtrim(value, ' ') as value from e"))
+def serialize_round_trip(spark, sf):
+    content = B.part10(B.studies(spark, sf), _syntax([u for u, kind in D.TRANSFER_SYNTAXES.items() if kind != "implicit-le"]))
+    return reader.elements(reader.parse_content(content)).select("object_id", "ord", "tag", "vr", V.strip_pad(F.col("value")).alias("value"))
+
+
+@_query(_with(_I, "select object_id as path, 8 as n, q as rows from w"))
+def base64_objects(spark, sf):
+    content = B.part10(B.images(spark, sf), _syntax(["1.2.840.10008.1.2.1"]))
+    texts = content.select("path", F.concat(F.lit("see "), F.base64("content"), F.lit(" end")).alias("text"))
+    found = reader.elements(reader.parse_content(phi_scan.base64_objects(texts, "path", "text")))
+    rows = F.max(F.when(F.col("tag") == "00280010", views.first_number(F.col("value")))).cast("int").alias("rows")
+    return found.groupBy(F.substring_index("object_id", "#", 1).alias("path")).agg(F.count("*").cast("int").alias("n"), rows)
+
+
+@_query("select l_orderkey, l_linenumber, l_extendedprice as double_back, cast(cast(l_tax as float) as double) as float_back from lineitem")
+def binary_float_decode(spark, sf):
+    def pack(batches):
+        for b in batches:
+            yield b.assign(raw=[struct.pack("<df", x, y) for x, y in zip(b.l_extendedprice, b.l_tax, strict=True)]).drop(columns=["l_extendedprice", "l_tax"])
+
+    own = B.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_tax")
+    rows = own.mapInPandas(pack, "l_orderkey long, l_linenumber int, raw binary")
+    wide, narrow = (F.get(V.floats(F.substring("raw", at, n), n, F.lit(True)), 0) for at, n in ((1, 8), (9, 4)))
+    return rows.select("l_orderkey", "l_linenumber", wide.alias("double_back"), narrow.alias("float_back"))
+
+
+@_query("""select event_id, cast(f as integer) as frame, case when event_id % 4 = 3 and f = 1 then 'MISSING_REQUIRED_FUNCTIONAL_GROUP' end as error,
+  case when event_id % 4 = 3 and f = 1 then null when event_id % 4 = 2 and f = 1 then 1.5 when event_id % 4 = 3 then 2.5 else 0.5 end as spacing, cast(event_id * 2 + f as double) as z
+  from events, unnest([0, 1]) t(f)""")
+def frames_resolve(spark, sf):
+    n = F.col("event_id")
+    row = lambda path, tag, vr, value, count=None: F.struct(F.lit(path).alias("path"), F.lit(tag).alias("tag"), F.lit(vr).alias("vr"), value.cast("string").alias("value"), F.lit(count).cast("int").alias("item_count"))
+    cells = [row("", "00280008", "IS", F.lit(2)), row("", views.PER_FRAME, "SQ", F.lit(""), 2), row("", views.SHARED, "SQ", F.lit(""), 1)]
+    shared, measures = f"{views.SHARED}[0]", f"{views.PER_FRAME}[%d]/00289110[0]"
+    cells += [row(shared, "00209116", "SQ", F.lit(""), 1), row(shared + "/00209116[0]", "00200037", "DS", F.lit("1\\0\\0\\0\\1\\0"))]
+    for f in (0, 1):
+        own = f"{views.PER_FRAME}[{f}]"
+        cells += [row(own, "00209113", "SQ", F.lit(""), 1), row(own + "/00209113[0]", "00200032", "DS", F.concat(F.lit("0\\0\\"), (n * 2 + f).cast("string")))]
+    only = lambda condition, *rows: [F.when(condition, r) for r in rows]
+    cells += only(n % 4 != 3, row(shared, "00289110", "SQ", F.lit(""), 1), row(shared + "/00289110[0]", "00280030", "DS", F.lit("0.5\\0.5")))
+    cells += only(n % 4 == 2, row(f"{views.PER_FRAME}[1]", "00289110", "SQ", F.lit(""), 1), row(measures % 1, "00280030", "DS", F.lit("1.5\\1.5")))
+    cells += only(n % 4 == 3, row(f"{views.PER_FRAME}[0]", "00289110", "SQ", F.lit(""), 1), row(measures % 0, "00280030", "DS", F.lit("2.5\\2.5")))
+    rows = B.table(spark, sf, "events").select(n.alias("object_id"), F.explode(F.array_compact(F.array(*cells))).alias("x")).select("object_id", "x.*")
+    out = views.frames(rows)
+    return out.select(F.col("object_id").alias("event_id"), "frame", "error", F.get("pixel_measures.pixel_spacing", 0).alias("spacing"), F.get("plane_position.image_position_patient", 2).alias("z"))
+
+
 @_query("select cast(conv_id as varchar) as object_id, cast(turn as integer) as item, md5(text) as text, role as concept from conversations")
 def nested_items(spark, sf):
     s = B.sequences(spark, sf)
@@ -306,16 +370,23 @@ def charset_inherit(spark, sf):
     return E.carried_charset(rows).where("tag = '00080060'").select("event_id", "charset")
 
 
-_DEID = """select object_id, tag, case tag when '0020000D' then '{uid}' when '00100010' then '' when '00100020' then '' when '00080020' then {date} when '00080030' then {time} when '00080050' then '' when '00100040' then '' when '00081030' then '' else value end as value from e where tag not in ('00090010', '00091001', '00100021', '00120062', '00120063'{more})"""
+#: The digest's 256 bits, doubled and added up as a number of any length.
+_UID = "concat('2.25.', substr(cast(list_reduce([cast((strpos('0123456789abcdef', substr(h, 1 + k // 4, 1)) - 1) >> (3 - k % 4) & 1 as bignum) for k in range(0, 256)], lambda a, x: a + a + x) as varchar), 1, 59))"
+_METHOD = X.METHOD + " " * (len(X.METHOD) % 2)
+_ADDED = f"select distinct object_id, '00120062' as tag, 'YES ' as value from e union all select distinct object_id, '00120063', '{_METHOD}' from e"
+
+
+def _all(df: DataFrame) -> DataFrame:
+    return df.select("object_id", "tag", F.decode("raw", "UTF-8").alias("value"))
 
 
 def _shown(df: DataFrame) -> DataFrame:
-    return df.where("tag not in ('00120062', '00120063')").select("object_id", "tag", F.decode("raw", "UTF-8").alias("value"))
+    return _all(df.where("tag not in ('00120062', '00120063')"))
 
 
-@_query(_with(_S, _DEID.format(uid="x", date="''", time="''", more=", '0020000D', '00081030'")))
+@_query(_with(_S, f"select object_id, tag, case when tag = '0020000D' then {_UID} else '' end as value from (select *, sha256(value) as h from e) where tag not in ('00090010', '00091001', '00100021', '00081030') union all {_ADDED}"))
 def deid_basic(spark, sf):
-    return _shown(X.deidentify(B.studies(spark, sf))[0]).where("tag <> '0020000D'")
+    return _all(X.deidentify(B.studies(spark, sf))[0])
 
 
 @_query(_with(_S, "select object_id, tag, case when tag in ('0020000D', '00080020', '00080030') then rtrim(value) else '' end as value from e where tag not in ('00090010', '00091001', '00100021')"))
@@ -335,10 +406,6 @@ def deid_audit_counts(spark, sf):
     return X.deidentify(B.studies(spark, sf))[1].groupBy("tag", "applied").agg(F.count("*").alias("n"))
 
 
-#: The digest's 256 bits, doubled and added up as a number of any length.
-_UID = "concat('2.25.', substr(cast(list_reduce([cast((strpos('0123456789abcdef', substr(h, 1 + k // 4, 1)) - 1) >> (3 - k % 4) & 1 as bignum) for k in range(0, 256)], lambda a, x: a + a + x) as varchar), 1, 59))"
-
-
 @_query("with u as (select o_orderkey, concat('1.2.840.', o_orderkey) as uid from orders) select o_orderkey, substr(sha256(uid), 1, 16) as head from u")
 def uid_digest(spark, sf):
     return B.table(spark, sf, "orders").select("o_orderkey", F.substring(F.sha2(F.concat(F.lit("1.2.840."), F.col("o_orderkey").cast("string")).cast("binary"), 256), 1, 16).alias("head"))
@@ -349,15 +416,21 @@ def uid_remap(spark, sf):
     return B.table(spark, sf, "orders").select("o_orderkey", U.remap_uid(F.concat(F.lit("1.2.840."), F.col("o_orderkey").cast("string"))).alias("uid"))
 
 
+@_query(f"with u as (select distinct concat('1.2.840.2.', l_orderkey) as original from lineitem) select original, {_UID} as replacement from (select original, sha256(original) as h from u)")
+def uid_map(spark, sf):
+    return U.uid_map(B.table(spark, sf, "lineitem").select(F.concat(F.lit("1.2.840.2."), F.col("l_orderkey").cast("string")).alias("uid")), "uid")
+
+
 @_query("select count(distinct l_orderkey) as series, count(distinct l_orderkey) as mapped from lineitem")
 def uid_referential_integrity(spark, sf):
+    series = B.table(spark, sf, "lineitem").select("l_orderkey").distinct()
     uid = F.concat(F.lit("1.2.840.2."), F.col("l_orderkey").cast("string"))
-    return B.table(spark, sf, "lineitem").select("l_orderkey", U.remap_uid(uid).alias("m")).agg(F.countDistinct("l_orderkey").alias("series"), F.countDistinct("m").alias("mapped"))
+    return series.select("l_orderkey", U.remap_uid(uid).alias("m")).agg(F.countDistinct("l_orderkey").alias("series"), F.countDistinct("m").alias("mapped"))
 
 
 @_query("select cast(conv_id as varchar) as object_id, cast(turn * 10 + 2 as bigint) as ord, case when turn % 5 = 4 then 'unauditable' else 'kept' end as applied from conversations")
 def deid_unauditable(spark, sf):
-    rows = X.deidentify(B.sequences(spark, sf), scan_embedded=False)[1]
+    rows = X.deidentify(B.sequences(spark, sf), actions=D.actions(spark, content=False), scan_embedded=False)[1]
     kept = B.sequences(spark, sf).where("tag = '0040A043'").select(F.col("object_id").alias("o"), F.col("ord").alias("n"))
     return kept.join(rows.select("object_id", "ord", "applied"), (F.col("o") == F.col("object_id")) & (F.col("n") == F.col("ord")), "left").select(F.col("o").alias("object_id"), F.col("n").alias("ord"), F.coalesce("applied", F.lit("kept")).alias("applied"))
 
@@ -400,15 +473,15 @@ def even_padding(spark, sf):
     return B.table(spark, sf, "documents").select("doc_id", F.length(p).cast("bigint").alias("size"), F.when(F.octet_length("text") % 2 == 1, F.hex(F.substring(p, -1, 1))).alias("pad_byte"))
 
 
-@_query(_with(_S, "select object_id, cast(ord as integer) as ord, 'DICOM_ODD_LENGTH_VALUE_PADDED' as code, concat(tag, ' has an odd length') as message from e where octet_length(encode(value)) % 2 = 1 and substr(tag, 4, 1) <> '9'"))
+@_query(_with(_S, "select object_id, cast(ord as integer) as ord, 'ODD_LENGTH_VALUE_PADDED' as code, concat(case when substr(tag, 4, 1) = '9' then '<withheld>' else tag end, ' has an odd length') as message from e where octet_length(encode(value)) % 2 = 1"))
 def warnings_registry_join(spark, sf):
-    w = W.structural_warnings(B.studies(spark, sf).where(~T.is_private_tag(F.col("tag"))))
+    w = W.structural_warnings(B.studies(spark, sf))
     return W.render(w, W.registry(spark), D.attributes(spark)).select("object_id", "ord", "code", "message")
 
 
 @_query("select case when event_type = 'click' then 'fatal' else 'kept' end as fate, count(*) as n from events where event_type <> 'view' group by all")
 def profile_suppress_escalate(spark, sf):
-    rows = B.table(spark, sf, "events").select(F.when(F.col("event_type") == "click", "DICOM_VR_MISMATCH").when(F.col("event_type") == "view", "DICOM_MISSING_PREAMBLE").otherwise("DICOM_SQ_NOT_DESCENDED").alias("code"))
+    rows = B.table(spark, sf, "events").select(F.when(F.col("event_type") == "click", "VR_MISMATCH").when(F.col("event_type") == "view", "MISSING_PREAMBLE").otherwise("SQ_NOT_DESCENDED").alias("code"))
     kept, fatal = W.apply_profile(rows, profiles.STRICT.escalate, profiles.LENIENT.suppress)
     return kept.select(F.lit("kept").alias("fate")).union(fatal.select(F.lit("fatal").alias("fate"))).groupBy("fate").agg(F.count("*").alias("n"))
 
@@ -438,7 +511,7 @@ def value_kinds(spark, sf):
     return B.studies(spark, sf).select("object_id", "ord", V.kind(F.col("vr"), F.col("length")).alias("kind"))
 
 
-@_query("select event_id, case event_id % 4 when 0 then 'DICOM_DA_LEGACY_FORMAT' when 1 then 'DICOM_IS_NONINTEGER_VALUE' when 2 then 'DICOM_UI_TRAILING_SPACE' end as code from events")
+@_query("select event_id, case event_id % 4 when 0 then 'DA_LEGACY_FORMAT' when 1 then 'IS_NONINTEGER_VALUE' when 2 then 'UI_TRAILING_SPACE' end as code from events")
 def value_warnings(spark, sf):
     k = (F.col("event_id") % 4 + 1).cast("int")
     vr = F.element_at(F.array(*[F.lit(x) for x in ("DA", "IS", "UI", "LO")]), k)

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from radiolith.operators.dictionary import transfer_syntax
+from radiolith.operators.elements import decoded
 from radiolith.operators.profiles import Profile
 
 from .part10 import Parser, PartError, rows
@@ -16,6 +18,8 @@ ELEMENT = "struct<path:string,ord:int,tag:string,vr:string,length:bigint,byte_of
 WARNING = "struct<code:string,tag:string,vr:string,byte_offset:bigint,file_meta:boolean,deflated:boolean>"
 ERROR = "struct<code:string,offset:bigint,frame:string,snippet:string,message:string>"
 FILE = f"object_id string, had_preamble boolean, meta map<string,string>, residue array<struct<tag:string,vr:string,value:binary>>, elements array<{ELEMENT}>, warnings array<{WARNING}>, error {ERROR}"
+#: Bytes of files whose rows go back to the JVM together.
+BATCH_BYTES = 4 << 20
 _WARNING_FIELDS = ("code", "tag", "vr", "byte_offset", "file_meta", "deflated")
 
 
@@ -29,7 +33,7 @@ def parse_content(files: DataFrame, mode: str = "PERMISSIVE", profile: Profile |
     schema = to_arrow_schema(StructType.fromDDL(FILE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = Parser(profile, strict, preamble, vrs)
+        parser, held, size = Parser(profile, strict, preamble, vrs), [], 0
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 row = {"object_id": path, "had_preamble": None, "meta": [], "residue": [], "elements": [], "warnings": [], "error": None}
@@ -41,7 +45,13 @@ def parse_content(files: DataFrame, mode: str = "PERMISSIVE", profile: Profile |
                         raise
                     row["error"] = {"code": e.code, "offset": e.offset, "frame": e.frame, "snippet": e.snippet, "message": e.what}
                 row["warnings"] = [dict(zip(_WARNING_FIELDS, w, strict=True)) for w in parser.out.warnings]
-                yield pa.RecordBatch.from_pylist([row], schema=schema)
+                held.append(row)
+                size += len(content.as_py() or b"")
+                if size >= BATCH_BYTES or len(held) == 1024:
+                    yield pa.RecordBatch.from_pylist(held, schema=schema)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
 
     return files.select("path", "content").mapInArrow(run, FILE)
 
@@ -52,8 +62,11 @@ def read_files(spark: SparkSession, path: str, glob: str = "*", **options) -> Da
 
 
 def elements(files: DataFrame) -> DataFrame:
-    """The flat element table."""
-    return files.select("object_id", F.explode("elements").alias("e")).select("object_id", "e.*").withColumn("value", F.decode("raw", "ISO-8859-1"))
+    """The flat element table, with ``encoding`` of the object and ``value``, the decoded text."""
+    kind = F.coalesce(transfer_syntax(F.element_at("meta", "transfer_syntax_uid")), F.lit("explicit-le"))
+    kind = F.when(kind == "deflated-le", F.lit("explicit-le")).otherwise(kind)
+    rows = files.select("object_id", kind.alias("encoding"), F.explode("elements").alias("e")).select("object_id", "encoding", "e.*")
+    return decoded(rows)
 
 
 def warnings(files: DataFrame) -> DataFrame:

@@ -59,25 +59,32 @@ def encode_meta(meta: dict[str, str], residue: list[tuple[str, str, bytes]]) ->
     return encode_element("00020000", "UL", struct.pack("<I", len(body)), "explicit-le") + body
 
 
-def encode_items(rows: list[dict], path: str, tag: str, count: int, kind: str) -> bytes:
-    """The items of a sequence from their rows, with defined lengths."""
+def by_path(rows: list[dict]) -> dict[str, list[dict]]:
+    """The rows of each data set in order."""
+    out: dict[str, list[dict]] = {}
+    for r in sorted(rows, key=lambda r: r["ord"]):
+        out.setdefault(r["path"], []).append(r)
+    return out
+
+
+def encode_items(sets: dict[str, list[dict]], path: str, tag: str, count: int, kind: str) -> bytes:
+    """The items of a sequence from the rows of all data sets, with defined lengths."""
     order = ">" if kind == "explicit-be" else "<"
     out = []
     for i in range(count):
-        step = f"{path}/{tag}[{i}]" if path else f"{tag}[{i}]"
-        body = encode_rows([r for r in rows if r["path"] == step or r["path"].startswith(step + "/")], step, kind, True)
+        body = encode_rows(sets, f"{path}/{tag}[{i}]" if path else f"{tag}[{i}]", kind, True)
         out.append(struct.pack(order + "HHI", 0xFFFE, 0xE000, len(body)) + body)
     return b"".join(out)
 
 
-def encode_rows(rows: list[dict], path: str, kind: str, rebuild: bool) -> bytes:
+def encode_rows(sets: dict[str, list[dict]], path: str, kind: str, rebuild: bool) -> bytes:
     """A data set in row order, group lengths left out. Whole spans are copied unless ``rebuild`` writes sequences from their rows."""
     out = []
-    for r in sorted((r for r in rows if r["path"] == path), key=lambda r: r["ord"]):
+    for r in sets.get(path, ()):
         if r["tag"][4:] == "0000":
             continue
         if r["vr"] == "SQ" and rebuild and r["item_count"] is not None:
-            out.append(encode_element(r["tag"], "SQ", encode_items(rows, path, r["tag"], r["item_count"], kind), kind))
+            out.append(encode_element(r["tag"], "SQ", encode_items(sets, path, r["tag"], r["item_count"], kind), kind))
         elif r["full_span"] and r["raw"]:
             out.append(bytes(r["raw"]))
         else:
@@ -92,7 +99,7 @@ def encode_file(meta: dict[str, str], residue: list[tuple[str, str, bytes]], row
     kind = TRANSFER_SYNTAXES.get(meta["transfer_syntax_uid"])
     if kind is None:
         raise SerializeError("UNSUPPORTED_TRANSFER_SYNTAX")
-    body = encode_rows(rows, "", "explicit-le" if kind == "deflated-le" else kind, rebuild)
+    body = encode_rows(by_path(rows), "", "explicit-le" if kind == "deflated-le" else kind, rebuild)
     if kind == "deflated-le":
         engine = zlib.compressobj(wbits=-15)
         body = engine.compress(body) + engine.flush()
