@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch
+from .common import batch, trim
 
 BLOCK_CHARS = 8_000_000
 
@@ -183,6 +183,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, id_
                         for col, v in zip(out, (doc, *found), strict=True):
                             col.append(v)
                 yield batch(schema, out)
+            trim()
 
         return docs.mapInArrow(run, "doc_id long, item_id long, distance int, start long, end long")
 

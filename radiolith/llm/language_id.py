@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch
+from .common import trim
 
 MAX_N = 4
 _ASCII_LETTER = re.compile(r"[A-Za-z]")
-BLOCK = 64
+BLOCK = 32
 
 
 def has_letter(text: str) -> bool:
@@ -130,6 +130,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 part = b.slice(at, BLOCK)
                 pred, score = own.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred), pa.array(score, type=pa.float64())], schema=schema)
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
@@ -151,6 +152,7 @@ def relabel(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str
                 pred, _ = own.predict(part.column(text).to_pylist())
                 columns = [pa.array(pred) if i == lang else c for i, c in enumerate(part.columns)]
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, discard, materialize, shuffle_width
+from .common import batch, discard, materialize, shuffle_width, trim
 from .graph import connected_components
 
 #: Generator polynomial of the [23, 12] Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -234,6 +234,7 @@ def _hot_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, grams in _once(batches, shingle):
             yield batch(schema, [grams])
+        trim()
 
     if texts.count() > SAMPLE:
         texts = texts.where(F.pmod("th", F.lit(SAMPLE_STEP)) == 0)
@@ -267,6 +268,7 @@ def _prefixes(texts: DataFrame, shingle: int, similarity: float, hot: tuple[np.n
                 out, size = [], 0
         if out:
             yield batch(schema, [np.concatenate(c) for c in zip(*out, strict=True)])
+        trim()
 
     return texts.select("th", "text").mapInArrow(run, "key long, th long, n int, at int")
 
@@ -295,6 +297,7 @@ def _shared(keys: DataFrame, width: int) -> DataFrame:
                     last = row
             if rows:
                 yield batch(schema, list(zip(*rows, strict=True)))
+        trim()
 
     text = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'int'}" for f in schema)
     return keys.repartition(width, "key").sortWithinPartitions("key", "n", "th").mapInArrow(run, text)
@@ -349,6 +352,7 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
                 out = [[], []]
         if out[0]:
             yield batch(schema, out)
+        trim()
 
     return texts.select("th", "text").mapInArrow(run, "th long, grams array<long>")
 

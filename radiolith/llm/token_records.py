@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, filesystem, materialize, scratch, shuffle_width
+from .common import batch, filesystem, materialize, scratch, shuffle_width, trim
 
 HEADER = "<q?BQ"
 FILE_BYTES = 64 << 20
-CACHE = 500_000
+CACHE = 300_000
 
 _MASK = 0xA282EAD8
 
@@ -222,6 +222,7 @@ def write_records(docs: DataFrame, vocabulary: str, end_id: int, out: str | None
                 at = to
         if file:
             done.append(file.close())
+        trim()
         yield batch(_MANIFEST, [[pid] * len(done), list(range(len(done))), *([x[i] for x in done] for i in range(5))])
 
     rows = docs.repartitionByRange(shuffle_width(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"), "text")
