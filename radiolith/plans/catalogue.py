@@ -211,7 +211,7 @@ def serialize_round_trip(spark, sf):
 @_query(_with(_I, "select object_id as path, 8 as n, q as rows from w"))
 def base64_objects(spark, sf):
     content = B.part10(B.images(spark, sf), _syntax(["1.2.840.10008.1.2.1"]))
-    texts = content.select("path", F.concat(F.lit("see "), F.base64("content"), F.lit(" end")).alias("text"))
+    texts = content.select("path", F.concat(F.lit("see "), F.regexp_replace(F.base64("content"), r"\s", ""), F.lit(" end")).alias("text"))
     found = reader.elements(reader.parse_content(phi_scan.base64_objects(texts, "path", "text")))
     rows = F.max(F.when(F.col("tag") == "00280010", views.first_number(F.col("value")))).cast("int").alias("rows")
     return found.groupBy(F.substring_index("object_id", "#", 1).alias("path")).agg(F.count("*").cast("int").alias("n"), rows)
