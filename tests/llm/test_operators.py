@@ -577,6 +577,39 @@ def test_index_and_broken_records(spark, docs):
             list(token_records.records(io.BytesIO(raw[:i] + bytes([raw[i] ^ 1]) + raw[i + 1 :]).read))
 
 
+def test_stages_with_odd_rows(spark):
+    """Null and repeated ids, null texts and sources, clashing texts: every stage treats rows, not ids."""
+    import corpus_pipeline as pipeline
+
+    item = next(r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").collect() if len(r.text) > 60)
+    clean = [prose(700 + i, 40) for i in range(9)]
+    rows = [(None, clean[0], "en", "a"), (None, clean[1], "en", "b"), (None, f"{clean[2]} {item} end", "en", "a"), (1, clean[3], None, "a"), (1, f"{item} {clean[4]}", "en", "a"), (1, clean[5], "en", None)]
+    rows += [(2, None, "en", "b"), (3, "12 34 ² ½", "en", "b"), (4, "", "en", None), (5, clean[6], "en", "b"), (5, clean[6], "en", "b"), (None, clean[7], "en", None), (None, clean[7], "en", None), (-7, clean[8], "en", "a")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    of = lambda df: Counter((r.doc_id, r.text, r.source) for r in df.collect())
+    named = pipeline.identify_language(spark, docs, DATA)
+    assert named.columns == docs.columns
+    assert of(named) == Counter((d, t, s) for d, t, _, s in rows if t and any(c.isalpha() for c in t))
+    once = pipeline.drop_near_copies(spark, named, DATA)
+    assert of(once) == Counter(dict.fromkeys(of(named), 1))
+    left = pipeline.drop_benchmark(spark, once, DATA)
+    assert of(left) == Counter({k: n for k, n in of(once).items() if item not in k[1]}) and len(of(left)) == len(of(once)) - 2
+    for given in (left, docs.where("text is not null")):  # the mix also on repeated rows
+        given = spark.createDataFrame(given.collect(), docs.schema)
+        mixed = pipeline.mix_sources(spark, given, DATA).collect()
+        words = Counter()
+        for r in mixed:
+            words[r.doc_id, r.source] += len((r.text or "").split())
+        want = Counter()
+        sized = mixing.mix(given).groupBy("doc_id", "source").agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).collect()
+        for r in sized:
+            want[r.doc_id, r.source] += r.n
+        assert +words == +want and sum(want.values()) > 0
+        assert {r.text for r in mixed} <= {" ".join(t.split()[:k]) for t in {r.text for r in given.collect()} for k in range(1, len(t.split()) + 1)} | {r.text for r in given.collect()}
+    tokens = pipeline.write_tokens(spark, left, DATA).collect()
+    assert Counter(r.doc_id for r in tokens) == Counter(r.doc_id for r in left.collect())
+
+
 # all
 
 
