@@ -23,7 +23,7 @@ STRIDE_2, STRIDE_4, STRIDE_8 = ("AT", "US", "SS", "OW"), ("UL", "SL", "FL", "OF"
 NUL_PADDED = ("UI", "OB", "OW", "OF", "OD", "OL", "OV", "UN")
 
 #: White space that the temporal and numeric strings drop at both ends.
-_WIDE_SPACE = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+_WIDE_SPACE = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def is_recognized_vr(vr: Column) -> Column:
@@ -51,7 +51,7 @@ def kind(vr: Column, length: Column) -> Column:
 
 def strip_pad(value: Column) -> Column:
     """Without the spaces and NULs at the end."""
-    return F.regexp_replace(value, r"[ \x00]+\z", "")
+    return F.rtrim(value, F.lit(" \x00"))
 
 
 def ui_trailing_space(value: Column) -> Column:
@@ -82,8 +82,18 @@ def split_values(value: Column) -> Column:
     return F.transform(F.split(strip_pad(value), r"\\"), lambda x: F.trim(x))
 
 
+def first_value(value: Column) -> Column:
+    """The first of :func:`split_values`."""
+    return F.trim(F.get(F.split(strip_pad(value), r"\\"), 0))
+
+
+def first_token(value: Column) -> Column:
+    """The first of :func:`tokens`."""
+    return wide_trim(F.get(F.split(strip_pad(value), r"\\"), 0))
+
+
 def wide_trim(value: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(value, "^" + _WIDE_SPACE, ""), _WIDE_SPACE + r"\z", "")
+    return F.btrim(value, F.lit(_WIDE_SPACE))
 
 
 def tokens(value: Column) -> Column:
@@ -102,21 +112,38 @@ def integer_string(token: Column) -> Column:
     return F.when(token.rlike(r"^[+-]?[0-9]+\z"), token.try_cast("bigint"))
 
 
-def _part(text: Column, pattern: str, group: int) -> Column:
-    found = F.regexp_extract(text, pattern, group)
-    return F.when(found != "", found).try_cast("int")
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it; else its code would be repeated beyond what compiles."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _part(digits: Column, at: int, size: int) -> Column:
+    """``size`` digits from a place on as a number, if there are so many."""
+    return F.when(F.length(digits) >= at + size - 1, F.substring(digits, at, size)).try_cast("int")
+
 
+def _fraction(text: Column) -> Column:
+    """What follows the point, as a fraction."""
+    return F.when(F.contains(text, F.lit(".")), F.concat(F.lit("0."), F.substring_index(text, ".", -1))).try_cast("double")
 
-DATE = r"^([0-9]{4})(\.?)([0-9]{2})\2([0-9]{2})\z"
+
+DATE = r"^(?:[0-9]{8}|[0-9]{4}\.[0-9]{2}\.[0-9]{2})\z"
 
 
 def parse_date(raw: Column) -> Column:
     """DA: ``raw, valid, legacy, year, month, day``. The day may be up to 31 in any month; what is not eight digits is legacy."""
-    year, month, day = (_part(raw, DATE, i) for i in (1, 3, 4))
-    valid = F.coalesce(month.between(1, 12) & day.between(1, 31), F.lit(False))
-    legacy = (raw != "") & ~raw.rlike(r"^[0-9]{8}\z")
-    null = lambda c: F.when(valid, c)
-    return F.struct(raw.alias("raw"), valid.alias("valid"), legacy.alias("legacy"), null(year).alias("year"), null(month).alias("month"), null(day).alias("day"))
+
+    def parts(r: Column) -> Column:
+        digits = F.when(r.rlike(DATE), F.replace(r, F.lit("."), F.lit("")))
+        names = {"year": (1, 4), "month": (5, 2), "day": (7, 2)}
+        return F.struct(r.alias("raw"), *[_part(digits, *at).alias(n) for n, at in names.items()])
+
+    def checked(p: Column) -> Column:
+        valid = F.coalesce(p["month"].between(1, 12) & p["day"].between(1, 31), F.lit(False))
+        legacy = (p["raw"] != "") & ~p["raw"].rlike(r"^[0-9]{8}\z")
+        return F.struct(p["raw"].alias("raw"), valid.alias("valid"), legacy.alias("legacy"), *[F.when(valid, p[n]).alias(n) for n in ("year", "month", "day")])
+
+    return let(raw, lambda r: let(parts(r), checked))
 
 
 TIME = r"^([0-9]{2})([0-9]{2})?([0-9]{2})?(\.[0-9]+)?\z"
@@ -124,16 +151,22 @@ TIME = r"^([0-9]{2})([0-9]{2})?([0-9]{2})?(\.[0-9]+)?\z"
 
 def parse_time(raw: Column) -> Column:
     """TM: ``raw, valid, hours, minutes, seconds, fraction``; second 60 is allowed."""
-    h, m, s = (_part(raw, TIME, i) for i in (1, 2, 3))
-    fraction = F.regexp_extract(raw, TIME, 4)
-    fraction = F.when(fraction != "", F.concat(F.lit("0"), fraction)).try_cast("double")
-    valid = F.coalesce(h.between(0, 23), F.lit(False)) & F.coalesce(m.between(0, 59), F.lit(True)) & F.coalesce(s.between(0, 60), F.lit(True))
-    null = lambda c: F.when(valid, c)
-    return F.struct(raw.alias("raw"), valid.alias("valid"), null(h).alias("hours"), null(m).alias("minutes"), null(s).alias("seconds"), null(fraction).alias("fraction"))
+
+    def parts(r: Column) -> Column:
+        body = F.when(r.rlike(TIME), r)
+        digits = F.substring_index(body, ".", 1)
+        return F.struct(r.alias("raw"), *[_part(digits, at, 2).alias(n) for n, at in (("hours", 1), ("minutes", 3), ("seconds", 5))], _fraction(body).alias("fraction"))
+
+    def checked(p: Column) -> Column:
+        fine = lambda n, most: F.coalesce(p[n].between(0, most), F.lit(True))
+        valid = p["hours"].isNotNull() & fine("hours", 23) & fine("minutes", 59) & fine("seconds", 60)
+        return F.struct(p["raw"].alias("raw"), valid.alias("valid"), *[F.when(valid, p[n]).alias(n) for n in ("hours", "minutes", "seconds", "fraction")])
+
+    return let(raw, lambda r: let(parts(r), checked))
 
 
 DATE_TIME = r"^([0-9]{4})([0-9]{2})?([0-9]{2})?([0-9]{2})?([0-9]{2})?([0-9]{2})?(\.[0-9]+)?\z"
-OFFSET = r"^[+-]([0-9]{2})([0-9]{2})\z"
+OFFSET = r"^[+-][0-9]{4}\z"
 
 
 def parse_date_time(raw: Column) -> Column:
@@ -142,20 +175,30 @@ def parse_date_time(raw: Column) -> Column:
     The offset begins at the first plus or the first minus after the first character, whichever is later. Before what
     is no date and time no offset is odd.
     """
-    sign_at = F.greatest(F.locate("+", raw, 2), F.locate("-", raw, 2))
-    has = sign_at > 1
-    body = F.when(has, F.substring(raw, F.lit(1), sign_at - 1)).otherwise(raw)
-    digits = F.when(has, F.substring(raw, sign_at, F.length(raw))).otherwise(F.lit(""))
-    oh, om = _part(digits, OFFSET, 1), _part(digits, OFFSET, 2)
-    good = F.coalesce(oh.between(0, 14) & om.between(0, 59), F.lit(False))
-    sign = F.when(digits.startswith("-"), -1).otherwise(1)
-    y, mo, d, h, mi, s = (_part(body, DATE_TIME, i) for i in range(1, 7))
-    fraction = F.regexp_extract(body, DATE_TIME, 7)
-    fraction = F.when(fraction != "", F.concat(F.lit("0"), fraction)).try_cast("double")
-    fine = lambda c, lo, hi: F.coalesce(c.between(lo, hi), F.lit(True))
-    valid = F.coalesce(y.isNotNull(), F.lit(False)) & fine(mo, 1, 12) & fine(d, 1, 31) & fine(h, 0, 23) & fine(mi, 0, 59) & fine(s, 0, 60)
-    parts = {"year": y, "month": mo, "day": d, "hours": h, "minutes": mi, "seconds": s, "fraction": fraction, "offset_minutes": F.when(has & good, sign * (oh * 60 + om))}
-    return F.struct(raw.alias("raw"), valid.alias("valid"), (has & ~good & body.rlike(DATE_TIME)).alias("odd_offset"), *[F.when(valid, c).alias(n) for n, c in parts.items()])
+    places = {"year": (1, 4), "month": (5, 2), "day": (7, 2), "hours": (9, 2), "minutes": (11, 2), "seconds": (13, 2)}
+    limits = {"month": (1, 12), "day": (1, 31), "hours": (0, 23), "minutes": (0, 59), "seconds": (0, 60)}
+
+    def cut(r: Column) -> Column:
+        at = F.greatest(F.locate("+", r, 2), F.locate("-", r, 2))
+        body = F.when(at > 1, F.substring(r, F.lit(1), at - 1)).otherwise(r)
+        return F.struct(r.alias("raw"), F.when(body.rlike(DATE_TIME), body).alias("body"), F.when(at > 1, F.substring(r, at, F.length(r))).alias("offset"))
+
+    def parts(c: Column) -> Column:
+        digits, hours = F.substring_index(c["body"], ".", 1), F.when(c["offset"].rlike(OFFSET), c["offset"])
+        numbers = [_part(digits, *at).alias(n) for n, at in places.items()]
+        return F.struct(c["raw"].alias("raw"), c["offset"].alias("offset"), *numbers, _fraction(c["body"]).alias("fraction"), _part(hours, 2, 2).alias("oh"), _part(hours, 4, 2).alias("om"))
+
+    def checked(p: Column) -> Column:
+        good = F.coalesce(p["oh"].between(0, 14) & p["om"].between(0, 59), F.lit(False))
+        valid = p["year"].isNotNull()
+        for n, (lo, hi) in limits.items():
+            valid = valid & F.coalesce(p[n].between(lo, hi), F.lit(True))
+        minutes = F.when(p["offset"].startswith("-"), -1).otherwise(1) * (p["oh"] * 60 + p["om"])
+        values = [F.when(valid, p[n]).alias(n) for n in (*places, "fraction")]
+        odd = p["offset"].isNotNull() & ~good & p["year"].isNotNull()
+        return F.struct(p["raw"].alias("raw"), valid.alias("valid"), odd.alias("odd_offset"), *values, F.when(valid & good, minutes).alias("offset_minutes"))
+
+    return let(raw, lambda r: let(cut(r), lambda c: let(parts(c), checked)))
 
 
 _NAME_PARTS = ("family", "given", "middle", "prefix", "suffix")

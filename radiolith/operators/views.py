@@ -29,11 +29,11 @@ PER_FRAME, SHARED, REQUIRED_MACROS = "52009230", "52009229", ("00289110", "00209
 
 def first_string(value: Column) -> Column:
     """The first value of a list, or null if it is empty."""
-    return F.nullif(F.get(V.split_values(value), 0), F.lit(""))
+    return F.nullif(V.first_value(value), F.lit(""))
 
 
 def first_number(value: Column) -> Column:
-    return V.decimal_string(F.get(V.tokens(value), 0))
+    return V.decimal_string(V.first_token(value))
 
 
 def number_array(value: Column) -> Column:
@@ -42,15 +42,15 @@ def number_array(value: Column) -> Column:
 
 
 def person_name(value: Column) -> Column:
-    return F.when(V.strip_pad(value) != "", V.parse_person_name(F.get(V.split_values(value), 0)))
+    return F.when(V.strip_pad(value) != "", V.parse_person_name(V.first_value(value)))
 
 
 def date(value: Column) -> Column:
-    return F.when(V.strip_pad(value) != "", V.parse_date(F.get(V.tokens(value), 0)))
+    return F.when(V.strip_pad(value) != "", V.parse_date(V.first_token(value)))
 
 
 def time(value: Column) -> Column:
-    return F.when(V.strip_pad(value) != "", V.parse_time(F.get(V.tokens(value), 0)))
+    return F.when(V.strip_pad(value) != "", V.parse_time(V.first_token(value)))
 
 
 READERS = {"S": first_string, "N": first_number, "A": number_array, "PN": person_name, "DA": date, "TM": time}
