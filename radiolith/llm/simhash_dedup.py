@@ -308,7 +308,7 @@ def _spare(n: Column) -> Column:
 
 
 def _meet(one: DataFrame, two: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` of different roots that have as many shingles in common in their prefixes as like texts do.
+    """The pairs ``(a, b, met)`` of different roots that have as many shingles in common in their prefixes as like texts do: ``met`` or more.
 
     Of the shingles in common the first ones count, after which enough are left for ``similarity``.
     """
@@ -318,7 +318,7 @@ def _meet(one: DataFrame, two: DataFrame, similarity: float) -> DataFrame:
     met = one.join(two, (F.col("key_x") == F.col("key_y")) & (F.col("th_x") < F.col("th_y")) & (F.col("root_x") != F.col("root_y")) & room)
     most = F.greatest(F.ceil(F.lit(similarity) * F.greatest(n, m) - ROUNDING), F.lit(1))
     need = F.least(1 + spare, most)
-    return met.groupBy(F.col("th_x").alias("a"), F.col("th_y").alias("b")).agg(F.count("*").alias("met"), F.max(need).alias("need")).where("met >= need").select("a", "b")
+    return met.groupBy(F.col("th_x").alias("a"), F.col("th_y").alias("b")).agg(F.count("*").alias("met"), F.max(need).alias("need")).where("met >= need").select("a", "b", "met")
 
 
 def _alike(pairs: DataFrame, own: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -339,6 +339,23 @@ def _alike(pairs: DataFrame, own: DataFrame, shingle: int, similarity: float) ->
     return links
 
 
+def _rooted(rows: DataFrame, member: DataFrame, name: str) -> DataFrame:
+    """The rows of keys that texts of different roots share, with ``root``."""
+    met = rows.select("key", "th", "n", "at").join(member, F.col("th") == F.col("node"), "left")
+    rooted = materialize(met.select("key", "th", "n", "at", F.coalesce("root", "th").alias("root")), name)
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
+    open_ = materialize(open_, "near-open")
+    rest = materialize(rooted.join(open_, F.col("key") == F.col("k"), "left_semi"), "near-rest")
+    discard(rooted, open_)
+    return rest
+
+
+def _closest(candidates: DataFrame) -> DataFrame:
+    """Of the pairs ``(a, b, met)`` each text's one with the most shingles in common, as the smaller and as the larger of the two."""
+    ends = [candidates.groupBy(x).agg(F.max(F.struct("met", y)).alias("p")).select(x, F.col(f"p.{y}").alias(y)).select("a", "b") for x, y in (("a", "b"), ("b", "a"))]
+    return ends[0].union(ends[1]).distinct()
+
+
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     schema = pa.schema([("th", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
@@ -362,8 +379,8 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
 
     Texts are like if the sets of their word shingles (A-Z in lower case) have a Jaccard similarity of ``similarity`` or more.
     Any two like texts have shingles of their prefixes in common. Under each such shingle every text meets the first and the
-    one before it; pairs that meet often enough are verified. What is alike is linked, and then every text meets all those under its shingles that are not
-    linked to it yet. So the classes are those of all pairs, and a large group of copies needs few of them. Equal texts are one
+    one before it; pairs that meet often enough are verified. What is alike is linked, and then every text meets all those under its shingles
+    that are not linked to it yet: three times each text's closest candidates are verified, and at last all that are left. So the classes are those of all pairs, and a large group of copies needs few of them. Equal texts are one
     row from the start. Null and wordless texts are like nothing else. Other columns are not read. Without like texts the result is empty.
     """
     width = shuffle_width(docs.sparkSession)
@@ -375,15 +392,15 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     pairs = stars.where(F.col("met") >= 1 + _spare(F.col("n") / 2)).select("a", "b")
     links = _alike(pairs, own, shingle, similarity)
     member = materialize(connected_components(links, "a", "b"), "near-members")
-    rows = shared.select("key", "th", "n", "at").join(member, shared["th"] == member["node"], "left")
-    rooted = materialize(rows.select("key", "th", "n", "at", F.coalesce("root", "th").alias("root")), "near-rooted")
-    discard(shared, member)
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
-    open_ = materialize(open_, "near-open")
-    rest = materialize(rooted.join(open_, F.col("key") == F.col("k"), "left_semi"), "near-rest")
-    discard(rooted, open_)
-    one, two = (rest.select(*[F.col(c).alias(f"{c}_{side}") for c in rest.columns]) for side in "xy")
-    more = _alike(_meet(one, two, similarity), own, shingle, similarity)
-    discard(rest)
-    member = connected_components(materialize(links.union(more), "near-all-links"), "a", "b")
+    rows = shared
+    for most in (_closest, _closest, _closest, None):  # what a round has linked meets no more: a large group takes few pairs for each of its texts
+        rest = _rooted(rows, member, "near-rooted")
+        discard(rows, member)
+        one, two = (rest.select(*[F.col(c).alias(f"{c}_{side}") for c in rest.columns]) for side in "xy")
+        candidates = materialize(_meet(one, two, similarity), "near-candidates")
+        links = links.union(_alike(most(candidates) if most else candidates.select("a", "b"), own, shingle, similarity))
+        links = materialize(links, "near-links-so-far")
+        member = materialize(connected_components(links, "a", "b"), "near-members")
+        discard(candidates)
+        rows = rest
     return member.select(F.col("node").alias("th"), "root")
