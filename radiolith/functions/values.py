@@ -74,7 +74,7 @@ def non_ascii(text: Column) -> Column:
 
 
 def strip_bom(text: Column) -> Column:
-    return F.regexp_replace(text, "^﻿", "")
+    return F.when(F.startswith(text, F.lit("\ufeff")), F.substring(text, F.lit(2), F.length(text))).otherwise(text)
 
 
 def split_values(value: Column) -> Column:
@@ -264,7 +264,7 @@ def floats(raw: Column, size: int, little: Column) -> Column:
 
 
 def number_text(vr: Column, raw: Column, little: Column) -> Column:
-    """The numbers of a binary numeric value as text, joined by backslashes; null for other representations."""
+    """The numbers of a binary numeric value (``NUMBERS``, ``BIGINTS`` or AT) as text, joined by backslashes; null for other representations."""
     join = lambda numbers: F.array_join(F.transform(numbers, lambda x: x.cast("string")), "\\")
     out = F.when(vr == "US", join(binary_integers(raw, 2, False, little))).when(vr == "SS", join(binary_integers(raw, 2, True, little)))
     out = out.when(vr == "UL", join(binary_integers(raw, 4, False, little))).when(vr == "SL", join(binary_integers(raw, 4, True, little)))

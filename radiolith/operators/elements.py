@@ -33,7 +33,8 @@ def decoded(elements: DataFrame, label: str | None = None) -> DataFrame:
         own = F.lit(label) if label else C.decoder_label(F.coalesce(F.col("charset"), F.array().cast("array<string>")))
         other = text & ~own.isin("latin1", "utf-8")
         value = F.when(other, C.decode_text(F.when(other, raw), F.when(other, own))).when(text & (own == "utf-8"), utf8).otherwise(latin)
-    return elements.withColumn("value", F.coalesce(V.number_text(vr, raw, F.coalesce(F.col("little_endian"), F.lit(True))), value))
+    numbers = V.number_text(vr, raw, F.coalesce(F.col("little_endian"), F.lit(True)))
+    return elements.withColumn("value", F.when(vr.isin(*V.NUMBERS, *V.BIGINTS, "AT"), numbers).otherwise(value))
 
 
 def get_tag(elements: DataFrame, tag: str) -> DataFrame:
