@@ -30,7 +30,7 @@ from .common import batch, filesystem, materialize, scratch, shuffle_width, trim
 
 HEADER = "<q?BQ"
 FILE_BYTES = 64 << 20
-CACHE = 300_000
+CACHE = 400_000
 
 _MASK = 0xA282EAD8
 
