@@ -398,6 +398,8 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
         discard(rows, member)
         one, two = (rest.select(*[F.col(c).alias(f"{c}_{side}") for c in rest.columns]) for side in "xy")
         candidates = materialize(_meet(one, two, similarity), "near-candidates")
+        if candidates.isEmpty():
+            return connected_components(links, "a", "b").select(F.col("node").alias("th"), "root")
         links = links.union(_alike(most(candidates) if most else candidates.select("a", "b"), own, shingle, similarity))
         links = materialize(links, "near-links-so-far")
         member = materialize(connected_components(links, "a", "b"), "near-members")
