@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, mixing, preferences, secret_scan, simhash_dedup, suffix_dedup, token_records, vector_tree, warc_index
+from . import decontaminate, filter_audit, jaccard_join, kd_means, language_id, mixing, preferences, secret_scan, simhash_dedup, suffix_dedup, token_records, vector_tree, warc_index
 
 
 def vocabulary() -> str:
@@ -61,8 +61,20 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.token_records(_table(spark, sf_dir, "documents"), vocabulary(), end_id=1)
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(_table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
+def op13_kd_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_means.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_index, op2_nearest, op3_language, op4_simhash, op5_preferences, op6_mix, op7_decontaminate, op8_secrets, op9_repeats, op10_records)}
+    return {f.__name__: f for f in (op1_warc_index, op2_nearest, op3_language, op4_simhash, op5_preferences, op6_mix, op7_decontaminate, op8_secrets, op9_repeats, op10_records, op11_audit, op12_jaccard, op13_kd_means)}
 
 
 OP1_SQL = """
@@ -96,7 +108,7 @@ from o
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_index": OP1_SQL, "op5_preferences": preferences.ORACLE_SQL, "op6_mix": OP6_SQL}
+    return {"op1_warc_index": OP1_SQL, "op5_preferences": preferences.ORACLE_SQL, "op6_mix": OP6_SQL, "op11_audit": filter_audit.oracle_sql(), "op13_kd_means": kd_means.oracle_sql()}
 
 
 __all__ = ["F", "oracle_sql", "queries", "vocabulary"]
