@@ -14,6 +14,8 @@ from radiolith.functions import tags as T
 from radiolith.functions import values as V
 from radiolith.functions.charset import WITHHELD
 
+from . import nesting
+
 KEY = ("object_id", "path")
 
 
@@ -77,20 +79,16 @@ def file_meta_residue(elements: DataFrame, modeled: tuple[str, ...] = ("00020000
 
 
 def resolve_creators(elements: DataFrame, ordered: bool = True, value: str = "value") -> DataFrame:
-    """Adds ``private_creator``: the creator that reserves an element's block in the same data set.
+    """Adds ``private_creator``, or replaces it: the creator that reserves an element's block in the same data set.
 
     ``ordered``: as a parser knows it, only a creator read before the element, the latest of several; else any, the last one.
+    A block and its creator's slot are one window of their object, so that nothing is joined.
     """
-    slots = elements.where(T.is_private_creator_slot(F.col("tag")) & (F.trim(F.col(value)) != ""))
-    slots = slots.select(F.col("object_id").alias("_o"), F.col("path").alias("_p"), F.substring("tag", 1, 4).alias("_g"), F.substring("tag", 7, 2).alias("_b"), F.col("ord").alias("_ord"), F.trim(F.col(value)).alias("_creator"))
-    same = (F.col("object_id") == F.col("_o")) & (F.col("path") == F.col("_p")) & (F.substring("tag", 1, 4) == F.col("_g")) & (T.private_block(F.col("tag")) == F.col("_b"))
-    if ordered:
-        same = same & (F.col("_ord") < F.col("ord"))
-    met = elements.where(T.private_block(F.col("tag")).isNotNull()).join(slots, same, "left")
-    cols = [c for c in elements.columns if c not in (*KEY, "ord")]
-    met = met.groupBy(*KEY, "ord").agg(*[F.first(c).alias(c) for c in cols], F.max_by("_creator", "_ord").alias("private_creator"))
-    rest = elements.where(T.private_block(F.col("tag")).isNull()).withColumn("private_creator", F.lit(None).cast("string"))
-    return met.select(*elements.columns, "private_creator").unionByName(rest)
+    slot = T.is_private_creator_slot(F.col("tag"))
+    named = F.when(slot & (F.trim(F.col(value)) != ""), F.trim(F.col(value)))
+    whole = Window.partitionBy("object_id", "path", F.substring("tag", 1, 4), F.when(slot, F.substring("tag", 7, 2)).otherwise(T.private_block(F.col("tag"))))
+    found = F.last(named, ignorenulls=True).over(whole.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)) if ordered else F.max_by(named, F.when(named.isNotNull(), F.col("ord"))).over(whole)
+    return elements.withColumn("private_creator", F.when(T.private_block(F.col("tag")).isNotNull() & ~slot, found))
 
 
 def safe_creator(creator: Column, known: Column) -> Column:
@@ -99,17 +97,8 @@ def safe_creator(creator: Column, known: Column) -> Column:
 
 
 def carried_charset(elements: DataFrame, value: str = "value") -> DataFrame:
-    """Adds ``charset``: the last character set element before a row in its data set, else that of the enclosing data set.
-
-    The enclosing data set is followed one level; deeper nesting applies the function level by level.
-    """
-    own = F.when(F.col("tag") == "00080005", F.col(value))
-    line = Window.partitionBy(*KEY).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    out = elements.withColumn("_own", F.last(own, ignorenulls=True).over(line))
-    roots = elements.where((F.col("tag") == "00080005") & (F.col("path") == "")).groupBy("object_id").agg(F.max_by(F.col(value), F.col("ord")).alias("_root"))
-    roots = roots.withColumnRenamed("object_id", "_o")
-    out = out.join(roots, F.col("object_id") == F.col("_o"), "left")
-    return out.withColumn("charset", F.coalesce("_own", F.when(F.col("path") != "", F.col("_root")))).drop("_own", "_root", "_o")
+    """Adds ``charset``: the last character set element before a row in its data set, else that in force at the sequence that the row is in, over any depth."""
+    return nesting.inherited(elements, F.when(F.col("tag") == "00080005", F.col(value)), "charset")
 
 
 def overruns(elements: DataFrame, encoding: str = "encoding") -> Column:
@@ -120,11 +109,8 @@ def overruns(elements: DataFrame, encoding: str = "encoding") -> Column:
 
 def poisoned(elements: DataFrame, overruns: str = "overruns") -> DataFrame:
     """Adds ``poisoned``: whether an element lies in an item, however deep, of a sequence that its items overrun."""
-    step = F.concat(F.when(F.col("path") == "", F.lit("")).otherwise(F.concat(F.col("path"), F.lit("/"))), F.col("tag"), F.lit("["))
-    bad = elements.where(F.col(overruns)).groupBy(F.col("object_id").alias("_o")).agg(F.collect_set(step).alias("_bad"))
-    out = elements.join(bad, F.col("object_id") == F.col("_o"), "left")
-    hit = F.exists("_bad", lambda b: F.startswith(F.col("path"), b))
-    return out.withColumn("poisoned", F.coalesce(hit, F.lit(False))).drop("_o", "_bad")
+    out = nesting.intervals(elements).withColumn("poisoned", nesting.inside(F.col(overruns)))
+    return out.select(*elements.columns, "poisoned")
 
 
 def settled(elements: DataFrame, overruns: str = "overruns") -> DataFrame:

@@ -397,7 +397,7 @@ def deid_retained(spark, sf):
 @_query(_with(_S, "select object_id, tag, value from e where tag in ('00090010', '00091001')"))
 def deid_retain_safe_private(spark, sf):
     acme = profiles.define_profile("acme", private={"ACME 1.0": {"0009XX01": ("LO", "Status", "Status")}})
-    out, _ = X.deidentify(B.studies(spark, sf), ("RetainSafePrivate",), profile=acme)
+    out, _ = X.deidentify(B.studies(spark, sf), ("RetainSafePrivate",), profile=acme, private_values="kept")
     return _shown(out).where(T.is_private_tag(F.col("tag")))
 
 

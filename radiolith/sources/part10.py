@@ -349,10 +349,12 @@ class _Escalated(PartError):
 
 
 def rows(data: dict[str, Element], path: str = "", out: list[dict] | None = None) -> list[dict]:
-    """Element rows in order, items after their sequence."""
+    """Element rows in order, items after their sequence; ``leave`` is the last row within a sequence."""
     out = [] if out is None else out
     for e in data.values():
-        out.append({"path": path, "ord": len(out), "tag": e.tag, "vr": e.vr, "length": e.length, "byte_offset": e.offset, "little_endian": e.little, "charset": list(e.charset), "private_creator": e.creator, "cp246_promoted": e.promoted, "item_count": None if e.items is None else len(e.items), "full_span": e.full_span, "raw": e.raw})
+        own = {"path": path, "ord": len(out), "leave": len(out), "tag": e.tag, "vr": e.vr, "length": e.length, "byte_offset": e.offset, "little_endian": e.little, "charset": list(e.charset), "private_creator": e.creator, "cp246_promoted": e.promoted, "item_count": None if e.items is None else len(e.items), "full_span": e.full_span, "raw": e.raw}
+        out.append(own)
         for i, item in enumerate(e.items or ()):
             rows(item, f"{path}/{e.tag}[{i}]" if path else f"{e.tag}[{i}]", out)
+        own["leave"] = len(out) - 1
     return out

@@ -14,7 +14,7 @@ from radiolith.operators.profiles import Profile
 
 from .part10 import Parser, PartError, rows
 
-ELEMENT = "struct<path:string,ord:int,tag:string,vr:string,length:bigint,byte_offset:bigint,little_endian:boolean,charset:array<string>,private_creator:string,cp246_promoted:boolean,item_count:int,full_span:boolean,raw:binary>"
+ELEMENT = "struct<path:string,ord:int,leave:int,tag:string,vr:string,length:bigint,byte_offset:bigint,little_endian:boolean,charset:array<string>,private_creator:string,cp246_promoted:boolean,item_count:int,full_span:boolean,raw:binary>"
 WARNING = "struct<code:string,tag:string,vr:string,byte_offset:bigint,file_meta:boolean,deflated:boolean>"
 ERROR = "struct<code:string,offset:bigint,frame:string,snippet:string,message:string>"
 FILE = f"object_id string, had_preamble boolean, meta map<string,string>, residue array<struct<tag:string,vr:string,value:binary>>, elements array<{ELEMENT}>, warnings array<{WARNING}>, error {ERROR}"

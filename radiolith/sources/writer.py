@@ -1,126 +1,82 @@
-"""Element rows back to Part 10 bytes, in the transfer syntax they came from."""
+"""Element rows back to Part 10 bytes, in the transfer syntax they came from, in the JVM.
+
+Only the deflated syntax passes through Python, for its compression.
+"""
 
 from __future__ import annotations
 
-import struct
 import zlib
-from collections.abc import Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from radiolith.functions.values import LONG_FORM_VRS, KNOWN_VRS, NUL_PADDED
-from radiolith.operators.dictionary import TRANSFER_SYNTAXES
+from radiolith.functions import values as V
+from radiolith.operators import nesting
+from radiolith.operators.dictionary import transfer_syntax
 
-from .part10 import META, UNDEFINED
+from .part10 import META
 
 IMPLEMENTATION_UID = "2.25.318470112936640985512264719012467392145"
-
-
-class SerializeError(ValueError):
-    """A file that cannot be written; ``code`` says why."""
-
-    def __init__(self, code: str) -> None:
-        super().__init__(code)
-        self.code = code
-
-
-def pad(raw: bytes, vr: str) -> bytes:
-    return raw + (b"\0" if vr in NUL_PADDED else b" ") if len(raw) % 2 else raw
-
-
-def encode_element(tag: str, vr: str, raw: bytes, kind: str, undefined: bool = False) -> bytes:
-    """Header and even value. ``undefined`` writes an undefined length."""
-    order = ">" if kind == "explicit-be" else "<"
-    raw = pad(raw, vr)
-    head = struct.pack(order + "HH", int(tag[:4], 16), int(tag[4:], 16))
-    length = UNDEFINED if undefined else len(raw)
-    if kind == "implicit-le":
-        return head + struct.pack("<I", length) + raw
-    code = vr.encode("latin1")
-    if vr in LONG_FORM_VRS or vr not in KNOWN_VRS:
-        return head + code + b"\0\0" + struct.pack(order + "I", length) + raw
-    if len(raw) > 0xFFFF:
-        raise SerializeError("VALUE_TOO_LONG")
-    return head + code + struct.pack(order + "H", length) + raw
-
-
-def encode_meta(meta: dict[str, str], residue: list[tuple[str, str, bytes]]) -> bytes:
-    """File meta in tag order with its length; version and implementation are filled in."""
-    vrs = {"00020001": "OB", "00020013": "SH", "00020016": "AE"}
-    parts = [(t, vrs.get(t, "UI"), bytes.fromhex(meta[n]) if t == "00020001" else meta[n].encode("latin1")) for t, n in META.items() if n in meta and n != "group_length"]
-    have = {t for t, _, _ in parts}
-    if "00020001" not in have:
-        parts.append(("00020001", "OB", b"\0\1"))
-    if "00020012" not in have:
-        parts.append(("00020012", "UI", IMPLEMENTATION_UID.encode()))
-    body = b"".join(encode_element(t, v, r, "explicit-le") for t, v, r in sorted([*parts, *residue]))
-    return encode_element("00020000", "UL", struct.pack("<I", len(body)), "explicit-le") + body
-
-
-def by_path(rows: list[dict]) -> dict[str, list[dict]]:
-    """The rows of each data set in order."""
-    out: dict[str, list[dict]] = {}
-    for r in sorted(rows, key=lambda r: r["ord"]):
-        out.setdefault(r["path"], []).append(r)
-    return out
-
-
-def encode_items(sets: dict[str, list[dict]], path: str, tag: str, count: int, kind: str) -> bytes:
-    """The items of a sequence from the rows of all data sets, with defined lengths."""
-    order = ">" if kind == "explicit-be" else "<"
-    out = []
-    for i in range(count):
-        body = encode_rows(sets, f"{path}/{tag}[{i}]" if path else f"{tag}[{i}]", kind, True)
-        out.append(struct.pack(order + "HHI", 0xFFFE, 0xE000, len(body)) + body)
-    return b"".join(out)
-
-
-def encode_rows(sets: dict[str, list[dict]], path: str, kind: str, rebuild: bool) -> bytes:
-    """A data set in row order, group lengths left out. Whole spans are copied unless ``rebuild`` writes sequences from their rows."""
-    out = []
-    for r in sets.get(path, ()):
-        if r["tag"][4:] == "0000":
+PREAMBLE = "00" * 128 + "4449434D"
+#: The file meta group length's header: (0002,0000) UL, four bytes.
+LENGTH_HEADER = "02000000554C0400"
+#: Representations of the file meta elements that are not UI.
+META_VRS = {"00020001": "OB", "00020013": "SH", "00020016": "AE"}
+
+
+def _with_file_meta(files: DataFrame) -> DataFrame:
+    """Adds ``head``: the file meta group in tag order, with its length; version and implementation are filled in. Null if a value is too long."""
+    defaults = {"00020001": F.unhex(F.lit("0001")), "00020012": F.encode(F.lit(IMPLEMENTATION_UID), "ISO-8859-1")}
+    parts = []
+    for tag, name in META.items():
+        if name == "group_length":
             continue
-        if r["vr"] == "SQ" and rebuild and r["item_count"] is not None:
-            out.append(encode_element(r["tag"], "SQ", encode_items(sets, path, r["tag"], r["item_count"], kind), kind))
-        elif r["full_span"] and r["raw"]:
-            out.append(bytes(r["raw"]))
-        else:
-            out.append(encode_element(r["tag"], r["vr"], bytes(r["raw"]), kind))
-    return b"".join(out)
-
-
-def encode_file(meta: dict[str, str], residue: list[tuple[str, str, bytes]], rows: list[dict], rebuild: bool = False) -> bytes:
-    """A whole file. ``rebuild`` for rows that were changed, so that sequences show the changes."""
-    if "transfer_syntax_uid" not in meta:
-        raise SerializeError("MISSING_TRANSFER_SYNTAX")
-    kind = TRANSFER_SYNTAXES.get(meta["transfer_syntax_uid"])
-    if kind is None:
-        raise SerializeError("UNSUPPORTED_TRANSFER_SYNTAX")
-    body = encode_rows(by_path(rows), "", "explicit-le" if kind == "deflated-le" else kind, rebuild)
-    if kind == "deflated-le":
+        text = F.element_at("meta", name)
+        raw = F.unhex(text) if tag == "00020001" else F.encode(text, "ISO-8859-1")
+        raw = F.coalesce(raw, defaults[tag]) if tag in defaults else raw
+        parts.append(F.struct(F.lit(tag).alias("tag"), F.lit(META_VRS.get(tag, "UI")).alias("vr"), raw.alias("value")))
+    kind = "array<struct<tag:string,vr:string,value:binary>>"
+    every = F.concat(F.filter(F.array(*parts), lambda x: x["value"].isNotNull()).cast(kind), F.coalesce("residue", F.array().cast(kind)).cast(kind))
+    rows = files.withColumn("_parts", F.transform(F.array_sort(every), lambda x: F.struct(x["tag"].alias("tag"), x["vr"].alias("vr"), V.pad_even(x["value"], x["vr"]).alias("raw"))))
+    one = lambda x: F.concat(nesting.header(x["tag"], x["vr"], F.length(x["raw"]), F.lit("explicit-le")), x["raw"])
+    rows = rows.withColumn("_body", F.aggregate(F.transform("_parts", one), F.unhex(F.lit("")), lambda acc, x: F.concat(acc, x)))
+    rows = rows.withColumn("_length", F.length("_body"))
+    length = F.concat(F.unhex(F.lit(LENGTH_HEADER)), F.unhex(nesting.number(F.col("_length"), 4, F.lit(False))))
+    return rows.withColumn("head", F.concat(length, F.col("_body"))).drop("_parts", "_body", "_length")
+
+
+@F.pandas_udf(BinaryType())
+def _deflated(body: pd.Series) -> pd.Series:
+    def one(data: bytes) -> bytes:
         engine = zlib.compressobj(wbits=-15)
-        body = engine.compress(body) + engine.flush()
-        body += b"\0" * (len(body) % 2)
-    return b"\0" * 128 + b"DICM" + encode_meta(meta, residue) + body
+        out = engine.compress(data) + engine.flush()
+        return out + b"\0" * (len(out) % 2)
 
+    return body.map(lambda x: None if x is None else one(bytes(x)))
 
-def serialize(files: DataFrame, elements: DataFrame, rebuild: bool = True) -> DataFrame:
-    """``(object_id, content, error)`` of ``files(object_id, meta, residue)`` and their element rows; one shuffle by object."""
-    fields = ["path", "ord", "tag", "vr", "item_count", "full_span", "raw"]
-    own = elements.groupBy(F.col("object_id").alias("_o")).agg(F.collect_list(F.struct(*fields)).alias("rows"))
-    met = files.join(own, F.col("object_id") == F.col("_o"), "left").select("object_id", "meta", "residue", "rows")
-    schema = pa.schema([("object_id", pa.string()), ("content", pa.binary()), ("error", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                try:
-                    content, error = encode_file(dict(row["meta"] or ()), [(x["tag"], x["vr"], x["value"]) for x in row["residue"] or ()], row["rows"] or [], rebuild), None
-                except SerializeError as e:
-                    content, error = None, e.code
-                yield pa.RecordBatch.from_pylist([{"object_id": row["object_id"], "content": content, "error": error}], schema=schema)
-
-    return met.mapInArrow(run, "object_id string, content binary, error string")
+def serialize(files: DataFrame, elements: DataFrame, rebuild: bool = True) -> DataFrame:
+    """``(object_id, content, error)`` of ``files(object_id, meta, residue)`` and their element rows.
+
+    Sequences are written from the rows of their items, with defined lengths, so that they show what was changed; without ``rebuild`` they are
+    copied as they came. Group lengths are left out. ``error`` says why a file cannot be written: MISSING_TRANSFER_SYNTAX,
+    UNSUPPORTED_TRANSFER_SYNTAX, or VALUE_TOO_LONG for a value that its header's two bytes of length cannot hold. A file without elements is its file meta.
+    The element rows are read twice, once for lengths and once for values: write or checkpoint them before, if they are dear.
+    """
+    kind = transfer_syntax(F.element_at("meta", "transfer_syntax_uid"))
+    own = files.select("object_id", "meta", "residue", kind.alias("encoding"))
+    syntax = own.select(F.col("object_id").alias("_f"), F.col("encoding").alias("_encoding"))
+    rows = elements.drop("encoding").join(syntax, F.col("object_id") == F.col("_f")).drop("_f").withColumnRenamed("_encoding", "encoding").where("encoding is not null")
+    bodies = nesting.data_sets(rows, rebuild).withColumnRenamed("object_id", "_o")
+    met = _with_file_meta(own).join(bodies, F.col("object_id") == F.col("_o"), "left")
+    error = (
+        F.when(F.element_at("meta", "transfer_syntax_uid").isNull(), "MISSING_TRANSFER_SYNTAX").when(F.col("encoding").isNull(), "UNSUPPORTED_TRANSFER_SYNTAX")
+        .when(F.col("broken") | F.col("head").isNull(), "VALUE_TOO_LONG")
+    )
+    met = met.withColumn("error", error).withColumn("body", F.coalesce("body", F.unhex(F.lit(""))))
+    packed = F.col("error").isNull() & (F.col("encoding") == "deflated-le")
+    body = F.when(packed, _deflated(F.when(packed, F.col("body")))).otherwise(F.col("body"))
+    content = F.concat(F.unhex(F.lit(PREAMBLE)), F.col("head"), body)
+    return met.select("object_id", F.when(F.col("error").isNull(), content).alias("content"), "error")

@@ -4,13 +4,13 @@ import pytest
 from builder import BIG, DEFLATED, EXPLICIT, IMPLICIT, UNDEFINED, build, element, item, sequence
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from plain_writer import SerializeError, encode_file
 from pyspark.sql import functions as F
 
 from radiolith.functions.values import KNOWN_VRS, LONG_FORM_VRS
 from radiolith.operators.embedded import find_embedded
 from radiolith.operators.profiles import LENIENT, SIEMENS, STRICT, ProfileError, define_profile
 from radiolith.sources.part10 import Parser, PartError, rows
-from radiolith.sources.writer import SerializeError, encode_file
 
 SYNTAXES = (IMPLICIT, EXPLICIT, BIG, DEFLATED)
 NAME = b"DOE^JANE"
@@ -289,7 +289,7 @@ def test_disputed_boundary_and_report(spark):
     rows = pair("a", "", 0, 100) + pair("b", "", 0, 100) + [over] + pair("b", "", 3, 300) + pair("b", "00400275[0]", 5, 10) + [("a", "", 8, "7FE00010", "OW", b"ab", None, 2, 900), ("a", "", 9, "00120063", "LO", b"OLD METHOD", None, 10, 950)]
     e = spark.createDataFrame(rows, "object_id string, path string, ord int, tag string, vr string, raw binary, item_count int, length long, byte_offset long")
     rules = dictionary.actions(spark).where("tag <> '00400275'")
-    out, audit = deident.deidentify(e, ("RetainSafePrivate",), profile=acme, actions=rules)
+    out, audit = deident.deidentify(e, ("RetainSafePrivate",), profile=acme, actions=rules, private_values="kept")
     kept = {(r.object_id, r.path, r.ord) for r in out.where("tag = '00091001'").collect()}
     assert kept == {("a", "", 1), ("b", "", 1)}
     tables = deident.report(e, audit, dictionary.attributes(spark), deident.METHOD, cap=1)
