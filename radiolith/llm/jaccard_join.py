@@ -21,28 +21,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, discard, materialize, shuffle_width, trim
 from .graph import connected_components
+from .sketch import A as _A
+from .sketch import B as _B
+from .sketch import C as _C
+from .sketch import asked, buffered, mixed, near, side, sketches
 
 SEED = 42
 #: Of the sets, one in so many is asked what keys of a band cost.
 SAMPLE = 32
-#: Words of a parity sketch, 64 bits each.
-SKETCH = 16
-#: Most ids of texts that are sent to every executor; for more, texts are shuffled.
-SENT = 1 << 21
 #: Words remembered by a task, each once hashed.
 WORDS = 1 << 18
-ROWS = 1 << 16
-_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))  # odd multipliers
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _B
-    return x ^ (x >> np.uint64(29))
 
 
 class _Words(dict):
@@ -62,7 +55,7 @@ def shingle_hashes(text: str, shingle: int, known: dict[bytes, int]) -> np.ndarr
     k = min(shingle, len(words))
     out = np.full(len(words) - k + 1, k, dtype=np.uint64)
     for i in range(k):
-        out = _mixed(out * _A + h[i : i + len(out)])
+        out = mixed(out * _A + h[i : i + len(out)])
     return np.unique(out)
 
 
@@ -88,8 +81,8 @@ class Bands:
 
 def _subsets(grams: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(segment of each shingle, code of each shingle, key of each segment)``; a key is a sum, so that one shingle less is a difference."""
-    seg = (_mixed(grams * _C + np.uint64(band)) >> np.uint64(20)) % np.uint64(m)
-    code = _mixed(grams * _A + _C)
+    seg = (mixed(grams * _C + np.uint64(band)) >> np.uint64(20)) % np.uint64(m)
+    code = mixed(grams * _A + _C)
     own = np.zeros(m, dtype=np.uint64)
     np.add.at(own, seg.astype(np.int64), code)
     return seg.astype(np.int64), code, own
@@ -98,7 +91,7 @@ def _subsets(grams: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarr
 def _named(own: np.ndarray, seg: np.ndarray, band: int) -> np.ndarray:
     """Keys of segments in a band, as signed integers."""
     place = (seg.astype(np.uint64) << np.uint64(20)) + np.uint64(band)
-    return _mixed(own + _mixed(place * _B + _C)).view(np.int64)
+    return mixed(own + mixed(place * _B + _C)).view(np.int64)
 
 
 def band_keys(grams: np.ndarray, band: int, m: int, allotted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,20 +136,6 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[int
                     yield th, grams
 
 
-def _buffered(schema: pa.Schema, parts: Iterator[tuple], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """Record batches of columns that come in pieces."""
-    held, size = [], 0
-    for part in parts:
-        held.append(part)
-        size += len(part[0])
-        if size >= rows:
-            yield batch(schema, [np.concatenate(c) for c in zip(*held, strict=True)])
-            held, size = [], 0
-    if held:
-        yield batch(schema, [np.concatenate(c) for c in zip(*held, strict=True)])
-    trim()
-
-
 def _allotments(own: DataFrame, shingle: int, bands: Bands, sample: int) -> dict[int, np.ndarray]:
     """The allotment of each band that has one other than 0 throughout, from one in ``sample`` sets."""
     schema = pa.schema([("band", pa.int32()), ("seg", pa.int32()), ("key", pa.int64()), ("kind", pa.int8())])
@@ -170,7 +149,7 @@ def _allotments(own: DataFrame, shingle: int, bands: Bands, sample: int) -> dict
                         keys, seg, kind = band_keys(grams, band, m, None)
                         yield np.full(len(keys), band, dtype=np.int32), seg.astype(np.int32), keys, kind
 
-        yield from _buffered(schema, parts())
+        yield from buffered(schema, parts())
 
     drawn = own.where(F.pmod("th", F.lit(sample)) == 0)
     one = lambda k: F.sum(F.when(F.col("kind") == k, 1.0).otherwise(0.0))
@@ -204,7 +183,7 @@ def _keys(own: DataFrame, shingle: int, bands: Bands, allotted: dict[int, np.nda
                     keys, _, kind = band_keys(grams, band, m, d if len(d) else np.zeros(m, dtype=np.int8))
                     yield keys, np.full(len(keys), th, dtype=np.int64), np.full(len(keys), len(grams), dtype=np.int32), kind
 
-        yield from _buffered(schema, parts())
+        yield from buffered(schema, parts())
 
     return own.mapInArrow(run, "key long, th long, n int, kind byte")
 
@@ -238,43 +217,6 @@ def _shared(keys: DataFrame, width: int) -> DataFrame:
     return keys.repartition(width, "key").sortWithinPartitions("key", "n", "th", "kind").mapInArrow(run, "key long, th long, n int, kind byte, first long, before long")
 
 
-def _asked(own: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts whose ``th`` is among ``ids(t)``."""
-    return own.join(F.broadcast(ids) if ids.count() <= SENT else ids, own["th"] == ids["t"], "left_semi")
-
-
-def _words_of_sketch() -> list[str]:
-    return [f"s{i}" for i in range(SKETCH)]
-
-
-def _sketches(own: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """``(t, size, s0, s1, ...)``: parity sketches."""
-    schema = pa.schema([("t", pa.int64()), ("size", pa.int32()), *[(c, pa.int64()) for c in _words_of_sketch()]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts() -> Iterator[tuple]:
-            for th, grams in _sets(batches, shingle):
-                bit = (_mixed(grams * _B + _A) >> np.uint64(17)) % np.uint64(64 * SKETCH)
-                odd = np.bincount(bit.astype(np.int64), minlength=64 * SKETCH) & 1
-                words = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
-                yield np.array([th]), np.array([len(grams)], dtype=np.int32), *[words[i : i + 1] for i in range(SKETCH)]
-
-        yield from _buffered(schema, parts(), 4096)
-
-    text = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'int'}" for f in schema)
-    return _asked(own, ids).mapInArrow(run, text).dropDuplicates(["t"])
-
-
-def _near(a: str, b: str, percent: int) -> Column:
-    """Whether the sketches of sides ``a`` and ``b`` allow that the sets are similar."""
-    apart = sum((F.bit_count(F.col(f"{s}_{a}").bitwiseXOR(F.col(f"{s}_{b}"))) for s in _words_of_sketch()[1:]), F.bit_count(F.col(f"s0_{a}").bitwiseXOR(F.col(f"s0_{b}"))))
-    return apart.cast("long") * (100 + percent) <= (F.col(f"size_{a}") + F.col(f"size_{b}")).cast("long") * (100 - percent)
-
-
-def _side(table: DataFrame, side: str) -> DataFrame:
-    return table.select(*[F.col(c).alias(f"{c}_{side}") for c in table.columns])
-
-
 def _alike(pairs: DataFrame, own: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Of the pairs ``(a, b)`` those whose shingle sets are similar."""
     ids = materialize(pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct(), "join-asked")
@@ -285,7 +227,7 @@ def _alike(pairs: DataFrame, own: DataFrame, shingle: int, percent: int) -> Data
             yield batch(schema, [[th], [grams.view(np.int64)]])
         trim()
 
-    sets = materialize(_asked(own, ids).mapInArrow(run, "th long, grams array<long>").dropDuplicates(["th"]), "join-sets")
+    sets = materialize(asked(own, ids).mapInArrow(run, "th long, grams array<long>").dropDuplicates(["th"]), "join-sets")
     left = sets.select(F.col("th").alias("ta"), F.col("grams").alias("ga"))
     right = sets.select(F.col("th").alias("tb"), F.col("grams").alias("gb"))
     half = materialize(pairs.join(left, F.col("a") == F.col("ta")).select("a", "b", "ga"), "join-half")
@@ -302,24 +244,24 @@ def links(own: DataFrame, shingle: int = 3, percent: int = 90, sample: int = SAM
     own = own.select("th", "text")
     shared = materialize(_shared(_keys(own, shingle, bands, _allotments(own, shingle, bands, sample)), width), "join-shared")
     ids = materialize(shared.select(F.col("th").alias("t")).distinct(), "join-ids")
-    sketches = materialize(_sketches(own, ids, shingle), "join-sketches")
+    signs = materialize(sketches(own, ids, lambda batches: _sets(batches, shingle)), "join-sketches")
     stars = shared.select("th", F.explode(F.array_distinct(F.array("first", "before"))).alias("to")).where("th <> to")
     stars = materialize(stars.select(F.least("th", "to").alias("a"), F.greatest("th", "to").alias("b")).distinct(), "join-stars")
-    half = stars.join(_side(sketches, "x"), F.col("a") == F.col("t_x")).drop("t_x")
-    near = half.join(_side(sketches, "y"), (F.col("b") == F.col("t_y")) & _near("x", "y", percent)).select("a", "b")
-    near = materialize(near, "join-near")
-    found = _alike(near, own, shingle, percent)
+    half = stars.join(side(signs, "x"), F.col("a") == F.col("t_x")).drop("t_x")
+    close = half.join(side(signs, "y"), (F.col("b") == F.col("t_y")) & near("x", "y", (100 - percent) / (100 + percent))).select("a", "b")
+    close = materialize(close, "join-near")
+    found = _alike(close, own, shingle, percent)
     member = materialize(connected_components(found, "a", "b"), "join-members")
     # what is linked already meets no more
     rooted = materialize(shared.select("key", "th", "kind").join(member, F.col("th") == F.col("node"), "left").select("key", "th", "kind", F.coalesce("root", "th").alias("root")), "join-rooted")
     open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
     open_ = materialize(open_, "join-open")
-    rest = rooted.join(open_, F.col("key") == F.col("k"), "left_semi").join(sketches, F.col("th") == F.col("t")).drop("t")
+    rest = rooted.join(open_, F.col("key") == F.col("k"), "left_semi").join(signs, F.col("th") == F.col("t")).drop("t")
     rest = materialize(rest, "join-rest")
-    one, two = _side(rest, "x"), _side(rest, "y")
-    condition = (F.col("key_x") == F.col("key_y")) & (F.col("th_x") < F.col("th_y")) & (F.col("root_x") != F.col("root_y")) & (F.col("kind_x") + F.col("kind_y") < 2) & _near("x", "y", percent)
+    one, two = side(rest, "x"), side(rest, "y")
+    condition = (F.col("key_x") == F.col("key_y")) & (F.col("th_x") < F.col("th_y")) & (F.col("root_x") != F.col("root_y")) & (F.col("kind_x") + F.col("kind_y") < 2) & near("x", "y", (100 - percent) / (100 + percent))
     met = materialize(one.join(two, condition).select(F.col("th_x").alias("a"), F.col("th_y").alias("b")).distinct(), "join-met")
-    discard(shared, ids, sketches, stars, near, rooted, open_, rest)
+    discard(shared, ids, signs, stars, close, rooted, open_, rest)
     if met.isEmpty():
         return member
     found = found.union(_alike(met, own, shingle, percent))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, discard, materialize, shuffle_width, trim
 from .graph import connected_components
+from .sketch import SENT, asked, near, side, sketches
 
 #: Generator polynomial of the [23, 12] Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -206,8 +207,6 @@ SAMPLE_STEP = 8
 #: Two like texts of ``n`` shingles or more have one and one for each ``SPARE`` of these in common in their prefixes.
 SPARE = 16
 ROUNDING = 1e-9
-#: Most ids of texts to verify that are sent to every executor.
-SENT = 1 << 21
 
 
 def shingle_set(text: str, shingle: int) -> np.ndarray:
@@ -308,17 +307,19 @@ def _spare(n: Column) -> Column:
 
 
 def _meet(one: DataFrame, two: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(a, b, met)`` of different roots that have as many shingles in common in their prefixes as like texts do: ``met`` or more.
+    """The pairs ``(a, b)`` of different roots that have as many shingles in common in their prefixes as like texts do, and whose sketches allow it.
 
-    Of the shingles in common the first ones count, after which enough are left for ``similarity``.
+    Of the shingles in common the first ones count, after which enough are left for ``similarity``. The sketches stand in the join's condition, so that
+    unlike texts under a common shingle give no rows.
     """
     (n, at), (m, to) = [(F.col(f"n_{side}"), F.col(f"at_{side}")) for side in "xy"]
     spare = _spare(F.least(n, m))
     room = F.least(n - at, m - to) + spare >= F.lit(similarity / (1 + similarity)) * (n + m) - 1e-6
-    met = one.join(two, (F.col("key_x") == F.col("key_y")) & (F.col("th_x") < F.col("th_y")) & (F.col("root_x") != F.col("root_y")) & room)
+    allowed = near("x", "y", (1 - similarity) / (1 + similarity))
+    met = one.join(two, (F.col("key_x") == F.col("key_y")) & (F.col("th_x") < F.col("th_y")) & (F.col("root_x") != F.col("root_y")) & room & allowed)
     most = F.greatest(F.ceil(F.lit(similarity) * F.greatest(n, m) - ROUNDING), F.lit(1))
     need = F.least(1 + spare, most)
-    return met.groupBy(F.col("th_x").alias("a"), F.col("th_y").alias("b")).agg(F.count("*").alias("met"), F.max(need).alias("need")).where("met >= need").select("a", "b", "met")
+    return met.groupBy(F.col("th_x").alias("a"), F.col("th_y").alias("b")).agg(F.count("*").alias("met"), F.max(need).alias("need")).where("met >= need").select("a", "b")
 
 
 def _alike(pairs: DataFrame, own: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -350,12 +351,6 @@ def _rooted(rows: DataFrame, member: DataFrame, name: str) -> DataFrame:
     return rest
 
 
-def _closest(candidates: DataFrame) -> DataFrame:
-    """Of the pairs ``(a, b, met)`` each text's one with the most shingles in common, as the smaller and as the larger of the two."""
-    ends = [candidates.groupBy(x).agg(F.max(F.struct("met", y)).alias("p")).select(x, F.col(f"p.{y}").alias(y)).select("a", "b") for x, y in (("a", "b"), ("b", "a"))]
-    return ends[0].union(ends[1]).distinct()
-
-
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     schema = pa.schema([("th", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
@@ -374,35 +369,45 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("th", "text").mapInArrow(run, "th long, grams array<long>")
 
 
+def _fuzzy_pairs(own: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """The pairs ``(a, b)`` that link all texts of ``ids(t)`` whose fingerprints differ in 2 bits or fewer, by their Golay keys."""
+    prints = materialize(fingerprints(asked(own, ids), shingle, "th", "text").distinct(), "near-prints")
+    least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "near-least")
+    same = prints.join(least, "fp").where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    ends = [least.select(F.col("fp").alias(f"fp_{x}"), F.col("least").alias(f"least_{x}")) for x in "xy"]
+    apart = links(least, 2).join(ends[0], F.col("a") == F.col("fp_x")).join(ends[1], F.col("b") == F.col("fp_y"))
+    return same.union(apart.select("least_x", "least_y"))
+
+
 def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(th, root)``: the class of each distinct text that is like another, ``th`` being the XXH64 of the text by Spark.
 
     Texts are like if the sets of their word shingles (A-Z in lower case) have a Jaccard similarity of ``similarity`` or more.
-    Any two like texts have shingles of their prefixes in common. Under each such shingle every text meets the first and the
-    one before it; pairs that meet often enough are verified. What is alike is linked, and then every text meets all those under its shingles
-    that are not linked to it yet: three times each text's closest candidates are verified, and at last all that are left. So the classes are those of all pairs, and a large group of copies needs few of them. Equal texts are one
+    Any two like texts have shingles of their prefixes in common. The texts that share such a shingle at all are first linked by the Golay keys of their
+    fingerprints; then, under each such shingle, every text meets the first and the one before it. These pairs are verified. What is alike is linked, and then every text meets all those under its shingles
+    that are not linked to it and that its parity sketch may be alike to. So the classes are those of all pairs, and a large group of copies needs few of them. Equal texts are one
     row from the start. Null and wordless texts are like nothing else. Other columns are not read. Without like texts the result is empty.
     """
     width = shuffle_width(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     shared = materialize(_shared(_prefixes(own, shingle, similarity, _hot_shingles(own, shingle)), width), "near-shared")
+    ids = materialize(shared.select(F.col("th").alias("t")).distinct(), "near-ids")
     stars = shared.select("th", "n", F.explode(F.array_distinct(F.array("first", "before"))).alias("to")).where("th <> to")
     stars = stars.groupBy(F.least("th", "to").alias("a"), F.greatest("th", "to").alias("b")).agg(F.count("*").alias("met"), F.max("n").alias("n"))
-    pairs = stars.where(F.col("met") >= 1 + _spare(F.col("n") / 2)).select("a", "b")
-    links = _alike(pairs, own, shingle, similarity)
-    member = materialize(connected_components(links, "a", "b"), "near-members")
-    rows = shared
-    for most in (_closest, _closest, _closest, None):  # what a round has linked meets no more: a large group takes few pairs for each of its texts
-        rest = _rooted(rows, member, "near-rooted")
-        discard(rows, member)
-        one, two = (rest.select(*[F.col(c).alias(f"{c}_{side}") for c in rest.columns]) for side in "xy")
-        candidates = materialize(_meet(one, two, similarity), "near-candidates")
-        if candidates.isEmpty():
-            return connected_components(links, "a", "b").select(F.col("node").alias("th"), "root")
-        links = links.union(_alike(most(candidates) if most else candidates.select("a", "b"), own, shingle, similarity))
-        links = materialize(links, "near-links-so-far")
-        member = materialize(connected_components(links, "a", "b"), "near-members")
-        discard(candidates)
-        rows = rest
+    fuzzy = _fuzzy_pairs(own, ids, shingle).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = materialize(stars.where(F.col("met") >= 1 + _spare(F.col("n") / 2)).select("a", "b").union(fuzzy).distinct(), "near-stars")
+    signs = materialize(sketches(own, ids, lambda batches: _once(batches, shingle)), "near-sketches")
+    allowed = near("x", "y", (1 - similarity) / (1 + similarity))
+    half = pairs.join(side(signs, "x"), F.col("a") == F.col("t_x")).drop("t_x")
+    found = _alike(half.join(side(signs, "y"), (F.col("b") == F.col("t_y")) & allowed).select("a", "b"), own, shingle, similarity)
+    member = materialize(connected_components(found, "a", "b"), "near-members")
+    # what is linked meets no more
+    rest = _rooted(shared, member, "near-rooted")
+    rows = materialize(rest.join(signs, F.col("th") == F.col("t")).drop("t"), "near-signed")
+    candidates = materialize(_meet(side(rows, "x"), side(rows, "y"), similarity), "near-candidates")
+    discard(shared, pairs, ids, signs, rest, rows)
+    if not candidates.isEmpty():
+        found = found.union(_alike(candidates, own, shingle, similarity))
+        member = materialize(connected_components(found, "a", "b"), "near-members")
     return member.select(F.col("node").alias("th"), "root")
