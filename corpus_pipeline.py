@@ -24,21 +24,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies stays, the one with the smallest doc_id (nulls last).
+    """One document of each group of copies stays, the one with the smallest doc_id (nulls last); of rows with one id, that with the smallest text hash, source (nulls last), lang and n_chars.
 
-    Copies are equal texts, and texts of which the five-word shingles are alike to 0.8 or more.
+    Copies are equal texts, and texts of which the five-word shingles are alike to 0.8 or more. Null and wordless texts are copies of their
+    equals alone. Rows that repeat are copies. An empty table gives no rows.
     """
     like = materialize(simhash_dedup.similar_components(docs, shingle=5, similarity=0.8), "pipeline-like").withColumnRenamed("th", "member")
     out = _ids(docs).withColumn("th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    named = out.select("doc_id", "th").join(like, F.col("th") == F.col("member"), "left").select("doc_id", "th", F.coalesce("root", "th").alias("root"))
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("f"))
-    first = materialize(first.select(F.col("f.doc_id").alias("kept"), F.col("f.th").alias("kept_th")), "pipeline-first")
-    met = out.join(first, out["doc_id"].eqNullSafe(first["kept"]) & (out["th"] == first["kept_th"]), "left_semi")
-    return met.dropDuplicates(["doc_id", "th"]).drop("th")
+    own = ("doc_id", "th", "source", "lang", "n_chars")
+    named = out.select(*own).join(like, F.col("th") == F.col("member"), "left").select(*own, F.coalesce("root", "th").alias("root"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", F.col("source").isNull().alias("unsourced"), *own[2:])
+    first = named.groupBy("root").agg(F.min(order).alias("f"))
+    first = materialize(first.select(*[F.col(f"f.{c}").alias(f"kept_{c}") for c in own]), "pipeline-first")
+    same = (F.col("th") == F.col("kept_th")) & out["doc_id"].eqNullSafe(first["kept_doc_id"])
+    for c in own[2:]:
+        same = same & out[c].eqNullSafe(first[f"kept_{c}"])
+    return out.join(first, same, "left_semi").dropDuplicates(["doc_id", "th"]).drop("th")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go: by their texts, whatever their ids."""
+    """Documents that hold a benchmark item go: by their texts, whatever their ids. Null texts hold none; repeated rows go or stay together; an empty table gives no rows."""
     out = _ids(docs).withColumn("th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     found = decontaminate.find_passages(out, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="th").select(F.col("doc_id").alias("gone")).distinct()
     found = materialize(found, "pipeline-found")
@@ -69,7 +74,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Binary token records, as read back from their files."""
+    """Binary token records, as read back from their files: a row a document, repeated rows and null ids included. Null texts are empty; an empty table gives no rows."""
     return token_records.token_records(docs, vocabulary(), end_id=1)
 
 
@@ -85,7 +90,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's result is written and read again."""
+    """All stages over ``documents``; each one's result is written and read again. Other columns than those of ``documents`` are not read; an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower())
