@@ -99,6 +99,50 @@ def value_warnings(vr: Column, value: Column) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(code)) for c, code in found]))
 
 
+def _number(tag: str) -> Column:
+    """The first number of a root element of each object: of two bytes, or an integer string."""
+    here = (F.col("path") == "") & (F.col("tag") == tag)
+    own = F.when(F.col("vr") == "US", F.get(V.binary_integers(F.col("raw"), 2, False, F.coalesce("little_endian", F.lit(True))), 0)).otherwise(V.integer_string(F.get(F.split(V.ascii_text(F.col("raw")), r"\\"), 0)))
+    return F.max(F.when(here, own)).cast("long")
+
+
+def pixel_length_mismatches(elements: DataFrame) -> DataFrame:
+    """``(object_id, code, expected, length)`` of objects whose pixel data has another length than rows, columns, samples, bits and frames give.
+
+    The length is that of whole bytes, made even; samples and frames are one where they are not said. Encapsulated pixel data has no such length, and an object without rows, columns or
+    bits none to compare with. One aggregate an object. Needs ``little_endian``.
+    """
+    pixel = (F.col("path") == "") & F.col("tag").isin("7FE00010", "7FE00008", "7FE00009")
+    framed = pixel & (F.col("item_count").isNotNull() | (F.col("length") == 0xFFFFFFFF))
+    at = elements.groupBy("object_id").agg(
+        _number("00280010").alias("rows"), _number("00280011").alias("columns"), _number("00280002").alias("samples"), _number("00280100").alias("bits"), _number("00280008").alias("frames"),
+        F.max(F.when(pixel, F.length("raw"))).cast("long").alias("length"), F.coalesce(F.bool_or(framed), F.lit(False)).alias("framed"),
+    )
+    bits = F.col("rows") * F.col("columns") * F.coalesce("samples", F.lit(1)) * F.col("bits") * F.greatest(F.coalesce("frames", F.lit(1)), F.lit(1))
+    expected = F.floor((F.floor((bits + 7) / 8) + 1) / 2) * 2
+    return at.where(~F.col("framed")).select("object_id", F.lit("PIXEL_DATA_LENGTH_MISMATCH").alias("code"), expected.cast("long").alias("expected"), "length").where("length <> expected")
+
+
+#: Character sets whose characters may have a backslash's byte: as the second of two bytes, or between escapes to sets of two bytes.
+SECOND_BYTE = r"^(?:[\x00-\x80\xFF]|[\x81-\xFE][^\\])*+[\x81-\xFE]\\"
+BETWEEN_ESCAPES = r"\x1B\$[()]?[@-D][^\x1B]*\\"
+
+
+def ambiguous_separator(raw: Column, terms: Column) -> Column:
+    """Whether a backslash's byte in a value may be part of a character, by the character sets in force; bytes are followed from the start of the value."""
+    text = V.ascii_text(raw)
+    two = F.coalesce(F.arrays_overlap(terms, F.array(F.lit("GB18030"), F.lit("GBK"))), F.lit(False))
+    escaped = F.coalesce(F.exists(terms, lambda t: t.startswith("ISO 2022 IR ")), F.lit(False))
+    return F.coalesce((two & text.rlike(SECOND_BYTE)) | (escaped & text.rlike(BETWEEN_ESCAPES)), F.lit(False))
+
+
+def separator_warnings(elements: DataFrame) -> DataFrame:
+    """``(object_id, ord, tag, vr, code)`` of texts that a separator may cut within a character. Needs ``charset``."""
+    texts = F.col("vr").isin(*V.CHARSET_LISTS, "PN")
+    rows = elements.where(texts & ambiguous_separator(F.col("raw"), F.col("charset")))
+    return rows.select("object_id", "ord", "tag", "vr", F.lit("CHARSET_AMBIGUOUS_SEPARATOR").alias("code"))
+
+
 def capped(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], most: int) -> DataFrame:
     """The first ``most`` rows of each group: a report's cap, which is never a cap on what is done."""
     from pyspark.sql import Window

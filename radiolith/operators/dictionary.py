@@ -14,15 +14,10 @@ from pyspark.sql import functions as F
 
 from radiolith.functions import tags as T
 
-#: Families of repeating groups: ``x`` stands for any hexadecimal digit.
-FAMILIES = "50xx0005 US CurveDimensions|50xx3000 OW CurveData|60xx0010 US OverlayRows|60xx0011 US OverlayColumns|60xx0040 CS OverlayType|60xx0050 SS OverlayOrigin|60xx0100 US OverlayBitsAllocated|60xx3000 OW OverlayData|60xx4000 LT OverlayComments"
-
 TRANSFER_SYNTAXES = {"1.2.840.10008.1.2": "implicit-le", "1.2.840.10008.1.2.1": "explicit-le", "1.2.840.10008.1.2.2": "explicit-be", "1.2.840.10008.1.2.1.99": "deflated-le"}
 
 #: Content sequence of structured reports, see ``actions``.
 CONTENT = "0040A730"
-#: Masked rows: all of group 50xx; overlay data and comments.
-MASKED_ACTIONS = "50xxxxxx X CleanGraphics=C|60xx3000 X CleanGraphics=C|60xx4000 X CleanGraphics=C"
 #: First byte of the repeating groups; the second is even, 00 to 1E.
 REPEATING = {"50": "Curves (retired)", "60": "Overlay Planes"}
 CODING_SCHEMES = {"DCM": "1.2.840.10008.2.16.4", "SCT": "2.16.840.1.113883.6.96", "UCUM": "2.16.840.1.113883.6.8", "LN": "2.16.840.1.113883.6.1"}
@@ -31,10 +26,6 @@ CODING_SCHEMES = {"DCM": "1.2.840.10008.2.16.4", "SCT": "2.16.840.1.113883.6.96"
 DATA = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "data")
 
 
-def _rows(text: str) -> list[list[str]]:
-    return [x.split(" ", 2) for x in text.split("|")]
-
-
 def _lines(name: str, path: str | None = None) -> list[str]:
     with open(path or os.path.join(DATA, f"{name}.txt"), encoding="utf-8") as f:
         return [x for x in f.read().splitlines() if x and x[0] != "#"]
@@ -49,6 +40,16 @@ def vr_of(path: str | None = None) -> dict[str, str]:
     return {t: v for t, v, _ in attribute_rows(path)}
 
 
+def family_rows(path: str | None = None) -> list[tuple[str, str, str]]:
+    """``(pattern, vr, keyword)`` of the families of repeating groups; ``x`` stands for any hexadecimal digit."""
+    return [tuple(x.split(" ", 2)) for x in _lines("families", path)]
+
+
+def mask_rows(path: str | None = None) -> list[tuple[str, str, str]]:
+    """``(pattern, basic, option)`` of the actions on repeating groups."""
+    return [tuple(x.split(" ", 2)) for x in _lines("masks", path)]
+
+
 def action_rows(path: str | None = None) -> list[tuple[str, str, dict[str, str]]]:
     return [(tag, basic, dict(x.split("=") for x in over)) for tag, basic, *over in (x.split(" ") for x in _lines("actions", path))]
 
@@ -69,7 +70,7 @@ def attributes(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 
 def families(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([tuple(r) for r in _rows(FAMILIES)], "pattern string, vr string, keyword string")
+    return spark.createDataFrame(family_rows(), "pattern string, vr string, keyword string")
 
 
 def uids(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -83,7 +84,7 @@ def actions(spark: SparkSession, content: bool = True) -> DataFrame:
     has its own action.
     """
     rows = [r for r in action_rows() if content or r[0] != CONTENT]
-    for r in _rows(MASKED_ACTIONS):
+    for r in mask_rows():
         pattern, basic, option = r
         if not pattern.endswith("xxxx"):
             rows += [(t, basic, dict([option.split("=")])) for t in expand_mask(pattern)]
@@ -92,7 +93,7 @@ def actions(spark: SparkSession, content: bool = True) -> DataFrame:
 
 def masked_groups(spark: SparkSession) -> DataFrame:
     """``(grp, basic, options)`` of the masks that cover whole groups."""
-    rows = [(g, r[1], dict([r[2].split("=")])) for r in _rows(MASKED_ACTIONS) if r[0].endswith("xxxx") for g in expand_mask(r[0])]
+    rows = [(g, r[1], dict([r[2].split("=")])) for r in mask_rows() if r[0].endswith("xxxx") for g in expand_mask(r[0])]
     return spark.createDataFrame(rows, "grp string, basic string, options map<string,string>")
 
 
@@ -103,9 +104,25 @@ def matches_mask(pattern: Column, tag: Column) -> Column:
     return F.substring(pattern, 1, 2).isin(*REPEATING) & (F.substring(pattern, 1, 2) == F.substring(tag, 1, 2)) & (low % 2 == 0) & (low <= 0x1E) & ((element == "xxxx") | (element == F.substring(tag, 5, 4)))
 
 
-def matches_family(pattern: Column, tag: Column) -> Column:
-    """Whether an unbounded wildcard pattern covers a tag."""
-    return F.call_function("regexp_like", tag, F.concat(F.lit("^"), F.replace(pattern, F.lit("x"), F.lit("[0-9A-F]")), F.lit("\\z")))
+def shape(pattern: Column) -> Column:
+    """Where a pattern has wildcards: its digits as ``0``."""
+    return F.regexp_replace(pattern, "[0-9A-F]", "0")
+
+
+def match_patterns(df: DataFrame, tag: Column, table: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds ``name``: ``value`` of the pattern of ``table`` that covers ``tag``, with ``x`` for any digit at any place.
+
+    Of several patterns the one with the fewest wildcards counts, then the one whose first ones come last. A tag with its digits blanked where a pattern has wildcards is
+    equal to the pattern: so each shape of pattern is one equality join, and there are as many as there are shapes, whatever the number of patterns.
+    """
+    shapes = [r["s"] for r in table.select(shape(F.col("pattern")).alias("s")).distinct().collect()]  # rows of the registry, 256 at most
+    out, found = df, []
+    for k, s in enumerate(sorted(shapes, key=lambda s: (s.count("x"), s))):
+        masked = F.concat(*[F.lit("x") if c == "x" else F.substring(tag, i + 1, 1) for i, c in enumerate(s)])
+        own = table.where(shape(F.col("pattern")) == s).groupBy(F.col("pattern").alias(f"_p{k}")).agg(F.min(value).alias(f"_m{k}"))
+        out = out.join(F.broadcast(own), masked == F.col(f"_p{k}"), "left")
+        found.append(F.col(f"_m{k}"))
+    return out.select(*df.columns, (F.coalesce(*found) if found else F.lit(None).cast("string")).alias(name))
 
 
 def lookup(df: DataFrame, name: str, table: DataFrame) -> DataFrame:
@@ -137,9 +154,8 @@ def resolve_implicit_vr(df: DataFrame, table: DataFrame, family: DataFrame, priv
     standard tag its registered one; then that of a repeating family; else UN.
     """
     t = F.broadcast(table.select(F.col("tag").alias("_t"), F.col("vr").alias("_v")))
-    f = F.broadcast(family.select(F.col("pattern").alias("_p"), F.col("vr").alias("_fv")))
     tag = F.col("tag")
-    out = df.join(t, tag == F.col("_t"), "left").join(f, matches_family(F.col("_p"), tag) & F.col("_t").isNull(), "left")
+    out = match_patterns(df.join(t, tag == F.col("_t"), "left"), tag, family, "vr", "_fv")
     own = F.lit(None).cast("string")
     if private is not None:
         p = F.broadcast(private.select(F.col("creator").alias("_c"), F.col("key").alias("_key"), F.col("vr").alias("_pv")))

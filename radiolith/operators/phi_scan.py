@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from radiolith.functions import values as V
+
 ISO_DATE = r"(?<![0-9])((?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01]))(?![0-9])"
 COMPACT_DATE = r"(?<![0-9.])((?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01]))(?![0-9.])"
 NAME = r"(?<![A-Za-z^])([A-Z][A-Za-z'-]+\^[A-Z][A-Za-z'^-]*)"
@@ -31,10 +33,28 @@ DA_TAGS = ("00080020", "00080021", "00080022", "00080023", "00100030", "0040A030
 DT_TAGS = ("0008002A", "0040A12C", "0040A13A")
 
 
-def scan_elements(elements: DataFrame) -> DataFrame:
-    """``(object_id, tag, recognizer)`` of elements of identifying tags that hold something."""
+def scan_elements(elements: DataFrame, allowed: DataFrame | None = None, this_year: int | None = None) -> DataFrame:
+    """``(object_id, tag, recognizer)`` of elements of identifying tags that hold something.
+
+    ``allowed(kind, value)`` takes finds out: a ``name`` by its whole value, a ``name_prefix`` by how it begins, a ``date`` by its first
+    eight digits. With ``this_year`` a date counts only if it has eight digits to begin with, of that year less 120 or later. Padding at the
+    end does not count. Names are met by equality alone, prefixes by those lengths that the list has.
+    """
     kind = F.when(F.col("tag").isin(*PN_TAGS), "name").when(F.col("tag").isin(*DA_TAGS, *DT_TAGS), "date")
-    return elements.where(F.trim("value") != "").select("object_id", "tag", kind.alias("recognizer")).where("recognizer is not null")
+    rows = elements.where(F.trim("value") != "").select("object_id", "tag", kind.alias("recognizer"), V.strip_pad(F.col("value")).alias("_value")).where("recognizer is not null")
+    day = F.substring("_value", 1, 8)
+    rows = rows.withColumn("_day", F.when((F.col("recognizer") == "date") & (F.col("tag").isin(*DT_TAGS) | (F.length("_value") == 8)) & day.rlike(r"^[0-9]{8}\z"), day))
+    if this_year is not None:
+        rows = rows.where((F.col("recognizer") == "name") | (F.substring("_day", 1, 4).try_cast("int") >= this_year - YEARS))
+    if allowed is not None:
+        listed = allowed.select(F.col("kind").alias("_kind"), F.col("value").alias("_allowed")).where("_allowed is not null").distinct()
+        rows = rows.join(listed.where("_kind = 'name'"), (F.col("recognizer") == "name") & (F.col("_value") == F.col("_allowed")), "left_anti")
+        rows = rows.join(listed.where("_kind = 'date'"), F.col("_day") == F.col("_allowed"), "left_anti")
+        prefixes = listed.where("_kind = 'name_prefix'")
+        for r in prefixes.select(F.length("_allowed").alias("n")).distinct().orderBy("n").collect():  # a row a length of a name
+            own = prefixes.where(F.length("_allowed") == r["n"])
+            rows = rows.join(own, (F.col("recognizer") == "name") & (F.substring("_value", 1, r["n"]) == F.col("_allowed")), "left_anti")
+    return rows.select("object_id", "tag", "recognizer")
 
 
 BASE64_RUN = r"([A-Za-z0-9+/]{16,})"

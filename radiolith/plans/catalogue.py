@@ -20,6 +20,7 @@ from radiolith.operators import phi_scan, profiles, views
 from radiolith.sources import reader
 
 from . import bridge as B
+from . import deep
 
 FLAGSHIP = "index_studies"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -311,11 +312,11 @@ def filemeta_residue(spark, sf):
     return E.file_meta_residue(B.table(spark, sf, "events").select("event_id", F.concat(F.lit("000200"), low).alias("tag")))
 
 
-@_query("select event_id, case event_id % 3 when 0 then 'implicit-le' when 1 then 'deflated-le' end as parser, case event_id % 3 when 2 then 'JPEG Baseline (Process 1)' when 1 then 'Deflated Explicit VR Little Endian' else 'Implicit VR Little Endian: Default Transfer Syntax for DICOM' end as uid_name from events")
+@_query("select event_id, case event_id % 3 when 0 then 'implicit-le' when 1 then 'deflated-le' end as parser, case event_id % 3 when 2 then 'JPEG Baseline (Process 1)' when 1 then 'Deflated Explicit VR Little Endian' else 'Implicit VR Little Endian' end as uid_name from events")
 def transfer_syntax_dispatch(spark, sf):
     ends = F.element_at(F.array(F.lit(""), F.lit(".1.99"), F.lit(".4.50")), (F.col("event_id") % 3 + 1).cast("int"))
     rows = B.table(spark, sf, "events").select("event_id", F.concat(F.lit("1.2.840.10008.1.2"), ends).alias("uid"))
-    return D.lookup_uid(rows, "uid", D.uids(spark)).select("event_id", D.transfer_syntax(F.col("uid")).alias("parser"), "uid_name")
+    return D.lookup_uid(rows, "uid", D.uids(spark)).select("event_id", D.transfer_syntax(F.col("uid")).alias("parser"), F.substring_index("uid_name", ":", 1).alias("uid_name"))
 
 
 @_query("select event_id, case event_id % 3 when 0 then '00100010' when 1 then '00100010' end as tag, case event_id % 3 when 2 then null else 'PN' end as vr, case event_id % 3 when 2 then null else 'PatientName' end as keyword from events")
@@ -520,8 +521,8 @@ def value_warnings(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | deep.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | deep.oracle_sql()

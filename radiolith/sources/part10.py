@@ -70,7 +70,7 @@ class Parser:
     def __init__(self, profile: Profile | None = None, strict: bool = False, preamble: str = "auto", vrs: dict[str, str] | None = None) -> None:
         self.profile, self.strict, self.preamble = profile, strict, preamble
         self.vrs = vrs or D.vr_of()
-        self.families = [(p, v) for p, v, _ in D._rows(D.FAMILIES)]
+        self.families = [(p, v) for p, v, _ in D.family_rows()]
         self.out, self.depth = Parsed(), 0
 
     def warn(self, view: _View, code: str, at: int, tag: str | None = None, vr: str | None = None, meta: bool = False) -> None:
