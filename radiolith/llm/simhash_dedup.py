@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, discard, materialize, shuffle_width, trim
 from .graph import connected_components
-from .sketch import SENT, asked, near, side, sketches
+from .sketch import SENT, near, side, sketches
 
 #: Generator polynomial of the [23, 12] Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -369,9 +369,9 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("th", "text").mapInArrow(run, "th long, grams array<long>")
 
 
-def _fuzzy_pairs(own: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """The pairs ``(a, b)`` that link all texts of ``ids(t)`` whose fingerprints differ in 2 bits or fewer, by their Golay keys."""
-    prints = materialize(fingerprints(asked(own, ids), shingle, "th", "text").distinct(), "near-prints")
+def _fuzzy_pairs(signs: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that link all texts whose fingerprints differ in 2 bits or fewer, by their Golay keys."""
+    prints = signs.select(F.col("t").alias("doc_id"), "fp")
     least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "near-least")
     same = prints.join(least, "fp").where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
     ends = [least.select(F.col("fp").alias(f"fp_{x}"), F.col("least").alias(f"least_{x}")) for x in "xy"]
@@ -393,11 +393,12 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     own = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     shared = materialize(_shared(_prefixes(own, shingle, similarity, _hot_shingles(own, shingle)), width), "near-shared")
     ids = materialize(shared.select(F.col("th").alias("t")).distinct(), "near-ids")
+    whole = materialize(sketches(own, ids, lambda batches: _once(batches, shingle), prints=True), "near-sketches")
     stars = shared.select("th", "n", F.explode(F.array_distinct(F.array("first", "before"))).alias("to")).where("th <> to")
     stars = stars.groupBy(F.least("th", "to").alias("a"), F.greatest("th", "to").alias("b")).agg(F.count("*").alias("met"), F.max("n").alias("n"))
-    fuzzy = _fuzzy_pairs(own, ids, shingle).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    fuzzy = _fuzzy_pairs(whole).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(stars.where(F.col("met") >= 1 + _spare(F.col("n") / 2)).select("a", "b").union(fuzzy).distinct(), "near-stars")
-    signs = materialize(sketches(own, ids, lambda batches: _once(batches, shingle)), "near-sketches")
+    signs = whole.drop("fp")
     allowed = near("x", "y", (1 - similarity) / (1 + similarity))
     half = pairs.join(side(signs, "x"), F.col("a") == F.col("t_x")).drop("t_x")
     found = _alike(half.join(side(signs, "y"), (F.col("b") == F.col("t_y")) & allowed).select("a", "b"), own, shingle, similarity)
@@ -406,7 +407,7 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     rest = _rooted(shared, member, "near-rooted")
     rows = materialize(rest.join(signs, F.col("th") == F.col("t")).drop("t"), "near-signed")
     candidates = materialize(_meet(side(rows, "x"), side(rows, "y"), similarity), "near-candidates")
-    discard(shared, pairs, ids, signs, rest, rows)
+    discard(shared, pairs, ids, whole, rest, rows)
     if not candidates.isEmpty():
         found = found.union(_alike(candidates, own, shingle, similarity))
         member = materialize(connected_components(found, "a", "b"), "near-members")

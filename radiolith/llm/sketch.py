@@ -60,17 +60,28 @@ def sketch(members: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def sketches(own: DataFrame, ids: DataFrame, sets: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, np.ndarray]]]) -> DataFrame:
-    """``(t, size, s0, s1, ...)`` of the texts of ``own(th, text)`` that ``ids(t)`` names; ``sets`` gives the ``(th, set)`` of each text of a task."""
-    schema = pa.schema([("t", pa.int64()), ("size", pa.int32()), *[(c, pa.int64()) for c in columns()]])
+def majority(members: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of hashes, as one signed word: a bit is 1 if over half the hashes have it."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(members), 1 << 15):
+        ones += np.unpackbits(members[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(members), bitorder="little").view(np.int64)
+
+
+def sketches(own: DataFrame, ids: DataFrame, sets: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, np.ndarray]]], prints: bool = False) -> DataFrame:
+    """``(t, size, s0, s1, ...)`` of the texts of ``own(th, text)`` that ``ids(t)`` names; ``sets`` gives the ``(th, set)`` of each text of a task.
+
+    With ``prints`` there is ``fp`` too, the SimHash of the set.
+    """
+    schema = pa.schema([("t", pa.int64()), ("size", pa.int32()), *[(c, pa.int64()) for c in columns()], *([("fp", pa.int64())] if prints else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[tuple]:
             for th, members in sets(batches):
                 words = sketch(members)
-                yield np.array([th]), np.array([len(members)], dtype=np.int32), *[words[i : i + 1] for i in range(WORDS)]
+                yield np.array([th]), np.array([len(members)], dtype=np.int32), *[words[i : i + 1] for i in range(WORDS)], *([majority(members)] if prints else [])
 
-        yield from buffered(schema, parts(), 4096)
+        yield from buffered(schema, parts(), 1024)
 
     text = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'int'}" for f in schema)
     return asked(own, ids).mapInArrow(run, text).dropDuplicates(["t"])
