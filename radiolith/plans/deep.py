@@ -15,8 +15,10 @@ from radiolith.operators import dictionary as D
 from radiolith.operators import elements as E
 from radiolith.operators import nesting, phi_scan, profiles
 from radiolith.sources import reader, writer
+from radiolith.streaming import state
 
 from . import bridge as B
+from .scratch import scratch
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -39,6 +41,13 @@ def _cells(base: DataFrame, object_id, rows: list[tuple]) -> DataFrame:
     return out.withColumn("raw", F.encode(F.coalesce("value", F.lit("")), "UTF-8"))
 
 
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    """Written and read again: what is dear to compute and read more than once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as a content sequence of two levels; every fifth turn's code sequence has no items."""
     rows = B.sequences(spark, sf)
@@ -156,10 +165,10 @@ def deid_parsed(spark, sf):
     ])
     meta = F.create_map(F.lit("transfer_syntax_uid"), F.lit("1.2.840.10008.1.2.1"), F.lit("media_storage_sop_instance_uid"), F.concat(F.lit("1.2.840.3."), F.substring("object_id", 2, 20)))
     files = rows.select("object_id").distinct().select("object_id", meta.alias("meta"), F.array().cast("array<struct<tag:string,vr:string,value:binary>>").alias("residue"))
-    parsed = reader.parse_content(writer.serialize(files, rows).select(F.col("object_id").alias("path"), "content"))
+    parsed = _staged(reader.parse_content(writer.serialize(files, rows).select(F.col("object_id").alias("path"), "content")), "parsed")
     rules = D.actions(spark).where("tag <> '00400555'")
     done = X.deidentify_files(parsed, reader.elements(parsed), actions=rules)
-    again = reader.parse_content(writer.serialize(done.files, done.elements).select(F.col("object_id").alias("path"), "content"))
+    again = reader.parse_content(writer.serialize(done.files, _staged(done.elements, "deidentified")).select(F.col("object_id").alias("path"), "content"))
     meta = again.select("object_id", F.lit("meta").alias("path"), F.lit("00020003").alias("tag"), F.element_at("meta", "media_storage_sop_instance_uid").alias("value"))
     plain = reader.elements(again).select("object_id", "path", "tag", F.when(F.col("vr") == "SQ", "").otherwise(V.strip_pad(F.col("value"))).alias("value"))
     return plain.union(meta)
@@ -214,6 +223,22 @@ def phi_scan_allowed(spark, sf):
     return phi_scan.scan_elements(rows, allowed, 1995 + phi_scan.YEARS).select("object_id", "recognizer")
 
 
+@_query("""select cast(user_id as varchar) as object_id, event_type as tag, max(event_id) as version, case when bool_or(bool_or(event_type = 'error' and value > 40)) over (partition by user_id) then 'quarantined' else 'kept' end as fate from events group by user_id, event_type""")
+def stream_last_versions(spark, sf):
+    """Events as element versions in four files, read one a micro-batch."""
+    source, out, at = (scratch(spark, n) for n in ("stream-in", "stream-out", "stream-at"))
+    code = F.when((F.col("event_type") == "error") & (F.col("value") > 40), "VR_MISMATCH").alias("code")
+    rows = B.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("object_id"), F.lit("").alias("path"), F.col("event_type").alias("tag"), F.lit("LO").alias("vr"), F.col("event_id").alias("version"), F.col("ts").cast("timestamp").alias("seen"), F.encode(F.col("value").cast("string"), "UTF-8").alias("raw"), code)
+    rows.repartition(4, "version").write.parquet(source)
+    state.closing_row(spark, "2200-01-01 00:00:00").coalesce(1).write.mode("append").parquet(source)
+    state.stateful(spark)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    last = state.last_versions(stream, "3650 days", frozenset({"VR_MISMATCH"}))
+    q = last.writeStream.format("parquet").option("checkpointLocation", at).option("path", out).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(state.ROW).parquet(out).select("object_id", "tag", "version", "fate")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
