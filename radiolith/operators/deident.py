@@ -22,7 +22,7 @@ from radiolith.functions import values as V
 from . import dictionary as D
 from . import nesting
 from .elements import overruns, poisoned, resolve_creators, settled
-from .embedded import SCANNABLE, find_embedded
+from .embedded import SCANNABLE, find_in_batch
 from .profiles import Profile
 
 # Fixed values of the public profile: the options in order of priority.
@@ -72,7 +72,7 @@ def _embedded_udf(actionable: set[str], groups: set[str]):
     @F.pandas_udf(BooleanType())
     def found(raw: pd.Series, vr: pd.Series, encoding: pd.Series) -> pd.Series:
         act = lambda tag: tag[3] in "13579BDF" or tag in actionable or tag[:4] in groups
-        return pd.Series([r is not None and find_embedded(bytes(r), v, e, act) is not None for r, v, e in zip(raw, vr, encoding, strict=True)])
+        return pd.Series(find_in_batch([None if r is None else bytes(r) for r in raw], vr.tolist(), encoding.tolist(), act))
 
     return found
 

@@ -2,7 +2,7 @@
 
 Every even place of a value is read as an element header at once, in arrays. A place points to where its element would
 end; pointers are followed by doubling, so that all runs of elements that reach the value's end are known after as many
-steps as the length has binary digits.
+steps as the length has binary digits. The values of a batch lie in one buffer, each with an end of its own, and are followed together.
 """
 
 from __future__ import annotations
@@ -20,13 +20,16 @@ WINDOW = 1 << 20
 ITEM_GROUP, UNDEFINED = 0xFFFE, 0xFFFFFFFF
 
 _code = lambda vr: vr.encode()[0] << 8 | vr.encode()[1]
-_SHORT = np.array([_code(v) for v in KNOWN_VRS if v not in LONG_FORM_VRS])
-_LONG = np.array([_code(v) for v in LONG_FORM_VRS])
+_SHORT, _LONG = (np.isin(np.arange(1 << 16), [_code(v) for v in vrs]) for vrs in ([v for v in KNOWN_VRS if v not in LONG_FORM_VRS], LONG_FORM_VRS))  # by code
 
 
-def headers(data: np.ndarray, encoding: str) -> tuple[np.ndarray, np.ndarray]:
-    """``(end, tag)`` of the element that would begin at each even place with 8 bytes or more left; end 0 if none could, tag -1 for item marks."""
-    n, at = len(data), np.arange(0, len(data) - 7, 2)
+def headers(data: np.ndarray, encoding: str, at: np.ndarray | None = None, n: np.ndarray | int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``(end, tag)`` of the element that would begin at each even place with 8 bytes or more left; end 0 if none could, tag -1 for item marks.
+
+    Or at the places ``at``, each with its own end of data ``n``.
+    """
+    if at is None:
+        n, at = len(data), np.arange(0, len(data) - 7, 2)
     wide = np.concatenate([data, np.zeros(12, dtype=np.uint8)]).astype(np.int64)
     weights = (8, 0) if encoding == "explicit-be" else (0, 8)
     half = lambda skip: wide[at + skip] << weights[0] | wide[at + skip + 1] << weights[1]
@@ -36,8 +39,8 @@ def headers(data: np.ndarray, encoding: str) -> tuple[np.ndarray, np.ndarray]:
         fine, size, length = tag != 0, 8, full(4)
     else:
         vr = wide[at + 4] << 8 | wide[at + 5]
-        long = np.isin(vr, _LONG)
-        fine = (tag != 0) & (np.isin(vr, _SHORT) | (long & (half(6) == 0) & (at + 12 <= n)))
+        long = _LONG[vr]
+        fine = (tag != 0) & (_SHORT[vr] | (long & (half(6) == 0) & (at + 12 <= n)))
         size, length = np.where(long, 12, 8), np.where(long, full(8), half(6))
     end = at + size + length
     end = np.where(fine & (length != UNDEFINED) & (length % 2 == 0) & (end <= n), end, 0)
@@ -78,3 +81,62 @@ def find_embedded(value: bytes, vr: str, encoding: str, acts: Callable[[str], bo
             tags += [f"{tag[at]:08X}"] * names[int(tag[at])]
         at = int(to[at])
     return tags, count
+
+
+#: Bytes of values that are followed together: arrays of these stay in a processor's cache.
+CHUNK = 1 << 16
+
+
+def find_in_batch(values: list[bytes | None], vrs: list[str], encodings: list[str], acts: Callable[[str], bool]) -> np.ndarray:
+    """For each value whether ``find_embedded`` finds a run in it."""
+    out = np.zeros(len(values), dtype=bool)
+    groups: dict[tuple[str, tuple[int, ...]], list[int]] = {}
+    for i, (value, vr) in enumerate(zip(values, vrs, strict=True)):
+        # an even window of an odd value is as long as the window
+        if value is not None and vr in SCANNABLE and len(value) >= 8 and min(len(value), WINDOW) % 2 == 0:
+            groups.setdefault((encodings[i], CONTROLS.get(vr, ())), []).append(i)
+    for (encoding, controls), rows in groups.items():
+        held, size = [], 0
+        for i in rows:
+            held.append(i)
+            size += min(len(values[i]), WINDOW)
+            if size >= CHUNK:
+                out[held] = _followed([values[k] for k in held], encoding, controls, acts)
+                held, size = [], 0
+        if held:
+            out[held] = _followed([values[k] for k in held], encoding, controls, acts)
+    return out
+
+
+def _followed(values: list[bytes], encoding: str, controls: tuple[int, ...], acts: Callable[[str], bool]) -> np.ndarray:
+    """Whether each of the values, all of even length, ends in a run that counts."""
+    values = [v[-WINDOW:] for v in values]
+    data = np.frombuffer(b"".join(values), dtype=np.uint8)
+    lengths = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
+    ends = np.cumsum(lengths)
+    byte = np.arange(256)
+    odd = (((byte < 0x20) & ~np.isin(byte, controls)) | (byte == 0x7F))[data]
+    seen = np.concatenate([[0], np.cumsum(odd)])
+    places = len(data) // 2
+    owner = np.repeat(np.arange(len(values)), lengths // 2)
+    limit = ends[owner]
+    at = 2 * np.arange(places)
+    # values without a byte that they may not hold have no run, and a place too near the end no header
+    able = np.flatnonzero((at + 8 <= limit) & (seen[limit] > seen[limit - lengths[owner]]))
+    end, tag = headers(data, encoding, at[able], limit[able])
+    dead = places + len(values)
+    to = np.full(dead + 1, dead)
+    done = end == limit[able]
+    to[able] = np.where(end == 0, dead, np.where(done, places + owner[able], np.minimum(end, len(data) - 1) // 2))
+    to[places:] = np.arange(places, dead + 1)
+    names = np.array([t for t in np.unique(tag[(end > 0) & (tag >= 0)]).tolist() if acts(f"{t:08X}")], dtype=np.int64)
+    met = np.zeros(dead + 1, dtype=bool)
+    met[able] = np.isin(tag, names) & (end > 0)
+    leap = to
+    for _ in range(int(lengths.max(initial=2) // 2).bit_length()):
+        met, leap = met | met[leap], leap[leap]
+    starts = np.flatnonzero((leap[:places] == places + owner) & met[:places])
+    out = np.zeros(len(values), dtype=bool)
+    first, index = np.unique(owner[starts], return_index=True)
+    out[first] = seen[ends[first]] > seen[2 * starts[index]]
+    return out

@@ -8,7 +8,7 @@ from plain_writer import SerializeError, encode_file
 from pyspark.sql import functions as F
 
 from radiolith.functions.values import KNOWN_VRS, LONG_FORM_VRS
-from radiolith.operators.embedded import find_embedded
+from radiolith.operators.embedded import find_embedded, find_in_batch
 from radiolith.operators.profiles import LENIENT, SIEMENS, STRICT, ProfileError, define_profile
 from radiolith.sources.part10 import Parser, PartError, rows
 
@@ -216,6 +216,27 @@ def test_embedded_as_by_hand(value, vr, encoding):
     assert find_embedded(value, vr, encoding, acts) == want
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.lists(_part, max_size=5).map(b"".join)), st.sampled_from(["LT", "LO", "CS", "OB"]), st.sampled_from(["explicit-le", "implicit-le", "explicit-be"])), max_size=12))
+def test_embedded_in_a_batch_as_one_at_a_time(rows):
+    acts = lambda t: t in ("00100010", "7FE00010")
+    got = find_in_batch([v for v, _, _ in rows], [r for _, r, _ in rows], [e for _, _, e in rows], acts)
+    assert got.tolist() == [v is not None and find_embedded(v, r, e, acts) is not None for v, r, e in rows]
+
+
+def test_embedded_in_long_values(monkeypatch):
+    from radiolith.operators import embedded
+
+    hidden = element("00100010", "PN", NAME)
+    values = [b"x" * (1 << 20) + hidden, b"y" * ((1 << 20) + 1) + hidden, hidden * 9000, b"\0" * 5000, hidden + b"z" * (1 << 20), b"A" * 7 + hidden]
+    acts = lambda t: t == "00100010"
+    want = [find_embedded(v, "LT", "explicit-le", acts) is not None for v in values]
+    for chunk in (1, 1 << 16, 1 << 22):
+        monkeypatch.setattr(embedded, "CHUNK", chunk)
+        assert find_in_batch(values, ["LT"] * len(values), ["explicit-le"] * len(values), acts).tolist() == want
+    assert want == [True, True, True, False, False, False]
+
+
 @pytest.fixture(scope="module")
 def parsed(spark, tmp_path_factory):
     """One object in each of three syntaxes, and two with other character sets."""
