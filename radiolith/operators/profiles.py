@@ -6,7 +6,10 @@ import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from radiolith.functions import tags as T
+from radiolith.functions.charset import WITHHELD
 from radiolith.functions.values import KNOWN_VRS
 
 from .diagnostics import CODES
@@ -68,6 +71,14 @@ def define_profile(name: str, description: str | None = None, escalate=(), suppr
     return Profile(name, (*lineage, name), text, frozenset(up), frozenset(down), dictionary)
 
 
+def resolve_private(rows: DataFrame, profile: Profile, tag: str = "tag", creator: str = "private_creator") -> DataFrame:
+    """Adds ``private_vr``, ``private_keyword`` and ``shown_creator`` by the profile's dictionary; a creator that it does not name is withheld."""
+    table = F.broadcast(profile.private_table(rows.sparkSession).select(F.col("creator").alias("_c"), F.col("key").alias("_k"), F.col("vr").alias("private_vr"), F.col("keyword").alias("private_keyword")))
+    met = rows.join(table, (F.col(creator) == F.col("_c")) & (T.canonical_private_key(F.col(tag)) == F.col("_k")), "left").drop("_c", "_k")
+    known = F.col(creator).isin(*profile.private) if profile.private else F.lit(False)
+    return met.withColumn("shown_creator", F.when(F.col(creator).isNull() | known, F.col(creator)).otherwise(F.lit(WITHHELD)))
+
+
 # vendors' published private dictionaries, and which codes the presets take.
 GE = define_profile("ge", "GE MR private blocks", private={
     "GEMS_IDEN_01": {"0009XX01": ("LO", "FullFidelity", "Full Fidelity"), "0009XX02": ("SH", "SuiteId", "Suite Id"), "0009XX04": ("SH", "ProductId", "Product Id")},

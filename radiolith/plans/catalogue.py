@@ -358,9 +358,7 @@ def private_creator_resolve(spark, sf):
 @_query("select event_id, case when event_id % 2 = 0 then 'DiffusionBValue' end as keyword, case when event_id % 2 = 0 then 'GEMS_PARM_01' else '<withheld>' end as shown from events")
 def private_overlay(spark, sf):
     rows = B.table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "GEMS_PARM_01").otherwise("OTHER").alias("c"), F.lit("00431039").alias("tag"))
-    p = F.broadcast(profiles.GE.private_table(spark).select("creator", "key", "keyword"))
-    out = rows.join(p, (F.col("c") == F.col("creator")) & (T.canonical_private_key(F.col("tag")) == F.col("key")), "left")
-    return out.select("event_id", "keyword", E.safe_creator(F.col("c"), F.col("creator").isNotNull()).alias("shown"))
+    return profiles.resolve_private(rows, profiles.GE, creator="c").select("event_id", F.col("private_keyword").alias("keyword"), F.col("shown_creator").alias("shown"))
 
 
 @_query("select event_id, case when event_id % 3 = 0 then 'own' else 'root' end as charset from events")

@@ -13,7 +13,7 @@ from radiolith.operators import deident as X
 from radiolith.operators import diagnostics as W
 from radiolith.operators import dictionary as D
 from radiolith.operators import elements as E
-from radiolith.operators import nesting, phi_scan, profiles
+from radiolith.operators import nesting, phi_scan, profiles, views
 from radiolith.sources import reader, writer
 from radiolith.streaming import state
 
@@ -239,6 +239,69 @@ def stream_last_versions(spark, sf):
     return spark.read.schema(state.ROW).parquet(out).select("object_id", "tag", "version", "fate")
 
 
+def _items(spark: SparkSession, sf: str, tag: str, rows: list[tuple]) -> DataFrame:
+    """Conversations as objects with one sequence, an item a turn; ``(path below the item, tag, representation, value, condition)``."""
+    c = B.table(spark, sf, "conversations")
+    step = F.concat(F.lit(f"{tag}["), F.col("turn").cast("string"), F.lit("]"))
+    one = lambda below, t, v, value, when: F.when(F.lit(True) if when is None else when, F.struct((F.concat(step, F.lit("/" + below)) if below else step).alias("path"), F.lit(t).alias("tag"), F.lit(v).alias("vr"), value.cast("string").alias("value")))
+    cells = F.array_compact(F.array(*[one(*r) for r in rows]))
+    return c.select(F.col("conv_id").cast("string").alias("object_id"), F.explode(cells).alias("e")).select("object_id", "e.*")
+
+
+@_query("select cast(conv_id as varchar) as object_id, cast(turn as integer) as item, concat('P', conv_id, '.', turn) as id, case when turn % 2 = 1 then role end as issuer, case when turn % 3 = 2 then 'TEXT' end as type_code from conversations")
+def other_patient_ids(spark, sf):
+    name = F.concat(F.lit("P"), F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string")), F.lit(" "))
+    rows = _items(spark, sf, "00101002", [("", "00100020", "LO", name, None), ("", "00100021", "LO", F.col("role"), F.col("turn") % 2 == 1), ("", "00100022", "CS", F.lit("TEXT"), F.col("turn") % 3 == 2), ("00100024[0]", "00100020", "UT", F.lit("deeper"), None)])
+    return views.other_patient_ids(rows)
+
+
+@_query("select cast(conv_id as varchar) as object_id, cast(turn as integer) as item, length(text) / 4.0 as slope, case when turn % 4 <> 1 then cast(-turn as double) end as intercept, case when turn % 3 <> 0 then role end as units from conversations")
+def real_world_value_maps(spark, sf):
+    rows = _items(spark, sf, "00409096", [("", "00409225", "FD", F.length("text") / 4, None), ("", "00409224", "FD", -F.col("turn"), F.col("turn") % 4 != 1), ("004008EA[0]", "00080100", "SH", F.col("role"), F.col("turn") % 3 != 0), ("004008EA[1]", "00080100", "SH", F.lit("second"), None)])
+    return views.real_world_value_maps(rows)
+
+
+@_query("""select cast(conv_id as varchar) as object_id, cast(turn as bigint) as turn, cast(length(text) as varchar) as value_code, case turn % 6 when 0 then 'DCM' when 1 then 'SCT' when 2 then 'UCUM' when 3 then 'LN' when 4 then 'dcm' end as designator, role as meaning,
+  case turn % 6 when 0 then '1.2.840.10008.2.16.4' when 1 then '2.16.840.1.113883.6.96' when 2 then '2.16.840.1.113883.6.8' when 3 then '2.16.840.1.113883.6.1' end as scheme_uid from conversations""")
+def coded_concepts(spark, sf):
+    names = F.array(*[F.lit(x) for x in ("DCM", "SCT", "UCUM", "LN", "dcm")])
+    scheme = F.get(names, (F.col("turn") % 6).cast("int"))
+    rows = _items(spark, sf, "0040A730", [("0040A043[0]", "00080100", "SH", F.length("text"), None), ("0040A043[0]", "00080102", "SH", scheme, scheme.isNotNull()), ("0040A043[0]", "00080104", "LO", F.col("role"), None)])
+    out = views.coded_concepts(rows, ("object_id", "path"))
+    return out.select("object_id", F.regexp_extract("path", r"\[([0-9]+)\]", 1).cast("bigint").alias("turn"), "value_code", "designator", "meaning", "scheme_uid")
+
+
+@_query("select cast(conv_id as varchar) as object_id, bool_or(turn = 3) as enhanced from conversations group by conv_id")
+def functional_groups_test(spark, sf):
+    rows = _items(spark, sf, "00081140", [("", "00080060", "CS", F.lit("CT"), None), ("", views.PER_FRAME, "SQ", F.lit(""), None)])
+    root = B.table(spark, sf, "conversations").where("turn = 3").select(F.col("conv_id").cast("string").alias("object_id"), F.lit("").alias("path"), F.lit(views.SHARED).alias("tag"), F.lit("SQ").alias("vr"), F.lit("").alias("value"))
+    return views.has_functional_groups(rows.unionByName(root))
+
+
+_BYTES = "array_to_string(list_transform(range(0, cast(length(h) // 2 as integer)), lambda i: chr(cast(concat('0x', substr(h, 2 * i + 1, 2)) as integer))), '')"
+
+
+@_query(f"select conv_id, turn, md5(case when turn % 2 = 0 then text else {_BYTES} end) as digest from (select *, hex(encode(text)) as h from conversations)")
+def charset_by_term(spark, sf):
+    """The same bytes under UTF-8 and under Latin-1, by the terms in force at the element."""
+    terms = F.when(F.col("turn") % 2 == 0, F.array(F.lit("ISO_IR 192"))).otherwise(F.array(F.lit("ISO_IR 100")))
+    rows = B.table(spark, sf, "conversations").select("conv_id", "turn", F.lit("UT").alias("vr"), F.encode("text", "UTF-8").alias("raw"), terms.alias("charset"), F.lit(True).alias("little_endian"))
+    return E.decoded(rows).select("conv_id", "turn", F.md5(F.col("value").cast("binary")).alias("digest"))
+
+
+_DUMMIES = "case vr " + " ".join(f"when '{k}' then '{v}'" for k, v in X.DUMMIES.items()) + " else '' end"
+
+
+@_query(f"with {B.STUDIES_SQL} select object_id, tag, vr, case when substr(tag, 4, 1) = '9' then 'removed' else 'dummied' end as applied, case when substr(tag, 4, 1) = '9' then null else {_DUMMIES} end as value from e")
+def deid_dummied(spark, sf):
+    """Every attribute under a rule that replaces it: by a value of its representation, or by nothing where it has none."""
+    rows = B.studies(spark, sf)
+    rules = D.attributes(spark).select("tag", F.lit("D").alias("basic"), F.create_map().cast("map<string,string>").alias("options"))
+    out, audit = X.deidentify(rows, actions=rules)
+    left = out.where("tag not in ('00120062', '00120063')").select(F.col("object_id").alias("o"), F.col("ord").alias("n"), V.strip_pad(F.decode("raw", "ISO-8859-1")).alias("value"))
+    return audit.join(left, (F.col("object_id") == F.col("o")) & (F.col("ord") == F.col("n")), "left").select("object_id", "tag", "vr", "applied", "value")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
