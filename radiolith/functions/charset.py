@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,17 +47,25 @@ def decoder_label(terms: Column) -> Column:
     return F.coalesce(F.get(wide, 0), F.get(labels, 0), F.lit("latin1"))
 
 
-@F.pandas_udf(StringType())
-def decode_text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+@functools.lru_cache(1024)
+def label_of(terms: tuple[str, ...]) -> str:
+    """:func:`decoder_label` of terms in Python."""
+    labels = [LABELS[t] for t in terms if t in LABELS]
+    return next((x for x in labels if x in MULTIBYTE), labels[0] if labels else "latin1")
+
+
+def decode_bytes(raw: bytes | None, label: str | None) -> str | None:
     """Bytes by decoder label; malformed bytes become U+FFFD, a byte order mark at the start goes, an unknown label is read as UTF-8."""
+    if raw is None:
+        return None
+    try:
+        return bytes(raw).decode(label or "latin1", errors="replace").removeprefix("\ufeff")
+    except LookupError:
+        return bytes(raw).decode(errors="replace").removeprefix("\ufeff")
 
-    def one(raw: bytes | None, label: str | None) -> str | None:
-        if raw is None:
-            return None
-        try:
-            return bytes(raw).decode(label or "latin1", errors="replace").removeprefix("﻿")
-        except LookupError:
-            return bytes(raw).decode(errors="replace").removeprefix("﻿")
 
+@F.pandas_udf(StringType())
+def decode_text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """:func:`decode_bytes` in batches."""
     for raw, label in batches:
-        yield pd.Series([one(r, x) for r, x in zip(raw, label, strict=True)], dtype=object)
+        yield pd.Series([decode_bytes(r, x) for r, x in zip(raw, label, strict=True)], dtype=object)

@@ -19,18 +19,21 @@ from . import nesting
 KEY = ("object_id", "path")
 
 
-def decoded(elements: DataFrame, label: str | None = None) -> DataFrame:
+def decoded(elements: DataFrame, label: str | None = None, read: tuple[Column, Column] | None = None) -> DataFrame:
     """Adds ``value``: the text of ``raw`` by representation, byte order and character set.
 
     Binary numbers are written out, joined by backslashes. Text that depends on a character set is decoded by the element's own
     (``charset``, an array of terms), or by ``label`` for all: Latin-1 and UTF-8 in the JVM, others in Arrow batches, malformed bytes as
-    U+FFFD. All else is Latin-1.
+    U+FFFD. All else is Latin-1. ``read`` has each element's decoder label and, for labels beside those two, its text, where a parser knows them.
     """
     vr, raw = F.col("vr"), F.col("raw")
     text = vr.isin(*V.CHARSET_LISTS, *V.CHARSET_TEXTS, "PN")
     latin, utf8 = V.ascii_text(raw), V.strip_bom(F.call_function("make_valid_utf8", raw.cast("string")))
     if label == "utf-8":
         value = F.when(text, utf8).otherwise(latin)
+    elif read:
+        own, other = read
+        value = F.when(text & (own == "utf-8"), utf8).when(text & (own != "latin1"), other).otherwise(latin)
     else:
         own = F.lit(label) if label else C.decoder_label(F.coalesce(F.col("charset"), F.array().cast("array<string>")))
         other = text & ~own.isin("latin1", "utf-8")
