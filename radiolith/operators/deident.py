@@ -63,11 +63,6 @@ def dummy(vr: Column) -> Column:
     return V.pad_even(F.encode(value, "ISO-8859-1"), vr)
 
 
-def remapped(raw: Column, root: str) -> Column:
-    """A UI value with each UID replaced, padded with NUL."""
-    return V.pad_even(F.encode(U.remap_values(V.ascii_text(raw), root), "ISO-8859-1"), F.lit("UI"))
-
-
 def _embedded_udf(actionable: set[str], groups: set[str]):
     @F.pandas_udf(BooleanType())
     def found(raw: pd.Series, vr: pd.Series, encoding: pd.Series) -> pd.Series:
@@ -143,7 +138,9 @@ def deidentify(elements: DataFrame, retain: Sequence[str] = (), uid_root: str =
         # the shortest run is one header, and a run holds a control byte
         wanted = vr.isin(*SCANNABLE) & (F.length("raw") >= 8) & V.ascii_text(F.col("raw")).rlike(r"[\x00-\x1F\x7F]")
         embedded = F.when(wanted, found(F.when(wanted, F.col("raw")), vr, F.col("encoding"))).otherwise(F.lit(False))
-    rows = rows.withColumn("_embedded", F.coalesce(embedded, F.lit(False)))
+    # the UIDs that a rule replaces are known before the scan: both go through Python in one pass
+    derived = {} if uid_map is not None else {"_derived": U.remap_values(F.when((code == "U") & ~sq, V.ascii_text(F.col("raw"))), uid_root)}
+    rows = rows.withColumns({"_embedded": F.coalesce(embedded, F.lit(False)), **derived})
     keep = F.when(undefined, "undefined-vr").when(F.col("_embedded"), "embedded").otherwise("kept")
     private = T.is_private_tag(F.col("tag"))
     value_kept = keep if private_values == "kept" else F.when(keep == "kept", "unenumerable").otherwise(keep)
@@ -171,7 +168,7 @@ def deidentify(elements: DataFrame, retain: Sequence[str] = (), uid_root: str =
         rows = rows.join(given, (F.col("object_id") == F.col("_uo")) & (F.col("ord") == F.col("_un")), "left")
         new_uids = V.pad_even(F.encode("replaced", "ISO-8859-1"), F.lit("UI"))
     else:
-        new_uids = remapped(F.when(F.col("applied") == "remapped", F.col("raw")), uid_root)
+        new_uids = V.pad_even(F.encode("_derived", "ISO-8859-1"), F.lit("UI"))
     return _with_method(_rewritten(rows, new_uids, "value" in columns), columns, dict(elements.dtypes), method or "\\".join((METHOD, *active))), audit
 
 
@@ -204,19 +201,18 @@ def _with_method(rows: DataFrame, columns: Sequence[str], types: dict[str, str],
         rows = rows.withColumn(f"_o{low}", F.max(F.when(root & (tag == f"001200{low}"), F.col("ord"))).over(whole))
     plain = root & (tag == "00120063") & (F.col("vr") == "LO") & ~V.strip_pad(text).rlike(r"[\x00-\x1A\x1C-\x1F\x7F]")
     rows = rows.withColumn("_prior", F.max(F.when(plain, text)).over(whole))
-    rows = rows.withColumn("_method", F.when(F.col("ord") == F.col("_last"), added_method(F.coalesce("_prior", F.lit("")), method)))
+    prior = F.coalesce("_prior", F.lit(""))
+    rows = rows.withColumn("_method", F.when(F.col("ord") == F.col("_last"), F.when(prior == "", F.lit(method)).otherwise(added_method(prior, method))))
     stays = ~F.col("applied").isin("removed", "unenumerable") & ~(root & tag.isin("00120062", "00120063"))
-    keyed = {"object_id": F.col("object_id"), "path": F.lit(""), "encoding": F.col("encoding")}
-
-    def added(low: str, vr: str, value: Column, after: int) -> Column:
-        raw = V.pad_even(F.encode(value, "ISO-8859-1"), F.lit(vr))
-        own = keyed | {"ord": F.coalesce(f"_o{low}", F.col("_last") + after), "tag": F.lit(f"001200{low}"), "vr": F.lit(vr), "raw": raw, "value": value, "length": F.length(raw), "full_span": F.lit(False)}
-        return F.struct(*[(own[c] if c in own else F.lit(None)).cast(types[c]).alias(c) for c in columns])
-
-    own = F.when(stays, F.struct(*[F.col(c).cast(types[c]).alias(c) for c in columns]))
-    last = F.col("ord") == F.col("_last")
-    each = F.array(own, F.when(last, added("62", "CS", F.lit("YES"), 1)), F.when(last, added("63", "LO", F.col("_method"), 2)))
-    return rows.select(F.explode(F.array_compact(each)).alias("_e")).select("_e.*")
+    # copies of a row are told by numbers, so that rows are not packed into arrays and taken apart again
+    rows = rows.withColumn("_stays", stays).withColumn("_copy", F.explode(F.when(F.col("ord") == F.col("_last"), F.array(*map(F.lit, (0, 1, 2)))).otherwise(F.array(F.lit(0)))))
+    rows = rows.where((F.col("_copy") > 0) | F.col("_stays"))
+    first, low = F.col("_copy") == 1, F.when(F.col("_copy") == 1, "00120062").otherwise("00120063")
+    vr, value = F.when(first, "CS").otherwise("LO"), F.when(first, "YES").otherwise(F.col("_method"))
+    raw = F.when(first, V.pad_even(F.encode(F.lit("YES"), "ISO-8859-1"), F.lit("CS"))).otherwise(V.pad_even(F.encode("_method", "ISO-8859-1"), F.lit("LO")))
+    at = F.when(first, F.coalesce("_o62", F.col("_last") + 1)).otherwise(F.coalesce("_o63", F.col("_last") + 2))
+    added = {"object_id": F.col("object_id"), "path": F.lit(""), "encoding": F.col("encoding"), "ord": at, "tag": low, "vr": vr, "raw": raw, "value": value, "length": F.length(raw), "full_span": F.lit(False)}
+    return rows.select(*[F.when(F.col("_copy") == 0, F.col(c).cast(types[c])).otherwise((added[c] if c in added else F.lit(None)).cast(types[c])).alias(c) for c in columns])
 
 
 @dataclass(frozen=True)
