@@ -1,16 +1,17 @@
 """Elements that arrive in pieces: the last version of each wins over all micro-batches, object by object.
 
-An object's elements are keyed state, one entry a data set and tag. It is given out whole once the watermark has passed its last row by a
+An object's elements are keyed state, by data set and tag. It is given out whole once the watermark has passed its last row by a
 quiet time, and its state is dropped then, so that state is bounded by the objects that are open. An object with an escalated warning is given out
 as quarantined, all of it, whichever micro-batch the warning came in.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -20,47 +21,41 @@ KEPT, QUARANTINED = "kept", "quarantined"
 
 
 class LastVersions(StatefulProcessor):
-    """State of one object: its elements, whether it is fatal, and when it will have been quiet for long enough."""
+    """State of one object, one value: when it will have been quiet for long enough, whether it is fatal, and its elements.
+
+    An object is given out whole, so its state is read and written whole too: a call to the state store costs more than its elements do.
+    """
 
     def __init__(self, quiet_ms: int, escalate: frozenset[str]) -> None:
         self.quiet_ms, self.escalate = quiet_ms, escalate
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.elements = handle.getMapState("elements", "path string, tag string", "vr string, version bigint, raw binary")
-        self.fatal = handle.getValueState("fatal", "fatal boolean")
-        self.due = handle.getValueState("due", "due bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        latest, fatal = 0, False
-        for frame in rows:
-            latest = max(latest, int(frame["seen"].max().timestamp() * 1000))
-            fatal = fatal or bool(frame["code"].isin(self.escalate).any())
+        self.object = handle.getValueState("object", "due bigint, fatal boolean, elements binary")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        known = self.object.get()
+        before, fatal, held = (known[0], known[1], pickle.loads(bytes(known[2]))) if known is not None else (None, False, {})
+        due = before if before is not None else 0
+        for path, tag, vr, version, seen_ms, raw, code in ((r["path"], r["tag"], r["vr"], r["version"], r["seen_ms"], r["raw"], r["code"]) for r in rows):
+            due, fatal = max(due, (seen_ms or 0) + self.quiet_ms), fatal or code in self.escalate
+            old, raw = held.get((path, tag)), None if raw is None else bytes(raw)
             # of one version the larger bytes count, so that the order of rows does not
-            best = frame.sort_values(["version", "raw"], na_position="first").drop_duplicates(["path", "tag"], keep="last")
-            for path, tag, vr, version, raw in zip(best["path"], best["tag"], best["vr"], best["version"], best["raw"], strict=True):
-                at = (path, tag)
-                held = self.elements.getValue(at) if self.elements.containsKey(at) else None
-                if held is None or (int(version), bytes(raw or b"")) > (held[1], bytes(held[2] or b"")):
-                    self.elements.updateValue(at, (vr, int(version), None if raw is None else bytes(raw)))
-        if fatal:
-            self.fatal.update((True,))
-        before = self.due.get()[0] if self.due.exists() else None
-        due = latest + self.quiet_ms
-        if before is None or due > before:
-            if before is not None:
-                self.handle.deleteTimer(before)
+            if old is None or (version, raw or b"") > (old[1], old[2] or b""):
+                held[path, tag] = (vr, version, raw)
+        self.object.update((due, fatal, pickle.dumps(held, protocol=5)))
+        if before is None:
+            self.handle.registerTimer(due)  # put off when it expires, if rows have come since
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        due, fatal, held = self.object.get()
+        if due > timerValues.getCurrentWatermarkInMs():
             self.handle.registerTimer(due)
-            self.due.update((due,))
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        fate = QUARANTINED if self.fatal.exists() else KEPT
-        out = [(key[0], at[0], at[1], value[0], value[1], value[2], fate) for at, value in self.elements.iterator()]
-        self.elements.clear()
-        self.fatal.clear()
-        self.due.clear()
-        yield pd.DataFrame(out, columns=["object_id", "path", "tag", "vr", "version", "raw", "fate"])
+            return
+        self.object.clear()
+        for (path, tag), (vr, version, raw) in pickle.loads(bytes(held)).items():
+            yield Row(object_id=key[0], path=path, tag=tag, vr=vr, version=version, raw=raw, fate=QUARANTINED if fatal else KEPT)
 
     def close(self) -> None:
         pass
@@ -73,8 +68,8 @@ def last_versions(elements: DataFrame, quiet: str = "1 hour", escalate: frozense
     object with a warning in ``escalate``. Rows that come after their object has been given out open it anew. Needs the state store of ``stateful``.
     """
     quiet_ms = int(pd.Timedelta(quiet).total_seconds() * 1000)
-    rows = elements.select("object_id", "path", "tag", "vr", "version", "seen", "raw", "code").withWatermark("seen", quiet)
-    return rows.groupBy("object_id").transformWithStateInPandas(LastVersions(quiet_ms, escalate), outputStructType=ROW, outputMode="Append", timeMode="EventTime")
+    rows = elements.select("object_id", "path", "tag", "vr", "version", "seen", "raw", "code").withWatermark("seen", quiet).withColumn("seen_ms", F.unix_millis("seen"))
+    return rows.groupBy("object_id").transformWithState(LastVersions(quiet_ms, escalate), outputStructType=ROW, outputMode="Append", timeMode="EventTime")
 
 
 def stateful(spark: SparkSession) -> None:

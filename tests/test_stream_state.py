@@ -45,3 +45,33 @@ def test_stream_equals_one_batch(spark, tmp_path, batches):
         want[o, path, tag] = max(want.get((o, path, tag), (-1, b"")), (version, raw))
     assert {(r.object_id, r.path, r.tag): (r.version, bytes(r.raw), r.fate) for r in got} == {k: (*v, state.QUARANTINED if k[0] in fatal else state.KEPT) for k, v in want.items()}
     assert len(got) == len(want) and fatal
+
+
+def test_an_object_costs_few_calls_to_the_state_store():
+    """However many elements it has: one read and one write a micro-batch, and a timer when it is new."""
+    calls = []
+
+    class Store:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802
+            return Store()
+
+        def registerTimer(self, at):  # noqa: N802
+            calls.append("timer")
+
+    p = state.LastVersions(1000, frozenset({"VR_MISMATCH"}))
+    p.init(Handle())
+    for batch in range(3):
+        rows = [{"path": "", "tag": f"0010{k:04X}", "vr": "PN", "version": batch * 100 + k, "seen_ms": k, "raw": None if k % 2 else b"a", "code": None} for k in range(100)]
+        assert list(p.handleInputRows(("o",), iter(rows), None)) == []
+    assert calls == ["get", "update", "timer", "get", "update", "get", "update"]
