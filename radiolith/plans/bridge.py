@@ -9,6 +9,10 @@ from radiolith.operators.elements import decoded
 from radiolith.sources import writer
 
 
+#: Tasks for the rows of a split of the scan, 128 MB of line items at most; a row becomes eight wider ones.
+TASKS_A_SPLIT = 32
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,9 +49,12 @@ e as (select object_id, x.ord as ord, x.tag as tag, x.vr as vr, x.value as value
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One object for each order of the line items' first rows by number: series and image attributes."""
-    base = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_extendedprice").alias("p"), F.min("l_returnflag").alias("f"), F.min("l_linestatus").alias("s"))
+    lines = table(spark, sf_dir, "lineitem").withColumn("object_id", F.concat_ws(".", "l_orderkey", "l_linenumber"))
+    # an object's rows meet once, in as many tasks as the input calls for: what groups by object after this needs no further shuffle
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_SPLIT * lines.rdd.getNumPartitions())
+    base = lines.repartition(tasks, "object_id").groupBy("object_id", "l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_extendedprice").alias("p"), F.min("l_returnflag").alias("f"), F.min("l_linestatus").alias("s"))
     price = F.col("p").cast("decimal(18,2)").cast("string")
-    return _rows(base, F.concat_ws(".", "l_orderkey", "l_linenumber"), [
+    return _rows(base, F.col("object_id"), [
         ("00080018", "UI", F.concat(F.lit("1.2.840.1."), F.concat_ws(".", "l_orderkey", "l_linenumber"))), ("00080060", "CS", F.col("f")), ("0020000E", "UI", F.concat(F.lit("1.2.840.2."), F.col("l_orderkey").cast("string"))), ("00200011", "IS", F.col("l_linenumber")),
         ("00280010", "US", F.col("q").cast("int")), ("00280103", "US", F.when(F.col("s") == "O", F.lit("0")).when(F.col("f") == "R", F.lit("1")).otherwise(F.lit("2"))), ("00281050", "DS", F.concat(price, F.lit("\\bad\\"), F.col("q").cast("int").cast("string"))), ("00281053", "DS", price),
     ])
