@@ -2,8 +2,10 @@
 
 Each attempt of a task writes below a folder of its own name in ``_staging-<job>``; what it sends to the driver is that name and two counts, however many files there
 are. The driver's commit moves one folder for each task that Spark has accepted, so that retried and speculative attempts leave no second copy; an
-aborted job is its staging folder, which is deleted. Objects that cannot be written are rows of a Parquet table in ``_errors``.
-Paths may be of any file system that Arrow knows.
+aborted job is its staging folder, which is deleted. An attempt may outlive its job, as Spark ends a job before the last of its tasks: only the driver makes the
+staging folder, and renames it before it deletes it, so that such an attempt finds no folder to write to and fails. Objects that cannot be written are rows of a
+Parquet table in ``_errors``. Paths may be of any file system that Arrow knows and that renames folders; where opening a file makes its folders too, as on HDFS,
+what an attempt writes after the end of its job can stay in the staging folder.
 """
 
 from __future__ import annotations
@@ -54,6 +56,8 @@ class Part10Writer(DataSourceArrowWriter):
 
     def __init__(self, path: str, overwrite: bool, suffix: str = ".dcm") -> None:
         self.path, self.overwrite, self.suffix, self.job = path, overwrite, suffix, uuid.uuid4().hex
+        store, root = open_store(path)
+        store.create_dir(posixpath.join(root, self.staging), recursive=True)
 
     @property
     def staging(self) -> str:
@@ -63,7 +67,7 @@ class Part10Writer(DataSourceArrowWriter):
         store, root = open_store(self.path)
         attempt = f"part-{uuid.uuid4().hex}"
         own = posixpath.join(root, self.staging, attempt)
-        store.create_dir(own, recursive=True)
+        store.create_dir(own, recursive=False)
         seen: set[str] = set()
         errors: list[tuple[str, str]] = []
         for b in iterator:
@@ -77,7 +81,7 @@ class Part10Writer(DataSourceArrowWriter):
                     f.write(content.as_buffer())
         if errors:
             table = pa.Table.from_pylist([dict(zip(_ERROR.names, e, strict=True)) for e in errors], schema=_ERROR)
-            store.create_dir(posixpath.join(root, self.staging, ERRORS), recursive=True)
+            store.create_dir(posixpath.join(root, self.staging, ERRORS), recursive=False)
             pq.write_table(table, posixpath.join(root, self.staging, ERRORS, f"{attempt}.parquet"), filesystem=store)
         return Committed(attempt, len(seen), len(errors))
 
@@ -103,7 +107,8 @@ class Part10Writer(DataSourceArrowWriter):
         store, root = open_store(self.path)
         own = posixpath.join(root, self.staging)
         if store.get_file_info(own).type != fs.FileType.NotFound:
-            store.delete_dir(own)
+            store.move(own, f"{own}-done")
+            store.delete_dir(f"{own}-done")
 
 
 class Part10Sink(DataSource):

@@ -1,6 +1,7 @@
 """The sink's files: all of a job or none, once each, whatever attempts there were."""
 
 import pathlib
+import pickle
 
 import pyarrow as pa
 import pytest
@@ -71,6 +72,27 @@ def test_retried_and_lost_attempts_leave_no_second_copy(tmp_path):
     assert files_of(tmp_path) == ["a.dcm", "b.dcm"] and not left_over(tmp_path)
 
 
+def test_attempts_that_outlive_their_job_leave_nothing(tmp_path):
+    w = sink.Part10Writer(str(tmp_path / "late"), False)
+    late = pickle.loads(pickle.dumps(w))  # as a task has it, which starts when the job has failed
+    w.abort([None])
+    with pytest.raises(OSError):
+        late.write(iter([batch([("a", b"1", None)])]))
+    assert files_of(tmp_path / "late") == [] and not left_over(tmp_path)
+    for end in (lambda w: w.abort([None]), lambda w: w.commit([None])):
+        for first, last in ((("a", b"1", None), ("b", b"2", None)), (("a", None, "LOST"), ("b", None, "LOST"))):
+            w = sink.Part10Writer(str(tmp_path / "half"), False)
+
+            def rows(w=w, end=end, first=first, last=last):
+                yield batch([first])
+                end(pickle.loads(pickle.dumps(w)))
+                yield batch([last])
+
+            with pytest.raises(OSError):
+                w.write(rows())
+            assert files_of(tmp_path / "half") == [] and not left_over(tmp_path)
+
+
 def test_names_stay_within_the_folder():
     names = ["../../etc/x", "a/b", "", ".", "ü\n", "A.dcm", "a%2Fb"]
     made = [sink.file_name(n) for n in names]
