@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,12 @@ def decoded(elements: DataFrame, label: str | None = None, read: tuple[Column, C
     (``charset``, an array of terms), or by ``label`` for all: Latin-1 and UTF-8 in the JVM, others in Arrow batches, malformed bytes as
     U+FFFD. All else is Latin-1. ``read`` has each element's decoder label and, for labels beside those two, its text, where a parser knows them.
     """
-    vr, raw = F.col("vr"), F.col("raw")
+    return elements.withColumn("value", _text(F.col, label, read))
+
+
+def _text(of: Callable[[str], Column], label: str | None, read: tuple[Column, Column] | None) -> Column:
+    """The text of :func:`decoded`; ``of`` gives an element's columns."""
+    vr, raw = of("vr"), of("raw")
     text = vr.isin(*V.CHARSET_LISTS, *V.CHARSET_TEXTS, "PN")
     latin, utf8 = V.ascii_text(raw), V.strip_bom(F.call_function("make_valid_utf8", raw.cast("string")))
     if label == "utf-8":
@@ -35,11 +42,17 @@ def decoded(elements: DataFrame, label: str | None = None, read: tuple[Column, C
         own, other = read
         value = F.when(text & (own == "utf-8"), utf8).when(text & (own != "latin1"), other).otherwise(latin)
     else:
-        own = F.lit(label) if label else C.decoder_label(F.coalesce(F.col("charset"), F.array().cast("array<string>")))
+        own = F.lit(label) if label else C.decoder_label(F.coalesce(of("charset"), F.array().cast("array<string>")))
         other = text & ~own.isin("latin1", "utf-8")
         value = F.when(other, C.decode_text(F.when(other, raw), F.when(other, own))).when(text & (own == "utf-8"), utf8).otherwise(latin)
-    numbers = V.number_text(vr, raw, F.coalesce(F.col("little_endian"), F.lit(True)))
-    return elements.withColumn("value", F.when(vr.isin(*V.NUMBERS, *V.BIGINTS, "AT"), numbers).otherwise(value))
+    numbers = V.number_text(vr, raw, F.coalesce(of("little_endian"), F.lit(True)))
+    return F.when(vr.isin(*V.NUMBERS, *V.BIGINTS, "AT"), numbers).otherwise(value)
+
+
+def tagged(tags: Iterable[str], root: bool = True, elements: str = "elements") -> Column:
+    """``array<struct<tag, value>>``: the decoded elements of ``tags`` of a row that holds a whole parsed file, so that nothing is exploded to meet again."""
+    own = F.filter(elements, lambda e: e["tag"].isin(*tags) & (e["path"] == "") if root else e["tag"].isin(*tags))
+    return F.transform(own, lambda e: F.struct(e["tag"].alias("tag"), _text(lambda name: e[name], None, (e["label"], e["text"])).alias("value")))
 
 
 def get_tag(elements: DataFrame, tag: str) -> DataFrame:

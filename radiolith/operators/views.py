@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from radiolith.functions import values as V
 
 from .dictionary import CODING_SCHEMES
-from .elements import items_of
+from .elements import items_of, tagged
 
 # Fixed values of the data model: field, tag and reader (S string, N number, A numbers, PN, DA, TM).
 PATIENT = {"id": ("00100020", "S"), "issuer_of_id": ("00100021", "S"), "name": ("00100010", "PN"), "birth_date": ("00100030", "DA"), "sex": ("00100040", "S")}
@@ -63,6 +63,18 @@ def view(elements: DataFrame, fields: dict[str, tuple[str, str]], keys: tuple[st
     return wide.select(*keys, *[READERS[r](F.col(t)).alias(n) for n, (t, r) in fields.items()])
 
 
+def view_of_files(files: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """:func:`view` of parsed files, which are a row each with all their elements: nothing is exploded, grouped or shuffled. Root elements.
+
+    ``object_id`` is one file's. A file without an element of the wanted tags, or with an error, has no row, as in :func:`view`.
+    """
+    tags = sorted({t for t, _ in fields.values()})
+    some = F.exists("elements", lambda e: e["tag"].isin(*tags) & (e["path"] == ""))  # what decodes nothing, as a filter is computed anew
+    held = files.where(some).select("object_id", F.map_from_entries(tagged(tags)).alias("_held"))
+    wide = held.select("object_id", *[F.element_at("_held", t).alias(t) for t in tags])
+    return wide.select("object_id", *[READERS[r](F.col(t)).alias(n) for n, (t, r) in fields.items()])
+
+
 def _root(elements: DataFrame) -> DataFrame:
     return elements.where(F.col("path") == "")
 
@@ -104,7 +116,15 @@ def series_view(elements: DataFrame) -> DataFrame:
 
 def image_view(elements: DataFrame) -> DataFrame:
     """The image fields and ``signed``: 0 is false, 1 true, anything else absent."""
-    out = view(_root(elements), IMAGE)
+    return _signed(view(_root(elements), IMAGE))
+
+
+def image_view_of_files(files: DataFrame) -> DataFrame:
+    """:func:`image_view` of parsed files; see :func:`view_of_files`."""
+    return _signed(view_of_files(files, IMAGE))
+
+
+def _signed(out: DataFrame) -> DataFrame:
     p = F.col("pixel_representation")
     return out.withColumn("signed", F.when(p == 0, False).when(p == 1, True))
 

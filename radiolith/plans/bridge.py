@@ -17,12 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _two_bytes(value, big):
+    """A US value."""
+    number = F.lpad(F.hex(value.try_cast("int")), 4, "0")
+    return F.unhex(F.substring(F.repeat(number, 2), F.when(big, 1).otherwise(3), F.lit(4)))
+
+
 def _rows(base: DataFrame, object_id, fields: list[tuple[str, str, object]]) -> DataFrame:
     parts = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(t).alias("tag"), F.lit(v).alias("vr"), c.cast("string").alias("value")) for i, (t, v, c) in enumerate(fields)])
     rows = base.select(object_id.cast("string").alias("object_id"), F.explode(parts).alias("e")).select("object_id", F.lit("").alias("path"), "e.*")
-    number = F.lpad(F.hex(F.col("value").try_cast("int")), 4, "0")
-    little = F.unhex(F.concat(F.substring(number, 3, 2), F.substring(number, 1, 2)))  # US: two bytes
-    rows = rows.withColumn("raw", F.when(F.col("vr") == "US", little).otherwise(F.encode("value", "UTF-8")))
+    rows = rows.withColumn("raw", F.when(F.col("vr") == "US", _two_bytes(F.col("value"), F.lit(False))).otherwise(F.encode("value", "UTF-8")))
     rows = decoded(rows.drop("value").withColumn("little_endian", F.lit(True)), "utf-8").drop("little_endian")
     return rows.withColumn("item_count", F.lit(None).cast("int")).withColumn("length", F.length("raw").cast("bigint")).withColumn("byte_offset", F.col("ord").cast("bigint") * 100)
 
@@ -47,17 +51,38 @@ e as (select object_id, x.ord as ord, x.tag as tag, x.vr as vr, x.value as value
   {'ord': 9, 'tag': '00100040', 'vr': 'CS', 'value': c_mktsegment}, {'ord': 10, 'tag': '0020000D', 'vr': 'UI', 'value': concat('1.2.840.', o_orderkey)}]) as x from b))"""
 
 
-def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One object for each order of the line items' first rows by number: series and image attributes."""
+def _images(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[str, str, object]]]:
+    """One row an object, and its attributes as columns of it."""
     lines = table(spark, sf_dir, "lineitem").withColumn("object_id", F.concat_ws(".", "l_orderkey", "l_linenumber"))
     # an object's rows meet once, in as many tasks as the input calls for: what groups by object after this needs no further shuffle
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_SPLIT * lines.rdd.getNumPartitions())
     base = lines.repartition(tasks, "object_id").groupBy("object_id", "l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_extendedprice").alias("p"), F.min("l_returnflag").alias("f"), F.min("l_linestatus").alias("s"))
     price = F.col("p").cast("decimal(18,2)").cast("string")
-    return _rows(base, F.col("object_id"), [
+    return base, [
         ("00080018", "UI", F.concat(F.lit("1.2.840.1."), F.concat_ws(".", "l_orderkey", "l_linenumber"))), ("00080060", "CS", F.col("f")), ("0020000E", "UI", F.concat(F.lit("1.2.840.2."), F.col("l_orderkey").cast("string"))), ("00200011", "IS", F.col("l_linenumber")),
         ("00280010", "US", F.col("q").cast("int")), ("00280103", "US", F.when(F.col("s") == "O", F.lit("0")).when(F.col("f") == "R", F.lit("1")).otherwise(F.lit("2"))), ("00281050", "DS", F.concat(price, F.lit("\\bad\\"), F.col("q").cast("int").cast("string"))), ("00281053", "DS", price),
-    ])
+    ]
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One object for each order of the line items' first rows by number: series and image attributes."""
+    base, fields = _images(spark, sf_dir)
+    return _rows(base, F.col("object_id"), fields)
+
+
+def image_files(spark: SparkSession, sf_dir: str, syntaxes: tuple[str, ...]) -> DataFrame:
+    """``(path, content)``: the objects of :func:`images` as Part 10 files, written from columns, each in one of ``syntaxes`` by its id."""
+    base, fields = _images(spark, sf_dir)
+    # with the syntax first, as the bytes of numbers follow from it
+    base = base.withColumn("_uid", syntax_of(syntaxes))
+    big = F.col("_uid") == "1.2.840.10008.1.2.2"
+
+    def raw(vr: str, value):
+        text = value.cast("string")
+        return _two_bytes(text, big) if vr == "US" else F.encode(text, "UTF-8")
+
+    files = writer.serialize_columns(base, [(t, v, raw(v, c)) for t, v, c in fields], F.col("_uid"), tuple(syntaxes))
+    return files.withColumnRenamed("object_id", "path")
 
 
 IMAGES_SQL = r"""b as (select l_orderkey, l_linenumber, min(l_quantity) as q, min(l_extendedprice) as p, min(l_returnflag) as f, min(l_linestatus) as s from lineitem group by all),
@@ -76,6 +101,11 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inner.withColumn("ord", F.col("ord").cast("bigint")).unionByName(outer).withColumn("raw", F.encode("value", "UTF-8"))
 
 
+def syntax_of(uids):
+    """One of ``uids`` for each object."""
+    return F.element_at(F.array(*[F.lit(u) for u in uids]), (F.pmod(F.xxhash64("object_id"), F.lit(len(uids))) + 1).cast("int"))
+
+
 def part10(rows: DataFrame, syntax) -> DataFrame:
     """``(path, content)``: the objects of ``rows`` as Part 10 files, each in the transfer syntax that ``syntax`` gives for its id."""
     turned = F.unhex(F.concat(F.substring(F.hex("raw"), 3, 2), F.substring(F.hex("raw"), 1, 2)))

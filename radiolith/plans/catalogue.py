@@ -192,26 +192,21 @@ def _image(v):
     return v.select("object_id", "sop_instance_uid", "rows", "rescale_slope", F.size("window_center").alias("n_centers"), F.get("window_center", 1).alias("bad_center"), F.get("window_center", 2).alias("last_center"), "signed")
 
 
-def _syntax(uids):
-    """One of ``uids`` for each object."""
-    return F.element_at(F.array(*[F.lit(u) for u in uids]), (F.pmod(F.xxhash64("object_id"), F.lit(len(uids))) + 1).cast("int"))
-
-
 @_query(_SQL["image_view"])
 def parse_files(spark, sf):
-    content = B.part10(B.images(spark, sf), _syntax(D.TRANSFER_SYNTAXES))
-    return _image(views.image_view(reader.elements(reader.parse_content(content))))
+    content = B.image_files(spark, sf, tuple(D.TRANSFER_SYNTAXES))
+    return _image(views.image_view_of_files(reader.parse_content(content)))
 
 
 @_query(_with(_S, "select object_id, cast(ord as integer) as ord, tag, vr, rtrim(value, ' ') as value from e"))
 def serialize_round_trip(spark, sf):
-    content = B.part10(B.studies(spark, sf), _syntax([u for u, kind in D.TRANSFER_SYNTAXES.items() if kind != "implicit-le"]))
+    content = B.part10(B.studies(spark, sf), B.syntax_of([u for u, kind in D.TRANSFER_SYNTAXES.items() if kind != "implicit-le"]))
     return reader.elements(reader.parse_content(content)).select("object_id", "ord", "tag", "vr", V.strip_pad(F.col("value")).alias("value"))
 
 
 @_query(_with(_I, "select object_id as path, 8 as n, q as rows from w"))
 def base64_objects(spark, sf):
-    content = B.part10(B.images(spark, sf), _syntax(["1.2.840.10008.1.2.1"]))
+    content = B.image_files(spark, sf, ("1.2.840.10008.1.2.1",))
     texts = content.select("path", F.concat(F.lit("see "), F.regexp_replace(F.base64("content"), r"\s", ""), F.lit(" end")).alias("text"))
     found = reader.elements(reader.parse_content(phi_scan.base64_objects(texts, "path", "text")))
     rows = F.max(F.when(F.col("tag") == "00280010", views.first_number(F.col("value")))).cast("int").alias("rows")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from radiolith.operators.dictionary import transfer_syntax
 from radiolith.operators.elements import decoded
 from radiolith.operators.profiles import Profile
 
+from .flat import Plain, Walker, _gathered
 from .part10 import Element, Parser, PartError
 
 ELEMENT = "struct<path:string,ord:int,leave:int,tag:string,vr:string,length:bigint,byte_offset:bigint,little_endian:boolean,charset:array<string>,private_creator:string,cp246_promoted:boolean,item_count:int,full_span:boolean,raw:binary,label:string,text:string>"
@@ -87,6 +90,38 @@ class _Batch:
         return pa.RecordBatch.from_arrays([columns[n] for n in self.schema.names], schema=self.schema)
 
 
+def _slices(content: pa.Array) -> Iterator[tuple[int, int]]:
+    """Places in a batch that cut it into parts of about ``BATCH_BYTES``."""
+    sizes = pc.fill_null(pc.binary_length(content), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // BATCH_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    return zip(cuts[:-1], cuts[1:], strict=True)
+
+
+def _plain_rows(got: Plain, paths: pa.Array, schema: pa.Schema) -> pa.RecordBatch:
+    """The rows of plain files: what :class:`_Batch` makes of them one by one."""
+    n, m = len(got.ord), len(got.file)
+    listed = lambda name: schema.field(name).type
+    empty = lambda kind, size: pa.ListArray.from_arrays(pa.array(np.zeros(size + 1, np.int32)), pa.nulls(0, kind.value_type), type=kind)
+    same = lambda x, kind: pa.array([x], kind).take(pa.array(np.zeros(n, np.int32)))
+    ends, raw = _gathered(got.arena, got.at, got.length)
+    raw = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+    columns = {
+        "path": same("", pa.string()), "ord": pa.array(got.ord), "leave": pa.array(got.ord), "tag": got.tag, "vr": got.vr, "length": pa.array(got.length), "byte_offset": pa.array(got.offset), "little_endian": pa.array(got.little),
+        "cp246_promoted": same(False, pa.bool_()), "full_span": same(False, pa.bool_()), "raw": raw, "label": same("latin1", pa.string()),
+    }
+    fields = list(listed("elements").value_type)
+    cells = [empty(f.type, n) if f.name == "charset" else columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in fields]
+    inner = pa.StructArray.from_arrays(cells, fields=fields)
+    meta, where = [list(x.items()) for x, _ in got.metas], pa.array(got.meta)
+    residue = [[dict(zip(("tag", "vr", "value"), r, strict=True)) for r in x] for _, x in got.metas]
+    rows = {
+        "object_id": paths.take(pa.array(got.file)).cast(listed("object_id")), "had_preamble": pa.array(np.ones(m, bool)), "meta": pa.array(meta, listed("meta")).take(where), "residue": pa.array(residue, listed("residue")).take(where),
+        "elements": pa.ListArray.from_arrays(pa.array(got.ends.astype(np.int32)), inner, type=listed("elements")), "warnings": empty(listed("warnings"), m), "error": pa.nulls(m, listed("error")),
+    }
+    return pa.RecordBatch.from_arrays([rows[name] for name in schema.names], schema=schema)
+
+
 def parse_content(files: DataFrame, mode: str = "PERMISSIVE", profile: Profile | None = None, strict: bool = False, preamble: str = "auto", vrs: dict[str, str] | None = None) -> DataFrame:
     """One row a file of ``files(path, content)``. PERMISSIVE keeps a broken file as a row with ``error``; FAILFAST raises."""
     if mode not in ("PERMISSIVE", "FAILFAST"):
@@ -98,7 +133,14 @@ def parse_content(files: DataFrame, mode: str = "PERMISSIVE", profile: Profile |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser, held, count, size = Parser(profile, strict, preamble, vrs), _Batch(schema), 0, 0
-        for b in batches:
+        walker = Walker(parser)
+        for b in (b.slice(a, z - a) for b in batches for a, z in _slices(b.column(1))):
+            plain = walker.read(b.column(1))
+            if plain is not None:
+                yield _plain_rows(plain, b.column(0), schema)
+                left = np.ones(len(b), bool)
+                left[plain.file] = False
+                b = b.filter(pa.array(left))
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 data, file = content.as_py() or b"", {}
                 try:
