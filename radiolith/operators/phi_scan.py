@@ -69,6 +69,8 @@ def base64_objects(texts: DataFrame, key: str, text: str) -> DataFrame:
     runs = texts.select(F.col(key).cast("string").alias("_k"), F.posexplode(F.regexp_extract_all(text, F.lit(BASE64_RUN), 1)).alias("_n", "_run"))
     digits = F.length("_run") - F.when(F.length("_run") % 4 == 1, 1).otherwise(0)
     whole = F.rpad(F.substring("_run", F.lit(1), digits), F.ceil(digits / 4).cast("int") * 4, F.lit("="))
-    content = runs.select(F.concat_ws("#", "_k", "_n").alias("path"), F.unbase64(whole).alias("content"))
-    is_object = (F.hex(F.substring("content", 129, 4)) == "4449434D") | F.startswith(F.hex(F.substring("content", 1, 8)), F.lit("02000000554C0400"))
-    return content.where(is_object)
+    runs = runs.select(F.concat_ws("#", "_k", "_n").alias("path"), whole.alias("_whole"))
+    # what tells an object is read from the digits of its places: bytes 126 to 131, and 0 to 8
+    mark = F.substring(F.unbase64(F.substring("_whole", 169, 8)), 3, 4)
+    group = F.substring(F.unbase64(F.substring("_whole", 1, 12)), 1, 8)
+    return runs.where((mark == F.lit(b"DICM")) | (group == F.lit(b"\x02\0\0\0UL\x04\0"))).select("path", F.unbase64("_whole").alias("content"))

@@ -208,9 +208,10 @@ def serialize_round_trip(spark, sf):
 def base64_objects(spark, sf):
     content = B.image_files(spark, sf, ("1.2.840.10008.1.2.1",))
     texts = content.select("path", F.concat(F.lit("see "), F.regexp_replace(F.base64("content"), r"\s", ""), F.lit(" end")).alias("text"))
-    found = reader.elements(reader.parse_content(phi_scan.base64_objects(texts, "path", "text")))
-    rows = F.max(F.when(F.col("tag") == "00280010", views.first_number(F.col("value")))).cast("int").alias("rows")
-    return found.groupBy(F.substring_index("object_id", "#", 1).alias("path")).agg(F.count("*").cast("int").alias("n"), rows)
+    found = reader.parse_content(phi_scan.base64_objects(texts, "path", "text"))
+    rows = F.array_max(F.transform(E.tagged(["00280010"], root=False), lambda e: views.first_number(e["value"])))
+    found = found.where(F.size("elements") > 0).select(F.substring_index("object_id", "#", 1).alias("path"), F.size("elements").alias("n"), rows.alias("rows"))
+    return found.groupBy("path").agg(F.sum("n").cast("int").alias("n"), F.max("rows").cast("int").alias("rows"))
 
 
 @_query("select l_orderkey, l_linenumber, l_extendedprice as double_back, cast(cast(l_tax as float) as double) as float_back from lineitem")

@@ -101,7 +101,7 @@ def test_views_of_files_as_of_elements(spark):
 
 
 def test_objects_are_shuffled_once(spark):
-    """``parse_files`` groups the line items; no rows are joined."""
-    for name, shuffles in (("parse_files", 1),):
+    """``parse_files`` groups the line items, ``base64_objects`` also what it found by text; no rows are joined."""
+    for name, shuffles in (("parse_files", 1), ("base64_objects", 2)):
         got = catalogue.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert got.count("Exchange hashpartitioning") == shuffles and "Join" not in got
